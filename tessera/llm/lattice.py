@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import connected_components, materialize
 
 MIN_COSINE = 0.95
-TABLES = 10
+TABLES = 12
 BLOCKS = 2
 WIDTH = 1.6
 CELL = 1024

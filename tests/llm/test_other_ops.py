@@ -53,7 +53,7 @@ def brute(vectors):
     for i in range(len(vectors)):
         for j in range(i):
             if ok[i] and ok[j] and len(vectors[i]) == len(vectors[j]):
-                a, b = np.array(vectors[i]), np.array(vectors[j])
+                a, b = (np.array(v) / np.abs(v).max() for v in (vectors[i], vectors[j]))
                 if a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95:
                     links[i].add(j)
                     links[j].add(i)
@@ -102,7 +102,7 @@ def test_canonical_url(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "url string")
     got = {r.url: r.c for r in df.select("url", warc.canonical_url(df["url"]).alias("c")).collect()}
-    assert {k: v for k, v in got.items() if v != cases[k]} in ({}, {"http://WWW.Example.com:80/A/?ref=x&b=2#top": got["http://WWW.Example.com:80/A/?ref=x&b=2#top"]})
+    assert got == cases
 
 
 def test_revisits(spark):
