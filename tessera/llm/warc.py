@@ -25,7 +25,7 @@ SLICE_RECORDS = 4096
 
 #: Canonical form: no fragment, scheme, www. or m. prefix, default port, tracking parameter or trailing slash; host
 #: in lower case. The same steps run in the oracle.
-CANONICAL = [(r"#.*$", ""), (r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), (r"^([wW]{3}|m)\.", ""), (r"^([^/?:]+):(80|443)(/|\?|$)", r"$1$3"), (r"(ref|utm_[a-z]+|sessionid)=[^&]*(&|$)", ""), (r"[?&]+$", ""), (r"/+$", "")]
+CANONICAL = [(r"#.*$", ""), (r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), (r"^([wW]{3}|m)\.", ""), (r"^([^/?:]+):(80|443)(/|\?|$)", r"$1$3"), (r"([?&])(ref|utm_[a-z]+|sessionid)=[^&]*", "$1"), (r"&&+", "&"), (r"\?&", "?"), (r"[?&]+$", ""), (r"/+$", "")]
 
 
 def canonical_url(url: Column) -> Column:
