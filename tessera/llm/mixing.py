@@ -78,8 +78,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first, last = F.floor(F.col("off") / BLOCK), F.floor((F.col("off") + F.col("size") - 1) / BLOCK)
     spread = placed.where("size > 0").select("row", "sid", "off", "size", F.explode(F.sequence(first, last)).alias("block"))
     shared = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("off"), F.col("block") * BLOCK)
-    taken = spread.join(uses, ["sid", "block"]).groupBy("row").agg(F.sum(shared * F.col("uses")).alias("taken"))
-    out = placed.join(taken, "row", "left")
+    # Both sides grow with the data although they are spun from few rows, which the planner would take for small.
+    taken = spread.join(uses.hint("merge"), ["sid", "block"]).groupBy("row").agg(F.sum(shared * F.col("uses")).alias("taken"))
+    out = placed.join(taken.hint("merge"), "row", "left")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
