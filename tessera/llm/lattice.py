@@ -141,11 +141,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     members = keyed.select("cid", F.explode(F.array_distinct("keys")).alias("key"))
     crowds = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(crowds, "key").withColumn("parts", F.ceil(F.col("n") / CELL))
+    members = members.join(crowds.hint("merge"), "key").withColumn("parts", F.ceil(F.col("n") / CELL))
     members = members.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     members = members.withColumn("other", other).select("cid", "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    full = members.join(keyed, "cid").join(classes.select("cid", "v"), "cid")
+    full = members.join(keyed.hint("merge"), "cid").join(classes.select("cid", "v").hint("merge"), "cid")
     verified = materialize(full.groupBy("key", "a", "b").applyInPandas(_verify, "cid long, links long, root long"), "verified")
 
     counted = verified.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -87,7 +87,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = cells.select("key", F.col("cls").alias("other"), "lo", "hi", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     near = (F.col("lo") - F.col("at") <= scope) & (F.col("at") - F.col("hi") <= scope)  # the cell's nearest start is in reach
     has = lambda c: F.max((F.col("other") == c).cast("int")) == 1
-    met = parts.where("p.kind >= 3").join(cells, ["key", "cell"]).where(near).groupBy("key", "p", "cls").agg(has("I").alias("i"), has("S").alias("s"), has("E").alias("e"))
+    met = parts.where("p.kind >= 3").join(cells.hint("merge"), ["key", "cell"]).where(near).groupBy("key", "p", "cls").agg(has("I").alias("i"), has("S").alias("s"), has("E").alias("e"))
     full = met.where("(cls = 'I' AND s) OR (cls = 'S' AND (i OR e)) OR (cls = 'E' AND i AND s)")
     linked = full.groupBy("key").agg(F.array_sort(F.collect_set("p")).alias("linked"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
