@@ -33,6 +33,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing needs any more."""
+    jvm = df.sparkSession._jvm
+    for f in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if ``df`` (materialised, two or three numbers a row) has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -68,6 +76,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if found is not None:
             up = hook.toDF("component", "next")
             old = found.join(up, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-            hook = old.unionByName(hook.toDF("node", "component"))
+            # A node that was contracted onto one which hooked in the same round comes up again: it has its row.
+            hook = old.unionByName(hook.join(found.select("node"), "node", "left_anti").toDF("node", "component"))
         found = materialize(hook.toDF("node", "component"), "components")
     return e.select(F.col("lo").alias("node"), F.col("hi").alias("component")) if found is None else found

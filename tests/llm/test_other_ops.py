@@ -14,9 +14,11 @@ from tessera.llm._common import connected_components
 
 def test_components(spark):
     rng = random.Random(0)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000 + i, 9999) for i in range(50)] + [(7, 7)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000 + i * 37 % 101, 2000 + (i + 1) * 37 % 101) for i in range(100)] + [(5000 + i, 9999) for i in range(50)] + [(7, 7)]
     rng.shuffle(edges)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    rows = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    got = {r.node: r.component for r in rows}
+    assert len(got) == len(rows)
     root = {}
 
     def find(x):
