@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize
+from tessera.llm._common import discard, materialize
 
 LENGTH = 13
-SEED_WORDS = 3
+SEED_WORDS = 5
 #: Documents whose lists of runs are broadcast, if these also hold 1,000,000 runs at most; else they are joined by a shuffle.
 LIST_ROWS = 20_000
 
@@ -73,7 +73,9 @@ def runs(h: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS):
     return grams[at[first]], context, first, n
 
 
-RUN_SCHEMA = "anchor long, context long, id long, h long, first int, n int"
+#: h: 28 bits of the text's hash, to tell rows that share an id apart.
+RUN_SCHEMA = "anchor long, context int, id long, h int, first int, n int"
+HASH_BITS = 28
 
 
 def _all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +85,7 @@ def _all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = words_of(text)
             if len(w) >= LENGTH:
                 a, c, first, n = runs(_hashes(w))
-                out.append(pd.DataFrame({"anchor": a.view(np.int64), "context": c.view(np.int64), "id": i, "h": key, "first": first.astype(np.int32), "n": n.astype(np.int32)}))
+                out.append(pd.DataFrame({"anchor": a.view(np.int64), "context": (c >> np.uint64(32)).astype(np.uint32).view(np.int32), "id": i, "h": key, "first": first.astype(np.int32), "n": n.astype(np.int32)}))
                 if len(out) >= 256:
                     yield pd.concat(out, ignore_index=True)
                     out = []
@@ -135,6 +137,10 @@ def maximal(listed, n_words: int) -> list[tuple[int, int]]:
     return list(zip(change[::2], change[1::2]))
 
 
+def _text_hash(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(1 << HASH_BITS)).cast("int")
+
+
 def _listed(rows: DataFrame) -> DataFrame:
     """(id, h, listed): a document's runs together; as many as its words at most."""
     return rows.groupBy("id", "h").agg(F.collect_set(F.struct("first", "n")).alias("listed"))
@@ -149,16 +155,22 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, first, n): runs of windows that also start in a document of smaller id; h is a hash of the text."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
     docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
     found = materialize(docs.mapInPandas(_all_runs, RUN_SCHEMA), "anchors")
     shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("context").alias("c1"), F.max("context").alias("c2"))
     shared = shared.where("low < high").select("anchor", "low", (F.col("c1") == F.col("c2")).alias("same"))
-    met = materialize(found.join(shared, "anchor").where("NOT same OR id > low").select("id", "h", "first", "n", "same"), "shared")
+    # Position, length and hash cross the shuffle as one number.
+    packed = found.select("anchor", "id", F.expr(f"shiftleft(CAST(first AS BIGINT), {HASH_BITS + 4}) | shiftleft(CAST(h AS BIGINT), 4) | n").alias("at"))
+    met = packed.join(shared, "anchor").where("NOT same OR id > low")
+    first, h = F.shiftright("at", HASH_BITS + 4), F.shiftright("at", 4).bitwiseAND((1 << HASH_BITS) - 1)
+    met = met.select("id", h.cast("int").alias("h"), first.cast("int").alias("first"), F.col("at").bitwiseAND(15).cast("int").alias("n"), "same")
+    met = materialize(met, "shared")
+    discard(found)
     whole = met.where("same").select("id", "h", "first", "n")
 
     lists = materialize(_listed(met.where("NOT same")), "to_extend")
-    windows = materialize(_with_lists(docs, lists, "inner").mapInPandas(_windows, "one long, two long, id long, h long, first int"), "windows")
+    windows = materialize(_with_lists(docs, lists, "inner").mapInPandas(_windows, "one long, two long, id long, h int, first int"), "windows")
     lows = windows.groupBy("one", "two").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     single = windows.join(lows, ["one", "two"]).where("id > low").select("id", "h", "first", F.lit(1).alias("n"))
     return whole.unionByName(single)
@@ -167,7 +179,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, ``n_words``, ``n_removed``, ``kept`` text and ``repeats`` (word spans)."""
     lists = materialize(_listed(repeats(docs, id_col, text_col)), "repeats")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
     joined = _with_lists(texts, lists, "left").select("id", "text", "listed")
     out = joined.mapInPandas(_cut, "id long, n_words long, n_removed long, kept string, repeats array<struct<start:int,end:int>>")
     return out.withColumnRenamed("id", id_col)
