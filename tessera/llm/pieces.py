@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMO = 400_000
-FLAT = 1 << 20
+MEMO = 200_000
+FLAT = 1 << 18
 RUN = 16
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -75,8 +75,9 @@ class Vocabulary:
         self.one_by_one[sorted(inverted)] = True
         self.joined = np.unique(np.array([(ord(a) << 21) | ord(b) for a, b in joined], np.int64))
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit as 32-bit numbers."""
+        out: list[bytes] = []
         at = 0
         while at < len(units):  # some units at a time: about FLAT characters
             end, n = at, 0
@@ -87,7 +88,7 @@ class Vocabulary:
             at = end
         return out
 
-    def _encode(self, units: list[str]) -> list[list[int]]:
+    def _encode(self, units: list[str]) -> list[bytes]:
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
         points, back = np.unique(code, return_inverse=True)
@@ -141,8 +142,8 @@ class Vocabulary:
             known = [[x] if x < self.top else [self.bytes[b] for b in chr(x - self.top).encode("utf-8", "replace")] for x in final.tolist()]
             owner = np.repeat(owner, [len(x) for x in known])
             final = np.array(list(chain.from_iterable(known)), np.int64)
-        ends = np.searchsorted(owner, np.arange(len(units)), side="right").tolist()
-        flat = final.tolist()
+        ends = (np.searchsorted(owner, np.arange(len(units)), side="right") * 4).tolist()
+        flat = final.astype(np.int32).tobytes()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def units(self, text: str) -> list[str]:
@@ -159,9 +160,9 @@ class Vocabulary:
             out.append(u)
         return out
 
-    def decode(self, ids) -> str:
-        data = b"".join([self.text[i] for i in ids])
-        if len(ids) and data[:1] == b" " and not self.is_byte[ids[0]]:
+    def decode(self, ids: np.ndarray) -> str:
+        data = b"".join(map(self.text.__getitem__, ids.tolist()))
+        if data[:1] == b" " and not self.is_byte[ids[0]]:
             data = data[1:]
         return data.decode("utf-8", "replace")
 
@@ -171,25 +172,26 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary(model)
 
 
-_memo: dict[str, dict[str, list[int]]] = {}
+_memo: dict[str, dict[str, bytes]] = {}
 
 
-def encode_texts(texts: list[str], model: str) -> list[list[int]]:
+def encode_texts(texts: list[str], model: str) -> list[np.ndarray]:
     v, memo = vocabulary(model), _memo.setdefault(model, {})
     split = [v.units(t) if t else [] for t in texts]
-    new = list(set(chain.from_iterable(split)) - memo.keys())
+    units = set().union(*split)
+    new = list(units - memo.keys())
     if len(memo) + len(new) > MEMO:
         memo.clear()
-        new = list(set(chain.from_iterable(split)))
+        new = list(units)
     memo.update(zip(new, v.encode_units(new)))
-    return [list(chain.from_iterable(map(memo.__getitem__, s))) for s in split]
+    return [np.frombuffer(b"".join(map(memo.__getitem__, s)), np.int32) for s in split]
 
 
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
-def _slices(batch: pd.Series) -> Iterator[list[str]]:
-    """Some texts at a time: about SLICE_CHARS characters."""
+def text_slices(batch: pd.Series) -> Iterator[list[str]]:
+    """Some texts at a time, nulls as empty ones: about SLICE_CHARS characters."""
     part, n = [], 0
     for t in batch:
         part.append(t or "")
@@ -206,7 +208,7 @@ def encode(text: Column, model: str | None = None) -> Column:
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([np.array(ids, np.int32) for part in _slices(batch) for ids in encode_texts(part, path)], dtype=object)
+            yield pd.Series([ids for part in text_slices(batch) for ids in encode_texts(part, path)], dtype=object)
 
     return run(text)
 
@@ -218,14 +220,27 @@ def decode(ids: Column, model: str | None = None) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(path)
         for batch in batches:
-            yield pd.Series([v.decode(() if x is None else x.tolist()) for x in batch], dtype=object)
+            yield pd.Series([v.decode(np.empty(0, np.int32) if x is None else np.asarray(x)) for x in batch], dtype=object)
 
     return run(ids)
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """A row per document: id, ``ids`` and ``decoded``."""
-    return docs.select(F.col(id_col), encode(F.col(text_col), model).alias("ids")).withColumn("decoded", decode(F.col("ids"), model))
+def encode_decode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", model: str | None = None) -> DataFrame:
+    """A row per document: the ``keep`` columns, ``ids`` and ``decoded``, in one pass of small batches."""
+    path = model or default_model()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for batch in batches:
+            at = 0
+            for part in text_slices(batch.pop("_text")):
+                ids = encode_texts(part, path)
+                yield batch.iloc[at : at + len(part)].assign(ids=ids, decoded=[v.decode(x) for x in ids])
+                at += len(part)
+
+    df = docs.select(*keep, F.col(text_col).alias("_text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
+    return df.mapInPandas(run, f"{kept}, ids array<int>, decoded string")
 
 
 def op6(docs: DataFrame) -> DataFrame:
