@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize
-from tessera.llm.pieces import SPACE, default_model
+from tessera.llm.pieces import SPACE, default_model, text_slices
 
 SAMPLE = 3000
 ROUNDS = 2
@@ -190,9 +190,16 @@ class _Scores:
         self.row: dict[str, int] = {}
         self.table = np.zeros((1024, self.prob.shape[1]))
 
-    def add(self, words: list[str]) -> None:
-        if len(self.row) + len(words) > MEMO:
+    def know(self, found: list[list[str]]) -> None:
+        """Score the words of some texts that are not remembered."""
+        words = set().union(*found)
+        new = words - self.row.keys()
+        if len(self.row) + len(new) > MEMO:
             self.clear()
+            new = words
+        self.add(list(new))
+
+    def add(self, words: list[str]) -> None:
         need = len(self.row) + len(words)
         if need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]))])
@@ -216,19 +223,16 @@ def predict(text: Column, langs: list[str], prob, model: str) -> Column:
         scores = here.setdefault("scores", _Scores(prob.value, model))
         for batch in batches:
             out = []
-            for t in batch:
-                words = LETTERS.findall(t.lower()) if t and langs else ()
-                if not words:
-                    out.append(("und", 0.0))
-                    continue
-                new = set(words) - scores.row.keys()
-                if new:
-                    if len(scores.row) + len(new) > MEMO:
-                        new = set(words)
-                    scores.add(list(new))
-                total = scores.table[np.fromiter(map(scores.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                best = int(total.argmax())
-                out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
+            for part in text_slices(batch):
+                found = [LETTERS.findall(t.lower()) if langs else [] for t in part]
+                scores.know(found)
+                for words in found:
+                    if not words:
+                        out.append(("und", 0.0))
+                        continue
+                    total = scores.table[np.fromiter(map(scores.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                    best = int(total.argmax())
+                    out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
     return run(text)
