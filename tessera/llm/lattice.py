@@ -30,6 +30,7 @@ BLOCKS = 2
 WIDTH = 1.6
 CELL = 1024
 ROWS = 512
+COLUMNS = 1024
 
 
 def e8_cosets(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,30 +98,28 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     cid, copies, part = pdf["cid"].to_numpy(), pdf["copies"].to_numpy(), pdf["part"].to_numpy()
     x, keys = _unit(pdf["v"]), np.array(pdf["keys"].tolist(), np.int64)
     links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
-    pairs = []
+    # Cells below this one that at least two members have: a pair that shares one is counted there.
+    at, col = np.nonzero(keys < key)
+    _, cell, n = np.unique(keys[at, col], return_inverse=True, return_counts=True)
+    many = n[cell] > 1
+    at, cell = at[many], np.unique(cell[many], return_inverse=True)[1]
+    mine = []
     for i in range(0, len(pdf), ROWS):
-        p, q = np.nonzero(x[i : i + ROWS] @ x.T >= MIN_COSINE)
-        p += i
-        ok = (p < q) if a == b else (p < q) & (part[p] != part[q])
-        p, q = p[ok], q[ok]
-        pairs.append((p, q))
-        first, open_ = np.full(len(p), key, np.int64), np.arange(len(p))
-        for r in range(keys.shape[1]):  # the least cell that both have
-            if not len(open_):
-                break
-            k = keys[p[open_], r]
-            both = (keys[q[open_]] == k[:, None]).any(axis=1)
-            first[open_[both]] = k[both]
-            open_ = open_[~both]
-        mine = first == key
-        np.add.at(links, p[mine], copies[q[mine]])
-        np.add.at(links, q[mine], copies[p[mine]])
-    while True:
+        hit = x[i : i + ROWS] @ x.T >= MIN_COSINE
+        hit[np.arange(len(hit)), i + np.arange(len(hit))] = False
+        if a != b:
+            hit &= part[i : i + ROWS, None] != part[None, :]
+        for c in range(0, int(cell.max()) + 1 if len(cell) and hit.any() else 0, COLUMNS):
+            some = (cell >= c) & (cell < c + COLUMNS)
+            has = np.zeros((len(pdf), COLUMNS), np.float32)
+            has[at[some], cell[some] - c] = 1
+            hit &= has[i : i + ROWS] @ has.T < 0.5
+        links[i : i + ROWS] = hit @ copies
+        mine.append(np.nonzero(hit))
+    while links.any():
         old = root.copy()
-        for p, q in pairs:
-            low = np.minimum(root[p], root[q])
-            np.minimum.at(root, p, low)
-            np.minimum.at(root, q, low)
+        for k, (p, q) in enumerate(mine):
+            np.minimum.at(root, p + k * ROWS, root[q])
         root = root[root]
         if (old == root).all():
             break
