@@ -12,7 +12,13 @@ from tessera.operators.storage import shared_dir
 
 
 def events_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    """Event files as they arrive in a folder; a single file is read through its folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def owned_stream(detections: DataFrame, cores: DataFrame) -> DataFrame:
