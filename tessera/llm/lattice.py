@@ -31,6 +31,9 @@ WIDTH = 1.6
 CELL = 1024
 ROWS = 512
 COLUMNS = 1024
+SMALL = 32
+PAIRS = 4096
+BATCH = 1024
 
 
 def e8_cosets(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,61 +94,117 @@ def _cells_of(vectors):
     return run(vectors)
 
 
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One cell, or two parts of it: links counted here and local roots."""
-    key, a, b = int(pdf["key"].iloc[0]), int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-    pdf = pdf.sort_values("cid", ignore_index=True)
-    cid, copies, part = pdf["cid"].to_numpy(), pdf["copies"].to_numpy(), pdf["part"].to_numpy()
-    x, keys = _unit(pdf["v"]), np.array(pdf["keys"].tolist(), np.int64)
-    links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+def _small(x: np.ndarray, keys: np.ndarray, key: np.ndarray, group: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (p, q) that count in their cell, over many small cells at once; ``apart`` numbers what may not pair, or is -1."""
+    ps, qs = [], []
+    for d in range(1, SMALL):
+        p = np.flatnonzero(group[:-d] == group[d:]) if d < len(group) else np.empty(0, np.int64)
+        if not len(p):
+            break
+        p = p[(apart[p] < 0) | (apart[p] != apart[p + d])]
+        ps.append(p)
+        qs.append(p + d)
+    p, q = np.concatenate([*ps, np.empty(0, np.int64)]), np.concatenate([*qs, np.empty(0, np.int64)])
+    near = [np.einsum("ij,ij->i", x[p[i : i + PAIRS]], x[q[i : i + PAIRS]]) >= MIN_COSINE for i in range(0, len(p), PAIRS)]
+    p, q = (p[np.concatenate(near)], q[np.concatenate(near)]) if near else (p, q)
+    here = np.ones(len(p), bool)
+    for i in range(0, len(p), PAIRS):
+        one, two, own = keys[p[i : i + PAIRS]], keys[q[i : i + PAIRS]], key[p[i : i + PAIRS]]
+        for c in range(two.shape[1]):
+            at = two[:, c]
+            here[i : i + PAIRS] &= ~((one == at[:, None]).any(axis=1) & (at >= 0) & (at < own))
+    return p[here], q[here]
+
+
+def _large(x: np.ndarray, keys: np.ndarray, key: int, part: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one cell, or two parts of it, as matrix products."""
     # Cells below this one that at least two members have: a pair that shares one is counted there.
-    at, col = np.nonzero(keys < key)
+    at, col = np.nonzero((keys < key) & (keys >= 0))
     _, cell, n = np.unique(keys[at, col], return_inverse=True, return_counts=True)
     many = n[cell] > 1
     at, cell = at[many], np.unique(cell[many], return_inverse=True)[1]
-    mine = []
-    for i in range(0, len(pdf), ROWS):
+    ps, qs = [], []
+    for i in range(0, len(x), ROWS):
         hit = x[i : i + ROWS] @ x.T >= MIN_COSINE
-        hit[np.arange(len(hit)), i + np.arange(len(hit))] = False
-        if a != b:
+        hit &= np.arange(len(x)) > np.arange(i, i + len(hit))[:, None]
+        if split:
             hit &= part[i : i + ROWS, None] != part[None, :]
         for c in range(0, int(cell.max()) + 1 if len(cell) and hit.any() else 0, COLUMNS):
             some = (cell >= c) & (cell < c + COLUMNS)
-            has = np.zeros((len(pdf), COLUMNS), np.float32)
+            has = np.zeros((len(x), COLUMNS), np.float32)
             has[at[some], cell[some] - c] = 1
             hit &= has[i : i + ROWS] @ has.T < 0.5
-        links[i : i + ROWS] = hit @ copies
-        mine.append(np.nonzero(hit))
-    while links.any():
+        p, q = np.nonzero(hit)
+        ps.append(p + i)
+        qs.append(q)
+    return np.concatenate(ps), np.concatenate(qs)
+
+
+def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Some cells, or pairs of parts of large ones: links counted here and local roots."""
+    pdf = pdf.sort_values(["key", "a", "b", "cid"], ignore_index=True)
+    cid, copies, part, key = (pdf[c].to_numpy() for c in ("cid", "copies", "part", "key"))
+    split = (pdf["a"] != pdf["b"]).to_numpy()
+    group = pdf.groupby(["key", "a", "b"], sort=True).ngroup().to_numpy()
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+    x = _unit(pdf["v"])
+    width = pdf["keys"].str.len()
+    keys = np.full((len(pdf), int(width.max())), -1, np.int64)
+    keys[np.arange(keys.shape[1]) < width.to_numpy()[:, None]] = np.concatenate(pdf["keys"].to_numpy())
+
+    few = np.flatnonzero((sizes < SMALL)[group])
+    p, q = _small(x[few], keys[few], key[few], group[few], np.where(split, part, -1)[few])
+    ps, qs = [few[p]], [few[q]]
+    for at, n in zip(starts[sizes >= SMALL], sizes[sizes >= SMALL]):
+        own = slice(at, at + n)
+        p, q = _large(x[own], keys[own], int(key[at]), part[own], bool(split[at]))
+        ps.append(p + at)
+        qs.append(q + at)
+    p, q = np.concatenate(ps), np.concatenate(qs)
+
+    links = np.bincount(p, copies[q], len(pdf)) + np.bincount(q, copies[p], len(pdf))
+    root = np.arange(len(pdf))
+    while len(p):
         old = root.copy()
-        for k, (p, q) in enumerate(mine):
-            np.minimum.at(root, p + k * ROWS, root[q])
+        np.minimum.at(root, p, root[q])
+        np.minimum.at(root, q, root[p])
         root = root[root]
         if (old == root).all():
             break
-    out = pd.DataFrame({"cid": cid, "links": links, "root": cid[root]})
-    return out[(out["links"] > 0) | (out["root"] != out["cid"])]
+    out = pd.DataFrame({"cid": cid, "links": links.astype(np.int64), "root": cid[root]})
+    return out[out["links"] > 0].groupby(["cid", "root"], as_index=False)["links"].sum()[["cid", "links", "root"]]
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A row per vector: id, ``n_links``, ``component_id`` and ``kept``."""
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    number = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("v", F.when(F.coalesce(valid, F.lit(False)), F.transform("v", lambda x: x + 0.0)))
+    rows = rows.withColumn("v", F.when(F.coalesce(valid, F.lit(False)), F.transform("v", lambda x: x + F.lit(0).cast(number))))
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     # The number is stable because the table is written at once.
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "first", "copies", "v"), "classes")
-    keyed = materialize(classes.select("cid", "copies", _cells_of(F.col("v")).alias("keys")), "cells")
+    keyed = materialize(classes.select("cid", _cells_of(F.col("v")).alias("keys")), "cells")
 
+    # A vector's cells that hold others too, with how many; most vectors have few.
     members = keyed.select("cid", F.explode(F.array_distinct("keys")).alias("key"))
     crowds = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(crowds.hint("merge"), "key").withColumn("parts", F.ceil(F.col("n") / CELL))
-    members = members.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    members = members.withColumn("other", other).select("cid", "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    full = members.join(keyed.hint("merge"), "cid").join(classes.select("cid", "v").hint("merge"), "cid")
-    verified = materialize(full.groupBy("key", "a", "b").applyInPandas(_verify, "cid long, links long, root long"), "verified")
+    shared = members.join(crowds.hint("merge"), "key").groupBy("cid").agg(F.collect_list(F.struct("key", "n")).alias("shared"))
+    shared = materialize(shared, "shared")
+    parts = F.ceil(F.col("cell.n") / CELL)
+    total = shared.select(F.aggregate("shared", F.lit(0).cast("long"), lambda s, c: s + F.ceil(c["n"] / CELL)).alias("n")).agg(F.sum("n")).first()[0] or 0
+
+    full = shared.join(classes.select("cid", "copies", "v").hint("merge"), "cid").select("*", F.col("shared.key").alias("keys"))
+    full = full.select("cid", "copies", "v", "keys", F.explode("shared").alias("cell"))
+    full = full.select("cid", "copies", "v", "keys", F.col("cell.key").alias("key"), F.pmod(F.xxhash64("cid"), parts).alias("part"), parts.alias("parts"))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    full = full.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("other")
+    # Cells are dealt out in batches of about BATCH rows: a task of their own would cost more than their pairs do.
+    batch = F.pmod(F.xxhash64("key", "a", "b"), F.lit(total // BATCH + 1))
+    full = full.withColumns({"batch": batch, "dim": F.size("v")})
+    verified = materialize(full.groupBy("batch", "dim").applyInPandas(_verify, "cid long, links long, root long"), "verified")
 
     counted = verified.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(verified.where("cid <> root"), "cid", "root").toDF("cid", "component")
