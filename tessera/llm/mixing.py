@@ -90,15 +90,26 @@ def block_uses(stats: DataFrame, limit: int = LIMIT) -> DataFrame:
     share = F.col("target") / F.sum("target").over(every)
     draws = stats.where("target > 0").select("sid", "blocks", "target", share.alias("share"), F.sum(share).over(order).alias("to"), F.sum("target").over(every).alias("all"))
     draws = draws.withColumn("shards", F.ceil(F.col("all") / BLOCK / SHARD)).withColumn("slots", F.col("all") / BLOCK / F.col("shards"))
-    draws = draws.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    # Shards come in groups, so that neither the draws nor the numbering pass through one task.
+    tasks = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = draws.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / SHARD))))
+    draws = draws.repartition(tasks, "sid", "group")
+    last = F.least((F.col("group") + 1) * SHARD, "shards") - 1
+    draws = draws.withColumn("shard", F.explode(F.sequence(F.col("group") * SHARD, last)))
     u = (F.col("shard") * 0.6180339887498949 + _unit(F.lit("offset"))) % 1.0
     upto = lambda c: F.floor(c * F.col("slots") + u)
     draws = draws.withColumn("n", upto(F.col("to")) - upto(F.col("to") - F.col("share")))
-    # Numbers of a source's slots run through the shards. One row a source and shard: few, whatever a source holds.
-    ahead = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    draws = draws.withColumn("q0", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    # Numbers of a source's slots run through the shards: sums inside groups, then sums of groups.
+    ahead = Window.partitionBy("sid").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = draws.groupBy("sid", "group").agg(F.sum("n").alias("n"))
+    starts = starts.select("sid", "group", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("sid", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    draws = draws.withColumn("q0", F.sum("n").over(inside) - F.col("n")).join(starts.hint("merge"), ["sid", "group"])
+    draws = draws.withColumn("q0", F.col("q0") + F.col("start"))
     upper = F.least(F.col("q0") + F.col("n"), F.col("blocks") * limit) - 1  # no block more than ``limit`` times
-    slots = draws.where(upper >= F.col("q0")).select("sid", "blocks", F.explode(F.sequence(F.col("q0"), upper)).alias("q"))
+    # A shard's rows are dealt out before they are spun to its slots.
+    draws = draws.where(upper >= F.col("q0")).repartition(tasks, "sid", "shard")
+    slots = draws.select("sid", "blocks", F.explode(F.sequence(F.col("q0"), upper)).alias("q"))
     turn, i = F.floor(F.col("q") / F.col("blocks")), F.col("q") % F.col("blocks")
     k = F.pmod(F.xxhash64("sid", turn), F.lit(len(PRIMES)))
     fit = [F.when(F.col("blocks") % p != 0, F.lit(p).cast("long")) for p in PRIMES]
