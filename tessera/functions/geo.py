@@ -189,3 +189,51 @@ def circle_ring(cx: Column, cy: Column, r: Column, steps: int = 64) -> Column:
 
 def square(cx: Column, cy: Column, r: Column) -> Column:
     return F.array(point(cx - r, cy - r), point(cx + r, cy - r), point(cx + r, cy + r), point(cx - r, cy + r), point(cx - r, cy - r))
+
+
+#: Units of a metre.
+UNITS = {
+    "meters": 1.0, "centimeters": 100.0, "millimeters": 1000.0, "kilometers": 0.001, "feet": 3.28084,
+    "yards": 1.09361, "miles": 0.000621371, "inches": 39.3701, "degrees": 1 / 111_320.0,
+}
+#: Metres of a screen pixel at 96 dots an inch.
+SCREEN_PIXEL_M = 0.0002645833
+
+
+def in_units(metres: Column) -> Column:
+    """Struct with a distance in every unit."""
+    return F.struct(*[(metres * k).alias(n) for n, k in UNITS.items()])
+
+
+def calibration(a: Column, e: Column, geographic: Column, gsd_cm: Column) -> Column:
+    """(status, x, y): metres of a pixel from a manual ground distance in cm, else from the transform if both sizes are plausible."""
+    degrees = F.coalesce(geographic, F.lit(False)) & (F.abs(a) < 0.01)
+    x, y = (F.abs(v) * F.when(degrees, 111_320.0).otherwise(1.0) for v in (a, e))
+    plausible = lambda v: (v > 1e-5) & (v < 1e4)
+    manual, known = F.coalesce(gsd_cm > 0, F.lit(False)), F.coalesce(plausible(x) & plausible(y), F.lit(False))
+    status = F.when(manual, "calibrated").when(known, "georeferenced").otherwise("not_calibrated")
+    pick = lambda v: F.when(manual, gsd_cm / 100).when(known, v)
+    return F.struct(status.alias("status"), pick(x).alias("x"), pick(y).alias("y"))
+
+
+def extent_in_pixels(min_x: Column, min_y: Column, max_x: Column, max_y: Column, t: tuple[Column, ...], margin: float = 0.1) -> Column:
+    """Pixel rectangle (x, y, w, h) of bounds in the CRS, wider by ``margin`` of its size on each side."""
+    (ax, ay), (bx, by) = to_pixel(min_x, min_y, t), to_pixel(max_x, max_y, t)
+    w, h = F.abs(bx - ax), F.abs(by - ay)
+    grown = 1 + 2 * margin
+    return F.struct((F.least(ax, bx) - w * margin).alias("x"), (F.least(ay, by) - h * margin).alias("y"), (w * grown).alias("w"), (h * grown).alias("h"))
+
+
+def scale_denominator(pixel_m: Column, zoom: Column) -> Column:
+    """Whole number n of a map scale 1:n, at least 1; null without a pixel size."""
+    return F.when(pixel_m > 0, F.greatest(F.floor(pixel_m / zoom / SCREEN_PIXEL_M), F.lit(1)))
+
+
+def lookup(x: Column, y: Column, t: tuple[Column, ...], epsg: Column) -> tuple[Column, Column]:
+    """(lon, lat) of the whole pixel under a point."""
+    return to_lonlat(*to_crs(x.cast("int"), y.cast("int"), t), epsg)
+
+
+def clockwise(ring: Column) -> Column:
+    """Closed ring whose vertices run clockwise with y upwards, as vector files want exteriors."""
+    return closed(F.when(signed_area(ring) > 0, F.reverse(ring)).otherwise(ring))

@@ -164,3 +164,84 @@ def mean_in_polygons(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
     hit = points_in_polygons(at, polygons)
     fine = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
     return hit.groupBy("raster_id", "polygon_id", "band").agg(F.avg(fine).alias("mean"), F.count(fine).alias("n"))
+
+
+def _tile(c: str, tile: int) -> Column:
+    return F.floor(F.col(c) / tile).cast("int")
+
+
+def display_tiles(pixels: DataFrame, tile: int = 32, normalise: bool = True) -> DataFrame:
+    """Display bytes tile by tile. Tiles within 0..1 are always stretched (128 where flat); others if ``normalise`` (0 where
+    flat), else they are scaled by the range that their maximum fits in."""
+    key = ["raster_id", "ty", "tx", "band"]
+    df = pixels.withColumns({"ty": _tile("row", tile), "tx": _tile("col", tile)})
+    v = F.col("value")
+    s = df.groupBy(*key).agg(F.percentile(v, F.lit(0.02)).alias("lo"), F.percentile(v, F.lit(0.98)).alias("hi"), F.min(v).alias("low"), F.max(v).alias("top"))
+    reflectance = (F.col("top") <= 1) & (F.col("low") >= 0)
+    full = F.when(F.col("top") <= 255, 255.0).when(F.col("top") <= 65535, 65535.0).otherwise(F.col("top"))
+    stretched = F.when(F.col("hi") > F.col("lo"), stretch(v, F.col("lo"), F.col("hi"))).otherwise(F.when(reflectance, 128).otherwise(0))
+    raw = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v / full * 255))).cast("int")
+    return df.join(s, key).select("raster_id", "band", "row", "col", (stretched if normalise else F.when(reflectance, stretched).otherwise(raw)).alias("value"))
+
+
+def export_bytes(pixels: DataFrame, dtype: Column, tile: int = 32) -> DataFrame:
+    """Exported tile values: floats of a tile that stays within 1 are scaled by 255, other floats and wide integers are cut to a byte."""
+    key = ["raster_id", "ty", "tx"]
+    df = pixels.withColumns({"ty": _tile("row", tile), "tx": _tile("col", tile), "dtype": dtype})
+    df = df.join(df.groupBy(*key).agg(F.max("value").alias("top")), key)
+    as_byte = lambda v: F.pmod(v.cast("long"), F.lit(256))
+    out = F.when(F.col("dtype").isin("uint8", "uint16"), F.col("value").cast("long")).when(F.col("dtype").startswith("float") & (F.col("top") <= 1), as_byte(F.col("value") * 255)).otherwise(as_byte(F.col("value")))
+    return df.select("raster_id", "band", "row", "col", out.alias("value"))
+
+
+def needs_stretch(pixels: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Per raster: floats, or no value above 1."""
+    top = pixels.groupBy("raster_id").agg(F.max("value").alias("top"))
+    return rasters.join(top, "raster_id", "left").select("raster_id", F.coalesce(F.col("dtype").startswith("float") | (F.col("top") <= 1), F.lit(False)).alias("needs_stretch"))
+
+
+def standardised(pixels: DataFrame, stats: DataFrame) -> DataFrame:
+    """(value - mean) / std of a band (stats: band, mean, std)."""
+    return pixels.join(stats, "band").select("raster_id", "band", "row", "col", F.try_divide(F.col("value") - F.col("mean"), F.col("std")).alias("value"))
+
+
+def bilinear(pixels: DataFrame, scale: float) -> DataFrame:
+    """Each output cell from the four pixels around its centre, borders repeated; a row per input pixel and cell it serves."""
+    size = pixels.groupBy("raster_id", "band").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    df = pixels.join(size, ["raster_id", "band"])
+    for c, n in (("row", "height"), ("col", "width")):
+        # Cells whose two neighbours on this axis may include the pixel; those weights that are 0 fall out.
+        cells = F.greatest(F.lit(1), F.floor(F.col(n) * scale)).cast("int")
+        first, last = F.floor((F.col(c) - 0.5) * scale - 0.5).cast("int"), F.ceil((F.col(c) + 1.5) * scale - 0.5).cast("int")
+        df = df.withColumn(f"o{c}", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(F.least(last, cells - 1), F.greatest(first, F.lit(0)))))).where(F.col(f"o{c}") < cells)
+        at = F.greatest(F.lit(0.0), F.least((F.col(f"o{c}") + 0.5) / scale - 0.5, F.col(n) - 1))
+        df = df.withColumn(f"w{c}", F.greatest(F.lit(0.0), 1 - F.abs(at - F.col(c)))).where(F.col(f"w{c}") > 0)
+    w = F.col("wrow") * F.col("wcol")
+    return df.groupBy("raster_id", "band", F.col("orow").alias("row"), F.col("ocol").alias("col")).agg(F.sum(F.col("value") * w).alias("value"))
+
+
+def optimal_dimension(width: Column, height: Column, bands: Column, dtype: Column, budget_mb: float = 200.0) -> Column:
+    """Longest side at which a raster fits in ``budget_mb``."""
+    each = F.when(dtype.contains("uint16"), 2).when(dtype.contains("float"), 4).otherwise(1)
+    mb, side = width.cast("double") * height * bands * each / 2**20, F.greatest(width, height)
+    return F.when(mb <= budget_mb, side).otherwise(F.floor(side * F.sqrt(budget_mb / mb))).cast("long")
+
+
+def optimal_scale(width: Column, height: Column, target: float) -> Column:
+    return F.least(F.lit(1.0), F.lit(float(target)) / F.greatest(width, height))
+
+
+def channels(pixels: DataFrame, count: int) -> DataFrame:
+    """Bands 1 to ``count``: later ones go, missing ones are 0."""
+    key = ["raster_id", "row", "col"]
+    mine = F.when(F.col("band") <= count, F.struct("band", "value"))  # the list leaves nulls out, places stay
+    wide = pixels.groupBy(*key).agg(F.map_from_entries(F.collect_list(mine)).alias("m"))
+    wide = wide.withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    return wide.select("raster_id", "band", "row", "col", F.coalesce(F.try_element_at("m", "band"), F.lit(0.0)).alias("value"))
+
+
+def remapped(pixels: DataFrame, order: list[int], n_bands: int) -> DataFrame:
+    """Channel k is band ``order[k]`` (from 0), or band 0 where there is none such."""
+    wanted = [(b if b < n_bands else 0) + 1 for b in order]
+    out = F.filter(F.transform(F.array(*map(F.lit, wanted)), lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda s: s["b"] == F.col("band"))
+    return pixels.select("raster_id", F.explode(out).alias("s"), "row", "col", "value").select("raster_id", F.col("s.i").alias("channel"), "row", "col", "value")

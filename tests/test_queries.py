@@ -9,6 +9,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.plans import exports  # noqa: F401  (registers its queries)
 from tessera.plans.queries import ORACLES, QUERIES
 
 
