@@ -51,17 +51,19 @@ def conflicts(detections: DataFrame, threshold: float, inclusive: bool = False,
     return df.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"), "iou")
 
 
-def nms(detections: DataFrame, threshold: float = 0.5, inclusive: bool = False) -> DataFrame:
-    """Exact greedy non-maximum suppression in a raster and class, in parallel rounds."""
-    losers, _ = greedy(conflicts(detections, threshold, inclusive))
+def nms(detections: DataFrame, threshold: float = 0.5, inclusive: bool = False, key: list[str] | None = None) -> DataFrame:
+    """Exact greedy non-maximum suppression in a raster and class (or ``key``), in parallel rounds."""
+    losers, _ = greedy(conflicts(detections, threshold, inclusive, key=key))
     return detections.join(losers.withColumnRenamed("loser", "det_id"), "det_id", "left_anti").select(*detections.columns)
 
 
 def merge_clusters(detections: DataFrame, threshold: float = 0.5, edge: str | None = None) -> DataFrame:
     """Seeds in input order take all unused boxes at IoU >= threshold to the seed; weighted mean box, best score."""
-    edges = conflicts(detections, threshold, True, "id")
-    losers, taken = greedy(edges)
-    seed = taken.groupBy("loser").agg(F.min("winner").alias("seed")).withColumnRenamed("loser", "det_id")
+    edges = materialize(conflicts(detections, threshold, True, "id").select("winner", "loser"), "overlaps")
+    losers, _ = greedy(edges)
+    # The first seed takes a box, whichever round decided it.
+    seeds = edges.join(losers.withColumnRenamed("loser", "winner"), "winner", "left_anti")
+    seed = seeds.groupBy("loser").agg(F.min("winner").alias("seed")).withColumnRenamed("loser", "det_id")
     w = F.col("score") * (F.when(F.col(edge), 0.5).otherwise(1.0) if edge else 1.0)
     df = detections.join(seed, "det_id", "left").withColumn("seed", F.coalesce("seed", "det_id")).withColumn("_w", w)
     mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w")), F.avg(c))
@@ -80,54 +82,85 @@ def merge_preferring_inner(detections: DataFrame, threshold: float = 0.45) -> Da
     return detections.join(losers.withColumnRenamed("loser", "det_id"), "det_id", "left_anti").select(*detections.columns)
 
 
-def fuse_batches(detections: DataFrame, threshold: float = 0.5, reach: int = 256) -> DataFrame:
+#: How much a box far from its tile's border weighs more, and what keeps the sum of weights above 0.
+BORDER_ALPHA, TINY = 0.5, 1e-12
+
+
+def fuse_batches(detections: DataFrame, threshold: float = 0.45, reach: int = 512) -> DataFrame:
     """Batches are folded into the set one by one: a box joins the first box of its class at IoU >= threshold.
 
-    The fold depends on its order (batch, id), so boxes that can meet stay together: raster, class and a block of
-    the grid wide enough that a block's boxes are few; a block sees its neighbours' boxes and returns its own.
+    Boxes are averaged by score * (1 + border distance / 2); the best score stays, ``edge`` only if both are on it, the
+    tile of the heavier one. ``border_dist``, ``edge`` and ``tile_id`` may be missing. The fold depends on its order
+    (batch, id), so boxes that can meet stay together: raster, class and a block of the grid wide enough that a
+    block's boxes are few; a block sees boxes around it and returns its own, by the place where each began.
     """
+    fill = {"border_dist": F.lit(0.0), "edge": F.lit(False), "tile_id": F.lit(None).cast("int")}
+    given = detections.columns
+    full = detections.withColumns({c: v for c, v in fill.items() if c not in given})
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.schema) + ", n int"
     cx, cy = B.centre(B.cols())
-    home = detections.withColumn("hx", F.floor(cx / reach).cast("int")).withColumn("hy", F.floor(cy / reach).cast("int"))
+    home = full.withColumn("hx", F.floor(cx / reach).cast("int")).withColumn("hy", F.floor(cy / reach).cast("int"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     dealt = home.withColumn("o", F.explode(around)).withColumn("bx", F.col("hx") + F.col("o.i")).withColumn("by", F.col("hy") + F.col("o.j")).drop("o")
-
-    names = [*detections.columns, "n"]
+    # A block without boxes of its own returns none.
+    dealt = dealt.join(home.select(*KEY, F.col("hx").alias("bx"), F.col("hy").alias("by")).distinct(), [*KEY, "bx", "by"], "left_semi")
+    names = [*given, "n"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["batch_no", "det_id"], ignore_index=True)
         at = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        scores, far, edges = rows["score"].to_numpy(float), rows["border_dist"].to_numpy(float), rows["edge"].to_numpy(bool)
+        box, score, dist, edge = np.empty_like(at), np.empty(len(at)), np.empty(len(at)), np.empty(len(at), bool)
         kept: list[int] = []
-        box, score, n = np.empty((0, 4)), [], []
-        for i in range(len(rows)):
-            b = at[i]
-            if len(kept):
-                w = np.clip(np.minimum(box[:, 2:], b[2:]) - np.maximum(box[:, :2], b[:2]), 0, None)
-                inter = w[:, 0] * w[:, 1]
-                both = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-                hit = np.flatnonzero(inter >= threshold * both)
-            else:
-                hit = ()
+        tile, n = [], []
+        for i, b in enumerate(at):
+            m = len(kept)
+            w = np.clip(np.minimum(box[:m, 2:], b[2:]) - np.maximum(box[:m, :2], b[:2]), 0, None)
+            inter = w[:, 0] * w[:, 1]
+            both = (box[:m, 2] - box[:m, 0]) * (box[:m, 3] - box[:m, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+            hit = np.flatnonzero((both > 0) & (inter >= threshold * both))
             if len(hit):
                 j = hit[0]
-                p, q = score[j], rows.at[i, "score"]
-                box[j] = (box[j] * p + b * q) / ((p + q) or 1.0)
-                score[j], n[j] = max(p, q), n[j] + 1
+                p, q = score[j] * (1 + BORDER_ALPHA * dist[j]), scores[i] * (1 + BORDER_ALPHA * far[i])
+                p_part, q_part = p / (p + q + TINY), q / (p + q + TINY)
+                box[j] = box[j] * p_part + b * q_part
+                dist[j] = dist[j] * p_part + far[i] * q_part
+                score[j], edge[j], n[j] = max(score[j], scores[i]), edge[j] and edges[i], n[j] + 1
+                if p < q:
+                    tile[j] = rows.at[i, "tile_id"]
             else:
+                box[m], score[m], dist[m], edge[m] = b, scores[i], far[i], edges[i]
                 kept.append(i)
-                box = np.vstack([box, b])
-                score.append(rows.at[i, "score"])
+                tile.append(rows.at[i, "tile_id"])
                 n.append(1)
-        out = rows.iloc[kept].copy()
-        out[["x1", "y1", "x2", "y2"]] = box
-        out["score"], out["n"] = score, n
+        m, out = len(kept), rows.iloc[kept].copy()
+        out[["x1", "y1", "x2", "y2"]] = box[:m]
+        out["score"], out["n"], out["border_dist"], out["edge"], out["tile_id"] = score[:m], n, dist[:m], edge[:m], tile
         own = (out["hx"] == out["bx"]) & (out["hy"] == out["by"])
         return out.loc[own, names]
 
     return dealt.groupBy(*KEY, "bx", "by").applyInPandas(fold, schema)
 
 
+def legacy_composition(detections: DataFrame, threshold: float = 0.45, tight: float = 0.3, least_score: float = 0.01) -> DataFrame:
+    """Suppression in each batch, fold of the batches, then suppression at both thresholds and the last validity filter.
+
+    Cluster merges between these steps find no pair left at their threshold, nor does the merge that prefers inner
+    boxes after the tighter pass, so they are not run.
+    """
+    batches = nms(detections, threshold, True, [*KEY, "batch_no"])
+    fused = materialize(fuse_batches(batches, threshold), "fused")
+    out = nms(materialize(nms(fused, threshold, True), "wide_pass"), tight, True)
+    return out.where((F.col("score") >= least_score) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+
+
 def signature(detections: DataFrame) -> DataFrame:
     """One hash of all coordinates of a raster, whatever the rows' order: an unchanged result needs no redraw."""
     one = F.xxhash64(*[F.round(c, 3) for c in ("x1", "y1", "x2", "y2", "score")], "class_id")
     return detections.groupBy("raster_id").agg(F.count("*").alias("n"), F.bit_xor(one).alias("sig"))
+
+
+def changed(detections: DataFrame, last: DataFrame) -> DataFrame:
+    """Rasters whose signature differs from that of ``last``, or that it lacks: the others need no redraw."""
+    now, then = signature(detections), signature(last)
+    return now.join(then, ["raster_id", "n", "sig"], "left_anti").select("raster_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.spatial import points_in_polygons
+from tessera.operators.spatial import points_in_polygons, rectangle_meets, with_bounds, with_cells
 
 LEVELS = (2, 4, 8, 16, 32, 64, 128)
 
@@ -118,11 +118,12 @@ def area_resampled(pixels: DataFrame, scale: float) -> DataFrame:
 
 
 def masked(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
-    """0 outside the AOI polygons or inside an exclude one, by pixel centres."""
+    """0 outside a raster's AOI polygons, if it has any, or inside an exclude one, by pixel centres."""
     at = pixels.select("raster_id", "row", "col").distinct().withColumn("x", F.col("col") + 0.5).withColumn("y", F.col("row") + 0.5)
     hit = points_in_polygons(at, polygons).groupBy("raster_id", "row", "col").agg(F.bool_or(F.col("role") == "aoi").alias("i"), F.bool_or(F.col("role") == "exclude").alias("o"))
-    df = pixels.join(hit, ["raster_id", "row", "col"], "left")
-    keep = F.coalesce(F.col("i") & ~F.col("o"), F.lit(False))
+    limited = polygons.where("role = 'aoi'").select("raster_id", F.lit(True).alias("limited")).distinct()
+    df = pixels.join(hit, ["raster_id", "row", "col"], "left").join(limited, "raster_id", "left")
+    keep = (F.coalesce("i", F.lit(False)) | F.col("limited").isNull()) & ~F.coalesce("o", F.lit(False))
     return df.select("raster_id", "band", "row", "col", F.when(keep, F.col("value")).otherwise(0.0).alias("value"))
 
 
@@ -136,6 +137,18 @@ def zonal_means(zones: DataFrame, pixels: DataFrame, nodata: float = -9999.0, ce
     return df.groupBy("raster_id", "zone_id", "band").agg(F.avg(F.when((F.col("value") != nodata) & ~F.isnan("value"), F.col("value"))).alias("mean"))
 
 
+def mean_touched(pixels: DataFrame, polygons: DataFrame, nodata: float = -9999.0, cell: int = 32) -> DataFrame:
+    """Mean per polygon and band over all pixels whose inside a polygon touches; null if none of them is valid."""
+    zones = with_bounds(polygons.select("raster_id", "polygon_id", "ring"))
+    zones = with_cells(zones, (F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2")), cell)
+    p = pixels.withColumn("gx", F.floor(F.col("col") / cell).cast("int")).withColumn("gy", F.floor(F.col("row") / cell).cast("int"))
+    x1, y1, x2, y2 = F.col("col") + 1e-6, F.col("row") + 1e-6, F.col("col") + (1 - 1e-6), F.col("row") + (1 - 1e-6)
+    near = (F.col("bx1") < x2) & (F.col("bx2") > x1) & (F.col("by1") < y2) & (F.col("by2") > y1)
+    df = p.join(zones.hint("merge"), ["raster_id", "gx", "gy"]).where(near & rectangle_meets(F.col("ring"), x1, y1, x2, y2))
+    valid = F.when((F.col("value") != nodata) & ~F.isnan("value"), F.col("value"))
+    return df.groupBy("raster_id", "polygon_id", "band").agg(F.avg(valid).alias("mean"), F.count("*").alias("n"))
+
+
 def display_bands(n: Column, wanted: Column) -> Column:
     return F.filter(wanted, lambda b: b.between(1, n))
 

@@ -59,12 +59,12 @@ def tiles_meeting_polygons(tiles: DataFrame, polygons: DataFrame, exact: bool =
     p = with_cells(p, (F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2")), cell)
     meets = (F.col("bx1") <= x2) & (F.col("bx2") >= x1) & (F.col("by1") <= y2) & (F.col("by2") >= y1)
     if exact:
-        meets = meets & _rectangle_meets(F.col("ring"), x1, y1, x2, y2)
+        meets = meets & rectangle_meets(F.col("ring"), x1, y1, x2, y2)
     hit = t.join(p, ["raster_id", "gx", "gy"]).where(meets).select("raster_id", "tile_id").distinct()
     return tiles.join(hit, ["raster_id", "tile_id"], "left_semi")
 
 
-def _rectangle_meets(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+def rectangle_meets(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """A vertex in the rectangle, a corner in the ring, or an edge that crosses the rectangle."""
     vertex = F.exists(ring, lambda p: p["x"].between(x1, x2) & p["y"].between(y1, y2))
     corner = G.contains(ring, x1.cast("double"), y1.cast("double"))

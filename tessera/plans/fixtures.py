@@ -23,6 +23,8 @@ SQL = {
     "polygons": """select cast(floor(s_suppkey/5) as int) as raster_id, s_suppkey as polygon_id,
       case when s_suppkey % 5 < 4 then 'aoi' else 'exclude' end as role,
       cast((s_suppkey*397) % 1500 as double) as px, cast((s_suppkey*211) % 1500 as double) as py, cast(150 + (s_suppkey % 7)*40 as double) as side from {supplier}""",
+    "local_polygons": """select 0 as raster_id, s_suppkey as polygon_id, case when s_suppkey % 5 < 4 then 'aoi' else 'exclude' end as role,
+      cast((s_suppkey*397) % 80 as double) as px, cast(s_suppkey as double) as py, cast(15 + (s_suppkey % 7)*4 as double) as side from {supplier}""",
     "corrections": """select user_id as session_id, cast(row_number() over (partition by user_id order by event_id) as bigint) as seq,
       case event_id % 10 when 8 then 'undo' when 9 then 'redo' when 7 then 'add' when 6 then 'edit' when 5 then 'edit' else 'delete' end as action,
       cast(event_id % 15000 as bigint) as det_id, event_id from {events}""",
@@ -35,7 +37,7 @@ BASES = ["orders", "events", "nation", "supplier", "part"]
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASES if "{" + t + "}" in SQL[name]}
     df = spark.sql(SQL[name], **tables)
-    if name == "polygons":  # rectangles, and triangles for odd ids
+    if name in ("polygons", "local_polygons"):  # rectangles, and triangles for odd ids
         p = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
         a, b, c, d = p("px", "py"), p("px + side", "py"), p("px + side", "py + side"), p("px", "py + side")
         df = df.selectExpr("*", f"CASE WHEN polygon_id % 2 = 1 THEN array({a}, {b}, {d}) ELSE array({a}, {b}, {c}, {d}) END AS ring")

@@ -170,16 +170,16 @@ def _(t):
     return grid.viewport_tiles(v).selectExpr("det_id", "CAST(tx AS BIGINT) AS tx", "CAST(ty AS BIGINT) AS ty")
 
 
-@query("j4_tiles_exact")
+@query("j4_tiles_exact", "SELECT raster_id, CAST(iy*19+ix+1 AS INT) AS tile_id, CAST(x AS INT) AS x_off, CAST(y AS INT) AS y_off, CAST(w AS INT) AS w, CAST(h AS INT) AS h FROM (SELECT raster_id, ix, iy, ix*112 AS x, iy*112 AS y, least(128,2048-ix*112) AS w, least(128,2048-iy*112) AS h FROM rasters, range(19) a(ix), range(19) b(iy)) t WHERE EXISTS (SELECT 1 FROM polygons p WHERE p.raster_id=t.raster_id AND px<=x+w AND px+side>=x AND py<=y+h AND py+side>=y AND (polygon_id%2=0 OR greatest(x-px,0)+greatest(y-py,0)<=side))", "rasters polygons")
 def _(t):
     return spatial.tiles_meeting_polygons(grid.windows(t.rasters, 128, 16), t.polygons, exact=True)
 
 
 # --- duplicates --------------------------------------------------------------------------------------------------
 
-def _nms_sql(test: str) -> str:
-    return f"""RECURSIVE WITH {PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY raster_id, class_id ORDER BY score DESC, det_id) AS r FROM detections),
-    better AS (SELECT CASE WHEN sa>=sb THEN b ELSE a END AS det_id, list(CASE WHEN sa>=sb THEN a ELSE b END) AS over_ FROM pairs WHERE {test} GROUP BY 1),
+def _nms_sql(test: str, first: str = "sa>=sb", order: str = "score DESC, det_id", pairs: str = "pairs", ranked: str = "detections", before: str = "") -> str:
+    return f"""RECURSIVE WITH {PAIRS}, {before} ranked AS (SELECT *, row_number() OVER (PARTITION BY raster_id, class_id ORDER BY {order}) AS r FROM {ranked}),
+    better AS (SELECT CASE WHEN {first} THEN b ELSE a END AS det_id, list(CASE WHEN {first} THEN a ELSE b END) AS over_ FROM {pairs} WHERE {test} GROUP BY 1),
     step AS (SELECT DISTINCT raster_id, class_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM detections UNION ALL
       SELECT s.raster_id, s.class_id, s.r+1, CASE WHEN b.over_ IS NOT NULL AND list_has_any(s.kept, b.over_) THEN s.kept ELSE list_append(s.kept, d.det_id) END
       FROM step s JOIN ranked d ON d.raster_id=s.raster_id AND d.class_id=s.class_id AND d.r=s.r+1 LEFT JOIN better b ON b.det_id=d.det_id),
@@ -196,7 +196,11 @@ def _(t):
     return dedup.nms(t.detections, 0.5, True).select("det_id")
 
 
-@query("n4_merge_clusters")
+SEEDS = "seeds AS (SELECT b AS det_id, min(a) AS seed FROM pairs WHERE i/(s-i)>=0.3 AND a IN (SELECT det_id FROM kept) AND b NOT IN (SELECT det_id FROM kept) GROUP BY 1)"
+WEIGHTED = ", ".join(f"round(sum(score*{c})/sum(score),6) AS {c}" for c in ("x1", "y1", "x2", "y2"))
+
+
+@query("n4_merge_clusters", _nms_sql("i/(s-i)>=0.3", "true", "det_id") + f", {SEEDS} SELECT coalesce(seed, det_id) AS det_id, count(*) AS n, {WEIGHTED}, round(max(score),6) AS score FROM detections d LEFT JOIN seeds USING (det_id) GROUP BY 1", "detections")
 def _(t):
     return dedup.merge_clusters(t.detections, 0.3).select("det_id", "n", *[r6(F.col(c), c) for c in ("x1", "y1", "x2", "y2", "score")])
 
@@ -206,7 +210,10 @@ def _(t):
     return dedup.fuse_batches(t.detections.withColumn("batch_no", F.col("det_id") % 7), 0.3).select("det_id", "n", r6(F.col("x1"), "x1"), r6(F.col("score"), "score"))
 
 
-@query("n7_merge_preferring_inner")
+RANK7 = "rk AS (SELECT det_id, row_number() OVER (ORDER BY least(x1,y1,2048-x2,2048-y2)<=32, greatest(0,least(1,least(x1,y1,2048-x2,2048-y2)/1024)) DESC, score DESC, det_id) AS g FROM detections),"
+
+
+@query("n7_merge_preferring_inner", _nms_sql("i/(s-i)>0.3", "ka.g<kb.g", "g", "pairs JOIN rk ka ON ka.det_id=a JOIN rk kb ON kb.det_id=b", "detections JOIN rk USING (det_id)", RANK7) + " SELECT det_id FROM kept", "detections")
 def _(t):
     least, share = B.border_distance(B.cols(), F.lit(2048.0), F.lit(2048.0))
     return dedup.merge_preferring_inner(t.detections.withColumns({"edge": B.on_edge(least, F.lit(64)), "border_dist": share}), 0.3).select("det_id")
@@ -340,17 +347,24 @@ def _(t):
     return pixels.zonal_means(z, t.pixels).withColumn("mean", F.round("mean", 6))
 
 
-@query("p11_polygon_mask")
+LOCAL_HIT = "x>px AND x<px+side AND y>py AND y<py+side AND (polygon_id%2=0 OR x-px+y-py<side)"
+
+
+@query("p11_polygon_mask", f"WITH c AS (SELECT DISTINCT row, col, row+0.5 AS y, col+0.5 AS x FROM pixels), keep AS (SELECT row, col, EXISTS (SELECT 1 FROM local_polygons WHERE role='aoi' AND {LOCAL_HIT}) AND NOT EXISTS (SELECT 1 FROM local_polygons WHERE role='exclude' AND {LOCAL_HIT}) AS k FROM c) SELECT raster_id, band, row, round(sum(CASE WHEN k THEN value ELSE 0 END),6) AS total FROM pixels JOIN keep USING (row, col) GROUP BY 1,2,3", "pixels local_polygons")
 def _(t):
-    return pixels.masked(t.pixels, t.polygons).groupBy("raster_id", "band", "row").agg(r6(F.sum("value"), "total"))
+    return pixels.masked(t.pixels, t.local_polygons).groupBy("raster_id", "band", "row").agg(r6(F.sum("value"), "total"))
 
 
 # --- routing, decoding -------------------------------------------------------------------------------------------
 
-@query("r4_greedy_routing")
+@query("r4_greedy_routing", """RECURSIVE WITH means AS (SELECT band, coalesce(avg(value) FILTER (value>0),0) AS mean FROM pixels WHERE row%10=0 AND col%10=0 GROUP BY 1), refs AS (SELECT band AS slot, avg(value)*1.1 AS ref FROM pixels GROUP BY 1),
+    ranked AS (SELECT slot, band, abs(ref-mean) AS diff, row_number() OVER (ORDER BY abs(ref-mean), slot, band) AS r FROM refs, means),
+    step AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS INT[]) AS slots, CAST([] AS INT[]) AS bands, CAST(0 AS DOUBLE) AS top UNION ALL
+      SELECT s.r+1, CASE WHEN list_contains(slots, slot) OR list_contains(bands, band) THEN slots ELSE list_append(slots, slot) END, CASE WHEN list_contains(slots, slot) OR list_contains(bands, band) THEN bands ELSE list_append(bands, band) END, CASE WHEN list_contains(slots, slot) OR list_contains(bands, band) THEN top ELSE diff END FROM step s JOIN ranked k ON k.r=s.r+1)
+    SELECT CAST(0 AS INT) AS raster_id, round(top,6) AS max_diff, len(slots) AS n_slots, top>0.05 AS attention FROM step ORDER BY r DESC LIMIT 1""", "pixels")
 def _(t):
     refs = t.pixels.groupBy(F.col("band").alias("slot")).agg((F.avg("value") * 1.1).alias("mean")).selectExpr("slot", "'ref' AS source", "mean")
-    return routing.mismatch(routing.greedy_assignment(refs, pixels.input_means(t.pixels)))
+    return routing.mismatch(routing.greedy_assignment(refs, pixels.input_means(t.pixels, 10))).withColumn("max_diff", F.round("max_diff", 6))
 
 
 @query("r1_keyword_router", "SELECT p_partkey, CASE WHEN p_name LIKE '%coastal%' THEN 0 WHEN p_name LIKE '%blue%' THEN 1 WHEN p_name LIKE '%green%' THEN 2 WHEN p_name LIKE '%yellow%' THEN 3 WHEN p_name LIKE '%red edge%' THEN 5 WHEN p_name LIKE '%red%' THEN 4 WHEN p_name LIKE '%nir%' OR p_name LIKE '%near%' THEN 6 WHEN p_name LIKE '%swir%' THEN 7 END AS slot FROM (SELECT p_partkey, lower(p_name) AS p_name FROM part)")
@@ -447,7 +461,12 @@ def _(t):
 
 # --- corrections, registry ---------------------------------------------------------------------------------------
 
-@query("x4_effective_events")
+REPLAY = """step AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS hist, CAST(0 AS BIGINT) AS cur FROM corrections UNION ALL
+    SELECT s.session_id, s.seq+1, CASE WHEN action IN ('undo','redo') THEN hist ELSE list_append(hist[1:cur], c.seq) END, CASE action WHEN 'undo' THEN greatest(0,cur-1) WHEN 'redo' THEN least(len(hist),cur+1) ELSE cur+1 END FROM step s JOIN corrections c ON c.session_id=s.session_id AND c.seq=s.seq+1),
+    done AS (SELECT session_id, unnest(hist[1:cur]) AS seq FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC)=1))"""
+
+
+@query("x4_effective_events", f"RECURSIVE WITH {REPLAY} SELECT session_id, seq, action, det_id FROM done JOIN corrections USING (session_id, seq)", "corrections")
 def _(t):
     return corrections.effective(t.corrections).select("session_id", "seq", "action", "det_id")
 

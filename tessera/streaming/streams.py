@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import dedup
 from tessera.operators.storage import shared_dir
 
 
-def events_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """Event files as they arrive in a folder; a single file is read through its folder."""
+def files_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
+    """Parquet files as they arrive in a folder; a single file is read through its folder."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
         path, name = path.rsplit("/", 1)
         reader = reader.option("pathGlobFilter", name)
-    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(path)
+
+
+def events_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
+    return files_stream(spark, path, schema, files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def owned_stream(detections: DataFrame, cores: DataFrame) -> DataFrame:
@@ -41,18 +48,52 @@ def above_threshold(events: DataFrame, thresholds: DataFrame) -> DataFrame:
     return events.join(thresholds, "event_type").where(F.col("value") >= F.col("threshold"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs all available data through ``stream`` into a Parquet table in the shared folder and reads it."""
-    import uuid
+def standing_events(events: DataFrame) -> DataFrame:
+    """Undo and redo while events (session_id, seq, action) arrive in a session's order: after each batch a session's
+    last ``seq`` and the ``standing`` ones. The state of a session is its history and a cursor in it."""
+
+    def replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        history, cursor = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for seq, action in zip(rows["seq"].tolist(), rows["action"]):
+            if action == "undo":
+                cursor = max(0, cursor - 1)
+            elif action == "redo":
+                cursor = min(len(history), cursor + 1)
+            else:
+                history[cursor:] = [seq]
+                cursor += 1
+        state.update((history, cursor))
+        yield pd.DataFrame({"session_id": [key[0]], "last_seq": [int(rows["seq"].iloc[-1])], "standing": [history[:cursor]]})
+
+    out = "session_id long, last_seq long, standing array<long>"
+    return events.groupBy("session_id").applyInPandasWithState(replay, out, "history array<long>, cursor int", "update", GroupStateTimeout.NoTimeout)
+
+
+def arrived_rasters(tiles: DataFrame) -> DataFrame:
+    """Statistics per raster of tiles (raster_id, payload) that arrive over time: each batch leaves partial ones."""
+    parts = "raster_id int, tiles long, n long, total double, low double, high double"
+
+    def partial(df: DataFrame, epoch: int) -> DataFrame:
+        v = F.col("payload")
+        add = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+        agg = [F.count("*").alias("tiles"), F.sum(F.size(v)).alias("n"), F.sum(add).alias("total"), F.min(F.array_min(v)).cast("double").alias("low"), F.max(F.array_max(v)).cast("double").alias("high")]
+        return df.groupBy("raster_id").agg(*agg)
+
+    done = run_to_table(tiles, "arrivals", each=partial, schema=parts)
+    return done.groupBy("raster_id").agg(F.sum("tiles").alias("tiles"), (F.sum("total") / F.sum("n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"))
+
 
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, schema: str | None = None) -> DataFrame:
+    """Runs all available data through ``stream`` (and each batch through ``each``, whose result has ``schema``) into a
+    Parquet table in the shared folder and reads it. A batch that is run again overwrites its own files."""
     spark = stream.sparkSession
     at = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
-    schema = stream.schema
 
     def put(df: DataFrame, epoch: int) -> None:
-        df = each(df, epoch) or df if each else df
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+        df = each(df, epoch) if each else df
+        df.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else epoch}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{at}/rows")
+    return spark.read.schema(schema or stream.schema).parquet(f"{at}/rows").drop("batch")
