@@ -197,7 +197,7 @@ def _(t):
 
 
 SEEDS = "seeds AS (SELECT b AS det_id, min(a) AS seed FROM pairs WHERE i/(s-i)>=0.3 AND a IN (SELECT det_id FROM kept) AND b NOT IN (SELECT det_id FROM kept) GROUP BY 1)"
-WEIGHTED = ", ".join(f"round(sum(score*{c})/sum(score),6) AS {c}" for c in ("x1", "y1", "x2", "y2"))
+WEIGHTED = ", ".join(f"round(CASE WHEN sum(score)>0 THEN sum(score*{c})/sum(score) ELSE avg({c}) END,6) AS {c}" for c in ("x1", "y1", "x2", "y2"))
 
 
 @query("n4_merge_clusters", _nms_sql("i/(s-i)>=0.3", "true", "det_id") + f", {SEEDS} SELECT coalesce(seed, det_id) AS det_id, count(*) AS n, {WEIGHTED}, round(max(score),6) AS score FROM detections d LEFT JOIN seeds USING (det_id) GROUP BY 1", "detections")
