@@ -87,11 +87,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "text_hash")
 
 
-def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Documents without near copies: of each component the smallest ``doc_id`` stays; rows without an id stay too."""
-    gone = near_duplicates(docs, words=words).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
-    return docs.withColumn("_hash", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_gone")), "left_anti").select(*docs.columns)
-
-
 def op2(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
