@@ -26,10 +26,25 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])")
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})")
+_IBAN_TOKEN = re.compile(r" ?([A-Z0-9]+)")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+#: Lengths of the IBAN registry; other codes are tried at every length.
+IBAN_LENGTH = {
+    code: int(n)
+    for n, codes in (
+        x.split(":")
+        for x in (
+            "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+            "23:AE,GI,IL,IQ,OM,TL,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+            "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for code in codes.split(",")
+}
+
 #: Score without context, and words that raise it.
 PRIOR = (0.9, 0.6, 0.8, 0.6, 0.9, 0.3)
 CONTEXT = tuple(
@@ -69,6 +84,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             last = m.end()
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the end of a token where the country's length is reached, of other codes the last that passes."""
+    last = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < last:
+            continue
+        length, at, value, found = IBAN_LENGTH.get(m[0][:2]), m.end(), m[0], 0
+        while len(value) < 34 and (t := _IBAN_TOKEN.match(text, at, at + 36 - len(value))):
+            at, value = t.end(), value + t[1]
+            whole = not (text[at : at + 1].isascii() and (text[at : at + 1].isdigit() or text[at : at + 1].isupper()))
+            if whole and 15 <= len(value) <= 34 and length in (None, len(value)) and mod97(value):
+                found = at
+        if found:
+            yield m.start(), found
+            last = found
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -88,9 +120,7 @@ def proposals(text: str) -> Iterator[tuple[int, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield 3, m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x):
-            yield 4, m.start(), m.end()
+    yield from ((4, a, b) for a, b in ibans(text))
     if "-" in text:
         for m in _ID.finditer(text):
             yield 5, m.start(), m.end()
