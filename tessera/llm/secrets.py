@@ -22,12 +22,11 @@ KINDS = ["assign", "access", "hex", "identifier", "weak_secret", "endpoint"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a run of 18 or more: the same spans as a run of any length that is then measured
 HEX = r"[0-9a-f]{16,}"
-#: Group 1: access identifiers, 2: secrets under looser names, 3: endpoints.
-WEAK = (
-    r"""(?i)(\b(?:user(?:name|_id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@_.-]{3,64})"""
-    r"""|(\b(?:pwd|pass|passphrase|auth|credentials?|private_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%-]{6,128})"""
-    r"""|(\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|mongodb|s3|jdbc:[a-z]{2,16})://[A-Za-z0-9._~:-]{3,253})"""
-)
+IDENTIFIER = r"""\b(?:user(?:name|_id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
+LOOSE = r"""\b(?:pwd|pass|passphrase|auth|credentials?|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%-]{6,}"""
+ENDPOINT = r"\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|mongodb|s3|jdbc:[a-z]{2,})://[A-Za-z0-9._~:-]{3,}"
+#: Group 1: access identifiers, 2: secrets under looser names, 3: endpoints. Each is scanned alone: one may begin inside another.
+WEAK = f"(?i)({IDENTIFIER})|({LOOSE})|({ENDPOINT})"
 
 
 def running(lengths: Column) -> Column:
@@ -67,14 +66,14 @@ def _secret_length(value: Column) -> Column:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """A row per document: id, ``base`` and ``linked``, arrays of (start, kind, end); kind indexes ``KINDS``."""
     df = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
-    for name, pattern in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("w", WEAK)):
+    for name, pattern in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("i", f"(?i){IDENTIFIER}"), ("l", f"(?i){LOOSE}"), ("e", f"(?i){ENDPOINT}")):
         df = _positions(df, name, pattern)
     base = F.array_sort(F.concat(_spans("a", 0, lambda x: _secret_length(x["value"]) >= 12), _spans("k", 1), _spans("h", 2)))
     weak = F.concat(
-        _spans("w", 3, lambda x: F.regexp_extract(x["value"], WEAK, 1) != ""),
-        _spans("w", 4, lambda x: F.regexp_extract(x["value"], WEAK, 2) != ""),
+        _spans("i", 3),
+        _spans("l", 4),
         _spans("a", 4, lambda x: _secret_length(x["value"]).between(6, 11)),
-        _spans("w", 5, lambda x: F.regexp_extract(x["value"], WEAK, 3) != ""),
+        _spans("e", 5),
     )
     df = df.select("id", "_text", base.alias("base"), F.array_distinct(weak).alias("weak"))
     key = F.when(F.size("weak") > 0, F.md5(F.concat_ws("|", F.lit("row"), F.col("id").cast("string"), "_text")))
