@@ -33,18 +33,37 @@ def effective(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandas(replay, schema)
 
 
+BOX = ("x1", "y1", "x2", "y2")
+
+
 def current_state(detections: DataFrame, events: DataFrame) -> DataFrame:
-    """Raw detections with the status of their last effective event; the raw rows themselves never change."""
+    """Raw and added boxes as the effective events leave them; the raw rows themselves never change.
+
+    ``events`` as they were recorded, with undo and redo; ``event_id`` orders them over sessions. Those that add or
+    edit may carry the new box (``BOX``) and ``raster_id``. A deleted box keeps its last coordinates; an added one
+    has score 1.0 and class ``manual``. An edit or deletion of an unknown id keeps a row, with nulls for what no
+    event says.
+    """
+    done = effective(events)
     status = F.when(F.col("action") == "delete", "eliminated").when(F.col("action") == "edit", "edited").otherwise("added")
-    last = events.groupBy("det_id").agg(F.max_by(status, F.struct("event_id")).alias("status"))
-    return detections.join(last, "det_id", "left").withColumn("status", F.coalesce("status", F.lit("not_corrected")))
+    boxed = [c for c in (*BOX, "raster_id") if c in events.columns]
+    drawn = F.when(F.col("action") != "delete", F.col("event_id"))
+    news = [F.max_by(c, F.when(F.col(c).isNotNull(), drawn)).alias(f"_{c}") for c in boxed]
+    last = done.groupBy("det_id").agg(F.max_by(status, "event_id").alias("status"), F.max(F.col("action") == "add").alias("_added"), *news)
+    both = detections.join(last, "det_id", "full")
+    named = F.col("class_name") if "class_name" in detections.columns else F.concat(F.lit("c"), F.col("class_id"))
+    both = both.withColumns({c: F.coalesce(f"_{c}", c) for c in boxed})
+    both = both.withColumns({"score": F.when(F.col("_added"), 1.0).otherwise(F.col("score")), "class_name": F.when(F.col("_added"), "manual").otherwise(named)})
+    return both.withColumn("status", F.coalesce("status", F.lit("not_corrected"))).drop("_added", *[f"_{c}" for c in boxed])
 
 
-def corrected_export(state: DataFrame, least_score: float, reviewer: str, day: str) -> DataFrame:
-    """Visible boxes with reviewer and date, both mandatory."""
+def corrected_export(state: DataFrame, events: DataFrame, least_score: float, reviewer: str, day: str) -> DataFrame:
+    """Visible boxes with reviewer and date, both mandatory; none unless some action happened, be it undone since."""
     if not reviewer or not day:
         raise ValueError("reviewer and date are mandatory")
-    return state.where((F.col("status") != "eliminated") & (F.col("score") >= least_score)).withColumns({"reviewer": F.lit(reviewer), "corrected_on": F.lit(day).cast("date")})
+    acted = events.where("action NOT IN ('undo', 'redo')").select(F.lit(True).alias("_acted")).limit(1)
+    visible = state.where((F.col("status") != "eliminated") & (F.col("score") >= least_score)).join(F.broadcast(acted), F.lit(True), "left_semi")
+    return visible.withColumns({"reviewer": F.lit(reviewer), "corrected_on": F.lit(day).cast("date")})
 
 
 def upserted(models: DataFrame) -> DataFrame:

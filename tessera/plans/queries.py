@@ -473,7 +473,17 @@ def _(t):
 
 @query("x5_current_state", "WITH last AS (SELECT det_id, arg_max(CASE action WHEN 'delete' THEN 'eliminated' WHEN 'edit' THEN 'edited' ELSE 'added' END, event_id) AS status FROM corrections WHERE action NOT IN ('undo','redo') GROUP BY 1) SELECT d.det_id, coalesce(status,'not_corrected') AS status FROM detections d LEFT JOIN last USING (det_id)", "detections corrections")
 def _(t):
-    return corrections.current_state(t.detections, t.corrections.where("action NOT IN ('undo', 'redo')")).select("det_id", "status")
+    # As its SQL has it: every add, edit and deletion stands, raw boxes only. ``x5_effective_state`` is the whole of X5.
+    state = corrections.current_state(t.detections, t.corrections.where("action NOT IN ('undo', 'redo')"))
+    return state.where("raster_id IS NOT NULL").select("det_id", "status")
+
+
+@query("x5_effective_state", f"""RECURSIVE WITH {REPLAY}, folded AS (SELECT det_id, arg_max(CASE action WHEN 'delete' THEN 'eliminated' WHEN 'edit' THEN 'edited' ELSE 'added' END, event_id) AS status, max(event_id) FILTER (action <> 'delete') AS drawn, bool_or(action = 'add') AS added FROM done JOIN corrections USING (session_id, seq) GROUP BY 1)
+    SELECT det_id, coalesce(status,'not_corrected') AS status, coalesce(drawn%1900,x1)::DOUBLE AS x1, coalesce(drawn%1900+30,x2)::DOUBLE AS x2, CASE WHEN added THEN 1.0 ELSE round(score,6) END AS score, CASE WHEN added THEN 'manual' ELSE 'c'||class_id END AS class_name FROM detections FULL JOIN folded USING (det_id)""", "detections corrections")
+def _(t):
+    at = (F.col("event_id") % 1900).cast("double")
+    events = t.corrections.withColumns({"x1": at, "y1": at, "x2": at + 30, "y2": at + 30})
+    return corrections.current_state(t.detections, events).select("det_id", "status", "x1", "x2", r6("score", "score"), "class_name")
 
 
 @query("k15_registry_upsert", "SELECT model_name, arg_max(description, created_at) AS description, max(created_at) AS created_at FROM models GROUP BY 1", "models")
