@@ -16,7 +16,7 @@ they lose nothing to each other; an empty table gives no row; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,74 +38,121 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # bytes: exactly \x20 \x09-\x0D
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), np.uint64, len(words))
-
-
-def _grams(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
-    """A hash of each n words in a row, as a polynomial in ``factor``; n is small."""
-    m = len(h) - n + 1
-    out = np.zeros(max(m, 0), np.uint64)
-    for i in range(n if m > 0 else 0):
-        out = out * factor + h[i : i + m]
-    out = (out ^ (out >> np.uint64(29))) * _M3
-    return out ^ (out >> np.uint64(32))
-
-
-def anchors(h: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hashes, position of each window's anchor)."""
-    grams = _grams(h, seed, _M1)
-    per = length - seed + 1
-    windows = np.lib.stride_tricks.sliding_window_view(grams, per)
-    best = per - 1 - windows[:, ::-1].argmin(axis=1)
-    return grams, best + np.arange(len(windows))
-
-
-def runs(h: np.ndarray, length: int = LENGTH, seed: int = SEED_WORDS):
-    """(anchor, context, first window, windows): windows in a row with one anchor, and a hash of all their words."""
-    grams, at = anchors(h, length, seed)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    n = np.diff(np.append(first, len(at)))
-    context = np.empty(len(first), np.uint64)
-    for size in np.unique(n):
-        pick = n == size
-        context[pick] = _grams(h, length + int(size) - 1, _M2)[first[pick]] ^ np.uint64(size)
-    return grams[at[first]], context, first, n
+def _inverse(odd: int) -> int:
+    return pow(odd, -1, 1 << 64)
+
+
+class Windows:
+    """Texts laid end to end, with prefix sums of polynomial hashes: the hash of any words in a row is one difference.
+
+    A word of hash h at place j counts h * factor^j; a window's sum is divided by factor^start, as an odd factor has
+    an inverse modulo 2^64. Windows that cross into the next text are told by ``text`` at their ends.
+    """
+
+    def __init__(self, words: list[list[bytes]]):
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        n = int(self.sizes.sum())
+        self.h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words), repeat(0)), np.uint64, n)
+        self.text = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
+        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def hashes(self, at: np.ndarray | slice, size: np.ndarray | int, factor: np.uint64) -> np.ndarray:
+        """Hashes of the windows of ``size`` words that start ``at`` these places; a slice takes all starts in it."""
+        f = int(factor)
+        if f not in self._sums:
+            n = len(self.h)
+            power = np.full(n, factor)
+            back = np.full(n, np.uint64(_inverse(f)))
+            power[:1] = back[:1] = 1
+            np.multiply.accumulate(power, out=power)
+            np.multiply.accumulate(back, out=back)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.h * power, out=sums[1:])
+            self._sums[f] = sums, back
+        sums, back = self._sums[f]
+        if isinstance(at, slice):
+            out = (sums[at.start + size : at.stop + size] - sums[at]) * back[at]
+        else:
+            out = (sums[at + size] - sums[at]) * back[at]
+        out ^= out >> np.uint64(29)
+        out *= _M3
+        return out ^ (out >> np.uint64(32))
+
+    def anchors(self, length: int = LENGTH, seed: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of all seeds, starts of the windows inside a text, place of each one's anchor)."""
+        m = len(self.h) - length + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grams = self.hashes(slice(0, len(self.h) - seed + 1), seed, _M1)
+        best, at = grams, np.arange(len(grams))
+        per, span = length - seed + 1, 1  # least of ``per`` seeds, the right one of equals, from spans twice as wide each time
+        while span < per:
+            step = min(span, per - span)
+            right = best[step:] <= best[:-step]
+            best, at = np.where(right, best[step:], best[:-step]), np.where(right, at[step:], at[:-step])
+            span += step
+        start = np.flatnonzero(self.text[:m] == self.text[length - 1 :])
+        return grams, start, at[start]
+
+    def runs(self, length: int = LENGTH, seed: int = SEED_WORDS):
+        """(text, anchor, context, first window, windows): a text's windows in a row with one anchor, and a hash of all their words."""
+        grams, start, at = self.anchors(length, seed)
+        new = np.ones(len(start), bool)
+        new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
+        head = np.flatnonzero(new)
+        first, n = start[head], np.diff(np.append(head, len(start)))
+        context = self.hashes(first, n + (length - 1), _M2) ^ n.astype(np.uint64)
+        text = self.text[first]
+        return text, grams[at[head]], context, first - self.starts[text], n
+
+
+#: Words laid end to end at a time.
+FLAT = 1 << 17
+
+
+def _slices(batches: Iterator[pd.DataFrame], least: int = 0) -> Iterator[tuple[list[int], list[list[bytes]], pd.DataFrame]]:
+    """(rows, their words, their batch): some texts of at least ``least`` words at a time, about FLAT words."""
+    for batch in batches:
+        rows, words, n = [], [], 0
+        for k, text in enumerate(batch["text"]):
+            w = words_of(text)
+            if len(w) >= least:
+                rows.append(k), words.append(w)
+                n += len(w)
+            if n >= FLAT:
+                yield rows, words, batch
+                rows, words, n = [], [], 0
+        if rows:
+            yield rows, words, batch
 
 
 #: h: 28 bits of the text's hash, to tell rows that share an id apart.
-RUN_SCHEMA = "anchor long, context int, id long, h int, first int, n int"
+RUN_SCHEMA = "anchor long, context long, id long, h int, first int, n int"
 HASH_BITS = 28
 
 
 def _all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for i, key, text in zip(batch["id"], batch["h"], batch["text"]):
-            w = words_of(text)
-            if len(w) >= LENGTH:
-                a, c, first, n = runs(_hashes(w))
-                out.append(pd.DataFrame({"anchor": a.view(np.int64), "context": (c >> np.uint64(32)).astype(np.uint32).view(np.int32), "id": i, "h": key, "first": first.astype(np.int32), "n": n.astype(np.int32)}))
-                if len(out) >= 256:
-                    yield pd.concat(out, ignore_index=True)
-                    out = []
-        if out:
-            yield pd.concat(out, ignore_index=True)
+    for rows, words, batch in _slices(batches, LENGTH):
+        text, anchor, context, first, n = Windows(words).runs()
+        ids, keys = batch["id"].to_numpy(np.int64)[rows], batch["h"].to_numpy(np.int32)[rows]
+        yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": context.view(np.int64), "id": ids[text], "h": keys[text], "first": first.astype(np.int32), "n": n.astype(np.int32)})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Hashes of the windows in the listed runs."""
-    for batch in batches:
-        out = []
-        for i, key, text, listed in zip(batch["id"], batch["h"], batch["text"], batch["listed"]):
-            first = np.array([x["first"] for x in listed], np.int64)
-            n = np.array([x["n"] for x in listed], np.int64)
-            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            h = _hashes(words_of(text))
-            one, two = _grams(h, LENGTH, _M1)[at], _grams(h, LENGTH, _M2)[at]
-            out.append(pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "id": i, "h": key, "first": at.astype(np.int32)}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+    for rows, words, batch in _slices(batches):
+        w = Windows(words)
+        lists = batch["listed"].to_numpy()[rows]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.array([(x["first"], x["n"]) for x in chain.from_iterable(lists)], np.int64).reshape(-1, 2)
+        run = np.repeat(np.arange(len(flat)), flat[:, 1])
+        first = flat[run, 0] + np.arange(len(run)) - (np.cumsum(flat[:, 1]) - flat[:, 1])[run]
+        text = np.repeat(np.arange(len(rows)), size)[run]
+        at = w.starts[text] + first
+        one, two = w.hashes(at, LENGTH, _M1), w.hashes(at, LENGTH, _M2)
+        ids, keys = batch["id"].to_numpy(np.int64)[rows], batch["h"].to_numpy(np.int32)[rows]
+        yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "id": ids[text], "h": keys[text], "first": first.astype(np.int32)})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,16 +200,33 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(lists) if small else lists, ["id", "h"], how)
 
 
+#: Keys with over 1/HOT_KEYS of all rows are hot: there are fewer than HOT_KEYS of them, so they can be broadcast.
+HOT_KEYS = 20_000
+
+
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` (materialised) counts a group's rows in ``n_rows``.
+
+    Hot groups come to the rows by broadcast, so their rows stay dealt as they are; the others meet by a shuffle.
+    """
+    bound = max(1000, (groups.agg(F.sum("n_rows")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(groups.where(F.col("n_rows") > bound).drop("n_rows"))
+    rest = groups.where(F.col("n_rows") <= bound).drop("n_rows")
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, first, n): runs of windows that also start in a document of smaller id; h is a hash of the text."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
     docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
     found = materialize(docs.mapInPandas(_all_runs, RUN_SCHEMA), "anchors")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-    shared = shared.where("low < high").select("anchor", "low", (F.col("c1") == F.col("c2")).alias("same"))
+    ends = [F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n_rows")]
+    shared = found.groupBy("anchor").agg(*ends, F.min("context").alias("c1"), F.max("context").alias("c2"))
+    shared = materialize(shared.where("low < high").select("anchor", "low", (F.col("c1") == F.col("c2")).alias("same"), "n_rows"), "shared_anchors")
     # Position, length and hash cross the shuffle as one number.
     packed = found.select("anchor", "id", F.expr(f"shiftleft(CAST(first AS BIGINT), {HASH_BITS + 4}) | shiftleft(CAST(h AS BIGINT), 4) | n").alias("at"))
-    met = packed.join(shared, "anchor").where("NOT same OR id > low")
+    met = _meet(packed, shared, ["anchor"]).where("NOT same OR id > low")
     first, h = F.shiftright("at", HASH_BITS + 4), F.shiftright("at", 4).bitwiseAND((1 << HASH_BITS) - 1)
     met = met.select("id", h.cast("int").alias("h"), first.cast("int").alias("first"), F.col("at").bitwiseAND(15).cast("int").alias("n"), "same")
     met = materialize(met, "shared")
@@ -171,8 +235,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     lists = materialize(_listed(met.where("NOT same")), "to_extend")
     windows = materialize(_with_lists(docs, lists, "inner").mapInPandas(_windows, "one long, two long, id long, h int, first int"), "windows")
-    lows = windows.groupBy("one", "two").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
-    single = windows.join(lows, ["one", "two"]).where("id > low").select("id", "h", "first", F.lit(1).alias("n"))
+    lows = materialize(windows.groupBy("one", "two").agg(*ends).where("low < high").drop("high"), "shared_windows")
+    single = _meet(windows, lows, ["one", "two"]).where("id > low").select("id", "h", "first", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
