@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has none, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where a local session has none, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _LOCAL.setdefault("at", "file://" + tempfile.mkdtemp(prefix="spark-tessera-", dir="/tmp"))
     return at.rstrip("/")
 
@@ -46,6 +48,14 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -71,6 +81,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         up = hook.select(F.col("node").alias("root"), F.col("root").alias("root2"))
         hook = materialize(hook.join(up, "root", "left").select("node", F.coalesce("root2", "root").alias("root")), "hooks")
         x, y = hook.toDF("lo", "lo2"), hook.toDF("hi", "hi2")
+        old_e, old_found = e, found
         moved = e.join(x, "lo", "left").join(y, "hi", "left").select(F.coalesce("lo2", "lo").alias("p"), F.coalesce("hi2", "hi").alias("q"))
         e = materialize(moved.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).where("lo < hi").distinct(), "edges")
         if found is not None:
@@ -79,4 +90,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             # A node that was contracted onto one which hooked in the same round comes up again: it has its row.
             hook = old.unionByName(hook.join(found.select("node"), "node", "left_anti").toDF("node", "component"))
         found = materialize(hook.toDF("node", "component"), "components")
+        discard(old_e)
+        if old_found is not None:
+            discard(old_found)
     return e.select(F.col("lo").alias("node"), F.col("hi").alias("component")) if found is None else found

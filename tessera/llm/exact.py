@@ -1,9 +1,10 @@
 """Exact dedup against an immutable snapshot, screened by static binary-fuse filters.
 
 The snapshot's digests are dealt to buckets by hash and each bucket gets one binary-fuse filter (Graf and Lemire,
-2022). A batch's digests are grouped among themselves first; those that their bucket's filter passes are joined with
-the snapshot's exact groups, the others need no join. Texts count as equal if SHA-256 and byte length of their
-normalised UTF-8 bytes agree; the bytes themselves are not moved.
+2022). A snapshot is immutable: its groups and filters are made once and can be stored (``Snapshot.write``). A batch's
+digests are grouped among themselves first; those that their bucket's filter passes are joined with the snapshot's
+exact groups, the others need no join. Groups of more than one row are then checked byte by byte: their normalised
+texts, and only theirs, are grouped as they are (combined before the shuffle), so equal digests never decide alone.
 
 Defined cases: a null text is an empty one; the largest id of equal texts stays (rows with a null id never do, unless
 the whole group has none: then each row of it reports a null keep_id and is kept); repeated rows share a keep_id and
@@ -12,14 +13,14 @@ are all marked kept if it is theirs; an empty table gives no row; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import lower_ascii, materialize, text_of
+from tessera.llm._common import fresh, lower_ascii, materialize, maybe_broadcast, text_of
 
 BUCKET_KEYS = 32_768
 FILTER_SCHEMA = "bucket long, seed long, segment long, segments long, slots binary"
@@ -111,49 +112,92 @@ def screen(fuses: DataFrame, digests: DataFrame, buckets: int) -> DataFrame:
     return fuses.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(probe, "digest long, maybe boolean")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+KEY = ["digest", "sha", "bytes"]
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha_bytes: int = 32) -> DataFrame:
+    """(id, sha, bytes, digest) of the normalised texts; ``sha_bytes`` of SHA-256 are kept (fewer only in tests)."""
     text = lower_ascii(text_of(text_col))
-    df = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("bytes"))
+    sha = F.unhex(F.sha2(text, 256))
+    df = docs.select(F.col(id_col).alias("id"), (sha if sha_bytes == 32 else F.substring(sha, 1, sha_bytes)).alias("sha"), F.octet_length(text).alias("bytes"))
     return df.withColumn("digest", F.xxhash64("sha"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("digest", "sha", "bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
-
-
-def match(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """Groups (digest, sha, bytes, keep_id, group_size) of two tables made by ``digests``."""
-    key = ["digest", "sha", "bytes"]
-    old = materialize(_grouped(snapshot), "snapshot_groups")
-    new = materialize(_grouped(batch), "batch_groups")
-    buckets = max(1, -(-old.count() // BUCKET_KEYS))
-    fuses = materialize(filters(old, buckets), "fuse_filters")
-    screened = screen(fuses, new.select("digest").distinct(), buckets)
-    judged = new.join(screened, "digest")
-    judged = materialize(judged, "screened")
-    maybe, fresh = judged.where("maybe").drop("maybe"), judged.where("NOT maybe")
-    hits = old.join(maybe.select(*key, F.col("keep_id").alias("keep_new"), F.col("n").alias("n_new")), key, "full_outer")
-    hits = hits.select(*key, F.greatest("keep_id", "keep_new").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("n_new", F.lit(0))).alias("group_size"))
-    return hits.unionByName(fresh.select(*key, "keep_id", F.col("n").alias("group_size")))
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
+
+
+@dataclass
+class Snapshot:
+    """Groups (digest, sha, bytes, keep_id, n) of immutable rows, and the filters over their digests."""
+
+    groups: DataFrame
+    fuses: DataFrame
+    buckets: int
+
+    @staticmethod
+    def of(rows: DataFrame, at_least: int = 0) -> Snapshot:
+        """From rows made by ``digests``; with buckets for ``at_least`` rows that will come in, if these are more."""
+        groups = materialize(_grouped(rows), "snapshot_groups")
+        buckets = max(1, -(-max(groups.count(), at_least) // BUCKET_KEYS))
+        return Snapshot(groups, materialize(filters(groups, buckets), "fuse_filters"), buckets)
+
+    def write(self, path: str) -> None:
+        self.groups.write.parquet(f"{path}/groups")
+        self.fuses.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{path}/filters")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Snapshot:
+        fuses = spark.read.parquet(f"{path}/filters")
+        first = fuses.select("buckets").first()
+        return Snapshot(spark.read.parquet(f"{path}/groups"), fuses.drop("buckets"), first.buckets if first else 1)
+
+
+def match(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
+    """Groups (digest, sha, bytes, keep_id, group_size) of a snapshot and of a batch made by ``digests``."""
+    old, new = snapshot.groups, materialize(_grouped(batch), "batch_groups")
+    screened = screen(snapshot.fuses, new.select("digest").distinct(), snapshot.buckets)
+    judged = materialize(new.join(screened, "digest"), "screened")
+    maybe, fresh_ = judged.where("maybe").drop("maybe"), judged.where("NOT maybe")
+    hits = old.join(maybe.select(*KEY, F.col("keep_id").alias("keep_new"), F.col("n").alias("n_new")), KEY, "full_outer")
+    hits = hits.select(*KEY, F.greatest("keep_id", "keep_new").alias("keep_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("n_new", F.lit(0))).alias("group_size"))
+    return hits.unionByName(fresh_.select(*KEY, "keep_id", F.col("n").alias("group_size")))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha_bytes: int = 32) -> DataFrame:
     """A row per document; the older half of the id range is the snapshot, the rest the incoming batch."""
-    rows = materialize(digests(docs, id_col, text_col), "digests")
-    ends = rows.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    rows = materialize(digests(docs, id_col, text_col, sha_bytes), "digests")
+    ends = rows.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).first()
     middle = (ends.a + ends.b) // 2 if ends.a is not None else 0
     old = F.coalesce(F.col("id") <= middle, F.lit(False))
-    groups = match(rows.where(old), rows.where(~old))
+    groups = materialize(match(Snapshot.of(rows.where(old), ends.n // 2), rows.where(~old)), "groups")
+
+    # Byte check: the texts of rows that share a digest, grouped as they are.
+    many = groups.where("group_size > 1").select(*KEY)
+    text = lower_ascii(text_of(text_col))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    own = F.unhex(F.sha2(F.col("text"), 256))
+    texts = texts.withColumn("sha", own if sha_bytes == 32 else F.substring(own, 1, sha_bytes)).withColumn("bytes", F.octet_length("text"))
+    texts = texts.withColumn("digest", F.xxhash64("sha")).join(maybe_broadcast(many), KEY, "left_semi")
+    same = materialize(texts.groupBy(*KEY, "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "same_bytes")
+    torn = same.groupBy(*KEY).agg(F.count("*").alias("n_texts")).where("n_texts > 1").select(*KEY)
     kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
-    out = rows.join(groups, ["digest", "sha", "bytes"])
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    cols = [F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256"]
+    named = rows.withColumn("text_sha256", F.lower(F.hex("sha")))
+    if torn.isEmpty():
+        return named.join(groups, KEY).select(*cols)
+    # Different texts under one digest: their rows go by the text itself.
+    whole = named.join(torn, KEY, "left_anti").join(groups, KEY).select(*cols)
+    apart = texts.join(torn, KEY, "left_semi").withColumn("text_sha256", F.sha2("text", 256)).join(same.select(*KEY, "text", "keep_id", "group_size"), [*KEY, "text"])
+    return whole.unionByName(apart.select(*cols))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """Documents whose row stays, with their columns."""
-    gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    own = F.sha2(lower_ascii(text_of()), 256)
-    return docs.withColumn("_sha2", own).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_anti").select(*docs.columns)
+    one, two, own = fresh(docs, "_id"), fresh(docs, "_sha"), fresh(docs, "_own")
+    gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(one), F.col("text_sha256").alias(two)).distinct()
+    keyed = docs.withColumn(own, F.sha2(lower_ascii(text_of()), 256))
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(own) == F.col(two)), "left_anti").drop(own)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ share among the languages. Probabilities are learned by expectation maximisation
 of a sample of labelled documents: about ``SAMPLE`` for each language at most, drawn by a hash of the id; counts and
 expectations are made by Spark tasks, the driver gets one number for each language and piece.
 
-Words are runs of letters, lower-cased, with a word-start mark; one of over ``LONGEST`` letters is cut there.
+Words are runs of letters (``str.isalpha``), lower-cased, with a word-start mark. Those of over ``LONGEST`` letters are
+summed one by one, with sums scaled up on the way, and are not learned from.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, and so is every text if nothing could be
 learned; ties go to the first language by code point; a null id is not held out and never learned from; unlabelled rows
@@ -17,6 +18,7 @@ columns are not looked at.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize
+from tessera.llm._common import fresh, materialize
 from tessera.llm.pieces import SPACE, default_model, text_slices
 
 SAMPLE = 3000
@@ -34,7 +36,13 @@ ROUNDS = 2
 LONGEST = 40
 SMOOTH = 0.1
 MEMO = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def letters() -> re.Pattern[str]:
+    """Runs of letters: word characters without digits, and without numerals such as those in superscript or in circles."""
+    code = [c for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    return re.compile(rf"[^\W\d_{re.escape(''.join(map(chr, code)))}]+")
 
 
 class Pieces:
@@ -45,7 +53,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        good = sorted(p for p in found if (p == SPACE or LETTERS.fullmatch(p.removeprefix(SPACE))) and len(p) <= LONGEST)
+        good = sorted(p for p in found if (p == SPACE or letters().fullmatch(p.removeprefix(SPACE))) and len(p) <= LONGEST)
         self.number = {p: i + 1 for i, p in enumerate(good)}
         self.n = len(good) + 1
         self.most = max(map(len, good), default=1)
@@ -74,11 +82,6 @@ def pieces(model: str) -> Pieces:
     return Pieces(model)
 
 
-def _tokens(word: str) -> list[str]:
-    s = SPACE + word
-    return [s[i : i + LONGEST] for i in range(0, len(s), LONGEST)]
-
-
 def _sums(at: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
     """out[at] += x, rows with repeats."""
     order = np.argsort(at, kind="stable")
@@ -100,6 +103,22 @@ def forward(arcs, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_score(word: str, prob: np.ndarray, model: str) -> np.ndarray:
+    """Log of the forward sum of one word of any length, for each language; only the last sums are held, scaled to about 1."""
+    found = pieces(model)
+    get, most = found.number.get, found.most
+    alpha, logs = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
+    for e in range(1, len(word) + 1):
+        here = [(a, get(word[e - len(alpha) + k : e])) for k, a in enumerate(alpha)]
+        new = sum((a * prob[p] for a, p in here if p is not None), np.zeros(prob.shape[1]))
+        if here[-1][1] is None:
+            new = new + alpha[-1] * prob[0]
+        logs += np.log(new)
+        alpha = [a / new for a in alpha[-(most - 1) :]] if most > 1 else []
+        alpha.append(np.ones(prob.shape[1]))
+    return logs
+
+
 def expected(words: list[str], counts: np.ndarray, prob: np.ndarray, model: str) -> np.ndarray:
     """Expected piece counts (pieces, languages) of words whose counts are (words, languages)."""
     arcs = pieces(model).arcs(words)
@@ -133,7 +152,7 @@ def words_of(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: LETTERS.findall(t.lower()))
+            yield batch.map(lambda t: letters().findall(t.lower()))
 
     return run(text)
 
@@ -151,6 +170,7 @@ def learn(docs: DataFrame, model: str | None = None, sample: int = SAMPLE) -> tu
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     number = F.create_map(*chain.from_iterable((F.lit(k), F.lit(i)) for i, k in enumerate(langs)))
     words = drawn.select(number[F.col("lang")].alias("l"), F.explode(words_of(F.col("text"))).alias("word"))
+    words = words.where(F.char_length("word") < LONGEST)
     counts = materialize(words.groupBy("word", "l").agg(F.count("*").alias("n")).repartition("word"), "word_counts")
     prob = _normal(np.ones((n_pieces, len(langs))))
     for _ in range(ROUNDS):
@@ -166,10 +186,9 @@ def _expectation(counts: DataFrame, prob: np.ndarray, path: str) -> np.ndarray:
         for batch in batches:
             for i in range(0, len(batch), 8192):
                 part = batch[i : i + 8192]
-                cut = [_tokens(w) for w in part["word"]]
-                n = np.zeros((sum(map(len, cut)), total.shape[1]))
-                n[np.arange(len(n)), np.repeat(part["l"].to_numpy(), list(map(len, cut)))] = np.repeat(part["n"].to_numpy(), list(map(len, cut)))
-                total += expected(list(chain.from_iterable(cut)), n, shared.value, path)
+                n = np.zeros((len(part), total.shape[1]))
+                n[np.arange(len(n)), part["l"]] = part["n"]
+                total += expected([SPACE + w for w in part["word"]], n, shared.value, path)
         p, lang = np.nonzero(total)
         yield pd.DataFrame({"p": p, "l": lang, "n": total[p, lang]})
 
@@ -205,13 +224,15 @@ class _Scores:
             self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]))])
         for i in range(0, len(words), 8192):
             part = words[i : i + 8192]
-            cut = [_tokens(w) for w in part]
-            arcs = pieces(self.model).arcs(list(chain.from_iterable(cut)))
-            whole = np.log(forward(arcs, self.prob)[np.arange(len(arcs[4])), arcs[4]])
-            first = np.concatenate(([0], np.cumsum(list(map(len, cut)))[:-1]))
+            short = [w for w in part if len(w) < LONGEST]
+            arcs = pieces(self.model).arcs([SPACE + w for w in short])
             at = len(self.row)
-            self.table[at : at + len(part)] = np.add.reduceat(whole, first, axis=0)
-            self.row.update(zip(part, range(at, at + len(part))))
+            if short:
+                self.table[at : at + len(short)] = np.log(forward(arcs, self.prob)[np.arange(len(short)), arcs[4]])
+            long = [w for w in part if len(w) >= LONGEST]
+            for k, w in enumerate(long, at + len(short)):
+                self.table[k] = long_score(SPACE + w, self.prob, self.model)
+            self.row.update(zip(chain(short, long), range(at, at + len(part))))
 
 
 def predict(text: Column, langs: list[str], prob, model: str) -> Column:
@@ -224,7 +245,7 @@ def predict(text: Column, langs: list[str], prob, model: str) -> Column:
         for batch in batches:
             out = []
             for part in text_slices(batch):
-                found = [LETTERS.findall(t.lower()) if langs else [] for t in part]
+                found = [letters().findall(t.lower()) if langs else [] for t in part]
                 scores.know(found)
                 for words in found:
                     if not words:
@@ -238,19 +259,24 @@ def predict(text: Column, langs: list[str], prob, model: str) -> Column:
     return run(text)
 
 
-def identify(docs: DataFrame, model: str | None = None, sample: int = SAMPLE) -> DataFrame:
-    """The documents with ``lang_pred`` and ``score``; learned from the same table's labels."""
+def _found(docs: DataFrame, model: str | None, sample: int) -> Column:
     path = model or default_model()
     langs, prob = learn(docs, path, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(prob)
-    found = predict(F.col("text"), langs, shared, path)
-    taken = [c for c in docs.columns if c not in ("lang_pred", "score", "_found")]
-    return docs.select(*taken, found.alias("_found")).select(*taken, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    return predict(F.col("text"), langs, docs.sparkSession.sparkContext.broadcast(prob), path)
+
+
+def identify(docs: DataFrame, model: str | None = None, sample: int = SAMPLE) -> DataFrame:
+    """The documents with ``lang_pred`` and ``score`` (in place of columns of these names); learned from the same table's labels."""
+    at = fresh(docs, "_found")
+    df = docs.withColumn(at, _found(docs, model, sample)).drop("lang_pred", "score")
+    return df.withColumns({"lang_pred": F.col(at)["lang"], "score": F.col(at)["score"]}).drop(at)
 
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents in one of the learned languages; those without letters, or undecided below ``least``, go."""
-    return identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """Documents in one of the learned languages, as they are; those without letters, or undecided below ``least``, go."""
+    at = fresh(docs, "_found")
+    df = docs.withColumn(at, _found(docs, None, SAMPLE))
+    return df.where((F.col(at)["lang"] != "und") & (F.col(at)["score"] >= least)).drop(at)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -60,8 +60,9 @@ def fingerprint_of(text: Column, words: int = 3) -> Column:
 def link(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that connect just what pairs of distinct ``fp`` at up to two differing bits connect.
 
-    A bucket of two is its pair. Buckets of more (near copies by the thousand) are never paired inside: their
-    members are keyed by themselves and their 64 one-bit neighbours instead. Members of such a key (65 at most) all
+    A bucket of two is its pair. Buckets of more are never paired inside, as they may hold near copies by the thousand
+    and prints that share no more than half their bits: their members, each once however many such buckets it is in,
+    are keyed by themselves and their 64 one-bit neighbours instead, at 65 rows a member (the index itself takes 64). Members of such a key (65 at most) all
     lie within two bits of each other, and any two within two bits share one, so a star on each key is exact.
     """
     variant = F.expr("shiftleft(v, 32) | ((CASE WHEN v < 32 THEN fp & 4294967295 ELSE shiftrightunsigned(fp, 32) END) & ~shiftleft(1L, CAST(v % 32 AS INT)))")

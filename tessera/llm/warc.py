@@ -6,7 +6,8 @@ slices. Only record ids and validators move, never bodies.
 
 A revisit is resolved if a validator that both sides have agrees (ETag, weak prefix ignored; else Last-Modified),
 or if it has none at all and the response has none either. Permitted headers of the revisit then replace the
-response's (RFC 9110, 15.4.5: a 304 may update these); content headers stay those of the response.
+response's (RFC 9110, 15.4.5: a 304 may update these); content headers stay those of the response. Header names are
+compared, and returned, in lower case.
 
 Defined cases: records without URL, time or type are never matched (a revisit among them gets status ``unmatched``);
 of responses at one instant the largest record id wins; a response at the revisit's own instant is not earlier;
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize
 
-PERMITTED = ["cache-control", "date", "etag", "expires", "last-modified", "vary"]
+#: Header fields, in lower case, that a not-modified response may update (RFC 9110, 15.4.5).
+PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 SLICE_RECORDS = 4096
 
 #: Canonical form: no fragment, scheme, www. or m. prefix, default port, tracking parameter or trailing slash; host
@@ -61,6 +63,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return _judged(found.select(*cols).unionByName(lost.select(*cols)))
 
 
+def _lower_keys(headers: Column) -> Column:
+    """Header names in lower case; of names that then are equal the last one counts. No headers: an empty map."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    none = F.slice(entries, 1, 0)
+    last = F.aggregate(entries, none, lambda acc, e: F.concat(F.filter(acc, lambda x: x["key"] != e["key"]), F.array(e)))
+    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+
+
 def _judged(df: DataFrame) -> DataFrame:
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     same_tag = strong(F.col("etag")) == strong(F.col("hit.etag"))
@@ -68,8 +78,8 @@ def _judged(df: DataFrame) -> DataFrame:
     none = F.coalesce("etag", "last_modified", "hit.etag", "hit.last_modified").isNull()
     valid = F.coalesce(same_tag, same_date, none)
     status = F.when(F.col("hit").isNull(), "unmatched").when(valid, "resolved").otherwise("validator_mismatch")
-    own = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(PERMITTED))
-    theirs = F.map_filter(F.coalesce("hit.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(own, k))
+    own = F.map_filter(_lower_keys(F.col("headers")), lambda k, v: k.isin(PERMITTED))
+    theirs = F.map_filter(_lower_keys(F.col("hit.headers")), lambda k, v: ~F.map_contains_key(own, k))
     merged = F.when(status == "resolved", F.map_concat(theirs, own))
     return df.select("record_id", "curl", "ts", status.alias("status"), F.when(status == "resolved", F.col("hit.record_id")).alias("response_id"), F.col("hit.record_id").alias("candidate_id"), merged.alias("headers"))
 
