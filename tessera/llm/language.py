@@ -18,7 +18,6 @@ columns are not looked at.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,13 +35,15 @@ ROUNDS = 2
 LONGEST = 40
 SMOOTH = 0.1
 MEMO = 400_000
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(maxsize=1)
-def letters() -> re.Pattern[str]:
-    """Runs of letters: word characters without digits, and without numerals such as those in superscript or in circles."""
-    code = [c for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
-    return re.compile(rf"[^\W\d_{re.escape(''.join(map(chr, code)))}]+")
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters; ``_WORD`` takes numerals such as those in superscript or in circles for letters, so these are cut out."""
+    found = _WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 class Pieces:
@@ -53,7 +54,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        good = sorted(p for p in found if (p == SPACE or letters().fullmatch(p.removeprefix(SPACE))) and len(p) <= LONGEST)
+        good = sorted(p for p in found if (p == SPACE or p.removeprefix(SPACE).isalpha()) and len(p) <= LONGEST)
         self.number = {p: i + 1 for i, p in enumerate(good)}
         self.n = len(good) + 1
         self.most = max(map(len, good), default=1)
@@ -152,7 +153,7 @@ def words_of(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: letters().findall(t.lower()))
+            yield batch.map(lambda t: letter_runs(t.lower()))
 
     return run(text)
 
@@ -245,7 +246,7 @@ def predict(text: Column, langs: list[str], prob, model: str) -> Column:
         for batch in batches:
             out = []
             for part in text_slices(batch):
-                found = [letters().findall(t.lower()) if langs else [] for t in part]
+                found = [letter_runs(t.lower()) if langs else [] for t in part]
                 scores.know(found)
                 for words in found:
                     if not words:

@@ -274,7 +274,8 @@ def text_slices(batch: pd.Series) -> Iterator[list[str]]:
         if n >= SLICE_CHARS:
             yield part
             part, n = [], 0
-    yield part
+    if part:
+        yield part
 
 
 def encode(text: Column, model: str | None = None) -> Column:

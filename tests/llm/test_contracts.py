@@ -186,3 +186,11 @@ def test_very_long_texts(long_docs):
     assert cut[2][1] == 0 and cut[4][1] == 0  # windows that repeat only inside their own document
     said = {r.doc_id: r for r in language.op8(long_docs).collect()}
     assert all(said[i].lang_pred != "und" and 0 <= said[i].score <= 1 for i in text)
+
+
+def test_slices_are_never_empty():
+    import pandas as pd
+
+    full = ["a" * pieces.SLICE_CHARS, None, "b" * pieces.SLICE_CHARS]
+    assert list(pieces.text_slices(pd.Series(full))) == [full[:1], ["", full[2]]]
+    assert list(pieces.text_slices(pd.Series([], dtype=object))) == []
