@@ -145,7 +145,8 @@ def test_revisits(spark):
 
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
-    from tessera.llm import exact, mixing, simhash
+    from tessera.llm import exact, mixing
+    from tests.llm.test_shingles import brute_kept
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     known = c.language_id(spark, docs, sf).cache()
@@ -153,7 +154,7 @@ def test_pipeline(spark, sf):
     unique = c.exact_dedup(spark, known, sf).cache()
     assert {r.doc_id for r in unique.collect()} == {r.doc_id for r in exact.op3(known).where("kept").collect()}
     apart = c.simhash_near_dedup(spark, unique, sf).cache()
-    assert {r.doc_id for r in apart.collect()} == {r.component_id for r in simhash.op2(unique).collect()}
+    assert {r.doc_id for r in apart.collect()} == {i for i, _ in brute_kept([(r.doc_id, r.text) for r in unique.collect()])}
     mixed = c.source_mixing(spark, apart, sf).cache()
     assert mixed.columns == docs.columns
     taken = {r.doc_id: (r.taken, r.size) for r in mixing.op9(apart).collect()}
