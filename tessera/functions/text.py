@@ -5,27 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Redaction rules, in order (fixed values).
+#: Redaction rules, in order; case is ignored.
 REDACT = [
-    (r"(?i)(password|passwd|pwd)\s*[=:]\s*\S+", "$1=[REDACTED]"),
-    (r"(?i)(api[_-]?key|secret|token)\s*[=:]\s*\S+", "$1=[REDACTED]"),
-    (r"(?i)bearer\s+[a-z0-9._-]+", "Bearer [REDACTED]"),
-    (r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", "[EMAIL]"),
-    (r"(?i)/home/[^/\s]+", "/home/[USER]"),
-    (r"(?i)/users/[^/\s]+", "/Users/[USER]"),
-    (r"(?i)session[_-]?id\s*[=:]\s*\S+", "session_id=[REDACTED]"),
-    (r"(?i)tmp_[a-z0-9]+", "tmp_[ID]"),
+    (r"(password|passwd|pwd)=[^\s&]+", "$1=***REDACTED***"),
+    (r"(token|api_key|apikey)=[^\s&]+", "$1=***REDACTED***"),
+    (r"(secret|auth|authorization)=[^\s&]+", "$1=***REDACTED***"),
+    (r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer ***REDACTED***"),
+    (r"\b([a-zA-Z])[a-zA-Z0-9._%+-]*@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b", "$1***@$2"),
+    (r"([C-Z]:\\Users\\)([^\\]+)(\\)", "$1***$3"),
+    (r"(/home/)([^/]+)", "$1***"),
+    (r"(session|temp|tmp)_[a-zA-Z0-9]+", "$1_***"),
 ]
 
 
 def redacted(text: Column) -> Column:
     for pattern, put in REDACT:
-        text = F.regexp_replace(text, pattern, put)
+        text = F.regexp_replace(text, "(?i)" + pattern, put)
     return text
 
 
+def canopy_text(radius_m: Column, show: str = "diameter", prefix: str = "") -> Column:
+    """Radius, diameter or both in metres with two digits; ``prefix`` is ``Avg `` for means."""
+    r, d = F.format_string("R: %.2fm", radius_m), F.format_string("D: %.2fm", radius_m * 2)
+    return F.concat(F.lit(prefix), {"radius": r, "both": F.concat(r, F.lit(" | "), d)}.get(show, d))
+
+
+def place_text(x: Column, y: Column, lonlat: Column) -> Column:
+    """Six digits of longitude and latitude, two of other coordinates."""
+    text = F.when(lonlat, F.format_string("Lon: %.6f | Lat: %.6f", x, y)).otherwise(F.format_string("X: %.2f | Y: %.2f", x, y))
+    return F.when(x.isNull() | y.isNull(), "Lon: - | Lat: -").otherwise(text)
+
+
+def eta_text(elapsed: Column, percent: Column) -> Column:
+    left = F.greatest(F.lit(0), (elapsed / percent * 100 - elapsed).cast("int"))
+    return F.concat(F.lit("Elapsed: "), clock(elapsed.cast("int")), F.lit(" | ETA: "), F.when(percent > 0, clock(left)).otherwise("--:--"))
+
+
 def area_label(m2: Column) -> Column:
-    return F.concat(F.format_number(m2, 2), F.lit(" m2 ("), F.format_number(m2 / 10_000, 4), F.lit(" ha)"))
+    """Over a hectare in hectares with whole square metres, else in square metres."""
+    large = F.concat(F.format_string("%.2f", m2 / 10_000), F.lit(" ha ("), F.format_number(m2, 0), F.lit(" m²)"))
+    return F.concat(F.lit("Area\n"), F.when(m2 > 10_000, large).otherwise(F.concat(F.format_number(m2, 2), F.lit(" m²"))))
 
 
 def crs_label(epsg: Column, name: Column) -> Column:

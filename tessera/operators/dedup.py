@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import box as B
@@ -42,13 +42,11 @@ def greedy(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def conflicts(detections: DataFrame, threshold: float, inclusive: bool = False, rank: str = "score", key: list[str] | None = None) -> DataFrame:
     """(winner, loser) of overlapping pairs; rank: score (descending, then id) or id."""
-    pairs = overlapping_pairs(detections, key or KEY, threshold, inclusive)
+    pairs = overlapping_pairs(detections, key or KEY, threshold, inclusive, carry=() if rank == "id" else ("score",))
     if rank == "id":
         return pairs.select(F.col("a").alias("winner"), F.col("b").alias("loser"), "iou")
-    score = detections.select("det_id", "score")
-    df = pairs.join(score.toDF("a", "sa"), "a").join(score.toDF("b", "sb"), "b")
-    first = F.col("sa") >= F.col("sb")  # a < b: of equal scores the lower id wins
-    return df.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"), "iou")
+    first = F.col("a_score") >= F.col("b_score")  # a < b: of equal scores the lower id wins
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"), "iou")
 
 
 def nms(detections: DataFrame, threshold: float = 0.5, inclusive: bool = False, key: list[str] | None = None) -> DataFrame:
@@ -72,13 +70,10 @@ def merge_clusters(detections: DataFrame, threshold: float = 0.5, edge: str | No
 
 def merge_preferring_inner(detections: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Of overlapping boxes (IoU > threshold) those off the edge win, then those farther from it, then the score."""
-    order = Window.partitionBy(*KEY).orderBy(F.col("edge").cast("int"), F.desc("border_dist"), F.desc("score"), "det_id")
-    ranked = detections.withColumn("_rank", F.row_number().over(order))
-    pairs = overlapping_pairs(detections, KEY, threshold)
-    rank = ranked.select("det_id", "_rank")
-    df = pairs.join(rank.toDF("a", "ra"), "a").join(rank.toDF("b", "rb"), "b")
-    first = F.col("ra") < F.col("rb")
-    losers, _ = greedy(df.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser")))
+    pairs = overlapping_pairs(detections, KEY, threshold, carry=("edge", "border_dist", "score"))
+    order = lambda s: F.struct((~F.col(f"{s}_edge")).alias("inner"), F.col(f"{s}_border_dist").alias("far"), F.col(f"{s}_score").alias("score"), (-F.col(s)).alias("id"))
+    first = order("a") > order("b")
+    losers, _ = greedy(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser")))
     return detections.join(losers.withColumnRenamed("loser", "det_id"), "det_id", "left_anti").select(*detections.columns)
 
 

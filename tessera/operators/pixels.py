@@ -101,9 +101,9 @@ def pyramid(pixels: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
 
 
 def best_level(zoom: Column, levels: tuple[int, ...] = LEVELS) -> Column:
-    """The level whose factor is nearest to 1/zoom, the first of equals; 0 from zoom 1 on."""
-    gaps = F.array(*[F.abs(F.lit(float(f)) - 1 / zoom) for f in levels])
-    return F.when(zoom >= 1, F.lit(0)).otherwise(F.get(F.array(*map(F.lit, levels)), (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")))
+    """Number of the level, 0 for the base, whose factor is nearest to 1/zoom, the first of equals; 0 from zoom 1 on."""
+    gaps = F.array(*[F.abs(F.lit(float(f)) - 1 / F.greatest(zoom, F.lit(1e-6))) for f in (1, *levels)])
+    return F.when(zoom >= 1, F.lit(0)).otherwise((F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
 
 
 def area_resampled(pixels: DataFrame, scale: float) -> DataFrame:
@@ -149,26 +149,75 @@ def mean_touched(pixels: DataFrame, polygons: DataFrame, nodata: float = -9999.0
     return df.groupBy("raster_id", "polygon_id", "band").agg(F.avg(valid).alias("mean"), F.count("*").alias("n"))
 
 
-def display_bands(n: Column, wanted: Column) -> Column:
-    return F.filter(wanted, lambda b: b.between(1, n))
+def display_bands(n: Column, wanted: Column | None = None) -> Column:
+    """Bands to show: those wanted that exist, else band 1; without a wish 1 to 3 as far as they go."""
+    if wanted is None:
+        return F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(3))))
+    some = F.filter(wanted, lambda b: b.between(1, n))
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit(1)))
 
 
-def letterboxed(tiles: DataFrame, size: int, target: int, fill: float = 114.0) -> DataFrame:
-    """Square payloads (arrays of size*size) resized by bilinear interpolation and padded to target."""
+#: What letterboxes are filled with, and the largest value up to which a tile counts as scaled to 0..1.
+FILL, UNIT_TOP = 114.0, 1.5
+
+
+def letterboxed(tiles: DataFrame, height: int, width: int) -> DataFrame:
+    """Payloads (h rows of w values) resized by bilinear interpolation with their aspect kept, in the middle of a
+    height x width tile; adds ``scale``, ``left`` and ``top``."""
     import numpy as np
 
+    def axis(n: int, m: int):
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        i = np.floor(at).astype(int)
+        return i, np.minimum(i + 1, n - 1), at - i
+
     def run(batches):
-        scale = target / size
-        src = np.clip((np.arange(target) + 0.5) / scale - 0.5, 0, size - 1)
-        i = np.floor(src).astype(int)
-        j, w = np.minimum(i + 1, size - 1), src - np.floor(src)
         for b in batches:
-            x = np.stack(b["payload"].to_numpy()).reshape(-1, size, size)
-            rows = x[:, i] * (1 - w)[None, :, None] + x[:, j] * w[None, :, None]
-            b["payload"] = list((rows[:, :, i] * (1 - w) + rows[:, :, j] * w).reshape(len(b), -1).astype("float32"))
-            yield b
+            out, metas = [], []
+            for payload, h, w in zip(b["payload"], b["h"], b["w"]):
+                x, scale = np.asarray(payload, float).reshape(h, w), min(height / h, width / w)
+                nh, nw = max(1, min(height, round(h * scale))), max(1, min(width, round(w * scale)))
+                (i, j, u), (k, m, v) = axis(h, nh), axis(w, nw)
+                rows = x[i] * (1 - u)[:, None] + x[j] * u[:, None]
+                small = rows[:, k] * (1 - v) + rows[:, m] * v
+                top, left = (height - nh) // 2, (width - nw) // 2
+                full = np.full((height, width), FILL if small.max() > UNIT_TOP else FILL / 255)
+                full[top : top + nh, left : left + nw] = small
+                out.append(full.ravel().astype("float32")), metas.append((scale, left, top))
+            yield b.assign(payload=out, scale=[m[0] for m in metas], left=[m[1] for m in metas], top=[m[2] for m in metas])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema)
+    return tiles.mapInPandas(run, f"{kept}, scale double, left int, top int")
+
+
+def overview(pixels: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Overview bytes: 2 % and 98 % of pixels that are neither 0 nor NaN (of all where there are none), or ``p2`` and ``p98``
+    of ``stats`` (raster_id, band); flat ones use minimum and maximum, then a width of 1e-5."""
+    key, v = ["raster_id", "band"], F.col("value")
+    valid = F.when((v != 0) & ~F.isnan(v), v)
+    both = lambda f: F.coalesce(f(valid), f(v))
+    s = pixels.groupBy(*key).agg(*[both(lambda c, p=p: F.percentile(c, F.lit(p))).alias(n) for n, p in (("lo", 0.02), ("hi", 0.98))], both(F.min).alias("a"), both(F.max).alias("b"))
+    if stats is not None:
+        s = s.join(stats.select(*key, "p2", "p98"), key, "left").withColumns({"lo": F.coalesce("p2", "lo"), "hi": F.coalesce("p98", "hi")})
+    flat = F.col("hi") <= F.col("lo")
+    s = s.withColumns({"lo": F.when(flat, F.col("a")).otherwise(F.col("lo")), "hi": F.when(flat, F.col("b")).otherwise(F.col("hi"))})
+    s = s.withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1e-5).otherwise(F.col("hi")))
+    return pixels.join(s.select(*key, "lo", "hi"), key).select("raster_id", "band", "row", "col", stretch(v, F.col("lo"), F.col("hi")).alias("value"))
+
+
+def preview(pixels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Preview bytes by percentiles of the pixels above 0; 0 for a band without any, or a flat one."""
+    v = F.when(F.col("value") > 0, F.col("value"))
+    s = pixels.groupBy("raster_id", "band").agg(F.percentile(v, F.lit(low)).alias("lo"), F.percentile(v, F.lit(high)).alias("hi"))
+    out = F.coalesce(stretch(F.col("value"), F.col("lo"), F.col("hi")), F.lit(0))
+    return pixels.join(s, ["raster_id", "band"]).select("raster_id", "band", "row", "col", out.alias("value"))
+
 
-    return tiles.mapInPandas(run, tiles.schema)
+def grayscale(pixels: DataFrame, rasters: DataFrame) -> DataFrame:
+    """One value a pixel: the mean of two bands where a raster has two, else band 1."""
+    df = pixels.join(rasters.select("raster_id", "bands"), "raster_id")
+    df = df.where((F.col("band") == 1) | ((F.col("bands") == 2) & (F.col("band") == 2)))
+    return df.groupBy("raster_id", "row", "col").agg(F.avg("value").alias("value"))
 
 
 def mean_in_polygons(pixels: DataFrame, polygons: DataFrame) -> DataFrame:

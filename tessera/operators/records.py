@@ -36,9 +36,9 @@ def replaced(table: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _shaped(df: DataFrame, rasters: DataFrame) -> DataFrame:
-    """Adds the ring in the CRS and its area there."""
-    df = df.join(rasters.select(*PLACE), "raster_id").withColumn("ring_crs", G.ring_to_crs(F.col("ring"), G.transform_cols()))
-    return df.withColumn("area", F.abs(G.signed_area(F.col("ring_crs"))))
+    """Adds the ring in the CRS and its area in m2."""
+    df = df.join(rasters.select(*PLACE, "epsg"), "raster_id").withColumn("ring_crs", G.ring_to_crs(F.col("ring"), G.transform_cols()))
+    return df.withColumn("area", G.area_m2(F.col("ring_crs"), F.col("epsg")))
 
 
 def _record(number: Column) -> list[Column | str]:

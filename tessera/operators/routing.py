@@ -6,13 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keywords in the order in which they are tried, and their slots (fixed values).
-KEYWORDS = [("coastal", 0), ("blue", 1), ("green", 2), ("yellow", 3), ("red edge", 5), ("red", 4), ("nir", 6), ("near", 6), ("swir", 7)]
-#: Band positions by band count, for rasters without descriptions (fixed values).
-PROFILES = {3: [4, 2, 1], 4: [1, 2, 4, 6], 5: [1, 2, 4, 5, 6], 7: [0, 1, 2, 3, 4, 5, 6], 8: [0, 1, 2, 3, 4, 5, 6, 7]}
+#: Keywords in the order in which they are tried, and their slots.
+KEYWORDS = [("coastal", 0), ("blue", 1), ("green", 2), ("yellow", 3), ("red", 4), ("edge", 5), ("nir", 6), ("near", 6), ("ir", 7)]
+#: Slot -> band (from 0) by band count; 8 and more bands fill slots 0 to 7 in order.
+PROFILES = {3: {4: 0, 2: 1, 1: 2}, 4: {4: 0, 2: 1, 1: 2, 6: 3}, 5: {4: 0, 2: 1, 1: 2, 5: 3, 6: 4}, 7: {1: 0, 2: 1, 4: 2, 6: 5}}
+SLOTS = 8
 
 
 def keyword_slot(description: Column) -> Column:
+    """Slot of the first keyword that the description holds; null if none."""
     text, out = F.lower(description), F.lit(None).cast("int")
     for word, slot in reversed(KEYWORDS):
         out = F.when(text.contains(word), F.lit(slot)).otherwise(out)
@@ -20,17 +22,43 @@ def keyword_slot(description: Column) -> Column:
 
 
 def profile(n: Column) -> Column:
-    out = F.lit(None).cast("array<int>")
+    """Map of slots to bands (from 0) for a raster of n bands; empty where none is known."""
+    out = F.create_map().cast("map<int,int>")
     for k, slots in PROFILES.items():
-        test = n >= k if k == 8 else n == k
-        out = F.when(test, F.array(*map(F.lit, slots))).otherwise(out)
-    return out
+        out = F.when(n == k, F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])).otherwise(out)
+    each = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    return F.when(n >= SLOTS, F.map_from_arrays(each, each)).otherwise(out)
+
+
+def routed(descriptions: Column, n: Column) -> Column:
+    """Map of slots to bands (from 0) by keywords; the last band of a slot wins. With fewer than min(n, 3) slots found, the profile."""
+    found = F.transform(descriptions, lambda d, i: F.struct(keyword_slot(d).alias("slot"), i.alias("band")))
+    last = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.struct(s.alias("key"), F.array_max(F.transform(F.filter(found, lambda f: f["slot"] == s), lambda f: f["band"])).alias("value")))
+    by_word = F.coalesce(F.map_from_entries(F.filter(last, lambda e: e["value"].isNotNull())), F.create_map().cast("map<int,int>"))
+    return F.when(F.size(by_word) < F.least(n, F.lit(3)), profile(n)).otherwise(by_word)
+
+
+def rgb_indices(mapping: Column, n: Column) -> Column:
+    """(r, g, b): the bands (from 0) of slots 4, 2 and 1, else 0, 1 and 2 as far as there are bands."""
+    at = lambda slot, i: F.coalesce(F.try_element_at(mapping, F.lit(slot)), F.least(F.lit(i), n - 1))
+    return F.struct(F.coalesce(F.try_element_at(mapping, F.lit(4)), F.lit(0)).alias("r"), at(2, 1).alias("g"), at(1, 2).alias("b"))
+
+
+def slotted(pixels: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Pixels in slots 0 to 7 by each raster's ``mapping``; slots without a band, and bands out of range, are 0.
+
+    A pixel's bands are gathered once, then spun to the slots: one shuffle, no row for what is not there.
+    """
+    wide = pixels.groupBy("raster_id", "row", "col").agg(F.map_from_entries(F.collect_list(F.struct("band", "value"))).alias("m"))
+    df = wide.join(mappings.select("raster_id", "mapping"), "raster_id").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    value = F.try_element_at("m", F.try_element_at("mapping", F.col("slot")) + 1)
+    return df.select("raster_id", "slot", "row", "col", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def greedy_assignment(references: DataFrame, means: DataFrame) -> DataFrame:
     """References (slot, source, mean) against each raster's band means: again and again the smallest difference among
     the slots and bands left; ties go to the first slot, source, band. Few rows a raster, rasters in parallel."""
-    pairs = means.crossJoin(F.broadcast(references.withColumnRenamed("mean", "ref"))).withColumn("diff", F.abs(F.col("ref") - F.col("mean")))
+    pairs = means.crossJoin(references.withColumnRenamed("mean", "ref")).withColumn("diff", F.abs(F.col("ref") - F.col("mean")))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["diff", "slot", "source", "band"])
@@ -63,6 +91,18 @@ def checked_mapping(mapping: DataFrame, slots: DataFrame, n_bands: int) -> DataF
     return df.select("slot", "input_band", status.alias("status"))
 
 
+#: What bands are called, by the number of bands.
+BAND_NAMES = {
+    3: ["Red", "Green", "Blue"],
+    4: ["Red", "Green", "Blue", "NIR/Alpha"],
+    7: ["Blue", "Green", "Red", "NIR", "Red Edge", "Red Edge 2", "Red Edge 3"],
+}
+
+
 def band_label(band: Column, n: Column) -> Column:
-    rgb, ms = F.array(*map(F.lit, ["Red", "Green", "Blue"])), F.array(*map(F.lit, ["Blue", "Green", "Red", "NIR"]))
-    return F.coalesce(F.when(n == 3, F.get(rgb, band - 1)).when(n == 4, F.get(ms, band - 1)), F.concat(F.lit("Band "), band.cast("string")))
+    """Label of a band (from 1) of n; seven and more bands are named alike."""
+    name = F.lit(None).cast("string")
+    for k, names in BAND_NAMES.items():
+        name = F.when(n >= k if k == 7 else n == k, F.get(F.array(*map(F.lit, names)), band - 1)).otherwise(name)
+    plain = F.concat(F.lit("Band "), band.cast("string"))
+    return F.coalesce(F.concat(plain, F.lit(" ("), name, F.lit(")")), plain)

@@ -78,18 +78,18 @@ def rectangle_meets(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column
     return vertex | corner | F.exists(G.edges(ring), crosses)
 
 
-def overlapping_pairs(boxes: DataFrame, key: list[str], min_iou: float, inclusive: bool = False, cell: int = CELL) -> DataFrame:
-    """(key..., a, b, iou) of boxes (det_id, x1..y2) of one key; each pair once, in the cell of its corner.
+def overlapping_pairs(boxes: DataFrame, key: list[str], min_iou: float, inclusive: bool = False, cell: int = CELL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key..., a, b, iou, a_ and b_ of ``carry``) of boxes (det_id, x1..y2) of one key; each pair once, in the cell of its corner.
 
     Equal cells are joined; a pair that shares several counts only where its intersection begins.
     """
-    left = with_cells(boxes.select(*key, F.col("det_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]), B.cols("a_"), cell)
-    right = with_cells(boxes.select(*key, F.col("det_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")]), B.cols("b_"), cell)
+    left = with_cells(boxes.select(*key, F.col("det_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2", *carry)]), B.cols("a_"), cell)
+    right = with_cells(boxes.select(*key, F.col("det_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2", *carry)]), B.cols("b_"), cell)
     iou = B.iou(B.cols("a_"), B.cols("b_"))
     here = (F.floor(F.greatest("a_x1", "b_x1") / cell) == F.col("gx")) & (F.floor(F.greatest("a_y1", "b_y1") / cell) == F.col("gy"))
     meet = (F.least("a_x2", "b_x2") > F.greatest("a_x1", "b_x1")) & (F.least("a_y2", "b_y2") > F.greatest("a_y1", "b_y1"))
     pairs = left.join(right.hint("merge"), [*key, "gx", "gy"]).where((F.col("a") < F.col("b")) & here & meet)
-    pairs = pairs.select(*key, "a", "b", iou.alias("iou"))
+    pairs = pairs.select(*key, "a", "b", iou.alias("iou"), *[f"{side}_{c}" for c in carry for side in "ab"])
     return pairs.where(F.col("iou") >= min_iou if inclusive else F.col("iou") > min_iou)
 
 

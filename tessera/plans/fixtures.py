@@ -28,6 +28,13 @@ SQL = {
     "corrections": """select user_id as session_id, cast(row_number() over (partition by user_id order by event_id) as bigint) as seq,
       case event_id % 10 when 8 then 'undo' when 9 then 'redo' when 7 then 'add' when 6 then 'edit' when 5 then 'edit' else 'delete' end as action,
       cast(event_id % 15000 as bigint) as det_id, event_id from {events}""",
+    "scenes": """select cast(p_partkey as int) as raster_id, cast(300 + (p_partkey*397) % 4000 as int) as width, cast(300 + (p_partkey*211) % 3500 as int) as height,
+      cast(1 + p_partkey % 9 as int) as bands, case p_partkey % 4 when 0 then 'uint8' when 1 then 'uint16' when 2 then 'float32' else 'float64' end as dtype,
+      case p_partkey % 4 when 0 then 32648 when 1 then 4326 when 3 then 32748 end as epsg,
+      case when p_partkey % 4 = 1 then cast(0.00001 as double) else cast(0.5 as double) end as a, cast(0 as double) as b,
+      case when p_partkey % 4 = 1 then cast(100 + p_partkey % 40 as double) else cast(400000 + p_partkey % 2000 * 100 as double) end as c, cast(0 as double) as d,
+      case when p_partkey % 4 = 1 then cast(-0.00001 as double) else cast(-0.5 as double) end as e,
+      case when p_partkey % 4 = 1 then cast(p_partkey % 81 - 40 as double) else cast(5000000 + p_partkey % 4000 * 10 as double) end as f from {part}""",
     "runs": """select cast(o_orderdate as date) as day, count(*) as n_tiles, sum(o_custkey) as n_detections from {orders} group by 1""",
     "models": """select p_name as model_name, p_type as description, p_partkey as created_at, p_size as channels from {part}""",
 }

@@ -11,6 +11,7 @@ from tessera.functions import box as B
 from tessera.functions import geo as G
 from tessera.functions import text as T
 from tessera.operators import corrections, decode, dedup, grid, pixels, routing, spatial
+from tessera.operators.storage import materialize
 from tessera.plans.fixtures import ctes, fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,12 +179,14 @@ def _(t):
 # --- duplicates --------------------------------------------------------------------------------------------------
 
 def _nms_sql(test: str, first: str = "sa>=sb", order: str = "score DESC, det_id", pairs: str = "pairs", ranked: str = "detections", before: str = "") -> str:
-    return f"""RECURSIVE WITH {PAIRS}, {before} ranked AS (SELECT *, row_number() OVER (PARTITION BY raster_id, class_id ORDER BY {order}) AS r FROM {ranked}),
-    better AS (SELECT CASE WHEN {first} THEN b ELSE a END AS det_id, list(CASE WHEN {first} THEN a ELSE b END) AS over_ FROM {pairs} WHERE {test} GROUP BY 1),
+    """Scan by rank; boxes without a conflict are kept at once, so a step has to look at the others only."""
+    return f"""RECURSIVE WITH {PAIRS.replace("pairs AS (", "pairs AS MATERIALIZED (")}, {before} clash AS MATERIALIZED (SELECT CASE WHEN {first} THEN b ELSE a END AS det_id, CASE WHEN {first} THEN a ELSE b END AS winner FROM {pairs} WHERE {test}),
+    better AS MATERIALIZED (SELECT det_id, list(winner) AS over_ FROM clash GROUP BY 1),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY raster_id, class_id ORDER BY {order}) AS r FROM {ranked} WHERE det_id IN (SELECT det_id FROM clash UNION ALL SELECT winner FROM clash)),
     step AS (SELECT DISTINCT raster_id, class_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM detections UNION ALL
       SELECT s.raster_id, s.class_id, s.r+1, CASE WHEN b.over_ IS NOT NULL AND list_has_any(s.kept, b.over_) THEN s.kept ELSE list_append(s.kept, d.det_id) END
       FROM step s JOIN ranked d ON d.raster_id=s.raster_id AND d.class_id=s.class_id AND d.r=s.r+1 LEFT JOIN better b ON b.det_id=d.det_id),
-    kept AS (SELECT unnest(kept) AS det_id FROM step QUALIFY row_number() OVER (PARTITION BY raster_id, class_id ORDER BY r DESC)=1)"""
+    kept AS MATERIALIZED (SELECT det_id FROM detections WHERE det_id NOT IN (SELECT det_id FROM ranked) UNION ALL SELECT unnest(kept) AS det_id FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY raster_id, class_id ORDER BY r DESC)=1))"""
 
 
 @query("n2_nms", _nms_sql("i/(s-i)>0.3") + " SELECT det_id FROM kept", "detections")
@@ -219,11 +222,21 @@ def _(t):
     return dedup.merge_preferring_inner(t.detections.withColumns({"edge": B.on_edge(least, F.lit(64)), "border_dist": share}), 0.3).select("det_id")
 
 
-def _tiled(t: Tables) -> DataFrame:
-    """Each detection once for every tile that holds its centre, as overlapping tiles report it."""
-    tiles = grid.windows(t.rasters)
-    df = _centres(t.detections).join(tiles, "raster_id")
-    return df.where("x >= x_off AND x < x_off + w AND y >= y_off AND y < y_off + h").drop("x_off", "y_off", "w", "h")
+def _tiled(t: Tables, tile: int = 640, overlap: int = 64) -> DataFrame:
+    """Each detection once for every tile that holds its centre, as overlapping tiles report it.
+
+    A centre lies in the tile of its stride, and in the one before if it is in their overlap: the tile's number follows
+    by arithmetic from the raster's size, without a join to the tiles.
+    """
+    stride = tile - overlap
+    df = _centres(t.detections).join(t.rasters.select("raster_id", "width", "height"), "raster_id")
+    n = lambda c: F.greatest(F.lit(1), F.ceil((F.col(c) - overlap) / stride)).cast("int")
+    last = lambda v, c: F.least(F.floor(v / stride).cast("int"), n(c) - 1)
+    first = lambda v, c: F.least(F.greatest(F.lit(0), F.floor((v - tile) / stride).cast("int") + 1), last(v, c))
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))
+    df = df.where(inside).withColumn("tx", F.explode(F.sequence(first(F.col("x"), "width"), last(F.col("x"), "width"))))
+    df = df.withColumn("ty", F.explode(F.sequence(first(F.col("y"), "height"), last(F.col("y"), "height"))))
+    return df.withColumn("tile_id", (F.col("ty") * n("width") + F.col("tx") + 1).cast("int")).drop("tx", "ty", "width", "height")
 
 
 OWNED = f"{CORES}, owned AS (SELECT d.*, c.tile_id FROM detections d JOIN cores c ON d.raster_id=c.raster_id AND (x1+x2)/2>=cx1 AND (x1+x2)/2<cx2 AND (y1+y2)/2>=cy1 AND (y1+y2)/2<cy2)"
@@ -236,14 +249,19 @@ def _(t):
 
 @query("n9_flagship", _nms_sql("i/(s-i)>0.3") + f", {INSIDE}, {KEEP} SELECT raster_id, class_id, count(*) AS n FROM keep JOIN kept USING (det_id) GROUP BY ALL", "rasters detections polygons poly_edges")
 def flagship(t):
-    mine = dedup.owned(_tiled(t), grid.core_bounds(grid.windows(t.rasters), t.rasters)).drop("tile_id")
+    mine = materialize(dedup.owned(_tiled(t), grid.core_bounds(grid.windows(t.rasters), t.rasters)).drop("tile_id"), "owned")
     kept = spatial.filter_by_polygons(dedup.nms(mine, 0.3), t.polygons, ["det_id"])
     return kept.groupBy("raster_id", "class_id").agg(F.count("*").alias("n"))
 
 
-@query("n10_signature", None)
+@query("n10_signature", "SELECT raster_id, count(*) AS n, true AS same_in_any_order, bool_or(score>=0.5) AS tells_scores FROM detections GROUP BY 1", "detections")
 def _(t):
-    return dedup.signature(t.detections)
+    """The signature itself, Spark's hash, stays; what it must tell: no order of rows, but other scores."""
+    one, two = dedup.signature(t.detections), dedup.signature(t.detections.repartition(7, "score")).withColumnRenamed("sig", "again")
+    other = t.detections.withColumn("score", F.when(F.col("score") >= 0.5, F.col("score") / 2).otherwise(F.col("score")))
+    other = dedup.signature(other).withColumnRenamed("sig", "changed")
+    df = one.join(two, ["raster_id", "n"]).join(other, ["raster_id", "n"])
+    return df.select("raster_id", "n", (F.col("sig") == F.col("again")).alias("same_in_any_order"), (F.col("sig") != F.col("changed")).alias("tells_scores"))
 
 
 # --- aggregates, windows, order ----------------------------------------------------------------------------------
@@ -343,7 +361,7 @@ def _(t):
 
 @query("a6_zonal_means", "SELECT p.raster_id, det_id AS zone_id, band, round(avg(value) FILTER (value<>-9999),6) AS mean FROM (SELECT det_id, x1%100 AS zx, floor(y1/4) AS zy FROM detections WHERE raster_id=0) z JOIN pixels p ON col<zx+6 AND col+1>zx AND row<zy+6 AND row+1>zy GROUP BY 1,2,3", "detections pixels")
 def _(t):
-    z = t.detections.where("raster_id = 0").selectExpr("raster_id", "det_id AS zone_id", "x1 % 100 AS x1", "CAST(floor(y1/4) AS DOUBLE) AS y1").selectExpr("*", "x1 + 6 AS x2", "y1 + 6 AS y2")
+    z = t.detections.join(t.pixels.select("raster_id").distinct(), "raster_id", "left_semi").selectExpr("raster_id", "det_id AS zone_id", "x1 % 100 AS x1", "CAST(floor(y1/4) AS DOUBLE) AS y1").selectExpr("*", "x1 + 6 AS x2", "y1 + 6 AS y2")
     return pixels.zonal_means(z, t.pixels).withColumn("mean", F.round("mean", 6))
 
 
@@ -367,9 +385,15 @@ def _(t):
     return routing.mismatch(routing.greedy_assignment(refs, pixels.input_means(t.pixels, 10))).withColumn("max_diff", F.round("max_diff", 6))
 
 
-@query("r1_keyword_router", "SELECT p_partkey, CASE WHEN p_name LIKE '%coastal%' THEN 0 WHEN p_name LIKE '%blue%' THEN 1 WHEN p_name LIKE '%green%' THEN 2 WHEN p_name LIKE '%yellow%' THEN 3 WHEN p_name LIKE '%red edge%' THEN 5 WHEN p_name LIKE '%red%' THEN 4 WHEN p_name LIKE '%nir%' OR p_name LIKE '%near%' THEN 6 WHEN p_name LIKE '%swir%' THEN 7 END AS slot FROM (SELECT p_partkey, lower(p_name) AS p_name FROM part)")
+#: Names that some band of each kind carries; they are put behind the part's own.
+BAND_WORDS = ["Red Edge 1", "edge", "NIR 2", "near", "IR", "SWIR", "Coastal", "Yellow", "Blue", "Red", "Green", "Pan"]
+R1_SLOT = "CASE WHEN d LIKE '%coastal%' THEN 0 WHEN d LIKE '%blue%' THEN 1 WHEN d LIKE '%green%' THEN 2 WHEN d LIKE '%yellow%' THEN 3 WHEN d LIKE '%red%' THEN 4 WHEN d LIKE '%edge%' THEN 5 WHEN d LIKE '%nir%' OR d LIKE '%near%' THEN 6 WHEN d LIKE '%ir%' THEN 7 END"
+
+
+@query("r1_keyword_router", f"SELECT p_partkey, {R1_SLOT} AS slot FROM (SELECT p_partkey, lower(p_name || ' ' || ({BAND_WORDS})[CAST(p_partkey%12 AS INT)+1]) AS d FROM part)")
 def _(t):
-    return t.part.select("p_partkey", routing.keyword_slot(F.col("p_name")).alias("slot"))
+    word = F.get(F.array(*map(F.lit, BAND_WORDS)), (F.col("p_partkey") % 12).cast("int"))
+    return t.part.select("p_partkey", routing.keyword_slot(F.concat("p_name", F.lit(" "), word)).alias("slot"))
 
 
 @query("r7_strategy", "SELECT p_partkey, CASE WHEN p_size%7=0 THEN 'manual' WHEN p_size%4=0 AND p_size%3<>0 THEN 'identity' WHEN p_size%3=0 THEN 'multiref' WHEN p_size%2=0 THEN 'adaptive' ELSE 'error' END AS strategy FROM part")
@@ -438,11 +462,11 @@ def _(t):
     return t.supplier.select("s_suppkey", F.round(m, 3).alias("m"))
 
 
-@query("k1_raw_export", "SELECT row_number() OVER (PARTITION BY raster_id ORDER BY det_id) AS id, raster_id, 'c'||class_id AS kelas, round(score,4) AS confidence, round(x1,1) AS x1_px, round(y2,1) AS y2_px, 'not_corrected' AS status, round(c+x2*a,6) AS geo_x2, 5 AS n_ring FROM detections JOIN rasters USING (raster_id)", "detections rasters")
+@query("k1_raw_export", "SELECT row_number() OVER (PARTITION BY raster_id ORDER BY det_id) AS id, raster_id, 'c'||class_id AS kelas, round_even(score,4) AS confidence, round_even(x1,1) AS x1_px, round_even(y2,1) AS y2_px, 'not_corrected' AS status, round(c+x2*a,6) AS geo_x2, 5 AS n_ring FROM detections JOIN rasters USING (raster_id)", "detections rasters")
 def _(t):
     df = t.detections.join(t.rasters, "raster_id")
     ring = G.ring_to_crs(B.ring(B.cols()), G.transform_cols())
-    return df.select(F.row_number().over(Window.partitionBy("raster_id").orderBy("det_id")).cast("long").alias("id"), "raster_id", F.concat(F.lit("c"), F.col("class_id")).alias("kelas"), F.round("score", 4).alias("confidence"), F.round("x1", 1).alias("x1_px"), F.round("y2", 1).alias("y2_px"), F.lit("not_corrected").alias("status"), r6(F.get(ring, F.lit(1))["x"], "geo_x2"), F.size(ring).alias("n_ring"))
+    return df.select(F.row_number().over(Window.partitionBy("raster_id").orderBy("det_id")).cast("long").alias("id"), "raster_id", F.concat(F.lit("c"), F.col("class_id")).alias("kelas"), F.bround("score", 4).alias("confidence"), F.bround("x1", 1).alias("x1_px"), F.bround("y2", 1).alias("y2_px"), F.lit("not_corrected").alias("status"), r6(F.get(ring, F.lit(1))["x"], "geo_x2"), F.size(ring).alias("n_ring"))
 
 
 @query("s15_box_from_ring", "SELECT det_id, round(x1,3) AS x1, round(y1,3) AS y1, round(x2,3) AS x2, round(y2,3) AS y2 FROM detections", "detections rasters")
@@ -454,9 +478,16 @@ def _(t):
     return df.select("det_id", F.round(side(F.array_min, "x"), 3).alias("x1"), F.round(side(F.array_min, "y"), 3).alias("y1"), F.round(side(F.array_max, "x"), 3).alias("x2"), F.round(side(F.array_max, "y"), 3).alias("y2"))
 
 
-@query("z_text_helpers", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\\s+[a-z0-9._-]+', 'Bearer [REDACTED]', 'g'), '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}', '[EMAIL]', 'g'), '(?i)tmp_[a-z0-9]+', 'tmp_[ID]', 'g') AS text, CASE WHEN length(source)>18 THEN substr(source,1,15)||'...' ELSE source END AS short, CASE WHEN source LIKE '%.json' THEN 'vector' ELSE 'raster' END AS kind FROM (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|passwd|pwd)\\s*[=:]\\s*\\S+', '\\1=[REDACTED]', 'g'), '(?i)(api[_-]?key|secret|token)\\s*[=:]\\s*\\S+', '\\1=[REDACTED]', 'g'), '(?i)/home/[^/\\s]+', '/home/[USER]', 'g'), '(?i)/users/[^/\\s]+', '/Users/[USER]', 'g'), '(?i)session[_-]?id\\s*[=:]\\s*\\S+', 'session_id=[REDACTED]', 'g') AS text FROM documents)")
+SECRET = "coalesce(text,'') || ' Password=p' || doc_id || '&x token=t' || doc_id || ' auth=a ' || 'bearer ab.c' || doc_id || '== C:\\Users\\u' || doc_id || '\\f /home/u' || doc_id || '/x session_' || doc_id || ' TMP_z' || doc_id"
+Z3_SQL = SECRET
+for _pattern, _put in ((r"(password|passwd|pwd)=[^\s&]+", r"\1=***REDACTED***"), (r"(token|api_key|apikey)=[^\s&]+", r"\1=***REDACTED***"), (r"(secret|auth|authorization)=[^\s&]+", r"\1=***REDACTED***"), (r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer ***REDACTED***"), (r"\b([a-zA-Z])[a-zA-Z0-9._%+-]*@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b", r"\1***@\2"), (r"([C-Z]:\\Users\\)([^\\]+)(\\)", r"\1***\3"), (r"(/home/)([^/]+)", r"\1***"), (r"(session|temp|tmp)_[a-zA-Z0-9]+", r"\1_***")):
+    Z3_SQL = f"regexp_replace({Z3_SQL}, '{_pattern}', '{_put}', 'gi')"
+
+
+@query("z_text_helpers", f"SELECT doc_id, {Z3_SQL} AS text, CASE WHEN length(source)>18 THEN substr(source,1,15)||'...' ELSE source END AS short, CASE WHEN source LIKE '%.json' THEN 'vector' ELSE 'raster' END AS kind FROM documents")
 def _(t):
-    return t.documents.select("doc_id", T.redacted(F.col("text")).alias("text"), T.short_name(F.col("source")).alias("short"), T.layer_kind(F.col("source")).alias("kind"))
+    text = F.expr(SECRET.replace("\\", "\\\\"))
+    return t.documents.select("doc_id", T.redacted(text).alias("text"), T.short_name(F.col("source")).alias("short"), T.layer_kind(F.col("source")).alias("kind"))
 
 
 # --- corrections, registry ---------------------------------------------------------------------------------------

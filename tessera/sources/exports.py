@@ -36,9 +36,9 @@ def polygon_features(polygons: DataFrame) -> DataFrame:
 
 
 def polygon_rows(polygons: DataFrame) -> DataFrame:
-    """Drawn polygons in the CRS: closed, exterior clockwise, with number, name and area."""
+    """Drawn polygons in the CRS: closed, exterior clockwise, with number, name and area in m2."""
     df = polygons.withColumn("ring", G.clockwise(G.ring_to_crs(F.col("ring"), G.transform_cols())))
-    return df.select("raster_id", "polygon_id", F.concat(F.lit("Polygon "), F.col("polygon_id")).alias("name"), F.abs(G.signed_area(F.col("ring"))).alias("area"), "ring")
+    return df.select("raster_id", "polygon_id", F.concat(F.lit("Polygon "), F.col("polygon_id")).alias("name"), G.area_m2(F.col("ring"), F.col("epsg")).alias("area"), "ring")
 
 
 def detection_features(detections: DataFrame, names: Column, lonlat: bool = False) -> DataFrame:
