@@ -14,9 +14,10 @@ E2 = FLAT * (2 - FLAT)
 K0 = 0.9996
 N = FLAT / (2 - FLAT)
 RECT = A / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
-#: Krueger's series to the third order.
-ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240)
-BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3 / 480)
+#: Krueger's series to the fourth order.
+ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180, 13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440, 61 * N**3 / 240 - 103 * N**4 / 140, 49561 * N**4 / 161280)
+BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360, N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440, 17 * N**3 / 480 - 37 * N**4 / 840, 4397 * N**4 / 161280)
+DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45, 7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45, 56 * N**3 / 15 - 136 * N**4 / 35, 4279 * N**4 / 630)
 
 
 def to_crs(x: Column, y: Column, t: tuple[Column, ...]) -> tuple[Column, Column]:
@@ -59,8 +60,7 @@ def utm_inverse(x: Column, y: Column, zone: Column, south: Column) -> tuple[Colu
         xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    d = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15)
-    lat = chi + sum((dj * F.sin(2 * j * chi) for j, dj in enumerate(d, 1)), F.lit(0.0))
+    lat = chi + sum((dj * F.sin(2 * j * chi) for j, dj in enumerate(DELTA, 1)), F.lit(0.0))
     lon = zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
     return lon, F.degrees(lat)
 

@@ -66,12 +66,10 @@ def _(t):
     return layers.join(t.rasters, "raster_id").select("raster_id", "n", plain("min_x"), plain("max_y"))
 
 
-@query("k9_polygon_rows", "SELECT polygon_id, 'Polygon ' || polygon_id AS name, round(side*side*a*a/CASE WHEN polygon_id%2=1 THEN 2 ELSE 1 END,2) AS area, true AS is_clockwise, CAST(CASE WHEN polygon_id%2=1 THEN 4 ELSE 5 END AS INT) AS n_points FROM polygons JOIN rasters USING (raster_id) WHERE epsg IS DISTINCT FROM 4326 UNION ALL SELECT polygon_id, 'Polygon ' || polygon_id, NULL, true, CAST(CASE WHEN polygon_id%2=1 THEN 4 ELSE 5 END AS INT) FROM polygons JOIN rasters USING (raster_id) WHERE epsg=4326", "polygons rasters")
+@query("k9_polygon_rows", "WITH h AS (SELECT *, sin(radians(f+py*e)) AS s1, sin(radians(f+(py+side)*e)) AS s2, 0.0066943799901413165::DOUBLE AS e2, 0.08181919084262149::DOUBLE AS e1 FROM polygons JOIN rasters USING (raster_id)) SELECT polygon_id, 'Polygon ' || polygon_id AS name, round(CASE WHEN epsg=4326 THEN 0.9996*0.9996*6378137.0::DOUBLE*6378137.0*radians(side*a)*(1-e2)/2*(s1/(1-e2*s1*s1)+atanh(e1*s1)/e1-s2/(1-e2*s2*s2)-atanh(e1*s2)/e1) ELSE side*side*a*a END/CASE WHEN polygon_id%2=1 THEN 2 ELSE 1 END,0) AS area, true AS is_clockwise, CAST(CASE WHEN polygon_id%2=1 THEN 4 ELSE 5 END AS INT) AS n_points FROM h", "polygons rasters")
 def _(t):
-    df = exports.polygon_rows(t.polygons.join(t.rasters, "raster_id")).join(t.rasters.select("raster_id", "epsg"), "raster_id")
-    # Shoelace sums of degrees near 105 keep too few digits of such small areas to compare.
-    area = F.when(F.coalesce(F.col("epsg") == 4326, F.lit(False)), None).otherwise(F.round("area", 2))
-    return df.select("polygon_id", "name", area.alias("area"), (G.signed_area(F.col("ring")) < 0).alias("is_clockwise"), F.size("ring").alias("n_points"))
+    df = exports.polygon_rows(t.polygons.join(t.rasters, "raster_id"))
+    return df.select("polygon_id", "name", F.round("area", 0).alias("area"), (G.signed_area(F.col("ring")) < 0).alias("is_clockwise"), F.size("ring").alias("n_points"))
 
 
 @query("k11_training_tiles", "SELECT raster_id, x*576 AS x_off, y*576 AS y_off, printf('tile_%04d_%04d', y, x) AS tile_name, printf('mask_%04d_%04d', y, x) AS mask_name FROM rasters, (SELECT CAST(range AS INT) AS x FROM range(3)), (SELECT CAST(range AS INT) AS y FROM range(3))", "rasters")

@@ -31,15 +31,13 @@ def _(t):
     return df.select("raster_id", "id", "x", r6(F.col("geo_y"), "geo_y"), "source", "radius_px")
 
 
-@query("g27_polygon_records", "WITH r AS (SELECT p.*, row_number() OVER (PARTITION BY raster_id ORDER BY polygon_id) AS n, a, c FROM polygons p JOIN rasters USING (raster_id)), o AS (SELECT *, CASE WHEN polygon_id%3=0 THEN 2 ELSE 1 END AS k FROM r UNION ALL SELECT * REPLACE (polygon_id+1000000000 AS polygon_id, row_number() OVER (PARTITION BY raster_id ORDER BY polygon_id)+(SELECT max(n) FROM r q WHERE q.raster_id=r.raster_id) AS n), 2 FROM r WHERE polygon_id%4=0) SELECT raster_id, polygon_id, CAST(n AS INT) AS number, 'Polygon '||n AS name, round(c+k*px*a,6) AS geo_x, round(k*k*side*side*a*a/CASE WHEN polygon_id%2=1 THEN 2 ELSE 1 END,2) AS area FROM o WHERE abs(a)>0.01", "rasters polygons")
+@query("g27_polygon_records", "WITH r AS (SELECT p.*, row_number() OVER (PARTITION BY raster_id ORDER BY polygon_id) AS n, a, c, e, f, epsg FROM polygons p JOIN rasters USING (raster_id)), o AS (SELECT *, CASE WHEN polygon_id%3=0 THEN 2 ELSE 1 END AS k, polygon_id AS old FROM r UNION ALL SELECT * REPLACE (polygon_id+1000000000 AS polygon_id, row_number() OVER (PARTITION BY raster_id ORDER BY polygon_id)+(SELECT max(n) FROM r q WHERE q.raster_id=r.raster_id) AS n), 2, polygon_id FROM r WHERE polygon_id%4=0), h AS (SELECT *, sin(radians(f+k*py*e)) AS s1, sin(radians(f+k*(py+side)*e)) AS s2, 0.0066943799901413165::DOUBLE AS e2, 0.08181919084262149::DOUBLE AS e1 FROM o) SELECT raster_id, polygon_id, CAST(n AS INT) AS number, 'Polygon '||n AS name, round(c+k*px*a,6) AS geo_x, round(CASE WHEN epsg=4326 THEN 0.9996*0.9996*6378137.0::DOUBLE*6378137.0*radians(k*side*a)*(1-e2)/2*(s1/(1-e2*s1*s1)+atanh(e1*s1)/e1-s2/(1-e2*s2*s2)-atanh(e1*s2)/e1) ELSE k*k*side*side*a*a END/CASE WHEN old%2=1 THEN 2 ELSE 1 END,0) AS area FROM h", "rasters polygons")
 def _(t):
     double = F.transform("ring", lambda p: G.point(p["x"] * 2, p["y"] * 2)).alias("ring")
     changed = t.polygons.where("polygon_id % 3 = 0").select("raster_id", "polygon_id", double)
     added = t.polygons.where("polygon_id % 4 = 0").select("raster_id", (F.col("polygon_id") + 1_000_000_000).alias("polygon_id"), double)
     df = records.refreshed(records.polygon_records(t.polygons, t.rasters), changed.unionByName(added), t.rasters)
-    # Shoelace sums of degrees near 105 keep too few digits of such small areas to compare.
-    df = df.join(t.rasters.where("abs(a) > 0.01").select("raster_id"), "raster_id", "left_semi")
-    return df.select("raster_id", "polygon_id", "number", "name", r6(F.array_min(F.transform("ring_crs", lambda p: p["x"])), "geo_x"), F.round("area", 2).alias("area"))
+    return df.select("raster_id", "polygon_id", "number", "name", r6(F.array_min(F.transform("ring_crs", lambda p: p["x"])), "geo_x"), F.round("area", 0).alias("area"))
 
 
 @query("g19_vector_parts", "SELECT polygon_id AS id, part, ring_no, CAST(CASE WHEN polygon_id%2=1 THEN 4 ELSE 5 END AS INT) AS n_points, round(px+dx*side,2) AS min_x, round(py+dy*side,2) AS min_y FROM polygons JOIN rasters USING (raster_id), (VALUES (0,0,0,0),(0,1,0.125,0.125),(1,0,1,0)) v(part, ring_no, dx, dy) WHERE epsg IS NOT NULL", "rasters polygons")

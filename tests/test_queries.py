@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import exports, records  # noqa: F401  (register their queries)
+from tessera.plans import exports, reads, records  # noqa: F401  (register their queries)
 from tessera.plans.queries import ORACLES, QUERIES
 
 
