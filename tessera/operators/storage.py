@@ -13,8 +13,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("at", "file://" + tempfile.mkdtemp(prefix="spark-tessera-", dir="/tmp"))
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where a local session has none, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = at or _LOCAL.setdefault("at", "file://" + tempfile.mkdtemp(prefix="spark-tessera-", dir="/tmp"))
     return at.rstrip("/")
 
 
