@@ -55,6 +55,29 @@ def from_centre(cx: Column, cy: Column, w: Column, h: Column) -> Box:
     return cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2
 
 
+def corners(b: Box, cx: Column, cy: Column, w: Column, h: Column) -> Box:
+    """Corners where a record has them, else from its centre and size."""
+    return tuple(F.coalesce(a, c) for a, c in zip(b, from_centre(cx, cy, w, h)))  # type: ignore[return-value]
+
+
+def on_preview(b: Box, scale: Column) -> Box:
+    """Whole pixels of a scaled-down image, cut towards 0."""
+    return tuple((v * scale).cast("int") for v in b)  # type: ignore[return-value]
+
+
+def drawn_size(b: Box) -> tuple[Column, Column]:
+    """Width and height on the screen: at least 1."""
+    return F.greatest(F.lit(1.0), b[2] - b[0]), F.greatest(F.lit(1.0), b[3] - b[1])
+
+
+#: Least side of a box that is drawn anew, and of one that is resized.
+LEAST_DRAWN, LEAST_RESIZED = 5.0, 2.0
+
+
+def large_enough(b: Box, least: float = LEAST_DRAWN) -> Column:
+    return (b[2] - b[0] >= least) & (b[3] - b[1] >= least)
+
+
 def absolute(b: Box, size: Column, tile: Sequence[str]) -> Box:
     """Coordinates of up to 1.01 in all of a tile's boxes, or in a row's own, are fractions of the input size."""
     top = F.greatest(*map(F.abs, b))
@@ -89,3 +112,12 @@ def ring(b: Box) -> Column:
 def class_name(class_id: Column, names: Column) -> Column:
     """``names`` is a map of ids to names; unknown ids are named by their number."""
     return F.coalesce(F.try_element_at(names, class_id), class_id.cast("string"))
+
+
+#: Colours (blue, green, red) that classes take in turn.
+COLOURS = [(0, 255, 0), (0, 165, 255), (255, 0, 0), (255, 255, 0), (255, 0, 255)]
+
+
+def colour(class_id: Column) -> Column:
+    every = F.array(*[F.array(*map(F.lit, c)) for c in COLOURS])
+    return F.get(every, F.pmod(class_id, F.lit(len(COLOURS))).cast("int"))

@@ -102,15 +102,20 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_M * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
+#: Angle in radians beyond which two points are nearly opposite.
+OPPOSITE = 3.1
+
+
 def andoyer(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Ellipsoidal distance by the Andoyer-Lambert formula: closed form, within metres over thousands of km."""
+    """Ellipsoidal distance by the Andoyer-Lambert formula: closed form, within metres over thousands of km. Between points
+    that are nearly opposite, where it does not hold, the great circle's."""
     b1, b2 = (F.atan((1 - FLAT) * F.tan(F.radians(v))) for v in (lat1, lat2))
     h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     sigma = 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
     p, q = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (sigma - F.sin(sigma)) * F.pow(F.sin(p), 2) * F.pow(F.cos(q), 2) / F.pow(F.cos(sigma / 2), 2)
-    y = (sigma + F.sin(sigma)) * F.pow(F.cos(p), 2) * F.pow(F.sin(q), 2) / F.pow(F.sin(sigma / 2), 2)
-    return F.when(sigma < 1e-12, 0.0).otherwise(A * (sigma - FLAT / 2 * (x + y)))
+    x = F.try_divide((sigma - F.sin(sigma)) * F.pow(F.sin(p), 2) * F.pow(F.cos(q), 2), F.pow(F.cos(sigma / 2), 2))
+    y = F.try_divide((sigma + F.sin(sigma)) * F.pow(F.cos(p), 2) * F.pow(F.sin(q), 2), F.pow(F.sin(sigma / 2), 2))
+    return F.when(sigma < 1e-12, 0.0).when(sigma > OPPOSITE, haversine(lon1, lat1, lon2, lat2)).otherwise(A * (sigma - FLAT / 2 * (x + y)))
 
 
 def pixel_size_m(a: Column, e: Column, lat: Column, geographic: Column) -> tuple[Column, Column]:
@@ -191,7 +196,8 @@ def circle_ring(cx: Column, cy: Column, r: Column, steps: int = 64) -> Column:
 
 
 def square(cx: Column, cy: Column, r: Column) -> Column:
-    return F.array(point(cx - r, cy - r), point(cx + r, cy - r), point(cx + r, cy + r), point(cx - r, cy + r), point(cx - r, cy - r))
+    """Closed ring from the corner of least x and greatest y on, clockwise with y upwards."""
+    return F.array(point(cx - r, cy + r), point(cx + r, cy + r), point(cx + r, cy - r), point(cx - r, cy - r), point(cx - r, cy + r))
 
 
 #: Units of a metre.

@@ -57,6 +57,16 @@ def current_state(detections: DataFrame, events: DataFrame) -> DataFrame:
     return both.withColumn("status", F.coalesce("status", F.lit("not_corrected"))).drop("_added", *[f"_{c}" for c in boxed])
 
 
+def added_boxes(events: DataFrame, detections: DataFrame) -> DataFrame:
+    """A row per added box (``events`` with ``raster_id`` and ``BOX``): ids go on from the raster's greatest, in the order of
+    the events; score 1.0, class ``manual``, status ``added``."""
+    last = detections.groupBy("raster_id").agg(F.max("det_id").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy("raster_id").orderBy("event_id"))
+    df = events.where("action = 'add'").withColumn("_nth", nth).join(last, "raster_id", "left")
+    new = (F.coalesce("_last", F.lit(-1)) + F.col("_nth")).cast("long")
+    return df.select("raster_id", "event_id", new.alias("det_id"), *BOX, F.lit(1.0).alias("score"), F.lit("manual").alias("class_name"), F.lit("added").alias("status"))
+
+
 def corrected_export(state: DataFrame, events: DataFrame, least_score: float, reviewer: str, day: str) -> DataFrame:
     """Visible boxes with reviewer and date, both mandatory; none unless some action happened, be it undone since."""
     if not reviewer or not day:

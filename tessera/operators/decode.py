@@ -29,20 +29,77 @@ def decode_rows(raw: DataFrame, size: float, conf: float, pad: float = 0.0, scal
     return df.withColumn("edge", B.on_edge(least, F.lit(overlap))).withColumn("border_dist", share).drop("vec")
 
 
-def decode_lists(raw: DataFrame, conf: float) -> DataFrame:
-    """Parallel arrays boxes, labels, scores; of unequal lengths: no rows."""
+SIDES = ("x1", "y1", "x2", "y2")
+#: What is known of a tile: its letterbox in the model's input, its corner in the raster, its size.
+TILE = ("scale", "left", "top", "tile_x", "tile_y", "tile_w", "tile_h")
+
+
+def placed(df: DataFrame, overlap: float = 64.0) -> DataFrame:
+    """Boxes of a model's input back in the raster: letterbox undone, ordered, cut to the tile, moved to its corner. Empty
+    ones go; ``edge`` and ``border_dist`` are the tile's."""
+    w, h = F.col("tile_w").cast("double"), F.col("tile_h").cast("double")
+    back = tuple(B.unletterbox(F.col(c), F.col(p), F.col("scale")) for c, p in zip(SIDES, ("left", "top", "left", "top")))
+    inside = B.clamped(B.ordered(back), w, h)
+    least, share = B.border_distance(inside, w, h)
+    moved = dict(zip(SIDES, B.shifted(inside, F.col("tile_x"), F.col("tile_y"))))
+    df = df.withColumns(moved | {"edge": B.on_edge(least, F.lit(overlap)), "border_dist": share})
+    return df.where("x2 > x1 AND y2 > y1").drop(*TILE)
+
+
+def _listed(raw: DataFrame, *more: str) -> DataFrame:
+    df = raw.select("raster_id", "tile_id", *TILE, *more, F.posexplode(F.arrays_zip("boxes", "labels", "scores")).alias("det_idx", "d"))
+    at = [F.get("d.boxes", F.lit(i)).cast("double").alias(c) for i, c in enumerate(SIDES)]
+    return df.select("raster_id", "tile_id", *TILE, *more, "det_idx", *at, F.col("d.labels").cast("int").alias("class_id"), F.col("d.scores").cast("double").alias("score"))
+
+
+def decode_lists(raw: DataFrame, conf: float, overlap: float = 64.0) -> DataFrame:
+    """Parallel arrays boxes, labels, scores of a two-stage detector (and ``TILE``); of unequal lengths: no rows."""
     same = (F.size("boxes") == F.size("labels")) & (F.size("boxes") == F.size("scores"))
-    df = raw.where(same).select("raster_id", "tile_id", F.posexplode(F.arrays_zip("boxes", "labels", "scores")).alias("det_idx", "d"))
-    at = lambda i: F.get("d.boxes", F.lit(i)).cast("double")
-    df = df.select("raster_id", "tile_id", "det_idx", *[at(i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.col("d.labels").alias("class_id"), F.col("d.scores").cast("double").alias("score"))
-    return df.where((F.col("score") >= conf) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    return placed(_listed(raw.where(same)).where(F.col("score") >= conf), overlap)
+
+
+def decode_three(raw: DataFrame, size: float, conf: float, overlap: float = 64.0) -> DataFrame:
+    """Outputs boxes, scores, labels (and ``TILE``) as far as the shortest goes. Coordinates of up to 1.01 in all of a
+    tile's boxes are fractions of the input size; after that those of a box's own are."""
+    top = F.array_max(F.transform("boxes", lambda b: F.array_max(F.transform(F.slice(b, 1, 4), lambda v: F.abs(v)))))
+    n = F.least(F.size("boxes"), F.size("labels"), F.size("scores"))
+    df = raw.withColumn("fractions", F.coalesce(top <= 1.01, F.lit(False)))
+    df = _listed(df.withColumns({c: F.slice(c, F.lit(1), n) for c in ("boxes", "labels", "scores")}), "fractions")
+    df = df.withColumns({c: F.when(F.col("fractions"), F.col(c) * size).otherwise(F.col(c)) for c in SIDES})
+    small = F.greatest(*map(F.abs, B.cols())) <= 1.01
+    df = df.withColumns({c: F.when(small, F.col(c) * size).otherwise(F.col(c)) for c in SIDES})
+    return placed(df.where(F.col("score") >= conf).drop("fractions"), overlap)
 
 
 def layout(shapes: Column) -> Column:
-    """rows, transposed, three_outputs, two_stage or invalid, from an array of shapes."""
+    """What a model's outputs are, from an array of shapes (unknown sizes null): kind (``lists`` of three outputs, else
+    ``rows``), valid, transposed, detections, features.
+
+    Rows are (batch, detections, features) of at least five features, or transposed if the second size is under 100 and
+    the third over 1000. Where a size is unknown: 8400 detections, and 85 features if theirs is.
+    """
     one = F.get(shapes, F.lit(0))
-    a, b = F.get(one, F.lit(0)), F.get(one, F.lit(1))
-    return F.when(F.size(shapes) == 3, "three_outputs").when(F.size(shapes) == 2, "two_stage").when((F.size(shapes) != 1) | (F.size(one) < 2), "invalid").when((a < 100) & (b > 1000), "transposed").when(b >= 5, "rows").otherwise("invalid")
+    a, b, flat = F.get(one, F.lit(1)), F.get(one, F.lit(2)), F.size(one) == 3
+    turned, known = F.coalesce((a < 100) & (b > 1000), F.lit(False)), a.isNotNull() & b.isNotNull()
+    features = F.when(turned, a).otherwise(F.coalesce(b, F.lit(85)))
+    rows = F.struct(
+        F.lit("rows").alias("kind"),
+        F.coalesce(flat & (features >= 5), F.lit(False)).alias("valid"),
+        F.coalesce(flat & turned, F.lit(False)).alias("transposed"),
+        F.when(flat, F.when(turned, b).when(known, a).otherwise(8400)).cast("int").alias("detections"),
+        F.when(flat, features).cast("int").alias("features"),
+    )
+    none = F.lit(None).cast("int")
+    lists = F.struct(F.lit("lists").alias("kind"), F.lit(True).alias("valid"), F.lit(False).alias("transposed"), none.alias("detections"), none.alias("features"))
+    return F.when(F.size(shapes) == 3, lists).otherwise(rows)
+
+
+def from_centres(rows: DataFrame) -> DataFrame:
+    """Rows ``vec`` of five or more features, whose box is centre and size: as corners."""
+    v = lambda i: F.get("vec", F.lit(i)).cast("double")
+    rest = F.slice(F.col("vec").cast("array<double>"), F.lit(5), F.greatest(F.size("vec") - 4, F.lit(0)))
+    turned = F.concat(F.array(*B.from_centre(v(0), v(1), v(2), v(3))), rest)
+    return rows.withColumn("vec", F.when(F.size("vec") >= 5, turned).otherwise(F.col("vec").cast("array<double>")))
 
 
 def transposed(raw: DataFrame) -> DataFrame:
@@ -53,10 +110,11 @@ def transposed(raw: DataFrame) -> DataFrame:
 
 
 def tile_shape(shape: Column) -> tuple[Column, Column]:
-    """(h, w) of a 2-d shape, or of a 3-d one whose first or last axis is the channels (at most 4)."""
-    at = lambda i: F.get(shape, F.lit(i))
-    first = (F.size(shape) == 3) & (at(0) <= 4) & (at(2) > 4)
-    return F.when(first, at(1)).otherwise(at(0)), F.when(first, at(2)).otherwise(at(1))
+    """(h, w): of three axes the last two if the first is channels (at most 4), else the first two; otherwise the last two.
+    0 where there are fewer."""
+    first = (F.size(shape) == 3) & (F.get(shape, F.lit(0)) > 4)
+    at = lambda k: F.when(first, F.get(shape, F.lit(k))).when(F.size(shape) >= 2, F.get(shape, F.size(shape) - 2 + k)).otherwise(0)
+    return at(0), at(1)
 
 
 def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], list[np.ndarray]], shape: tuple[int, ...], batch: int = 4) -> DataFrame:

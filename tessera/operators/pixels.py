@@ -25,6 +25,15 @@ def input_means(pixels: DataFrame, step: int = 1) -> DataFrame:
     return df.groupBy("raster_id", "band").agg(F.coalesce(F.avg(F.when(F.col("value") > 0, F.col("value"))), F.lit(0.0)).alias("mean"))
 
 
+def adaptive_mapping(pixels: DataFrame, slots: list[int], step: int = 10) -> DataFrame:
+    """Band i fills the i-th of the sorted slots, stretched by percentiles of every ``step``-th row and column; slots and
+    bands beyond the shorter list are left out."""
+    every = F.array(*map(F.lit, sorted(slots)))
+    df = adaptive_percentiles(pixels.where((F.col("row") % step == 0) & (F.col("col") % step == 0)))
+    df = df.withColumn("slot", F.get(every, F.col("band") - 1)).where("slot IS NOT NULL")
+    return df.select("raster_id", "slot", F.col("band").alias("input_band"), F.col("lo").alias("p_low"), F.col("hi").alias("p_high"))
+
+
 def adaptive_percentiles(pixels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Percentiles of pixels above 0: (0, 255) if there are none, (min, max + 1e-6) if they are flat."""
     v = F.when(F.col("value") > 0, F.col("value"))
@@ -61,12 +70,14 @@ def prepared(pixels: DataFrame, mapping: DataFrame, tile: int = 32) -> DataFrame
 
 
 def unit_range(pixels: DataFrame, least: int = 100) -> DataFrame:
-    """2 % and 98 % of valid pixels to 0..1; values under -9999 and NaN are 0, and so is a band of few valid ones."""
-    v = F.when((F.col("value") > -9999) & ~F.isnan("value"), F.col("value"))
-    s = pixels.groupBy("raster_id", "band").agg(F.percentile(v, F.lit(0.02)).alias("lo"), F.percentile(v, F.lit(0.98)).alias("hi"), F.count(v).alias("n"))
+    """2 % and 98 % of the pixels above 0 to 0..1; values under -9999 and NaN count as 0, and so does a whole band of at most
+    ``least`` pixels above 0, or a flat one."""
+    v = F.when((F.col("value") >= -9999) & ~F.isnan("value"), F.col("value")).otherwise(0.0)
+    valid = F.when(v > 0, v)
+    s = pixels.groupBy("raster_id", "band").agg(F.percentile(valid, F.lit(0.02)).alias("lo"), F.percentile(valid, F.lit(0.98)).alias("hi"), F.count(valid).alias("n"))
     df = pixels.join(s, ["raster_id", "band"])
-    scaled = (F.greatest(F.col("lo"), F.least(F.col("hi"), v)) - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    good = (F.col("n") > least) & (F.col("hi") > F.col("lo")) & v.isNotNull()
+    scaled = F.try_divide(F.greatest(F.col("lo"), F.least(F.col("hi"), v)) - F.col("lo"), F.col("hi") - F.col("lo"))
+    good = (F.col("n") > least) & (F.col("hi") > F.col("lo"))
     return df.select("raster_id", "band", "row", "col", F.when(good, scaled).otherwise(0.0).alias("value"))
 
 
@@ -117,14 +128,33 @@ def area_resampled(pixels: DataFrame, scale: float) -> DataFrame:
     return df.groupBy("raster_id", "band", F.col("orow").alias("row"), F.col("ocol").alias("col")).agg((F.sum(F.col("value") * w) / F.sum(w)).alias("value"))
 
 
-def masked(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
-    """0 outside a raster's AOI polygons, if it has any, or inside an exclude one, by pixel centres."""
+def _kept(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Pixels with ``keep``: inside a raster's AOI polygons, if it has any, and outside exclude ones, by pixel centres."""
     at = pixels.select("raster_id", "row", "col").distinct().withColumn("x", F.col("col") + 0.5).withColumn("y", F.col("row") + 0.5)
     hit = points_in_polygons(at, polygons).groupBy("raster_id", "row", "col").agg(F.bool_or(F.col("role") == "aoi").alias("i"), F.bool_or(F.col("role") == "exclude").alias("o"))
     limited = polygons.where("role = 'aoi'").select("raster_id", F.lit(True).alias("limited")).distinct()
     df = pixels.join(hit, ["raster_id", "row", "col"], "left").join(limited, "raster_id", "left")
     keep = (F.coalesce("i", F.lit(False)) | F.col("limited").isNull()) & ~F.coalesce("o", F.lit(False))
-    return df.select("raster_id", "band", "row", "col", F.when(keep, F.col("value")).otherwise(0.0).alias("value"))
+    return df.select("raster_id", "band", "row", "col", "value", keep.alias("keep"))
+
+
+def masked(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
+    """0 outside a raster's AOI polygons, if it has any, or inside an exclude one, by pixel centres."""
+    return _kept(pixels, polygons).select("raster_id", "band", "row", "col", F.when(F.col("keep"), F.col("value")).otherwise(0.0).alias("value"))
+
+
+def box_means(pixels: DataFrame, boxes: DataFrame, polygons: DataFrame, cell: int = 32) -> DataFrame:
+    """Mean of a box (raster_id, det_id, x1..y2) and band over its finite pixels within AOI polygons and outside exclude
+    ones; null if none is left. For rasters with polygons; without any, a box takes its centre's value instead."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell).cast("int"), F.greatest(F.floor(F.col(a) / cell), F.ceil(F.col(b) / cell) - 1).cast("int")))
+    z = boxes.select("raster_id", "det_id", "x1", "y1", "x2", "y2").withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
+    dealt = lambda df: df.withColumns({"gx": F.floor(F.col("col") / cell).cast("int"), "gy": F.floor(F.col("row") / cell).cast("int")})
+    near = dealt(pixels).join(z.select("raster_id", "gx", "gy").distinct(), ["raster_id", "gx", "gy"], "left_semi")
+    p = dealt(_kept(near, polygons))  # polygons meet pixels of the boxes' cells only
+    inside = (F.col("col") >= F.floor("x1")) & (F.col("col") < F.ceil("x2")) & (F.col("row") >= F.floor("y1")) & (F.col("row") < F.ceil("y2"))
+    fine = F.col("keep") & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    df = p.join(z.hint("merge"), ["raster_id", "gx", "gy"]).where(inside)
+    return df.groupBy("raster_id", "det_id", "band").agg(F.avg(F.when(fine, F.col("value"))).alias("mean"))
 
 
 def zonal_means(zones: DataFrame, pixels: DataFrame, nodata: float = -9999.0, cell: int = 32) -> DataFrame:
@@ -232,13 +262,16 @@ def _tile(c: str, tile: int) -> Column:
     return F.floor(F.col(c) / tile).cast("int")
 
 
-def display_tiles(pixels: DataFrame, tile: int = 32, normalise: bool = True) -> DataFrame:
+def display_tiles(pixels: DataFrame, tile: int = 32, normalise: bool = True, stats: DataFrame | None = None) -> DataFrame:
     """Display bytes tile by tile. Tiles within 0..1 are always stretched (128 where flat); others if ``normalise`` (0 where
-    flat), else they are scaled by the range that their maximum fits in."""
+    flat), else they are scaled by the range that their maximum fits in. ``stats`` (raster_id, band, p2, p98) go before a
+    tile's own percentiles where they have the band."""
     key = ["raster_id", "ty", "tx", "band"]
     df = pixels.withColumns({"ty": _tile("row", tile), "tx": _tile("col", tile)})
     v = F.col("value")
     s = df.groupBy(*key).agg(F.percentile(v, F.lit(0.02)).alias("lo"), F.percentile(v, F.lit(0.98)).alias("hi"), F.min(v).alias("low"), F.max(v).alias("top"))
+    if stats is not None:
+        s = s.join(stats.select("raster_id", "band", "p2", "p98"), ["raster_id", "band"], "left").withColumns({"lo": F.coalesce("p2", "lo"), "hi": F.coalesce("p98", "hi")}).drop("p2", "p98")
     reflectance = (F.col("top") <= 1) & (F.col("low") >= 0)
     full = F.when(F.col("top") <= 255, 255.0).when(F.col("top") <= 65535, 65535.0).otherwise(F.col("top"))
     stretched = F.when(F.col("hi") > F.col("lo"), stretch(v, F.col("lo"), F.col("hi"))).otherwise(F.when(reflectance, 128).otherwise(0))

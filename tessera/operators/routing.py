@@ -81,14 +81,14 @@ def mismatch(assignment: DataFrame, limit: float = 0.05) -> DataFrame:
     return df.withColumn("attention", F.col("max_diff") > limit)
 
 
-def checked_mapping(mapping: DataFrame, slots: DataFrame, n_bands: int) -> DataFrame:
-    """Manual mapping (slot, input_band) over the expected slots: status ok, blank, out_of_range, duplicate; unknown
-    slots are left out."""
-    df = slots.join(mapping, "slot", "left")
-    twice = df.where("input_band IS NOT NULL").groupBy("input_band").agg((F.count("*") > 1).alias("twice"))
-    df = df.join(twice, "input_band", "left")
-    status = F.when(F.col("input_band").isNull(), "blank").when(~F.col("input_band").between(1, n_bands), "out_of_range").when(F.col("twice"), "duplicate").otherwise("ok")
-    return df.select("slot", "input_band", status.alias("status"))
+def checked_mapping(mapping: DataFrame, rasters: DataFrame, slots: list[int]) -> DataFrame:
+    """Manual mapping (raster_id, slot, input_band) over the expected slots of each raster: status ok, blank, out_of_range
+    (an error), duplicate (a warning); unknown slots are left out."""
+    df = rasters.select("raster_id", "bands", F.explode(F.array(*map(F.lit, slots))).alias("slot")).join(mapping, ["raster_id", "slot"], "left")
+    twice = df.groupBy("raster_id", "input_band").agg((F.count("*") > 1).alias("twice"))
+    df = df.join(twice, ["raster_id", "input_band"], "left")
+    status = F.when(F.col("input_band").isNull(), "blank").when(~F.col("input_band").between(1, F.col("bands")), "out_of_range").when(F.col("twice"), "duplicate").otherwise("ok")
+    return df.select("raster_id", "slot", "input_band", status.alias("status"))
 
 
 #: What bands are called, by the number of bands.
