@@ -208,3 +208,16 @@ def _(t):
     df = t.part.selectExpr("p_partkey", "p_size AS n").selectExpr("p_partkey", f"CASE p_partkey % 7 {cases} END AS s")
     h, w = decode.tile_shape(F.col("s"))
     return df.select("p_partkey", h.cast("int").alias("h"), w.cast("int").alias("w"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+@query("st2_current_generation", "SELECT event_id, user_id FROM (SELECT *, event_id%3 AS generation, max(event_id) OVER (PARTITION BY user_id)%3 AS current FROM events) e WHERE generation=current")
+def _(t):
+    from tessera.streaming import streams
+
+    now = t.events.groupBy("user_id").agg((F.max("event_id") % 3).alias("current"))
+    live = streams.events_stream(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema)
+    twice = live.withColumns({"generation": F.col("event_id") % 3, "copy": F.explode(F.array(F.lit(0), F.lit(1)))})  # each event arrives twice
+    return streams.run_to_table(streams.current_generation(twice, now), "current").select("event_id", "user_id")

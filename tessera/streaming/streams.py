@@ -39,8 +39,8 @@ def live_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hou
 
 
 def current_generation(events: DataFrame, generations: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Drops events of an older generation than the static table's, and repeats within the watermark."""
-    df = events.join(generations, "user_id").where(F.col("generation") >= F.col("current"))
+    """Drops events of another generation than the static table's ``current`` one, and repeats within the watermark."""
+    df = events.join(generations, "user_id").where(F.col("generation") == F.col("current"))
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
