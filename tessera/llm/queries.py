@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact, language, lattice, mixing, pieces, pii, secrets, simhash, substring, warc
+from tessera.llm import exact, infill, language, lattice, manifest, mixing, pieces, pii, secrets, simhash, substring, warc
 from tessera.llm._common import table
 
 
@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": _over("documents", language.op8),
         "op9_source_mixing": _over("documents", mixing.op9),
         "op10_warc_revisits": _over("pages", warc.op10),
+        "op12_merkle_manifest": _over("documents", manifest.op12),
+        "op13_fill_in_middle": _over("documents", infill.op13),
     }
 
 
@@ -37,4 +39,4 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_warc_revisits": warc.OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op10_warc_revisits": warc.OP10_SQL, "op12_merkle_manifest": manifest.OP12_SQL, "op13_fill_in_middle": infill.OP13_SQL}
