@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import text_of
+from tessera.llm.arrow_text import slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED, RATE, SPM_RATE = 1, 90, 20
@@ -87,14 +88,9 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate
     given = docs.select("doc_id", text_of().alias("text"), digest.alias("digest")).select("doc_id", "text", *drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-            cuts = np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(size)]):
-                if a < b:
-                    part = batch.slice(a, b - a)
-                    made = transform(part.column("text").cast(pa.string()), [part.column(f"h{i}") for i in range(4)], rate, spm_rate)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+        for part in slices(batches, "text", SLICE_BYTES):
+            made = transform(part.column("text"), [part.column(f"h{i}") for i in range(4)], rate, spm_rate)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
     return given.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, form string, prefix_chars long, middle_chars long, output string")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact, infill, language, lattice, manifest, mixing, pieces, pii, secrets, simhash, substring, warc
+from tessera.llm import exact, infill, language, lattice, manifest, mixing, ngrams, pieces, pii, secrets, simhash, substring, warc
 from tessera.llm._common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": _over("documents", language.op8),
         "op9_source_mixing": _over("documents", mixing.op9),
         "op10_warc_revisits": _over("pages", warc.op10),
+        "op11_lm_scoring": _over("documents", ngrams.op11),
         "op12_merkle_manifest": _over("documents", manifest.op12),
         "op13_fill_in_middle": _over("documents", infill.op13),
     }
