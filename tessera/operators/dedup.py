@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import box as B
-from tessera.operators.spatial import overlapping_pairs
-from tessera.operators.storage import materialize
+from tessera.operators.components import components
+from tessera.operators.spatial import overlapping_pairs, with_cells
+from tessera.operators.storage import discard, materialize
 
 KEY = ["raster_id", "class_id"]
 
@@ -68,73 +71,198 @@ def merge_clusters(detections: DataFrame, threshold: float = 0.5, edge: str | No
     return df.groupBy("seed", *KEY).agg(*[mean(c).alias(c) for c in ("x1", "y1", "x2", "y2")], F.max("score").alias("score"), F.count("*").alias("n")).withColumnRenamed("seed", "det_id")
 
 
-def merge_preferring_inner(detections: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """Of overlapping boxes (IoU > threshold) those off the edge win, then those farther from it, then the score."""
+#: Edges up to which a component is scanned by one task, in a stream that keeps the ids of dropped boxes only.
+SCAN_EDGES = 1_000_000
+
+
+def scanned(edges: DataFrame, most: int = SCAN_EDGES) -> DataFrame:
+    """Ids (``loser``) that a scan by rank drops, of conflicts (first, second, s1, s2, later): s, then the id, is a box's rank,
+    ``first`` ranks before ``second``, and ``later`` tells that the second box wins.
+
+    The scan takes boxes by rank. One that was not dropped before goes through its later conflicts in order and drops each
+    that still stands, up to the first that wins against it: then it goes itself, and what it has dropped stays dropped.
+    Components of the conflicts are independent. Sorted by component and rank, their edges pass through a small state
+    machine, many components in a task. Components of over ``most`` edges are resolved in rounds over all tasks: a box
+    takes its turn when no earlier box can still drop it or one of its later conflicts.
+    """
+    at = materialize(edges.select("first", "second", "s1", "s2", "later"), "conflicts")
+    found = components(at.select(F.col("first").alias("a"), F.col("second").alias("b")))
+    at = at.join(found.withColumnRenamed("node", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
+    wide = materialize(at.groupBy("component").count().where(F.col("count") > most).select("component"), "wide")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, gone = None, set()
+        for b in batches:
+            out = []
+            for component, i, j, later in zip(b["component"].tolist(), b["first"].tolist(), b["second"].tolist(), b["later"].tolist()):
+                if component != here:
+                    here, gone = component, set()
+                if i not in gone and j not in gone:
+                    out.append(i if later else j)
+                    gone.add(out[-1])
+            yield pd.DataFrame({"loser": out}, dtype="int64")
+
+    rank = ["s1", "first", "s2", "second"]
+    one = at.join(wide, "component", "left_anti").repartition("component").sortWithinPartitions("component", *rank)
+    lost = one.select("component", "first", "second", "later").mapInPandas(run, "loser long")
+    return lost if wide.isEmpty() else lost.unionByName(_in_rounds(at.join(wide, "component", "left_semi").drop("component")))
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """``scanned`` for large components."""
+    open_ = materialize(edges, "open")
+    gone: DataFrame | None = None
+    rank = lambda k: F.struct(f"s{k}", "first" if k == 1 else "second")
+    while not open_.isEmpty():
+        heads = open_.groupBy("second").agg(F.min(rank(1)).alias("head"))
+        # Not yet: a box with an earlier conflict, or with a later one that an earlier box looks at first.
+        waits = open_.join(heads, "second").where(F.col("head") < rank(1)).select("first").unionByName(heads.select(F.col("second").alias("first"))).distinct()
+        turn = open_.join(waits, "first", "left_anti")
+        stop = turn.where("later").groupBy("first").agg(F.min(rank(2)).alias("stop"))
+        hit = turn.join(stop, "first", "left")
+        took = hit.where(F.col("stop").isNull() | (rank(2) < F.col("stop"))).select(F.col("second").alias("loser"))
+        done = materialize(took.withColumn("drops", F.lit(True)).unionByName(stop.select(F.col("first").alias("loser"), F.lit(True).alias("drops"))).unionByName(turn.select(F.col("first").alias("loser"), F.lit(False).alias("drops"))).distinct(), "done")
+        lost = done.where("drops").select("loser")
+        gone = lost if gone is None else gone.unionByName(lost)
+        seen = done.select("loser").distinct()
+        left = open_.join(seen.withColumnRenamed("loser", "first"), "first", "left_anti").join(lost.withColumnRenamed("loser", "second"), "second", "left_anti")
+        old, open_ = open_, materialize(left.select(*edges.columns), "open")
+        discard(old)
+    return edges.select(F.col("first").alias("loser")).limit(0) if gone is None else gone.distinct()
+
+
+def merge_preferring_inner(detections: DataFrame, threshold: float = 0.45, most: int = SCAN_EDGES) -> DataFrame:
+    """Scan by score (then id): of overlapping boxes (IoU > threshold) of a raster and class one off the edge beats one on it,
+    else the one farther from it wins, else the one scanned first. A box that loses has dropped those before."""
     pairs = overlapping_pairs(detections, KEY, threshold, carry=("edge", "border_dist", "score"))
-    order = lambda s: F.struct((~F.col(f"{s}_edge")).alias("inner"), F.col(f"{s}_border_dist").alias("far"), F.col(f"{s}_score").alias("score"), (-F.col(s)).alias("id"))
-    first = order("a") > order("b")
-    losers, _ = greedy(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser")))
-    return detections.join(losers.withColumnRenamed("loser", "det_id"), "det_id", "left_anti").select(*detections.columns)
+    ahead = F.col("a_score") >= F.col("b_score")
+    first, second = (lambda c: F.when(ahead, F.col(f"a{c}")).otherwise(F.col(f"b{c}"))), (lambda c: F.when(ahead, F.col(f"b{c}")).otherwise(F.col(f"a{c}")))
+    later = (first("_edge") & ~second("_edge")) | ((first("_edge") == second("_edge")) & (second("_border_dist") > first("_border_dist")))
+    edges = pairs.select(first("").alias("first"), second("").alias("second"), (-first("_score")).alias("s1"), (-second("_score")).alias("s2"), later.alias("later"))
+    return detections.join(scanned(edges, most).withColumnRenamed("loser", "det_id"), "det_id", "left_anti").select(*detections.columns)
 
 
 #: How much a box far from its tile's border weighs more, and what keeps the sum of weights above 0.
 BORDER_ALPHA, TINY = 0.5, 1e-12
 
 
-def fuse_batches(detections: DataFrame, threshold: float = 0.45, reach: int = 512) -> DataFrame:
-    """Batches are folded into the set one by one: a box joins the first box of its class at IoU >= threshold.
+#: Boxes up to which a group that may fuse is folded by one task.
+FOLD_BOXES = 20_000
+
+
+def _reaches(p: list[Column], low: list[Column], high: list[Column], sides: list[Column], threshold: float) -> Column:
+    """Whether a box may come to an IoU of ``threshold`` with a box fused from a group: its coordinates lie between the group's
+    least and greatest ones, its width and height between theirs (``sides``: least and greatest width, then height)."""
+    w, h = p[2] - p[0], p[3] - p[1]
+    wide = F.least(F.least(p[2], high[2]) - F.greatest(p[0], low[0]), w, sides[1])
+    tall = F.least(F.least(p[3], high[3]) - F.greatest(p[1], low[1]), h, sides[3])
+    return (wide > 0) & (tall > 0) & (wide * tall >= threshold * F.greatest(w * h, sides[0] * sides[2]) * (1 - 1e-9))
+
+
+def _groups(boxes: DataFrame, threshold: float) -> DataFrame:
+    """``boxes`` (with ``_new``: still to be folded) with ``_group``: boxes of different groups never fuse.
+
+    Groups grow from single boxes. A box that is still to be folded joins every group with a box that it may fuse with
+    now, or later, when those have moved: fused boxes stay inside their group's ranges. Until none is in reach.
+    """
+    label: DataFrame | None = None
+    xy = ("x1", "y1", "x2", "y2")
+    while True:
+        at = boxes.withColumn("_group", F.col("det_id")) if label is None else boxes.join(label, "det_id", "left").withColumn("_group", F.coalesce("_group", "det_id"))
+        w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+        ranges = [*[f(c).alias(f"{n}{c}") for c in xy for n, f in (("l", F.min), ("h", F.max))], F.min(w).alias("w1"), F.max(w).alias("w2"), F.min(h).alias("t1"), F.max(h).alias("t2")]
+        hulls = at.groupBy(*KEY, "_group").agg(*ranges).withColumnRenamed("_group", "_other")
+        hulls = with_cells(hulls, (F.col("lx1"), F.col("ly1"), F.col("hx2"), F.col("hy2")))
+        new = with_cells(at.where("_new").select(*KEY, "_group", *xy), B.cols())
+        near = _reaches([F.col(c) for c in xy], [F.col(f"l{c}") for c in xy], [F.col(f"h{c}") for c in xy], [F.col(c) for c in ("w1", "w2", "t1", "t2")], threshold)
+        pairs = new.join(hulls.hint("merge"), [*KEY, "gx", "gy"]).where((F.col("_group") != F.col("_other")) & near)
+        met = materialize(pairs.select(F.col("_group").alias("a"), F.col("_other").alias("b")).distinct(), "reached")
+        if met.isEmpty():
+            return at
+        joined = components(met).select(F.col("node").alias("_group"), F.col("component").alias("_to"))
+        new_label = at.select("det_id", "_group").join(joined, "_group").select("det_id", F.col("_to").alias("_group"))
+        kept = at.select("det_id", "_group").join(joined, "_group", "left_anti").where("_group <> det_id")
+        label = materialize(new_label.unionByName(kept), "groups")
+
+
+def fuse_batches(detections: DataFrame, threshold: float = 0.45, most: int = FOLD_BOXES) -> DataFrame:
+    """Batches are folded into the set one by one: a box joins the first box of its class at IoU >= threshold (above 0).
 
     Boxes are averaged by score * (1 + border distance / 2); the best score stays, ``edge`` only if both are on it, the
-    tile of the heavier one. ``border_dist``, ``edge`` and ``tile_id`` may be missing. The fold depends on its order
-    (batch, id), so boxes that can meet stay together: raster, class and a block of the grid wide enough that a
-    block's boxes are few; a block sees boxes around it and returns its own, by the place where each began.
+    tile of the heavier one. ``border_dist``, ``edge`` and ``tile_id`` may be missing. ``n`` counts a box's parts; its id is
+    its first part's. The fold follows (batch, id), so only what can never meet is folded apart: see ``_groups``. Where
+    a group has over ``most`` boxes, those to come are folded in two waves, the earlier half before the later one, and so
+    on: earlier boxes do not depend on later ones, and groups of fewer boxes to come reach less far.
     """
     fill = {"border_dist": F.lit(0.0), "edge": F.lit(False), "tile_id": F.lit(None).cast("int")}
     given = detections.columns
     full = detections.withColumns({c: v for c, v in fill.items() if c not in given})
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.schema) + ", n int"
-    cx, cy = B.centre(B.cols())
-    home = full.withColumn("hx", F.floor(cx / reach).cast("int")).withColumn("hy", F.floor(cy / reach).cast("int"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    dealt = home.withColumn("o", F.explode(around)).withColumn("bx", F.col("hx") + F.col("o.i")).withColumn("by", F.col("hy") + F.col("o.j")).drop("o")
-    # A block without boxes of its own returns none.
-    dealt = dealt.join(home.select(*KEY, F.col("hx").alias("bx"), F.col("hy").alias("by")).distinct(), [*KEY, "bx", "by"], "left_semi")
-    names = [*given, "n"]
+    full = materialize(full.withColumns({"n": F.lit(1), "_new": F.lit(True)}), "boxes")
+    return _folded(None, full, threshold, most).select(*given, "n")
+
+
+def _folded(done: DataFrame | None, coming: DataFrame, threshold: float, most: int) -> DataFrame:
+    """The boxes of ``done``, none of them in another yet, after ``coming`` was folded into them."""
+    grouped = materialize(_groups(coming if done is None else done.unionByName(coming), threshold), "grouped")
+    sizes = grouped.groupBy("_group").agg(F.count("*").alias("size"), F.sum(F.col("_new").cast("int")).alias("news"))
+    if not sizes.where((F.col("size") > most) & (F.col("news") > 1)).isEmpty():
+        cut = _half(coming)
+        early = materialize(_folded(done, coming.where(cut), threshold, most).withColumn("_new", F.lit(False)), "wave")
+        return _folded(early, coming.where(~cut), threshold, most)
+    busy = sizes.where("size > 1 AND news > 0").select("_group")
+    kind = grouped.drop("_group").schema
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["batch_no", "det_id"], ignore_index=True)
-        at = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        scores, far, edges = rows["score"].to_numpy(float), rows["border_dist"].to_numpy(float), rows["edge"].to_numpy(bool)
-        box, score, dist, edge = np.empty_like(at), np.empty(len(at)), np.empty(len(at)), np.empty(len(at), bool)
-        kept: list[int] = []
-        tile, n = [], []
-        for i, b in enumerate(at):
-            m = len(kept)
+        return _fold(pdf.drop(columns="_group"), threshold)
+
+    moved = grouped.join(busy, "_group", "left_semi").groupBy("_group").applyInPandas(fold, kind)
+    return grouped.join(busy, "_group", "left_anti").drop("_group").unionByName(moved)
+
+
+def _half(coming: DataFrame) -> Column:
+    """Whether a box is in the earlier part by (batch, id); neither part is empty."""
+    for c in ("batch_no", "det_id"):
+        low, mid, high = coming.agg(F.min(c), F.percentile_approx(c, 0.5), F.max(c)).first()
+        if low < high:
+            return F.col(c) <= mid if mid < high else F.col(c) < high
+    raise ValueError("ids must differ")
+
+
+def _fold(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """One group: boxes that are done, in the order in which they began, then those to come."""
+    rows = pdf.sort_values(["_new", "batch_no", "det_id"], ignore_index=True)
+    at = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+    scores, far, edges, new = rows["score"].to_numpy(float), rows["border_dist"].to_numpy(float), rows["edge"].to_numpy(bool), rows["_new"].to_numpy(bool)
+    box, score, dist, edge = np.empty_like(at), np.empty(len(at)), np.empty(len(at)), np.empty(len(at), bool)
+    kept: list[int] = []
+    tile, n = [], []
+    for i, b in enumerate(at):
+        m = len(kept)
+        hit = np.zeros(0, int)
+        if new[i]:
             w = np.clip(np.minimum(box[:m, 2:], b[2:]) - np.maximum(box[:m, :2], b[:2]), 0, None)
             inter = w[:, 0] * w[:, 1]
             both = (box[:m, 2] - box[:m, 0]) * (box[:m, 3] - box[:m, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-            hit = np.flatnonzero((both > 0) & (inter >= threshold * both))
-            if len(hit):
-                j = hit[0]
-                p, q = score[j] * (1 + BORDER_ALPHA * dist[j]), scores[i] * (1 + BORDER_ALPHA * far[i])
-                p_part, q_part = p / (p + q + TINY), q / (p + q + TINY)
-                box[j] = box[j] * p_part + b * q_part
-                dist[j] = dist[j] * p_part + far[i] * q_part
-                score[j], edge[j], n[j] = max(score[j], scores[i]), edge[j] and edges[i], n[j] + 1
-                if p < q:
-                    tile[j] = rows.at[i, "tile_id"]
-            else:
-                box[m], score[m], dist[m], edge[m] = b, scores[i], far[i], edges[i]
-                kept.append(i)
-                tile.append(rows.at[i, "tile_id"])
-                n.append(1)
-        m, out = len(kept), rows.iloc[kept].copy()
-        out[["x1", "y1", "x2", "y2"]] = box[:m]
-        out["score"], out["n"], out["border_dist"], out["edge"], out["tile_id"] = score[:m], n, dist[:m], edge[:m], tile
-        own = (out["hx"] == out["bx"]) & (out["hy"] == out["by"])
-        return out.loc[own, names]
-
-    return dealt.groupBy(*KEY, "bx", "by").applyInPandas(fold, schema)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                hit = np.flatnonzero((both > 0) & (inter / both >= threshold))
+        if len(hit):
+            j = hit[0]
+            p, q = score[j] * (1 + BORDER_ALPHA * dist[j]), scores[i] * (1 + BORDER_ALPHA * far[i])
+            p_part, q_part = p / (p + q + TINY), q / (p + q + TINY)
+            box[j] = box[j] * p_part + b * q_part
+            dist[j] = dist[j] * p_part + far[i] * q_part
+            score[j], edge[j], n[j] = max(score[j], scores[i]), edge[j] and edges[i], n[j] + rows.at[i, "n"]
+            if p < q:
+                tile[j] = rows.at[i, "tile_id"]
+        else:
+            box[m], score[m], dist[m], edge[m] = b, scores[i], far[i], edges[i]
+            kept.append(i)
+            tile.append(rows.at[i, "tile_id"])
+            n.append(rows.at[i, "n"])
+    m, out = len(kept), rows.iloc[kept].copy()
+    out[["x1", "y1", "x2", "y2"]] = box[:m]
+    out["score"], out["n"], out["border_dist"], out["edge"], out["tile_id"] = score[:m], n, dist[:m], edge[:m], tile
+    return out
 
 
 def legacy_composition(detections: DataFrame, threshold: float = 0.45, tight: float = 0.3, least_score: float = 0.01) -> DataFrame:

@@ -208,18 +208,60 @@ def _(t):
     return dedup.merge_clusters(t.detections, 0.3).select("det_id", "n", *[r6(F.col(c), c) for c in ("x1", "y1", "x2", "y2", "score")])
 
 
-@query("n6_fuse_batches")
-def _(t):
-    return dedup.fuse_batches(t.detections.withColumn("batch_no", F.col("det_id") % 7), 0.3).select("det_id", "n", r6(F.col("x1"), "x1"), r6(F.col("score"), "score"))
+LEAST_SIDE = "least(x1,y1,2048-x2,2048-y2)"
 
 
-RANK7 = "rk AS (SELECT det_id, row_number() OVER (ORDER BY least(x1,y1,2048-x2,2048-y2)<=32, greatest(0,least(1,least(x1,y1,2048-x2,2048-y2)/1024)) DESC, score DESC, det_id) AS g FROM detections),"
+def scan_sql(name: str, source: str, key: str, order: str, threshold: float) -> str:
+    """CTEs ``name``: rows of ``source`` that greedy suppression (IoU >= threshold) by ``order`` in a ``key`` keeps, one by one."""
+    same = " AND ".join(f"s.{k}=d.{k}" for k in key.split(","))
+    return f"""{name}_r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS r FROM {source}),
+    {name}_s AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept FROM {name}_r UNION ALL
+      SELECT {", ".join("s." + k for k in key.split(","))}, s.r+1, CASE WHEN len(list_filter(s.kept, lambda k: {IOU_LIST} >= {threshold})) > 0 THEN s.kept ELSE list_append(s.kept, struct_pack(id := d.det_id, x1 := d.x1, y1 := d.y1, x2 := d.x2, y2 := d.y2)) END
+      FROM {name}_s s JOIN {name}_r d ON {same} AND d.r=s.r+1),
+    {name} AS MATERIALIZED (SELECT * EXCLUDE (r) FROM {name}_r WHERE det_id IN (SELECT unnest(kept).id FROM (SELECT * FROM {name}_s QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY r DESC)=1)))"""
 
 
-@query("n7_merge_preferring_inner", _nms_sql("i/(s-i)>0.3", "ka.g<kb.g", "g", "pairs JOIN rk ka ON ka.det_id=a JOIN rk kb ON kb.det_id=b", "detections JOIN rk USING (det_id)", RANK7) + " SELECT det_id FROM kept", "detections")
-def _(t):
+IOU_LIST = "(greatest(0,least(k.x2,d.x2)-greatest(k.x1,d.x1))*greatest(0,least(k.y2,d.y2)-greatest(k.y1,d.y1)))/((k.x2-k.x1)*(k.y2-k.y1)+(d.x2-d.x1)*(d.y2-d.y1)-greatest(0,least(k.x2,d.x2)-greatest(k.x1,d.x1))*greatest(0,least(k.y2,d.y2)-greatest(k.y1,d.y1)))"
+FUSED = "STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, score DOUBLE, far DOUBLE, edge BOOLEAN, n BIGINT)"
+MIX = "; ".join(f"{c} := (k.{c}*k.score*(1+0.5*k.far)+d.{c}*d.score*(1+0.5*d.far))/(k.score*(1+0.5*k.far)+d.score*(1+0.5*d.far)+1e-12)" for c in ("x1", "y1", "x2", "y2", "far")).replace(";", ",")
+
+
+def fold_sql(source: str, threshold: float) -> str:
+    """CTE ``fused``: the one-by-one fold of ``source`` (det_id, batch_no, box, score, far, edge) in each raster and class."""
+    return f"""f_r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY raster_id, class_id ORDER BY batch_no, det_id) AS r FROM {source}),
+    f_s AS (SELECT DISTINCT raster_id, class_id, CAST(0 AS BIGINT) AS r, CAST([] AS {FUSED}[]) AS kept FROM f_r UNION ALL
+      SELECT raster_id, class_id, r, CASE WHEN nth > 0 THEN list_concat(list_concat(kept[1:nth-1], list_transform(kept[nth:nth], lambda k: struct_pack(id := k.id, {MIX}, score := greatest(k.score, d.score), edge := k.edge AND d.edge, n := k.n+1))), kept[nth+1:])
+        ELSE list_append(kept, struct_pack(id := d.det_id, x1 := d.x1, y1 := d.y1, x2 := d.x2, y2 := d.y2, score := d.score, far := d.far, edge := d.edge, n := 1)) END
+      FROM (SELECT s.raster_id, s.class_id, s.r+1 AS r, s.kept, d, coalesce(list_position(list_transform(s.kept, lambda k: {IOU_LIST} >= {threshold}), true), 0) AS nth FROM f_s s JOIN f_r d ON s.raster_id=d.raster_id AND s.class_id=d.class_id AND d.r=s.r+1)),
+    fused AS MATERIALIZED (SELECT raster_id, class_id, k.id AS det_id, k.x1, k.y1, k.x2, k.y2, k.score, k.far, k.edge, k.n FROM (SELECT raster_id, class_id, unnest(kept) AS k FROM (SELECT * FROM f_s QUALIFY row_number() OVER (PARTITION BY raster_id, class_id ORDER BY r DESC)=1)))"""
+
+
+BATCHES = f"batches AS MATERIALIZED (SELECT *, det_id%7 AS batch_no, greatest(0,least(1,{LEAST_SIDE}/1024)) AS far, {LEAST_SIDE}<=32 AS edge FROM detections)"
+
+
+def in_batches(detections: DataFrame) -> DataFrame:
+    """Detections in seven batches, with the distance from the raster's border for that from a tile's."""
     least, share = B.border_distance(B.cols(), F.lit(2048.0), F.lit(2048.0))
-    return dedup.merge_preferring_inner(t.detections.withColumns({"edge": B.on_edge(least, F.lit(64)), "border_dist": share}), 0.3).select("det_id")
+    return detections.withColumns({"batch_no": F.col("det_id") % 7, "edge": B.on_edge(least, F.lit(64)), "border_dist": share})
+
+
+@query("n6_fuse_batches", f"RECURSIVE WITH {BATCHES}, {fold_sql('batches', 0.3)} SELECT det_id, n, round(x1,6) AS x1, round(y1,6) AS y1, round(x2,6) AS x2, round(y2,6) AS y2, round(score,6) AS score, round(far,6) AS far, edge FROM fused", "detections")
+def _(t):
+    df = dedup.fuse_batches(in_batches(t.detections), 0.3)
+    return df.select("det_id", F.col("n").cast("long").alias("n"), *[r6(F.col(c), c) for c in ("x1", "y1", "x2", "y2", "score")], r6(F.col("border_dist"), "far"), "edge")
+
+
+@query("n7_merge_preferring_inner", f"""RECURSIVE WITH {PAIRS.replace("pairs AS (", "pairs AS MATERIALIZED (")}, q AS (SELECT det_id, {LEAST_SIDE}<=32 AS edge, greatest(0,least(1,{LEAST_SIDE}/1024)) AS far FROM detections),
+    clash AS (SELECT CASE WHEN sa>=sb THEN a ELSE b END AS one, CASE WHEN sa>=sb THEN b ELSE a END AS two, least(sa,sb) AS s2 FROM pairs WHERE i/(s-i)>0.3),
+    later AS MATERIALIZED (SELECT one AS det_id, list(struct_pack(id := two, wins := (f.edge AND NOT g.edge) OR (f.edge = g.edge AND g.far > f.far)) ORDER BY s2 DESC, two) AS c FROM clash JOIN q f ON f.det_id=one JOIN q g ON g.det_id=two GROUP BY 1),
+    ranked AS MATERIALIZED (SELECT det_id, raster_id, class_id, c, row_number() OVER (PARTITION BY raster_id, class_id ORDER BY score DESC, det_id) AS r FROM detections JOIN later USING (det_id)),
+    step AS (SELECT DISTINCT raster_id, class_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS gone FROM ranked UNION ALL
+      SELECT raster_id, class_id, r, CASE WHEN list_contains(gone, det_id) THEN gone WHEN nth > 0 THEN list_append(list_concat(gone, list_transform(alive[1:nth-1], lambda x: x.id)), det_id) ELSE list_concat(gone, list_transform(alive, lambda x: x.id)) END
+      FROM (SELECT *, coalesce(list_position(list_transform(alive, lambda x: x.wins), true), 0) AS nth FROM (SELECT s.raster_id, s.class_id, s.r+1 AS r, gone, det_id, list_filter(c, lambda x: NOT list_contains(s.gone, x.id)) AS alive FROM step s JOIN ranked d ON d.raster_id=s.raster_id AND d.class_id=s.class_id AND d.r=s.r+1))),
+    lost AS (SELECT unnest(gone) AS det_id FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY raster_id, class_id ORDER BY r DESC)=1))
+    SELECT det_id FROM detections WHERE det_id NOT IN (SELECT det_id FROM lost)""", "detections")
+def _(t):
+    return dedup.merge_preferring_inner(in_batches(t.detections), 0.3).select("det_id")
 
 
 def _tiled(t: Tables, tile: int = 640, overlap: int = 64) -> DataFrame:
@@ -502,13 +544,6 @@ def _(t):
     return corrections.effective(t.corrections).select("session_id", "seq", "action", "det_id")
 
 
-@query("x5_current_state", "WITH last AS (SELECT det_id, arg_max(CASE action WHEN 'delete' THEN 'eliminated' WHEN 'edit' THEN 'edited' ELSE 'added' END, event_id) AS status FROM corrections WHERE action NOT IN ('undo','redo') GROUP BY 1) SELECT d.det_id, coalesce(status,'not_corrected') AS status FROM detections d LEFT JOIN last USING (det_id)", "detections corrections")
-def _(t):
-    # As its SQL has it: every add, edit and deletion stands, raw boxes only. ``x5_effective_state`` is the whole of X5.
-    state = corrections.current_state(t.detections, t.corrections.where("action NOT IN ('undo', 'redo')"))
-    return state.where("raster_id IS NOT NULL").select("det_id", "status")
-
-
 @query("x5_effective_state", f"""RECURSIVE WITH {REPLAY}, folded AS (SELECT det_id, arg_max(CASE action WHEN 'delete' THEN 'eliminated' WHEN 'edit' THEN 'edited' ELSE 'added' END, event_id) AS status, max(event_id) FILTER (action <> 'delete') AS drawn, bool_or(action = 'add') AS added FROM done JOIN corrections USING (session_id, seq) GROUP BY 1)
     SELECT det_id, coalesce(status,'not_corrected') AS status, coalesce(drawn%1900,x1)::DOUBLE AS x1, coalesce(drawn%1900+30,x2)::DOUBLE AS x2, CASE WHEN added THEN 1.0 ELSE round(score,6) END AS score, CASE WHEN added THEN 'manual' ELSE 'c'||class_id END AS class_name FROM detections FULL JOIN folded USING (det_id)""", "detections corrections")
 def _(t):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo as G
 from tessera.operators import dedup, pixels, records
 from tessera.plans.exports import prop, written
-from tessera.plans.queries import REPLAY, query, r6
+from tessera.plans.queries import BATCHES, REPLAY, fold_sql, in_batches, query, r6, scan_sql
 from tessera.sources import exports, vector
 from tessera.streaming import streams
 
@@ -54,10 +54,12 @@ def _(t):
     return df.select("id", "part", "ring_no", F.size("ring").alias("n_points"), low("x").alias("min_x"), low("y").alias("min_y"))
 
 
-@query("n8_legacy_composition")
+@query("n8_legacy_composition", f"""RECURSIVE WITH {BATCHES}, {scan_sql("one", "batches", "raster_id,class_id,batch_no", "score DESC, det_id", 0.45)}, {fold_sql("one", 0.45)},
+    {scan_sql("two", "fused", "raster_id,class_id", "score DESC, det_id", 0.45)}, {scan_sql("three", "two", "raster_id,class_id", "score DESC, det_id", 0.3)}
+    SELECT det_id, raster_id, class_id, n, round(x1,6) AS x1, round(y1,6) AS y1, round(x2,6) AS x2, round(y2,6) AS y2, round(score,6) AS score FROM three WHERE score>=0.01""", "detections")
 def _(t):
-    df = dedup.legacy_composition(t.detections.withColumn("batch_no", F.col("det_id") % 7))
-    return df.select("det_id", "raster_id", "class_id", "n", *[r6(F.col(c), c) for c in ("x1", "y1", "x2", "y2", "score")])
+    df = dedup.legacy_composition(in_batches(t.detections))
+    return df.select("det_id", "raster_id", "class_id", F.col("n").cast("long").alias("n"), *[r6(F.col(c), c) for c in ("x1", "y1", "x2", "y2", "score")])
 
 
 @query("n10_changed_rasters", "SELECT DISTINCT raster_id FROM detections WHERE raster_id%2=0", "detections")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tessera.operators import dedup
+from tessera.operators.components import components
 from tessera.streaming import streams
 
 BOX = "det_id long, raster_id int, class_id int, batch_no int, x1 double, y1 double, x2 double, y2 double, score double, border_dist double, edge boolean, tile_id int"
@@ -78,6 +81,67 @@ def test_fuse_batches_without_optional_columns(spark):
     same(got, [{c: r[c] for c in [*cut, "n"]} for r in want])
 
 
+def chain(n=120):
+    """A row of boxes over many former blocks, each in reach of the next only, and a box that the fused ones drift into."""
+    rows = [dict(zip(NAMES, (i, 0, 0, i * 7 % 5, 40.0 * i * 0.5, 100.0, 40.0 * i * 0.5 + 60, 160.0, 0.2 + (i * 37 % 80) / 100, (i % 10) / 10, i % 3 == 0, i))) for i in range(n)]
+    return rows + [dict(zip(NAMES, (1000 + i, 0, 0, 6, 300.0 * i, 112.0, 300.0 * i + 58, 168.0, 0.9, 0.5, False, 1))) for i in range(8)]
+
+
+@pytest.mark.parametrize("most,threshold", [(20_000, 0.3), (50, 0.3), (20, 0.45)])
+def test_fuse_a_chain(spark, most, threshold):
+    """One group over the whole raster, folded at once or in waves of groups of few boxes."""
+    rows = chain()
+    want = fold([dict(r) for r in rows], threshold)
+    assert any(r["n"] > (3 if threshold < 0.4 else 1) for r in want)
+    same(dedup.fuse_batches(spark.createDataFrame([tuple(r.values()) for r in rows], BOX).repartition(3), threshold, most), want)
+
+
+def scan(rows, threshold):
+    order = sorted(rows, key=lambda r: (-r["score"], r["det_id"]))
+    gone, kept = set(), []
+    for i, r in enumerate(order):
+        if i in gone:
+            continue
+        for j in range(i + 1, len(order)):
+            s = order[j]
+            if j in gone or (r["raster_id"], r["class_id"]) != (s["raster_id"], s["class_id"]) or iou(box(r), box(s)) <= threshold:
+                continue
+            if (r["edge"] and not s["edge"]) or (r["edge"] == s["edge"] and s["border_dist"] > r["border_dist"]):
+                gone.add(i)
+                break
+            gone.add(j)
+        if i not in gone:
+            kept.append(r)
+    return kept
+
+
+@pytest.mark.parametrize("most", [1_000_000, 4, 0])
+def test_scan_with_casualties(spark, most):
+    """Boxes that go after they dropped others; streamed by component, in rounds, and both."""
+    rows = boxes(500, 9) + [r | {"det_id": r["det_id"] + 5000, "score": r["score"] // 0.2 * 0.2} for r in boxes(300, 10)]
+    want = scan(rows, 0.2)
+    got = dedup.merge_preferring_inner(spark.createDataFrame([tuple(r.values()) for r in rows], BOX), 0.2, most)
+    assert sorted(r.det_id for r in got.collect()) == sorted(r["det_id"] for r in want)
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1150)] + [(5000, 5000 + i) for i in range(60)] + [(9, 9)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert got == {x: find(x) for x in root if find(x) != x}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_legacy_composition(spark):
     rows, key = boxes(400, 7), ["raster_id", "class_id"]
     want = fold(suppress([dict(r) for r in rows], 0.45, [*key, "batch_no"]), 0.45)
