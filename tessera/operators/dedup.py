@@ -146,43 +146,11 @@ def merge_preferring_inner(detections: DataFrame, threshold: float = 0.45, most:
 BORDER_ALPHA, TINY = 0.5, 1e-12
 
 
-#: Boxes up to which a group that may fuse is folded by one task.
+#: Boxes up to which a group that fuses is folded by one task.
 FOLD_BOXES = 20_000
-
-
-def _reaches(p: list[Column], low: list[Column], high: list[Column], sides: list[Column], threshold: float) -> Column:
-    """Whether a box may come to an IoU of ``threshold`` with a box fused from a group: its coordinates lie between the group's
-    least and greatest ones, its width and height between theirs (``sides``: least and greatest width, then height)."""
-    w, h = p[2] - p[0], p[3] - p[1]
-    wide = F.least(F.least(p[2], high[2]) - F.greatest(p[0], low[0]), w, sides[1])
-    tall = F.least(F.least(p[3], high[3]) - F.greatest(p[1], low[1]), h, sides[3])
-    return (wide > 0) & (tall > 0) & (wide * tall >= threshold * F.greatest(w * h, sides[0] * sides[2]) * (1 - 1e-9))
-
-
-def _groups(boxes: DataFrame, threshold: float) -> DataFrame:
-    """``boxes`` (with ``_new``: still to be folded) with ``_group``: boxes of different groups never fuse.
-
-    Groups grow from single boxes. A box that is still to be folded joins every group with a box that it may fuse with
-    now, or later, when those have moved: fused boxes stay inside their group's ranges. Until none is in reach.
-    """
-    label: DataFrame | None = None
-    xy = ("x1", "y1", "x2", "y2")
-    while True:
-        at = boxes.withColumn("_group", F.col("det_id")) if label is None else boxes.join(label, "det_id", "left").withColumn("_group", F.coalesce("_group", "det_id"))
-        w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-        ranges = [*[f(c).alias(f"{n}{c}") for c in xy for n, f in (("l", F.min), ("h", F.max))], F.min(w).alias("w1"), F.max(w).alias("w2"), F.min(h).alias("t1"), F.max(h).alias("t2")]
-        hulls = at.groupBy(*KEY, "_group").agg(*ranges).withColumnRenamed("_group", "_other")
-        hulls = with_cells(hulls, (F.col("lx1"), F.col("ly1"), F.col("hx2"), F.col("hy2")))
-        new = with_cells(at.where("_new").select(*KEY, "_group", *xy), B.cols())
-        near = _reaches([F.col(c) for c in xy], [F.col(f"l{c}") for c in xy], [F.col(f"h{c}") for c in xy], [F.col(c) for c in ("w1", "w2", "t1", "t2")], threshold)
-        pairs = new.join(hulls.hint("merge"), [*KEY, "gx", "gy"]).where((F.col("_group") != F.col("_other")) & near)
-        met = materialize(pairs.select(F.col("_group").alias("a"), F.col("_other").alias("b")).distinct(), "reached")
-        if met.isEmpty():
-            return at
-        joined = components(met).select(F.col("node").alias("_group"), F.col("component").alias("_to"))
-        new_label = at.select("det_id", "_group").join(joined, "_group").select("det_id", F.col("_to").alias("_group"))
-        kept = at.select("det_id", "_group").join(joined, "_group", "left_anti").where("_group <> det_id")
-        label = materialize(new_label.unionByName(kept), "groups")
+XY = ("x1", "y1", "x2", "y2")
+#: A box as it was from one place in the order (exclusive; null: from the start) to another (inclusive; null: to the end).
+VERSION = "_group long, det_id long, from_batch long, from_id long, to_batch long, to_id long, x1 double, y1 double, x2 double, y2 double, score double, border_dist double, edge boolean, tile_id int, n int"
 
 
 def fuse_batches(detections: DataFrame, threshold: float = 0.45, most: int = FOLD_BOXES) -> DataFrame:
@@ -190,9 +158,14 @@ def fuse_batches(detections: DataFrame, threshold: float = 0.45, most: int = FOL
 
     Boxes are averaged by score * (1 + border distance / 2); the best score stays, ``edge`` only if both are on it, the
     tile of the heavier one. ``border_dist``, ``edge`` and ``tile_id`` may be missing. ``n`` counts a box's parts; its id is
-    its first part's. The fold follows (batch, id), so only what can never meet is folded apart: see ``_groups``. Where
-    a group has over ``most`` boxes, those to come are folded in two waves, the earlier half before the later one, and so
-    on: earlier boxes do not depend on later ones, and groups of fewer boxes to come reach less far.
+    its first part's.
+
+    The fold follows (batch, id), but boxes that never meet may be folded apart. Groups grow from single boxes: each is
+    folded alone, and every box keeps a version for each change, with the time for which it held. A box that meets a
+    version of another group at its own time shows that the two are one; they are joined and folded again, until no box
+    meets another group. Then, by induction over the order, the groups' folds together are the whole fold. Where a group
+    gets over ``most`` boxes, the earlier half of the order is folded before the later one, and so on: earlier boxes do
+    not depend on later ones, and fewer boxes to come tie fewer groups together.
     """
     fill = {"border_dist": F.lit(0.0), "edge": F.lit(False), "tile_id": F.lit(None).cast("int")}
     given = detections.columns
@@ -203,20 +176,40 @@ def fuse_batches(detections: DataFrame, threshold: float = 0.45, most: int = FOL
 
 def _folded(done: DataFrame | None, coming: DataFrame, threshold: float, most: int) -> DataFrame:
     """The boxes of ``done``, none of them in another yet, after ``coming`` was folded into them."""
-    grouped = materialize(_groups(coming if done is None else done.unionByName(coming), threshold), "grouped")
-    sizes = grouped.groupBy("_group").agg(F.count("*").alias("size"), F.sum(F.col("_new").cast("int")).alias("news"))
-    if not sizes.where((F.col("size") > most) & (F.col("news") > 1)).isEmpty():
-        cut = _half(coming)
-        early = materialize(_folded(done, coming.where(cut), threshold, most).withColumn("_new", F.lit(False)), "wave")
-        return _folded(early, coming.where(~cut), threshold, most)
-    busy = sizes.where("size > 1 AND news > 0").select("_group")
-    kind = grouped.drop("_group").schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold(pdf.drop(columns="_group"), threshold)
-
-    moved = grouped.join(busy, "_group", "left_semi").groupBy("_group").applyInPandas(fold, kind)
-    return grouped.join(busy, "_group", "left_anti").drop("_group").unionByName(moved)
+    boxes = coming if done is None else materialize(done.unionByName(coming), "boxes")
+    order = lambda new: [F.when(new, F.col(c).cast("long")) for c in ("batch_no", "det_id")]
+    at = boxes.withColumn("_group", F.col("det_id"))
+    start, none = order(F.col("_new")), F.lit(None).cast("long")
+    ended = {"from_batch": start[0], "from_id": start[1], "to_batch": none, "to_id": none}
+    versions = at.withColumns(ended).selectExpr(*[f"CAST({c} AS {t}) AS {c}" for c, t in (x.split() for x in VERSION.split(", "))])
+    label: DataFrame | None = None
+    while True:
+        known = at.select(*KEY, "det_id", "_group")
+        held = with_cells(versions.join(known.select(*KEY, "det_id"), "det_id").select(*KEY, F.col("_group").alias("_other"), "from_batch", "from_id", "to_batch", "to_id", *[F.col(c).alias(f"v{c}") for c in XY]), B.cols("v"))
+        new = with_cells(at.where("_new").select(*KEY, "_group", F.col("batch_no").cast("long").alias("_b"), F.col("det_id").alias("_i"), *XY), B.cols())
+        then = F.struct("_b", "_i")
+        meet = (F.col("from_batch").isNull() | (F.struct("from_batch", "from_id") < then)) & (F.col("to_batch").isNull() | (then <= F.struct("to_batch", "to_id")))
+        pairs = new.join(held.hint("merge"), [*KEY, "gx", "gy"]).where((F.col("_group") != F.col("_other")) & meet & (B.iou(B.cols("v"), B.cols()) >= threshold))
+        met = materialize(pairs.select(F.col("_group").alias("a"), F.col("_other").alias("b")).distinct(), "met")
+        if met.isEmpty():
+            last = versions.where("to_id IS NULL").select("det_id", *XY, "score", "border_dist", "edge", "tile_id", "n")
+            return boxes.drop(*last.columns[1:]).join(last, "det_id").select(*boxes.columns)
+        joined = components(met)
+        joined = materialize(joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()), "joined")
+        moved = at.select("det_id", "_group").join(joined, F.col("_group") == F.col("node")).select("det_id", F.col("component").alias("_group"))
+        label = moved if label is None else moved.unionByName(label.join(joined, F.col("_group") == F.col("node"), "left_anti"))
+        label = materialize(label, "groups")
+        at = boxes.join(label, "det_id", "left").withColumn("_group", F.coalesce("_group", "det_id"))
+        sizes = label.join(boxes.select("det_id", "_new"), "det_id").groupBy("_group").agg(F.count("*").alias("size"), F.sum(F.col("_new").cast("int")).alias("news"))
+        if not sizes.where((F.col("size") > most) & (F.col("news") > 1)).isEmpty():
+            cut = _half(coming)
+            early = materialize(_folded(done, coming.where(cut), threshold, most).withColumn("_new", F.lit(False)), "wave")
+            return _folded(early, coming.where(~cut), threshold, most)
+        busy = at.join(joined.select(F.col("component").alias("_group")).distinct(), "_group", "left_semi")
+        busy = busy.select("_group", "_new", F.col("batch_no").cast("long").alias("batch_no"), "det_id", *[F.col(c).cast("double").alias(c) for c in (*XY, "score", "border_dist")], "edge", "tile_id", "n")
+        again = busy.repartition("_group").sortWithinPartitions("_group", "_new", "batch_no", "det_id").mapInPandas(lambda b: _fold_all(b, threshold), VERSION)
+        rest = versions.join(joined, F.col("_group") == F.col("node"), "left_anti")
+        versions = materialize(rest.unionByName(again), "versions")
 
 
 def _half(coming: DataFrame) -> Column:
@@ -228,41 +221,59 @@ def _half(coming: DataFrame) -> Column:
     raise ValueError("ids must differ")
 
 
-def _fold(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One group: boxes that are done, in the order in which they began, then those to come."""
-    rows = pdf.sort_values(["_new", "batch_no", "det_id"], ignore_index=True)
-    at = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-    scores, far, edges, new = rows["score"].to_numpy(float), rows["border_dist"].to_numpy(float), rows["edge"].to_numpy(bool), rows["_new"].to_numpy(bool)
-    box, score, dist, edge = np.empty_like(at), np.empty(len(at)), np.empty(len(at)), np.empty(len(at), bool)
-    kept: list[int] = []
-    tile, n = [], []
-    for i, b in enumerate(at):
-        m = len(kept)
+def _fold_all(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Versions of the boxes of all groups, which come one after the other; done boxes first, then those to come, in order."""
+    names = [c.split()[0] for c in VERSION.split(", ")]
+    rows: list[tuple] = []
+    for b in batches:
+        out = []
+        for r in b.itertuples(index=False, name=None):
+            if rows and rows[-1][0] != r[0]:
+                out += _fold(rows, threshold)
+                rows = []
+            rows.append(r)
+        yield _typed(out, names)
+    yield _typed(_fold(rows, threshold), names)
+
+
+def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    whole = ("from_batch", "from_id", "to_batch", "to_id", "tile_id")
+    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in whole})
+
+
+def _fold(rows: list[tuple], threshold: float) -> list[tuple]:
+    """The versions of one group's boxes."""
+    box = np.empty((len(rows), 4))
+    kept: list[list] = []  # what else is known of each box, in the order in which they began
+    out: list[tuple] = []
+
+    def ended(j: int, batch: int | None, i: int | None) -> tuple:
+        group, first, since, score, dist, edge, tile, n = kept[j]
+        return (group, first, *since, batch, i, *box[j].tolist(), score, dist, edge, tile, n)
+
+    for group, new, batch, i, *xy, score, dist, edge, tile, n in rows:
+        b, m = np.array(xy), len(kept)
+        tile = None if tile is None or tile != tile else int(tile)
         hit = np.zeros(0, int)
-        if new[i]:
+        if new:
             w = np.clip(np.minimum(box[:m, 2:], b[2:]) - np.maximum(box[:m, :2], b[:2]), 0, None)
             inter = w[:, 0] * w[:, 1]
             both = (box[:m, 2] - box[:m, 0]) * (box[:m, 3] - box[:m, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
             with np.errstate(invalid="ignore", divide="ignore"):
                 hit = np.flatnonzero((both > 0) & (inter / both >= threshold))
-        if len(hit):
-            j = hit[0]
-            p, q = score[j] * (1 + BORDER_ALPHA * dist[j]), scores[i] * (1 + BORDER_ALPHA * far[i])
-            p_part, q_part = p / (p + q + TINY), q / (p + q + TINY)
-            box[j] = box[j] * p_part + b * q_part
-            dist[j] = dist[j] * p_part + far[i] * q_part
-            score[j], edge[j], n[j] = max(score[j], scores[i]), edge[j] and edges[i], n[j] + rows.at[i, "n"]
-            if p < q:
-                tile[j] = rows.at[i, "tile_id"]
-        else:
-            box[m], score[m], dist[m], edge[m] = b, scores[i], far[i], edges[i]
-            kept.append(i)
-            tile.append(rows.at[i, "tile_id"])
-            n.append(rows.at[i, "n"])
-    m, out = len(kept), rows.iloc[kept].copy()
-    out[["x1", "y1", "x2", "y2"]] = box[:m]
-    out["score"], out["n"], out["border_dist"], out["edge"], out["tile_id"] = score[:m], n, dist[:m], edge[:m], tile
-    return out
+        since = (batch, i) if new else (None, None)
+        if not len(hit):
+            box[m] = b
+            kept.append([group, i, since, score, dist, edge, tile, n])
+            continue
+        j = int(hit[0])
+        out.append(ended(j, batch, i))
+        k = kept[j]
+        p, q = k[3] * (1 + BORDER_ALPHA * k[4]), score * (1 + BORDER_ALPHA * dist)
+        p_part, q_part = p / (p + q + TINY), q / (p + q + TINY)
+        box[j] = box[j] * p_part + b * q_part
+        kept[j] = [group, k[1], since, max(k[3], score), k[4] * p_part + dist * q_part, k[5] and edge, k[6] if p >= q else tile, k[7] + n]
+    return out + [ended(j, None, None) for j in range(len(kept))]
 
 
 def legacy_composition(detections: DataFrame, threshold: float = 0.45, tight: float = 0.3, least_score: float = 0.01) -> DataFrame:

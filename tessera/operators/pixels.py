@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import percentiles
 from tessera.operators.spatial import points_in_polygons, rectangle_meets, with_bounds, with_cells
 
 LEVELS = (2, 4, 8, 16, 32, 64, 128)
 
 
+BAND = ["raster_id", "band"]
+
+
 def band_stats(pixels: DataFrame, nodata: float = -9999.0, approx: bool = False) -> DataFrame:
     """p2, p98, min, max per band over valid pixels; over all pixels where none is valid."""
-    valid = F.when((F.col("value") != nodata) & ~F.isnan("value"), F.col("value"))
-    q = (lambda v, p: F.percentile_approx(v, p, 10_000)) if approx else (lambda v, p: F.percentile(v, p))
-    stat = lambda v: [q(v, F.lit(0.02)), q(v, F.lit(0.98)), F.min(v), F.max(v)]
-    pairs = zip(("p2", "p98", "vmin", "vmax"), stat(valid), stat(F.col("value")))
-    return pixels.groupBy("raster_id", "band").agg(*[F.coalesce(a, b).alias(n) for n, a, b in pairs])
+    valid = F.coalesce((F.col("value") != nodata) & ~F.isnan("value"), F.lit(False))
+    df = pixels.withColumn("_ok", valid)
+    if approx:
+        q = lambda p: F.percentile_approx("value", p, 10_000)
+        s = df.groupBy(*BAND, "_ok").agg(q(0.02).alias("p0"), q(0.98).alias("p1"), F.min("value").alias("low"), F.max("value").alias("high"))
+    else:
+        s = percentiles(df, [*BAND, "_ok"], F.col("value"), [0.02, 0.98])
+    best = s.groupBy(*BAND).agg(F.max_by(F.struct("p0", "p1", "low", "high"), "_ok").alias("s"))
+    return best.select(*BAND, F.col("s.p0").alias("p2"), F.col("s.p1").alias("p98"), F.col("s.low").alias("vmin"), F.col("s.high").alias("vmax"))
 
 
 def input_means(pixels: DataFrame, step: int = 1) -> DataFrame:
@@ -37,12 +45,18 @@ def adaptive_mapping(pixels: DataFrame, slots: list[int], step: int = 10) -> Dat
 def adaptive_percentiles(pixels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Percentiles of pixels above 0: (0, 255) if there are none, (min, max + 1e-6) if they are flat."""
     v = F.when(F.col("value") > 0, F.col("value"))
-    df = pixels.groupBy("raster_id", "band").agg(F.percentile(v, F.lit(low)).alias("lo"), F.percentile(v, F.lit(high)).alias("hi"), F.min(v).alias("a"), F.max(v).alias("b"))
+    df = _ranges(pixels, v, low, high).select(*BAND, "lo", "hi", F.col("low").alias("a"), F.col("high").alias("b"))
     flat = F.col("hi") <= F.col("lo")
     lo = F.when(F.col("lo").isNull(), 0.0).when(flat, F.col("a")).otherwise(F.col("lo"))
     return df.select("raster_id", "band", lo.alias("lo"), F.when(F.col("hi").isNull(), 255.0).when(flat, F.col("b") + 1e-6).otherwise(F.col("hi")).alias("hi"))
 
 
+def _ranges(pixels: DataFrame, v: Column, low: float, high: float) -> DataFrame:
+    """(raster_id, band, n, lo, hi, low, high) of the bands' values ``v``; n is 0 and the others null where a band has none."""
+    found = percentiles(pixels, BAND, v, [low, high]).withColumnsRenamed({"p0": "lo", "p1": "hi"})
+    return pixels.select(*BAND).distinct().join(found, BAND, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def stretch(v: Column, lo: Column, hi: Column) -> Column:
     """0..255, truncated; 0 where flat."""
     return F.when(hi > lo, F.floor((F.greatest(lo, F.least(hi, v)) - lo) / (hi - lo) * 255)).otherwise(F.lit(0)).cast("int")
@@ -74,8 +88,7 @@ def unit_range(pixels: DataFrame, least: int = 100) -> DataFrame:
     ``least`` pixels above 0, or a flat one."""
     v = F.when((F.col("value") >= -9999) & ~F.isnan("value"), F.col("value")).otherwise(0.0)
     valid = F.when(v > 0, v)
-    s = pixels.groupBy("raster_id", "band").agg(F.percentile(valid, F.lit(0.02)).alias("lo"), F.percentile(valid, F.lit(0.98)).alias("hi"), F.count(valid).alias("n"))
-    df = pixels.join(s, ["raster_id", "band"])
+    df = pixels.join(_ranges(pixels, valid, 0.02, 0.98).drop("low", "high"), BAND)
     scaled = F.try_divide(F.greatest(F.col("lo"), F.least(F.col("hi"), v)) - F.col("lo"), F.col("hi") - F.col("lo"))
     good = (F.col("n") > least) & (F.col("hi") > F.col("lo"))
     return df.select("raster_id", "band", "row", "col", F.when(good, scaled).otherwise(0.0).alias("value"))
@@ -84,7 +97,7 @@ def unit_range(pixels: DataFrame, least: int = 100) -> DataFrame:
 def display(pixels: DataFrame) -> DataFrame:
     """Display values: percentiles of pixels that are neither 0 nor NaN; 128 where flat."""
     v = F.when((F.col("value") != 0) & ~F.isnan("value"), F.col("value"))
-    s = pixels.groupBy("raster_id", "band").agg(F.percentile(v, F.lit(0.02)).alias("lo"), F.percentile(v, F.lit(0.98)).alias("hi"))
+    s = _ranges(pixels, v, 0.02, 0.98)
     out = F.when(F.col("hi") > F.col("lo"), stretch(F.col("value"), F.col("lo"), F.col("hi"))).otherwise(F.lit(128))
     return pixels.join(s, ["raster_id", "band"]).select("raster_id", "band", "row", "col", out.cast("int").alias("value"))
 
@@ -224,9 +237,9 @@ def overview(pixels: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Overview bytes: 2 % and 98 % of pixels that are neither 0 nor NaN (of all where there are none), or ``p2`` and ``p98``
     of ``stats`` (raster_id, band); flat ones use minimum and maximum, then a width of 1e-5."""
     key, v = ["raster_id", "band"], F.col("value")
-    valid = F.when((v != 0) & ~F.isnan(v), v)
-    both = lambda f: F.coalesce(f(valid), f(v))
-    s = pixels.groupBy(*key).agg(*[both(lambda c, p=p: F.percentile(c, F.lit(p))).alias(n) for n, p in (("lo", 0.02), ("hi", 0.98))], both(F.min).alias("a"), both(F.max).alias("b"))
+    valid = F.coalesce((v != 0) & ~F.isnan(v), F.lit(False))
+    s = percentiles(pixels.withColumn("_ok", valid), [*key, "_ok"], v, [0.02, 0.98])
+    s = s.groupBy(*key).agg(F.max_by(F.struct(F.col("p0").alias("lo"), F.col("p1").alias("hi"), F.col("low").alias("a"), F.col("high").alias("b")), "_ok").alias("s")).select(*key, "s.*")
     if stats is not None:
         s = s.join(stats.select(*key, "p2", "p98"), key, "left").withColumns({"lo": F.coalesce("p2", "lo"), "hi": F.coalesce("p98", "hi")})
     flat = F.col("hi") <= F.col("lo")
@@ -238,7 +251,7 @@ def overview(pixels: DataFrame, stats: DataFrame | None = None) -> DataFrame:
 def preview(pixels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Preview bytes by percentiles of the pixels above 0; 0 for a band without any, or a flat one."""
     v = F.when(F.col("value") > 0, F.col("value"))
-    s = pixels.groupBy("raster_id", "band").agg(F.percentile(v, F.lit(low)).alias("lo"), F.percentile(v, F.lit(high)).alias("hi"))
+    s = _ranges(pixels, v, low, high)
     out = F.coalesce(stretch(F.col("value"), F.col("lo"), F.col("hi")), F.lit(0))
     return pixels.join(s, ["raster_id", "band"]).select("raster_id", "band", "row", "col", out.alias("value"))
 
