@@ -170,10 +170,22 @@ def closed(ring: Column) -> Column:
     return F.when((F.size(fine) > 0) & (F.get(fine, F.lit(0)) != F.element_at(fine, -1)), F.concat(fine, F.slice(fine, 1, 1))).otherwise(fine)
 
 
+def crosses(e: Column, x: Column, y: Column) -> Column:
+    """Whether the ray from a point to greater x crosses an edge; an edge holds its lower end only."""
+    at = F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]
+    return F.coalesce(((e["ay"] > y) != (e["by"] > y)) & (x < at), F.lit(False))
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd ray casting, lower and left borders inside."""
-    crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"])
-    return F.size(F.filter(edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return F.size(F.filter(edges(ring), lambda e: crosses(e, x, y))) % 2 == 1
+
+
+def on_border(all_edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on one of the edges."""
+    flat = lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"])
+    near = lambda e: x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+    return F.exists(all_edges, lambda e: F.coalesce(near(e) & flat(e), F.lit(False)))
 
 
 def simple(ring: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import box as B
 from tessera.functions import geo as G
+from tessera.operators.storage import materialize
 
 CELL = 128
 
@@ -25,19 +26,67 @@ def with_bounds(polygons: DataFrame) -> DataFrame:
     return polygons.withColumns({"bx1": side(F.array_min, "x"), "by1": side(F.array_min, "y"), "bx2": side(F.array_max, "x"), "by2": side(F.array_max, "y")})
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: int = CELL, mode: str = "ring") -> DataFrame:
-    """Points (raster_id, x, y, ...) x polygons (raster_id, polygon_id, ring, ...) that contain them.
+#: Edges up to which a ring is copied into its cells; larger rings are cut by cells.
+COPIED = 64
 
-    ``mode``: ring (even-odd), strict (boundary excluded by a small inset is the caller's), or bbox.
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: int = CELL, mode: str = "ring", copied: int = COPIED) -> DataFrame:
+    """Points (raster_id, x, y, ...) x polygons (raster_id, polygon_id, ring, ...) that contain them, without the rings.
+
+    ``mode``: ring (even-odd, lower and left borders inside), strict (points on the border are outside), or bbox. A ring of
+    over ``copied`` edges is cut: each cell gets the edges that touch it and the parity of what lies above, so a point
+    tests its cell's edges only, and what is shuffled grows with the edges instead of edges times cells.
     """
-    shapes = with_bounds(polygons)
-    shapes = with_cells(shapes, (F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2")), cell)
     x, y = F.col("x"), F.col("y")
     dealt = points.withColumn("gx", F.floor(x / cell).cast("int")).withColumn("gy", F.floor(y / cell).cast("int"))
+    small = with_bounds(polygons if mode == "bbox" else polygons.where(F.size("ring") <= copied))
+    small = with_cells(small, (F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2")), cell)
     inside = x.between(F.col("bx1"), F.col("bx2")) & y.between(F.col("by1"), F.col("by2"))
     if mode != "bbox":
         inside = inside & G.contains(F.col("ring"), x, y)
-    return dealt.join(shapes, ["raster_id", "gx", "gy"]).where(inside).drop("gx", "gy", "bx1", "by1", "bx2", "by2")
+    if mode == "strict":
+        inside = inside & ~G.on_border(G.edges(F.col("ring")), x, y)
+    hit = dealt.join(small, ["raster_id", "gx", "gy"]).where(inside).drop("gx", "gy", "bx1", "by1", "bx2", "by2", "ring")
+    large = polygons.where(F.size("ring") > copied)
+    if mode == "bbox" or large.isEmpty():
+        return hit
+    cut = ring_cells(large, cell)
+    right = (F.col("gx") + 1.0) * cell
+    over = lambda e: ((e["ax"] > right) & (e["ay"] > y) & ~(e["bx"] > right)) | ((e["bx"] > right) & (e["by"] > y) & ~(e["ax"] > right))
+    odd = F.aggregate("_edges", F.col("_above"), lambda s, e: s + G.crosses(e, x, y).cast("long") + over(e).cast("long")) % 2 == 1
+    if mode == "strict":
+        odd = odd & ~G.on_border(F.col("_edges"), x, y)
+    return hit.unionByName(dealt.join(cut, ["raster_id", "gx", "gy"]).where(odd).drop("gx", "gy", "_edges", "_above"))
+
+
+def ring_cells(polygons: DataFrame, cell: int = CELL) -> DataFrame:
+    """The polygons' columns but the ring for each cell (gx, gy) that a ring may hold a point of, with the cell's ``_edges`` and ``_above``.
+
+    ``_above``: edges from left to right over the cell's right side that lie wholly above the cell's row. A point is inside
+    if this number, the cell's edges that its ray to the right crosses, and the right ends above the point of the cell's
+    edges that pass the right side make an odd sum: edges further right cancel out around a closed ring.
+    """
+    # A ring's name is a number; only its few other columns go along with the cells.
+    shapes = materialize(polygons.withColumn("_shape", F.monotonically_increasing_id()), "shapes")
+    rest = [c for c in polygons.columns if c not in ("ring", "raster_id")]
+    edges = shapes.select("raster_id", "_shape", F.explode(G.edges(F.col("ring"))).alias("e"))
+    low = {c: F.least(F.col(f"e.a{c}"), F.col(f"e.b{c}")) for c in "xy"}
+    high = {c: F.greatest(F.col(f"e.a{c}"), F.col(f"e.b{c}")) for c in "xy"}
+    down = lambda v: F.floor(v / cell).cast("int")
+    up = lambda v: F.ceil(v / cell).cast("int")
+    # An edge that begins on a cell's right side passes it.
+    touched = edges.withColumn("gx", F.explode(F.sequence(up(low["x"]) - 1, down(high["x"])))).withColumn("gy", F.explode(F.sequence(down(low["y"]), down(high["y"]))))
+    held = touched.groupBy("raster_id", "_shape", "gx", "gy").agg(F.collect_list("e").alias("_edges"))
+    passed = edges.where(up(low["x"]) <= up(high["x"]) - 1).withColumn("gx", F.explode(F.sequence(up(low["x"]) - 1, up(high["x"]) - 2)))
+    tops = passed.groupBy("raster_id", "_shape", "gx", (down(low["y"]) - 1).alias("gy")).agg(F.count("*").alias("_tops"))
+    bounds = edges.groupBy("raster_id", "_shape").agg(*[f(v).alias(n) for n, f, v in (("bx1", F.min, low["x"]), ("by1", F.min, low["y"]), ("bx2", F.max, high["x"]), ("by2", F.max, high["y"]))])
+    cells = with_cells(bounds, (F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2")), cell).select("raster_id", "_shape", "gx", "gy", F.lit(True).alias("_cell"))
+    key = ["raster_id", "_shape", "gx", "gy"]
+    both = cells.join(held, key, "left").join(tops, key, "full")
+    column = Window.partitionBy("raster_id", "_shape", "gx").orderBy(F.desc("gy"))
+    both = both.withColumn("_above", F.coalesce(F.sum("_tops").over(column), F.lit(0))).where(F.col("_cell") & (F.col("_edges").isNotNull() | (F.col("_above") % 2 == 1)))
+    both = both.withColumn("_edges", F.coalesce("_edges", F.array().cast(held.schema["_edges"].dataType)))
+    return both.select(*key, "_edges", "_above").join(shapes.select("_shape", *rest), "_shape").drop("_shape")
 
 
 def filter_by_polygons(points: DataFrame, polygons: DataFrame, key: list[str], cell: int = CELL) -> DataFrame:
