@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import rings
+
 EARTH_M = 6_371_000.0
 #: WGS84.
 A, FLAT = 6_378_137.0, 1 / 298.257223563
@@ -161,7 +163,7 @@ def centroid(ring: Column) -> tuple[Column, Column]:
 
 def diameter(ring: Column) -> Column:
     """Greatest distance of two vertices."""
-    return F.array_max(F.transform(ring, lambda p: F.array_max(F.transform(ring, lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])))))
+    return rings.diameter(ring)
 
 
 def closed(ring: Column) -> Column:
@@ -189,11 +191,8 @@ def on_border(all_edges: Column, x: Column, y: Column) -> Column:
 
 
 def simple(ring: Column) -> Column:
-    """No two edges cross in their inner points."""
-    side = lambda e, x, y: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
-    meet = lambda e, g: (side(e, g["ax"], g["ay"]) * side(e, g["bx"], g["by"]) < 0) & (side(g, e["ax"], e["ay"]) * side(g, e["bx"], e["by"]) < 0)
-    all_edges = edges(ring)
-    return ~F.exists(all_edges, lambda e: F.exists(all_edges, lambda g: meet(e, g)))
+    """Whether the edges of a ring meet only where one ends and the next begins; fewer than three vertices make no ring."""
+    return rings.simple(ring)
 
 
 def thinned(ring: Column, least: float = 4.0) -> Column:

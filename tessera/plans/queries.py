@@ -125,6 +125,25 @@ def _(t):
     return spatial.points_in_polygons(_centres(t.detections), t.polygons.where("role = 'aoi'"), mode="bbox").select("det_id").distinct()
 
 
+@query("f9_strict_filter", "SELECT DISTINCT d.det_id, polygon_id FROM (SELECT *, floor((x1+x2)/20)*10 AS x, floor((y1+y2)/20)*10 AS y FROM detections) d JOIN polygons p ON d.raster_id=p.raster_id AND x>px AND y>py AND CASE WHEN polygon_id%2=1 THEN (x-px)+(y-py)<side ELSE x<px+side AND y<py+side END", "detections polygons")
+def _(t):
+    """Points on a grid of 10, so that some lie on borders, which do not count."""
+    at = t.detections.select("det_id", "raster_id", *[(F.floor((F.col(f"{c}1") + F.col(f"{c}2")) / 20) * 10).cast("double").alias(c) for c in "xy"])
+    return spatial.points_in_polygons(at, t.polygons, mode="strict").select("det_id", "polygon_id").distinct()
+
+
+@query("j2_large_rings", """WITH v AS (SELECT raster_id, polygon_id, px+side*(0.5+(0.3+0.2*(k%3))*cos(2*pi()*k/240)) AS ax, py+side*(0.5+(0.3+0.2*(k%3))*sin(2*pi()*k/240)) AS ay, px+side*(0.5+(0.3+0.2*((k+1)%240%3))*cos(2*pi()*((k+1)%240)/240)) AS bx, py+side*(0.5+(0.3+0.2*((k+1)%240%3))*sin(2*pi()*((k+1)%240)/240)) AS by_ FROM polygons, range(240) r(k)),
+    near AS (SELECT det_id, d.raster_id, polygon_id, (x1+x2)/2 AS x, (y1+y2)/2 AS y FROM detections d JOIN polygons p ON d.raster_id=p.raster_id AND abs((x1+x2)/2-px-side/2)<=0.75*side AND abs((y1+y2)/2-py-side/2)<=0.75*side)
+    SELECT det_id, near.polygon_id FROM near JOIN v ON v.raster_id=near.raster_id AND v.polygon_id=near.polygon_id WHERE (ay>y)<>(by_>y) AND x<(bx-ax)*(y-ay)/(by_-ay)+ax GROUP BY ALL HAVING count(*)%2=1""", "detections polygons")
+def _(t):
+    """Stars of 240 points, cut by cells."""
+    r, turn = 0.3 + 0.2 * (F.col("k") % 3), 2 * F.pi() * F.col("k") / 240
+    at = t.polygons.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(239)))).withColumns({"x": F.col("px") + F.col("side") * (0.5 + r * F.cos(turn)), "y": F.col("py") + F.col("side") * (0.5 + r * F.sin(turn))})
+    ring = F.transform(F.sort_array(F.collect_list(F.struct("k", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    stars = at.groupBy("raster_id", "polygon_id").agg(ring.alias("ring"))
+    return spatial.points_in_polygons(_centres(t.detections), stars).select("det_id", "polygon_id")
+
+
 # --- tiles -------------------------------------------------------------------------------------------------------
 
 def _tiles_sql(n: str, w: str = "least(640, 2048-x)", h: str = "least(640, 2048-y)") -> str:
