@@ -73,10 +73,11 @@ def _(t):
 def _(t):
     action = "CASE event_id % 10 WHEN 8 THEN 'undo' WHEN 9 THEN 'redo' WHEN 7 THEN 'add' WHEN 6 THEN 'edit' WHEN 5 THEN 'edit' ELSE 'delete' END"
     events = streams.files_stream(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema).selectExpr("user_id AS session_id", "event_id AS seq", f"{action} AS action")
-    done = streams.run_to_table(streams.standing_events(events), "sessions", "update")
-    last = done.groupBy("session_id").agg(F.max_by(F.struct("last_seq", "standing"), "last_seq").alias("s"))
-    total = F.aggregate("s.standing", F.lit(0).cast("long"), lambda a, x: a + x)
-    return last.select("session_id", "s.last_seq", F.size("s.standing").cast("long").alias("n_standing"), total.alias("total"))
+    changes = streams.run_to_table(streams.standing_events(events), "sessions", "update", rocksdb=True)
+    held = streams.standing(changes).groupBy("session_id").agg(F.count("*").alias("n_standing"), F.sum("seq").alias("total"))
+    last = changes.groupBy("session_id").agg(F.max("last_seq").alias("last_seq"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return last.join(held, "session_id", "left").select("session_id", "last_seq", zero("n_standing"), zero("total"))
 
 
 @query("st6_arrived_rasters", "SELECT label AS raster_id, count(*) AS tiles, round(sum(list_sum(embedding::DOUBLE[]))/sum(len(embedding)),6) AS mean, round(min(list_min(embedding))::DOUBLE,6) AS low, round(max(list_max(embedding))::DOUBLE,6) AS high FROM embeddings GROUP BY 1")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators import dedup
 from tessera.operators.storage import shared_dir
@@ -48,26 +48,74 @@ def above_threshold(events: DataFrame, thresholds: DataFrame) -> DataFrame:
     return events.join(thresholds, "event_type").where(F.col("value") >= F.col("threshold"))
 
 
-def standing_events(events: DataFrame) -> DataFrame:
-    """Undo and redo while events (session_id, seq, action) arrive in a session's order: after each batch a session's
-    last ``seq`` and the ``standing`` ones. The state of a session is its history and a cursor in it."""
+class History(StatefulProcessor):
+    """A session's undo history: the event at each place as map state, cursor, length and last event as value state.
 
-    def replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history, cursor = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, action in zip(rows["seq"].tolist(), rows["action"]):
+    A batch reads and writes the places that its events touch, and returns these, however long the history is. With
+    ``idle_ms`` a timer is put off at each batch; when it expires, the session is closed and its state dropped.
+    """
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.places = handle.getMapState("places", "place long", "seq long")
+        self.ends = handle.getValueState("ends", "cursor long, length long, last_seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        cursor, length, last = self.ends.get() if self.ends.exists() else (0, 0, -1)
+        written: dict[int, int] = {}
+        batch = pd.concat(list(rows)).sort_values("seq")
+        for seq, action in zip(batch["seq"].tolist(), batch["action"]):
             if action == "undo":
                 cursor = max(0, cursor - 1)
             elif action == "redo":
-                cursor = min(len(history), cursor + 1)
+                cursor = min(length, cursor + 1)
             else:
-                history[cursor:] = [seq]
-                cursor += 1
-        state.update((history, cursor))
-        yield pd.DataFrame({"session_id": [key[0]], "last_seq": [int(rows["seq"].iloc[-1])], "standing": [history[:cursor]]})
+                written[cursor] = seq
+                cursor = length = cursor + 1
+            last = max(last, seq)
+        for place, seq in written.items():
+            self.places.updateValue((place,), (seq,))
+        self.ends.update((cursor, length, last))
+        if self.idle_ms is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._rows(key, last, cursor, written, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        cursor, _, last = self.ends.get()
+        self.ends.clear()
+        self.places.clear()
+        yield self._rows(key, last, cursor, {}, True)
+
+    @staticmethod
+    def _rows(key, last: int, cursor: int, written: dict[int, int], closed: bool) -> pd.DataFrame:
+        at = [*written, None]
+        out = pd.DataFrame({"place": pd.array(at, "Int64"), "seq": pd.array([*written.values(), None], "Int64")})
+        return out.assign(session_id=key[0], last_seq=last, cursor=cursor, closed=closed)[["session_id", "last_seq", "cursor", "closed", "place", "seq"]]
+
+
+CHANGES = "session_id long, last_seq long, cursor long, closed boolean, place long, seq long"
 
-    out = "session_id long, last_seq long, standing array<long>"
-    return events.groupBy("session_id").applyInPandasWithState(replay, out, "history array<long>, cursor int", "update", GroupStateTimeout.NoTimeout)
+
+def standing_events(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Undo and redo while events (session_id, seq, action) arrive in a session's order. A session gives, for each batch that
+    touches it, a row with its last event and its cursor, and one more for each place of its history that got another event.
+
+    ``idle_ms``: for queries that go on; one that ends with the available data does not end while timers are open.
+    """
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return events.groupBy("session_id").transformWithStateInPandas(History(idle_ms), CHANGES, "Update", mode)
+
+
+def standing(changes: DataFrame) -> DataFrame:
+    """(session_id, place, seq) of the events that stand, from all that ``standing_events`` gave."""
+    now = changes.groupBy("session_id").agg(F.max_by("cursor", "last_seq").alias("cursor"))
+    held = changes.where("place IS NOT NULL").groupBy("session_id", "place").agg(F.max_by("seq", "last_seq").alias("seq"))
+    return held.join(now, "session_id").where("place < cursor").select("session_id", "place", "seq")
 
 
 def arrived_rasters(tiles: DataFrame) -> DataFrame:
@@ -84,16 +132,27 @@ def arrived_rasters(tiles: DataFrame) -> DataFrame:
     return done.groupBy("raster_id").agg(F.sum("tiles").alias("tiles"), (F.sum("total") / F.sum("n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, schema: str | None = None) -> DataFrame:
+#: Stateful processors keep their state in RocksDB.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, schema: str | None = None, rocksdb: bool = False, at: str | None = None) -> DataFrame:
     """Runs all available data through ``stream`` (and each batch through ``each``, whose result has ``schema``) into a
-    Parquet table in the shared folder and reads it. A batch that is run again overwrites its own files."""
+    Parquet table in the shared folder and reads it. A batch that is run again overwrites its own files. With the same
+    folder ``at`` a later run goes on from the checkpoint."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
+    at = at or f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
 
     def put(df: DataFrame, epoch: int) -> None:
         df = each(df, epoch) if each else df
         df.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else epoch}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
-    q.awaitTermination()
+    before = spark.conf.get(STORE[0])
+    try:
+        if rocksdb:
+            spark.conf.set(*STORE)
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STORE[0], before)
     return spark.read.schema(schema or stream.schema).parquet(f"{at}/rows").drop("batch")

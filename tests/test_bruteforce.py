@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -156,23 +157,47 @@ def test_signature_tells_changes(spark):
     assert [r.raster_id for r in dedup.changed(df, df.where("raster_id = 1")).collect()] == [0]
 
 
-def test_sessions_over_several_files(spark, tmp_path):
+def replayed(rows, s):
+    history, cursor = [], 0
+    for _, seq, action in (r for r in rows if r[0] == s):
+        if action == "undo":
+            cursor = max(0, cursor - 1)
+        elif action == "redo":
+            cursor = min(len(history), cursor + 1)
+        else:
+            history[cursor:], cursor = [seq], cursor + 1
+    return history[:cursor]
+
+
+def test_sessions_over_several_files_and_a_restart(spark, tmp_path):
     rnd = random.Random(3)
-    rows = [(rnd.randrange(4), i, rnd.choice(["add", "edit", "undo", "undo", "redo"])) for i in range(120)]
-    for k in range(4):
-        part = [r for r in rows if r[1] // 30 == k]
-        spark.createDataFrame(part, "session_id long, seq long, action string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streams.files_stream(spark, str(tmp_path / "in"), "session_id long, seq long, action string")
-    got: dict[int, tuple] = {}
-    for r in streams.run_to_table(streams.standing_events(stream), "sessions", "update").collect():
-        got[r.session_id] = max(got.get(r.session_id, (-1, [])), (r.last_seq, list(r.standing)))
-    for s in range(4):
-        history, cursor = [], 0
-        for _, seq, action in (r for r in rows if r[0] == s):
-            if action == "undo":
-                cursor = max(0, cursor - 1)
-            elif action == "redo":
-                cursor = min(len(history), cursor + 1)
-            else:
-                history[cursor:], cursor = [seq], cursor + 1
-        assert got[s] == (max(r[1] for r in rows if r[0] == s), history[:cursor])
+    rows = [(rnd.randrange(4), i, rnd.choice(["add", "edit", "undo", "undo", "redo"])) for i in range(160)]
+    kind = "session_id long, seq long, action string"
+    for first, last in ((0, 3), (3, 4)):
+        for k in range(first, last):
+            spark.createDataFrame([r for r in rows if r[1] // 40 == k], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.files_stream(spark, str(tmp_path / "in"), kind)
+        changes = streams.run_to_table(streams.standing_events(stream), "sessions", "update", rocksdb=True, at=str(tmp_path / "out"))
+        seen = [r for r in rows if r[1] < 40 * last]
+        got = sorted(tuple(r) for r in streams.standing(changes).collect())
+        assert got == sorted((s, i, seq) for s in range(4) for i, seq in enumerate(replayed(seen, s)))
+    # What is written grows with the events, not with the histories.
+    assert changes.where("place IS NOT NULL").count() <= sum(r[2] in ("add", "edit") for r in rows)
+
+
+def test_idle_sessions_are_closed(spark, tmp_path):
+    kind = "session_id long, seq long, action string"
+    for part in ([(1, 1, "add"), (2, 2, "add"), (1, 3, "edit")], [(2, 4, "undo")]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    changes = streams.standing_events(streams.files_stream(spark, str(tmp_path / "in"), kind), 500)
+    before, seen = spark.conf.get(streams.STORE[0]), []
+    spark.conf.set(*streams.STORE)
+    q = changes.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: seen.extend(df.collect())).start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and q.isActive and {r.session_id for r in seen if r.closed} != {1, 2}:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+        spark.conf.set(streams.STORE[0], before)
+    assert {(r.session_id, r.last_seq, r.cursor) for r in seen if r.closed} == {(1, 3, 2), (2, 4, 0)}
