@@ -68,3 +68,8 @@ def largest_parts(parts: DataFrame, key: list[str], area: Column) -> DataFrame:
     """Of each feature's parts (``part``, ``ring``) the largest, the first of equals."""
     best = F.max_by(F.struct("part", "ring"), F.struct(area, -F.col("part"))).alias("p")
     return parts.groupBy(*key).agg(best).select(*key, "p.part", "p.ring")
+
+
+def unknown_slots(given: DataFrame, expected: DataFrame, key: tuple[str, ...] = ("raster_id",)) -> DataFrame:
+    """Slots of a mapping (key, slot) that are not expected: they are ignored, and reported by this."""
+    return given.select(*key, "slot").distinct().join(expected.select(*key, "slot"), [*key, "slot"], "left_anti")
