@@ -37,10 +37,12 @@ def greedy(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         lost = materialize(open_.join(heads, "winner", "left_semi").select("loser", "winner").distinct(), "lost")
         gone = lost if gone is None else gone.unionByName(lost)
         if lost.isEmpty():
+            discard(open_)
             return gone.select("loser").distinct(), gone
         dead = lost.select("loser").distinct()
         left = open_.join(dead, "loser", "left_anti").join(dead.withColumnRenamed("loser", "winner"), "winner", "left_anti")
-        open_ = materialize(left.select("winner", "loser"), "conflicts")
+        old, open_ = open_, materialize(left.select("winner", "loser"), "conflicts")
+        discard(old)
 
 
 def conflicts(detections: DataFrame, threshold: float, inclusive: bool = False, rank: str = "score", key: list[str] | None = None) -> DataFrame:
@@ -182,7 +184,7 @@ def _folded(done: DataFrame | None, coming: DataFrame, threshold: float, most: i
     start, none = order(F.col("_new")), F.lit(None).cast("long")
     ended = {"from_batch": start[0], "from_id": start[1], "to_batch": none, "to_id": none}
     versions = at.withColumns(ended).selectExpr(*[f"CAST({c} AS {t}) AS {c}" for c, t in (x.split() for x in VERSION.split(", "))])
-    label: DataFrame | None = None
+    label = stored = None
     while True:
         known = at.select(*KEY, "det_id", "_group")
         held = with_cells(versions.join(known.select(*KEY, "det_id"), "det_id").select(*KEY, F.col("_group").alias("_other"), "from_batch", "from_id", "to_batch", "to_id", *[F.col(c).alias(f"v{c}") for c in XY]), B.cols("v"))
@@ -197,8 +199,11 @@ def _folded(done: DataFrame | None, coming: DataFrame, threshold: float, most: i
         joined = components(met)
         joined = materialize(joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()), "joined")
         moved = at.select("det_id", "_group").join(joined, F.col("_group") == F.col("node")).select("det_id", F.col("component").alias("_group"))
-        label = moved if label is None else moved.unionByName(label.join(joined, F.col("_group") == F.col("node"), "left_anti"))
-        label = materialize(label, "groups")
+        if label is not None:
+            moved = moved.unionByName(label.join(joined, F.col("_group") == F.col("node"), "left_anti"))
+        old, label = label, materialize(moved, "groups")
+        if old is not None:
+            discard(old)
         at = boxes.join(label, "det_id", "left").withColumn("_group", F.coalesce("_group", "det_id"))
         sizes = label.join(boxes.select("det_id", "_new"), "det_id").groupBy("_group").agg(F.count("*").alias("size"), F.sum(F.col("_new").cast("int")).alias("news"))
         if not sizes.where((F.col("size") > most) & (F.col("news") > 1)).isEmpty():
@@ -209,7 +214,11 @@ def _folded(done: DataFrame | None, coming: DataFrame, threshold: float, most: i
         busy = busy.select("_group", "_new", F.col("batch_no").cast("long").alias("batch_no"), "det_id", *[F.col(c).cast("double").alias(c) for c in (*XY, "score", "border_dist")], "edge", "tile_id", "n")
         again = busy.repartition("_group").sortWithinPartitions("_group", "_new", "batch_no", "det_id").mapInPandas(lambda b: _fold_all(b, threshold), VERSION)
         rest = versions.join(joined, F.col("_group") == F.col("node"), "left_anti")
-        versions = materialize(rest.unionByName(again), "versions")
+        old, stored = stored, materialize(rest.unionByName(again), "versions")
+        versions = stored
+        for df in (met, joined, old):
+            if df is not None:
+                discard(df)
 
 
 def _half(coming: DataFrame) -> Column:
