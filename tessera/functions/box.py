@@ -96,6 +96,31 @@ def iou(a: Box, b: Box) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
+def _parts(a: Box, b: Box) -> tuple[Column, Column, Column]:
+    """Width and height of what two boxes share (negative if they are apart), and the sum of their areas as they come."""
+    raw = lambda v: (v[2] - v[0]) * (v[3] - v[1])
+    return F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.least(a[3], b[3]) - F.greatest(a[1], b[1]), raw(a) + raw(b)
+
+
+def iou_raw(a: Box, b: Box) -> Column:
+    """Intersection over union of areas as they come, negative ones too; 0 for boxes that are apart and for unions of 0 or less."""
+    w, h, both = _parts(a, b)
+    return F.when((w < 0) | (h < 0), 0.0).when(both - w * h <= 0, 0.0).otherwise(F.try_divide(w * h, both - w * h))
+
+
+def iou_unguarded(a: Box, b: Box) -> Column:
+    """Intersection over union without a guard: not a number if both are empty, infinite if only the union is."""
+    w, h, both = _parts(a, b)
+    inter = F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
+    return F.when(both != inter, F.try_divide(inter, both - inter)).otherwise(F.when(inter > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+
+
+def duplicate(a: Box, b: Box, limit: Column) -> Column:
+    """Whether the unguarded form exceeds ``limit``; what is not a number is no duplicate."""
+    v = iou_unguarded(a, b)
+    return ~F.isnan(v) & (v > limit)
+
+
 def circle(b: Box, a: Column, e: Column) -> dict[str, Column]:
     """Inscribed circle in pixels and, by the pixel sizes, in CRS units."""
     r = F.least(b[2] - b[0], b[3] - b[1]) / 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,20 +105,91 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_M * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
-#: Angle in radians beyond which two points are nearly opposite.
-OPPOSITE = 3.1
+#: Angle in radians beyond which two points are nearly opposite; steps of the two ways to a geodesic; nodes of its integrals.
+OPPOSITE, TURNS, HALVINGS, NODES = 3.0, 14, 48, 16
 
 
-def andoyer(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Ellipsoidal distance by the Andoyer-Lambert formula: closed form, within metres over thousands of km. Between points
-    that are nearly opposite, where it does not hold, the great circle's."""
-    b1, b2 = (F.atan((1 - FLAT) * F.tan(F.radians(v))) for v in (lat1, lat2))
-    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    sigma = 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
-    p, q = (b1 + b2) / 2, (b2 - b1) / 2
-    x = F.try_divide((sigma - F.sin(sigma)) * F.pow(F.sin(p), 2) * F.pow(F.cos(q), 2), F.pow(F.cos(sigma / 2), 2))
-    y = F.try_divide((sigma + F.sin(sigma)) * F.pow(F.cos(p), 2) * F.pow(F.sin(q), 2), F.pow(F.sin(sigma / 2), 2))
-    return F.when(sigma < 1e-12, 0.0).when(sigma > OPPOSITE, haversine(lon1, lat1, lon2, lat2)).otherwise(A * (sigma - FLAT / 2 * (x + y)))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _excess(s: Column, sigma: Column, sin: Column, cos: Column, twice: Column) -> Column:
+    """How much the sphere's longitude exceeds the ellipsoid's: Vincenty's series for a geodesic that leaves the equator with
+    sine ``s``, ``twice`` being the cosine of twice the middle of the arc."""
+    c2 = 1 - s * s
+    c = FLAT / 16 * c2 * (4 + FLAT * (4 - 3 * c2))
+    return (1 - c) * FLAT * s * (sigma + c * sin * (twice + c * cos * (2 * twice * twice - 1)))
+
+
+def _arc(p: Column, sin: Column, cos: Column) -> Column:
+    """Arc on the auxiliary sphere that leaves the first latitude with this azimuth and ends at its ascent of the second."""
+    s0, x = sin * p["cu"], cos * p["cu"]
+    y = F.sqrt(F.greatest(F.lit(0.0), x * x + (p["su"] - p["sv"]) * (p["su"] + p["sv"])))
+    ends = F.struct(s0.alias("s0"), (cos * cos + sin * sin * p["su"] * p["su"]).alias("c2"), F.atan2(p["su"], x).alias("from"), F.atan2(p["sv"], y).alias("to"))
+    return ends.withField("turn", F.atan2(s0 * p["sv"], y) - F.atan2(s0 * p["su"], x))
+
+
+def _length(p: Column, arc: Column) -> Column:
+    """Length by Gauss-Legendre integration; what the longitude misses is added by the first variation of the length."""
+    x, w = np.polynomial.legendre.leggauss(NODES)
+    nodes = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip(x, w)))
+    half, mid, k2 = (arc["to"] - arc["from"]) / 2, (arc["to"] + arc["from"]) / 2, arc["c2"] * (E2 / (1 - E2))
+    root = lambda n: F.sqrt(1 + k2 * F.pow(F.sin(mid + half * n["x"]), 2))
+    add = lambda s, n: let(root(n), lambda r: F.struct((s["m"] + n["w"] * r).alias("m"), (s["l"] + n["w"] * (2 - FLAT) / (1 + (1 - FLAT) * r)).alias("l")))
+    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("l"))
+    missed = lambda s: p["lam"] - arc["turn"] + FLAT * arc["s0"] * half * s["l"]
+    return F.aggregate(nodes, zero, add, lambda s: A * (1 - FLAT) * half * s["m"] + A * arc["s0"] * missed(s))
+
+
+def _direct(p: Column) -> Column:
+    """Arc between points that are not nearly opposite: Vincenty's iteration of the sphere's longitude."""
+
+    def at(lam: Column) -> Column:
+        y = p["cv"] * F.sin(lam)
+        x = F.sin(p["v"] - p["u"]) + 2 * p["su"] * p["cv"] * F.pow(F.sin(lam / 2), 2)
+        return F.struct(y.alias("y"), x.alias("x"), F.hypot(x, y).alias("sin"), (p["su"] * p["sv"] + p["cu"] * p["cv"] * F.cos(lam)).alias("cos"))
+
+    def turn(lam: Column, _: Column) -> Column:
+        def longer(g: Column) -> Column:
+            s = F.when(g["sin"] > 0, p["cu"] * g["y"] / g["sin"]).otherwise(0.0)
+            twice = lambda s: g["cos"] - F.coalesce(F.try_divide(2 * p["su"] * p["sv"], 1 - s * s), F.lit(0.0))
+            return let(s, lambda s: let(twice(s), lambda t: p["lam"] + _excess(s, F.atan2(g["sin"], g["cos"]), g["sin"], g["cos"], t)))
+
+        return let(at(lam), longer)
+
+    lam = F.aggregate(F.sequence(F.lit(1), F.lit(TURNS)), p["lam"], turn)
+    azimuth = lambda g: F.when(g["sin"] > 0, F.struct((g["y"] / g["sin"]).alias("s"), (g["x"] / g["sin"]).alias("c"))).otherwise(F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("c")))
+    return let(let(lam, lambda v: let(at(v), azimuth)), lambda z: _arc(p, z["s"], z["c"]))
+
+
+def _opposite(p: Column) -> Column:
+    """Arc between points that are nearly opposite: the one azimuth in 0..pi that meets the longitude, by bisection."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        turn = lambda a: a["turn"] - _excess(a["s0"], a["to"] - a["from"], F.sin(a["to"] - a["from"]), F.cos(a["to"] - a["from"]), F.cos(a["to"] + a["from"]))
+        over = let(_arc(p, F.sin(mid), F.cos(mid)), lambda a: turn(a) > p["lam"])
+        return F.when(over, F.struct(s["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), s["hi"].alias("hi")))
+
+    both = F.struct(F.lit(0.0).alias("lo"), F.lit(math.pi).alias("hi"))
+    mid = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), both, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    return let(mid, lambda z: _arc(p, F.sin(z), F.cos(z)))
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres between two points on WGS84, to far below a millimetre, opposite points and poles included; null if a coordinate is."""
+    b1, b2 = (F.atan((1 - FLAT) * F.tan(F.radians(v.cast("double")))) for v in (lat1, lat2))
+    lam = F.radians(F.abs(F.pmod(lon2 - lon1 + F.lit(180.0), F.lit(360.0)) - 180))
+    # By symmetry the first point lies south of the equator and at least as far from it as the second.
+    first = F.abs(b1) >= F.abs(b2)
+    far, near = F.when(first, b1).otherwise(b2), F.when(first, b2).otherwise(b1)
+    u = F.when(far.isNotNull() & near.isNotNull() & lam.isNotNull(), F.least(-F.abs(far), F.lit(-1e-100)))
+    v = F.when(far > 0, -near).otherwise(near)
+    full = lambda c: F.struct(*(c[k].alias(k) for k in ("u", "v", "lam")), F.sin(c["u"]).alias("su"), F.cos(c["u"]).alias("cu"), F.sin(c["v"]).alias("sv"), F.cos(c["v"]).alias("cv"))
+    wide = lambda p: p["su"] * p["sv"] + p["cu"] * p["cv"] * F.cos(p["lam"]) < math.cos(OPPOSITE)
+    arc = lambda p: let(F.when(wide(p), _opposite(p)).otherwise(_direct(p)), lambda a: _length(p, a))
+    return let(F.struct(u.alias("u"), v.alias("v"), lam.alias("lam")), lambda c: let(full(c), arc))
 
 
 def pixel_size_m(a: Column, e: Column, lat: Column, geographic: Column) -> tuple[Column, Column]:

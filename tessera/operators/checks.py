@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import box as B
+from tessera.operators.saved import numbered
 from tessera.operators.spatial import with_bounds
 
 
@@ -24,12 +25,9 @@ def overlay_boxes(detections: DataFrame, width: Column, height: Column) -> DataF
 
 def final_boxes(detections: DataFrame, least_score: float, order: str = "det_id") -> DataFrame:
     """Valid boxes with ``pos``, their place in the raster's list before the check."""
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy("raster_id").orderBy(order)) - 1
     b = B.cols()
     good = finite(b[0]) & finite(b[1]) & finite(b[2]) & finite(b[3]) & (b[2] > b[0]) & (b[3] > b[1]) & (F.col("score") >= least_score)
-    return detections.withColumn("pos", pos).where(good)
+    return numbered(detections, order).withColumn("pos", F.col("nth") - 1).drop("nth").where(good)
 
 
 def usable_polygons(polygons: DataFrame, rasters: DataFrame) -> DataFrame:

@@ -313,19 +313,26 @@ def standardised(pixels: DataFrame, stats: DataFrame) -> DataFrame:
     return pixels.join(stats, "band").select("raster_id", "band", "row", "col", F.try_divide(F.col("value") - F.col("mean"), F.col("std")).alias("value"))
 
 
-def bilinear(pixels: DataFrame, scale: float) -> DataFrame:
-    """Each output cell from the four pixels around its centre, borders repeated; a row per input pixel and cell it serves."""
+def bilinear(pixels: DataFrame, scale: float, nodata: float | None = None) -> DataFrame:
+    """Each output cell from the pixels around its centre by a triangular kernel: one pixel wide on each side, and wider by the
+    factor when it shrinks, so that every pixel counts. Weights are those of the pixels that exist and are not ``nodata``,
+    brought to a sum of 1; a cell without any is ``nodata``. A row per input pixel and cell it serves, summed before the shuffle."""
     size = pixels.groupBy("raster_id", "band").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
     df = pixels.join(size, ["raster_id", "band"])
     for c, n in (("row", "height"), ("col", "width")):
-        # Cells whose two neighbours on this axis may include the pixel; those weights that are 0 fall out.
-        cells = F.greatest(F.lit(1), F.floor(F.col(n) * scale)).cast("int")
-        first, last = F.floor((F.col(c) - 0.5) * scale - 0.5).cast("int"), F.ceil((F.col(c) + 1.5) * scale - 0.5).cast("int")
-        df = df.withColumn(f"o{c}", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(F.least(last, cells - 1), F.greatest(first, F.lit(0)))))).where(F.col(f"o{c}") < cells)
-        at = F.greatest(F.lit(0.0), F.least((F.col(f"o{c}") + 0.5) / scale - 0.5, F.col(n) - 1))
-        df = df.withColumn(f"w{c}", F.greatest(F.lit(0.0), 1 - F.abs(at - F.col(c)))).where(F.col(f"w{c}") > 0)
+        cells = F.greatest(F.lit(1), F.floor(F.col(n) * F.lit(float(scale)))).cast("int")
+        df = df.withColumn("cells", cells).withColumn("step", F.col(n) / F.col("cells")).withColumn("reach", F.greatest(F.lit(1.0), "step"))
+        first = F.floor((F.col(c) + 0.5 - F.col("reach")) / F.col("step") - 0.5).cast("int")
+        last = F.ceil((F.col(c) + 0.5 + F.col("reach")) / F.col("step") - 0.5).cast("int")
+        df = df.withColumn(f"o{c}", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.col("cells") - 1))))
+        weight = 1 - F.abs(F.col(c) + 0.5 - (F.col(f"o{c}") + 0.5) * F.col("step")) / F.col("reach")
+        df = df.withColumn(f"w{c}", weight).where(F.col(f"w{c}") > 1e-12)
     w = F.col("wrow") * F.col("wcol")
-    return df.groupBy("raster_id", "band", F.col("orow").alias("row"), F.col("ocol").alias("col")).agg(F.sum(F.col("value") * w).alias("value"))
+    if nodata is not None:
+        w = F.when(F.col("value") != nodata, w)
+    df = df.groupBy("raster_id", "band", F.col("orow").alias("row"), F.col("ocol").alias("col")).agg(F.sum(F.col("value") * w).alias("v"), F.sum(w).alias("w"))
+    value = F.col("v") / F.col("w")
+    return df.select("raster_id", "band", "row", "col", (value if nodata is None else F.coalesce(value, F.lit(float(nodata)))).alias("value"))
 
 
 def optimal_dimension(width: Column, height: Column, bands: Column, dtype: Column, budget_mb: float = 200.0) -> Column:

@@ -81,6 +81,17 @@ def mismatch(assignment: DataFrame, limit: float = 0.05) -> DataFrame:
     return df.withColumn("attention", F.col("max_diff") > limit)
 
 
+def band_mismatch(rasters: DataFrame, assignment: DataFrame, n_slots: int, multiref: Column, limit: float = 0.05) -> DataFrame:
+    """Whether a raster's bands need attention: with one reference if their number is not that of the slots (``max_diff`` is by
+    how many), with several if an assigned band is further than ``limit`` from its reference; without any assignment 0."""
+    worst = mismatch(assignment, limit).select("raster_id", F.col("max_diff").alias("worst"))
+    df = rasters.withColumn("multiref", multiref).join(worst, "raster_id", "left")
+    off = F.abs(F.col("bands") - n_slots).cast("double")
+    diff = F.when(F.col("multiref"), F.coalesce(F.round("worst", 6), F.lit(0.0))).otherwise(off)  # six decimals, as it is reported
+    df = df.select("raster_id", F.col("bands").alias("n_bands"), F.lit(n_slots).alias("expected"), "multiref", diff.alias("max_diff"))
+    return df.withColumn("attention", F.when(F.col("multiref"), F.col("max_diff") > limit).otherwise(F.col("max_diff") > 0))
+
+
 def checked_mapping(mapping: DataFrame, rasters: DataFrame, slots: list[int]) -> DataFrame:
     """Manual mapping (raster_id, slot, input_band) over the expected slots of each raster: status ok, blank, out_of_range
     (an error), duplicate (a warning); unknown slots are left out."""

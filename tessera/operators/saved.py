@@ -127,3 +127,34 @@ def appended_runs(log: DataFrame, new: DataFrame) -> DataFrame:
 def log_rows(rows: DataFrame) -> DataFrame:
     """Rows as JSON text, one in a line."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def numbered(df: DataFrame, order: str, by: str = "raster_id", slice_ids: int = 1 << 16) -> DataFrame:
+    """Adds ``nth``, the place from 1 in each group by ``order`` (whole numbers, none twice): counted in slices of ids, so that
+    a task holds ``slice_ids`` rows at most, and sums over slices give where each begins."""
+    at = F.floor(F.col(order) / slice_ids)
+    df = df.withColumn("_slice", at)
+    before = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(by, "_slice").agg(F.count("*").alias("_n")).select(by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(by, "_slice").orderBy(order))
+    return df.withColumn("nth", inside).join(starts, [by, "_slice"]).withColumn("nth", F.col("nth") + F.col("_start")).drop("_slice", "_start")
+
+
+#: Lengths to which the text fields of a saved table are cut, and what an untouched detection is called.
+NAME_CHARS, MODEL_CHARS, UNTOUCHED = 20, 30, "not_corrected"
+
+
+def raw_detections(detections: DataFrame, rasters: DataFrame, model: Column, names: Column, order: str = "det_id") -> DataFrame:
+    """Saved table of a run: id from 1 in each raster, kelas, confidence, model, box in pixels, status and a closed ring.
+
+    The ring runs between the box's corners in the CRS, each in the middle of its pixel and the sides along the axes; without a
+    CRS pixels are one unit with y downwards negative. Numbers are rounded half to even.
+    """
+    plain = dict(zip("abcdef", (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)))
+    place = rasters.select("raster_id", *[F.when(F.col("epsg").isNull(), v).otherwise(F.col(k)).alias(k) for k, v in plain.items()])
+    df = numbered(detections, order).join(place, "raster_id")
+    (ax, ay), (bx, by) = (G.to_crs(F.col(x) + 0.5, F.col(y) + 0.5, G.transform_cols()) for x, y in (SIDES[:2], SIDES[2:]))
+    return df.select(
+        "raster_id", F.col("nth").cast("long").alias("id"), F.substring(B.class_name(F.col("class_id"), names), 1, NAME_CHARS).alias("kelas"), F.bround("score", 4).alias("confidence"),
+        F.substring(model, 1, MODEL_CHARS).alias("model"), *[F.bround(c, 1).alias(f"{c}_px") for c in SIDES], F.lit(UNTOUCHED).alias("status"), B.ring((ax, ay, bx, by)).alias("ring"),
+    )

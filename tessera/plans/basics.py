@@ -36,17 +36,28 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", r6(T.safe_divide(p, q - 25, -1.0), "share"), T.clamp(q, F.lit(10.0), F.lit(40.0)).alias("clamped"))
 
 
-@query("g7_ellipsoid_distances", """WITH p AS (SELECT c_custkey, radians((c_custkey*37)%360-180) AS l1, radians((c_custkey*53)%170-85) AS f1, radians((c_custkey*91)%360-180) AS l2, radians(CASE WHEN c_custkey%10=0 THEN -((c_custkey*53)%170-85) ELSE (c_custkey*29)%170-85 END) AS f2 FROM (SELECT * FROM customer) t),
-    q AS (SELECT c_custkey, CASE WHEN c_custkey%10=0 THEN l1+pi() ELSE l2 END AS l2, l1, f1, f2, atan((1-1/298.257223563)*tan(f1)) AS b1, atan((1-1/298.257223563)*tan(f2)) AS b2 FROM p),
-    h AS (SELECT *, pow(sin((b2-b1)/2),2)+cos(b1)*cos(b2)*pow(sin((l2-l1)/2),2) AS h, pow(sin((f2-f1)/2),2)+cos(f1)*cos(f2)*pow(sin((l2-l1)/2),2) AS g FROM q),
-    s AS (SELECT *, 2*atan2(sqrt(h),sqrt(greatest(0,1-h))) AS s FROM h)
-    SELECT c_custkey, round(CASE WHEN s<1e-12 THEN 0 WHEN s>3.1 THEN 2*6371000*atan2(sqrt(g),sqrt(greatest(0,1-g))) ELSE 6378137*(s-1/298.257223563/2*((s-sin(s))*pow(sin((b1+b2)/2),2)*pow(cos((b2-b1)/2),2)/pow(cos(s/2),2)+(s+sin(s))*pow(cos((b1+b2)/2),2)*pow(sin((b2-b1)/2),2)/pow(sin(s/2),2))) END/10) AS tens FROM s""")
+#: A geodesic by its definition: the azimuth by bisection, the integrals of longitude and length by Simpson's rule.
+GEODESICS = """RECURSIVE WITH p AS (SELECT c_custkey, (c_custkey*37)%360-180 AS lon1, (c_custkey*53)%170-85 AS lat1, c_custkey%10=0 AS far FROM customer),
+    q AS (SELECT c_custkey, CASE WHEN far THEN 180-(c_custkey//10)%7*0.1::DOUBLE ELSE abs(((c_custkey*91)%360-180-lon1+540)%360-180) END AS dl, lat1::DOUBLE AS lat1, CASE WHEN far THEN -lat1+(c_custkey//70)%5*0.1::DOUBLE ELSE (c_custkey*29)%170-85 END::DOUBLE AS lat2 FROM p),
+    b AS (SELECT *, radians(dl) AS lam, atan((1-1/298.257223563)*tan(radians(lat1))) AS b1, atan((1-1/298.257223563)*tan(radians(lat2))) AS b2 FROM q),
+    c AS (SELECT c_custkey, lam, lat1, lat2, least(-greatest(abs(b1),abs(b2)),-1e-100) AS u, CASE WHEN abs(b1)>=abs(b2) THEN b2*CASE WHEN b1>0 THEN -1 ELSE 1 END ELSE b1*CASE WHEN b2>0 THEN -1 ELSE 1 END END AS v, (SELECT list(i ORDER BY i) FROM range(201) t(i)) AS few FROM b),
+    bis AS (SELECT *, 0::DOUBLE AS lo, pi() AS hi, 0 AS n FROM c UNION ALL
+      SELECT c_custkey, lam, lat1, lat2, u, v, few, CASE WHEN o THEN lo ELSE mid END, CASE WHEN o THEN mid ELSE hi END, n+1 FROM (SELECT *, w2-w1-1/298.257223563*s0*(t2-t1)/600*list_sum([CASE WHEN i=0 OR i=200 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END*(2-1/298.257223563)/(1+(1-1/298.257223563)*sqrt(1+k2*pow(sin(t1+(t2-t1)*i/200),2))) for i in few])>lam AS o
+        FROM (SELECT *, atan2(sin(u),cos(mid)*cos(u)) AS t1, atan2(sin(v),y) AS t2, atan2(s0*sin(u),cos(mid)*cos(u)) AS w1, atan2(s0*sin(v),y) AS w2, 0.006739496742276434*(1-s0*s0) AS k2
+          FROM (SELECT *, sin(mid)*cos(u) AS s0, sqrt(greatest(0,pow(cos(mid)*cos(u),2)+pow(sin(u),2)-pow(sin(v),2))) AS y FROM (SELECT *, (lo+hi)/2 AS mid FROM bis WHERE n<52) x) x) x) x),
+    e AS (SELECT *, atan2(sin(u),cos(mid)*cos(u)) AS t1, atan2(sin(v),sqrt(greatest(0,pow(cos(mid)*cos(u),2)+pow(sin(u),2)-pow(sin(v),2)))) AS t2, 0.006739496742276434*(1-pow(sin(mid)*cos(u),2)) AS k2 FROM (SELECT *, (lo+hi)/2 AS mid FROM bis WHERE n=52) x),
+    m AS (SELECT c_custkey, sum(CASE WHEN i=0 OR i=4000 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END*sqrt(1+k2*pow(sin(t1+(t2-t1)*i/4000),2)))*6356752.314245179*(any_value(t2)-any_value(t1))/12000 AS m FROM e, range(4001) r(i) GROUP BY 1)
+    SELECT c_custkey, round(CASE WHEN lat1=0 AND lat2=0 AND lam<=(1-1/298.257223563)*pi() THEN 6378137*lam ELSE m END,2) AS metres FROM c JOIN m USING (c_custkey)"""
+
+
+@query("g7_ellipsoid_distances", GEODESICS)
 def _(t):
     k = F.col("c_custkey")
     lon1, lat1 = (k * 37) % 360 - 180, (k * 53) % 170 - 85
-    opposite = k % 10 == 0  # every tenth pair lies on opposite sides of the globe
-    lon2, lat2 = F.when(opposite, lon1 + 180).otherwise((k * 91) % 360 - 180), F.when(opposite, -lat1).otherwise((k * 29) % 170 - 85)
-    return t.customer.select("c_custkey", F.round(G.andoyer(lon1, lat1, lon2, lat2) / 10).alias("tens"))
+    far = k % 10 == 0  # every tenth pair lies on opposite sides of the globe, or nearly so
+    lon2 = F.when(far, lon1 + 180 - F.floor(k / 10) % 7 * F.lit(0.1)).otherwise((k * 91) % 360 - 180)
+    lat2 = F.when(far, -lat1 + F.floor(k / 70) % 5 * F.lit(0.1)).otherwise((k * 29) % 170 - 85)
+    return t.customer.select("c_custkey", F.round(G.geodesic(lon1, lat1, lon2, lat2), 2).alias("metres"))
 
 
 @query("g16_pixel_sizes", "SELECT raster_id, round(CASE WHEN epsg IS NULL OR epsg=4326 THEN abs(a)*111320*cos(radians(f)) ELSE abs(a) END,6) AS w, round(CASE WHEN epsg IS NULL OR epsg=4326 THEN abs(e)*111320 ELSE abs(e) END,6) AS h FROM scenes", "scenes")

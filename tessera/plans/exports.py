@@ -41,6 +41,27 @@ def _(t):
     return rings.select(prop("id"), prop("class_name", "string"), F.size("ring").alias("n_points"), side(F.array_min, "x").alias("min_x"), side(F.array_max, "y").alias("max_y"))
 
 
+@query("k10_lonlat_features", f"SELECT det_id AS id, {NAME_SQL} AS class_name, round(CASE WHEN epsg IS NULL THEN x1 ELSE c+x1*a END,7) AS min_x, round(CASE WHEN epsg IS NULL THEN y2 ELSE f+y1*e END,7) AS max_y FROM detections JOIN rasters USING (raster_id) WHERE epsg IS NULL OR epsg=4326 UNION ALL SELECT det_id, {NAME_SQL}, round(x1,3), round(y1,3) FROM detections JOIN rasters USING (raster_id) WHERE epsg=32648", "detections rasters")
+def _(t):
+    """Projected rings are brought back to pixels to be compared."""
+    rings = vector.outer_rings(written(exports.detection_features(t.detections.join(t.rasters, "raster_id"), names(), lonlat=True)))
+    df = rings.select(prop("id"), prop("class_name", "string"), "ring").join(t.detections.select(F.col("det_id").alias("id"), "raster_id"), "id").join(t.rasters, "raster_id")
+    df = df.withColumn("back", vector.lonlat_to_pixel(F.col("ring"), G.transform_cols(), F.col("epsg")))
+    projected = F.col("epsg") == 32648
+    x = F.when(projected, F.round(F.array_min("back.x"), 3)).otherwise(F.round(F.array_min("ring.x"), 7))
+    y = F.when(projected, F.round(F.array_min("back.y"), 3)).otherwise(F.round(F.array_max("ring.y"), 7))
+    return df.select("id", "class_name", x.alias("min_x"), y.alias("max_y"))
+
+
+@query("k10_raw_records", f"SELECT det_id, raster_id, {NAME_SQL} AS class_name, round(score,6) AS score, x1, y1, x2, y2 FROM detections", "detections")
+def _(t):
+    """Written as JSON lines and read again."""
+    path = f"{shared_dir(t.spark)}/tessera/{uuid.uuid4().hex}/records"
+    exports.detection_records(t.detections, names()).write.partitionBy("raster_id").json(path)
+    df = t.spark.read.schema("id bigint, class string, score double, box array<double>, raster_id int").json(path)
+    return df.select(F.col("id").alias("det_id"), "raster_id", F.col("class").alias("class_name"), r6(F.col("score"), "score"), *[F.col("box")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
 @query("k4_centroid_features", f"SELECT det_id AS id, {NAME_SQL} AS class_name, CASE WHEN epsg IS NULL THEN 0 ELSE round((x1+x2)/2,3) END AS x, CASE WHEN epsg IS NULL THEN 0 ELSE round((y1+y2)/2,3) END AS y FROM detections JOIN rasters USING (raster_id)", "detections rasters")
 def _(t):
     points = vector.parts(written(exports.centroid_features(t.detections.join(t.rasters, "raster_id"), names())))
@@ -66,6 +87,18 @@ def _(t):
     return layers.join(t.rasters, "raster_id").select("raster_id", "n", plain("min_x"), plain("max_y"))
 
 
+@query("a10_layer_summary", "SELECT raster_id, count(*)+count(*) FILTER (polygon_id%5=4) AS n_features, CASE WHEN min(polygon_id)%5=4 THEN 'Point' ELSE 'Polygon' END AS kind, CASE WHEN bool_or(polygon_id%5=4) THEN 'id, mark, name, raster_id, valid' ELSE 'id, name, raster_id, valid' END AS fields, round(min(CASE WHEN epsg=4326 THEN c+px*a END),7) AS min_x, round(max(CASE WHEN epsg=4326 THEN f+py*e END),7) AS max_y FROM polygons JOIN rasters USING (raster_id) WHERE epsg IS NOT NULL GROUP BY 1", "polygons rasters")
+def _(t):
+    """Polygons, and before each fifth of them a point at its corner with a field of its own."""
+    places = t.polygons.join(t.rasters, "raster_id").where("epsg IS NOT NULL")
+    lon, lat = G.to_lonlat(*G.to_crs(F.col("px"), F.col("py"), G.transform_cols()), F.col("epsg"))
+    marks = places.where("polygon_id % 5 = 4").select(exports.feature("Point", F.array(lon, lat), id=F.col("polygon_id") - 0.5, raster_id=F.col("raster_id"), mark=F.lit("corner")).alias("value"))
+    layers = vector.layer_summary(written(exports.polygon_features(places).unionByName(marks)), [prop("raster_id", "int")], F.col("properties")["id"].cast("double"))
+    df = layers.join(t.rasters, "raster_id")
+    plain = lambda c: F.when(F.col("epsg") == 4326, F.round(c, 7)).alias(c)
+    return df.select("raster_id", "n_features", "kind", F.array_join("fields", ", ").alias("fields"), plain("min_x"), plain("max_y"))
+
+
 @query("k9_polygon_rows", "WITH h AS (SELECT *, sin(radians(f+py*e)) AS s1, sin(radians(f+(py+side)*e)) AS s2, 0.0066943799901413165::DOUBLE AS e2, 0.08181919084262149::DOUBLE AS e1 FROM polygons JOIN rasters USING (raster_id)) SELECT polygon_id, 'Polygon ' || polygon_id AS name, round(CASE WHEN epsg=4326 THEN 0.9996*0.9996*6378137.0::DOUBLE*6378137.0*radians(side*a)*(1-e2)/2*(s1/(1-e2*s1*s1)+atanh(e1*s1)/e1-s2/(1-e2*s2*s2)-atanh(e1*s2)/e1) ELSE side*side*a*a END/CASE WHEN polygon_id%2=1 THEN 2 ELSE 1 END,0) AS area, true AS is_clockwise, CAST(CASE WHEN polygon_id%2=1 THEN 4 ELSE 5 END AS INT) AS n_points FROM h", "polygons rasters")
 def _(t):
     df = exports.polygon_rows(t.polygons.join(t.rasters, "raster_id"))
@@ -108,9 +141,18 @@ def _(t):
     return pixels.standardised(t.pixels, stats).withColumn("value", F.round("value", 6))
 
 
-@query("p18_bilinear", f"WITH s AS (SELECT raster_id, band, floor((max(row)+1)/2) AS h FROM pixels GROUP BY ALL) SELECT p.raster_id, p.band, CAST(floor(row/2) AS INT) AS row, CAST(floor(col/2) AS INT) AS col, round(sum(value)/4+{TIE:.10f},6) AS value FROM pixels p JOIN s ON p.raster_id=s.raster_id AND p.band=s.band AND floor(row/2)<h GROUP BY p.raster_id, p.band, CAST(floor(row/2) AS INT), CAST(floor(col/2) AS INT)", "pixels")
+#: Rows first, then columns, weights of each axis listed; halves, three tenths and twice the size.
+RESAMPLED = f"""WITH o AS (SELECT raster_id, band, k, h, w, greatest(1,floor(h*k))::INT AS oh, greatest(1,floor(w*k))::INT AS ow FROM (SELECT raster_id, band, max(row)+1 AS h, max(col)+1 AS w FROM pixels GROUP BY ALL), (SELECT unnest([0.5::DOUBLE,0.3::DOUBLE,2.0::DOUBLE]) AS k)),
+    ay AS (SELECT *, 1-abs(r+0.5-(y+0.5)*h/oh)/greatest(1,h/oh) AS wy FROM (SELECT raster_id, band, k, h, oh, y, unnest(range(h)) AS r FROM (SELECT *, unnest(range(oh)) AS y FROM o))),
+    ax AS (SELECT *, 1-abs(r+0.5-(x+0.5)*w/ow)/greatest(1,w/ow) AS wx FROM (SELECT raster_id, band, k, w, ow, x, unnest(range(w)) AS r FROM (SELECT *, unnest(range(ow)) AS x FROM o))),
+    high AS (SELECT p.raster_id, p.band, k, y, col, sum(wy*value) FILTER (value<>-9999) AS n, sum(wy) FILTER (value<>-9999) AS d FROM pixels p JOIN ay ON p.raster_id=ay.raster_id AND p.band=ay.band AND p.row=ay.r WHERE wy>1e-12 GROUP BY ALL)
+    SELECT g.raster_id, g.band, ax.k AS scale, CAST(y AS INT) AS row, CAST(x AS INT) AS col, round(coalesce(sum(wx*n)/sum(wx*d),-9999)+{TIE:.10f},6) AS value FROM high g JOIN ax ON g.raster_id=ax.raster_id AND g.band=ax.band AND g.k=ax.k AND g.col=ax.r WHERE wx>1e-12 GROUP BY g.raster_id, g.band, ax.k, y, x"""
+
+
+@query("p18_bilinear", RESAMPLED, "pixels")
 def _(t):
-    return pixels.bilinear(t.pixels, 0.5).withColumn("value", F.round(F.col("value") + TIE, 6))
+    each = [pixels.bilinear(t.pixels, k, -9999.0).withColumn("scale", F.lit(k)) for k in (0.5, 0.3, 2.0)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).withColumn("value", F.round(F.col("value") + TIE, 6))
 
 
 @query("p20_read_sizes", "SELECT raster_id, CAST(floor(2048*sqrt(20.0/64)) AS BIGINT) AS side, 0.25::DOUBLE AS scale FROM rasters", "rasters")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import box as B
 from tessera.functions import geo as G
 from tessera.functions import text as T
-from tessera.operators import corrections, decode, dedup, grid, pixels, routing, spatial
+from tessera.operators import corrections, decode, dedup, grid, pixels, routing, saved, spatial
 from tessera.operators.storage import materialize
 from tessera.plans.fixtures import ctes, fixture
 
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None, needs: str = ""):
             with_ = ctes(*needs.split()) if needs else ""
             recursive = "RECURSIVE " if "RECURSIVE" in sql else ""
             body = sql.replace("RECURSIVE", "").strip()
-            ORACLES[name] = (f"WITH {recursive}{with_}" + (", " + body[5:] if body.startswith("WITH ") else " " + body)) if with_ else body
+            ORACLES[name] = (f"WITH {recursive}{with_}" + (", " + body[5:] if body.startswith("WITH ") else " " + body)) if with_ else sql.replace("RECURSIVE WITH", "WITH RECURSIVE").strip()
         return f
 
     return add
@@ -76,6 +76,18 @@ def _(t):
     return df.withColumn("iou", F.round("iou", 6))
 
 
+@query("b12_variants", "WITH p AS (SELECT det_id, CASE WHEN det_id%11=0 THEN x2 ELSE x1 END AS x1, y1, CASE WHEN det_id%11=0 THEN x1 WHEN det_id%6=0 THEN x1 ELSE x2 END AS x2, y2 FROM detections), q AS (SELECT *, least(x2,x2+det_id%5*8-8)-greatest(x1,x1+det_id%5*8-8) AS w, least(y2,y2+det_id%3*40-4)-greatest(y1,y1+det_id%3*40-4) AS h, 2*(x2-x1)*(y2-y1) AS s FROM p) SELECT det_id, round(CASE WHEN w<0 OR h<0 OR s-w*h<=0 THEN 0 ELSE w*h/(s-w*h) END,6) AS raw, CASE WHEN s=greatest(0,w)*greatest(0,h) THEN greatest(0,w)*greatest(0,h)>0 ELSE greatest(0,w)*greatest(0,h)/(s-greatest(0,w)*greatest(0,h))>0.5 END AS is_duplicate FROM q", "detections")
+def _(t):
+    """Each box and its copy beside it; some boxes are empty, some are inside out."""
+    k = F.col("det_id")
+    turned = k % 11 == 0
+    df = t.detections.select("det_id", "y1", "y2", F.when(turned, F.col("x2")).otherwise(F.col("x1")).alias("x1"), F.when(turned | (k % 6 == 0), F.col("x1")).otherwise(F.col("x2")).alias("x2"))
+    dx, dy = k % 5 * 8 - 8, k % 3 * 40 - 4
+    a = B.cols()
+    b = (a[0] + dx, a[1] + dy, a[2] + dx, a[3] + dy)
+    return df.select("det_id", r6(B.iou_raw(a, b), "raw"), B.duplicate(a, b, F.lit(0.5)).alias("is_duplicate"))
+
+
 @query("b13_circles", "SELECT det_id, round(r*(abs(a)+abs(e))/2,6) AS radius_m, round(pi()*(r*(abs(a)+abs(e))/2)*(r*(abs(a)+abs(e))/2),6) AS area_m2, round(c+cx*a,6) AS geo_x, round(f+cy*e,6) AS geo_y FROM (SELECT d.*, rs.a, rs.c, rs.e, rs.f, least(x2-x1,y2-y1)/2 AS r, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy FROM detections d JOIN rasters rs USING (raster_id))", "rasters detections")
 def _(t):
     df = t.detections.join(t.rasters, "raster_id")
@@ -446,6 +458,13 @@ def _(t):
     return routing.mismatch(routing.greedy_assignment(refs, pixels.input_means(t.pixels, 10))).withColumn("max_diff", F.round("max_diff", 6))
 
 
+@query("r8_band_mismatch", "SELECT raster_id, bands AS n_bands, CAST(4 AS INT) AS expected, raster_id%3=0 AS multiref, CASE WHEN raster_id%3=0 THEN CASE WHEN raster_id%5=0 THEN 0 ELSE greatest((raster_id*37)%100,(raster_id*74)%100)/1000.0 END ELSE abs(bands-4) END::DOUBLE AS max_diff, CASE WHEN raster_id%3=0 THEN raster_id%5<>0 AND greatest((raster_id*37)%100,(raster_id*74)%100)>50 ELSE bands<>4 END AS attention FROM scenes", "scenes")
+def _(t):
+    """Scenes of 1 to 9 bands for four slots; every third has several references, of those every fifth without an assignment."""
+    slots = t.scenes.where("raster_id % 5 <> 0").select("raster_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("slot"))
+    return routing.band_mismatch(t.scenes, slots.withColumn("diff", F.col("raster_id") * 37 * F.col("slot") % 100 / 1000), 4, F.col("raster_id") % 3 == 0)
+
+
 #: Names that some band of each kind carries; they are put behind the part's own.
 BAND_WORDS = ["Red Edge 1", "edge", "NIR 2", "near", "IR", "SWIR", "Coastal", "Yellow", "Blue", "Red", "Green", "Pan"]
 R1_SLOT = "CASE WHEN d LIKE '%coastal%' THEN 0 WHEN d LIKE '%blue%' THEN 1 WHEN d LIKE '%green%' THEN 2 WHEN d LIKE '%yellow%' THEN 3 WHEN d LIKE '%red%' THEN 4 WHEN d LIKE '%edge%' THEN 5 WHEN d LIKE '%nir%' OR d LIKE '%near%' THEN 6 WHEN d LIKE '%ir%' THEN 7 END"
@@ -523,11 +542,13 @@ def _(t):
     return t.supplier.select("s_suppkey", F.round(m, 3).alias("m"))
 
 
-@query("k1_raw_export", "SELECT row_number() OVER (PARTITION BY raster_id ORDER BY det_id) AS id, raster_id, 'c'||class_id AS kelas, round_even(score,4) AS confidence, round_even(x1,1) AS x1_px, round_even(y2,1) AS y2_px, 'not_corrected' AS status, round(c+x2*a,6) AS geo_x2, 5 AS n_ring FROM detections JOIN rasters USING (raster_id)", "detections rasters")
+@query("k1_raw_export", "SELECT row_number() OVER (PARTITION BY raster_id ORDER BY det_id) AS id, raster_id, CASE class_id WHEN 0 THEN 'a class of a name of m' ELSE CAST(class_id AS VARCHAR) END[1:20] AS kelas, round_even(score,4) AS confidence, 'model ' || raster_id || ' of some length, cut'[1:CAST(24-len(CAST(raster_id AS VARCHAR)) AS BIGINT)] AS model, round_even(x1,1) AS x1_px, round_even(y1,1) AS y1_px, round_even(x2,1) AS x2_px, round_even(y2,1) AS y2_px, 'not_corrected' AS status, round(CASE WHEN epsg IS NULL THEN x1+0.5 ELSE c+(x1+0.5)*a END,6) AS geo_x1, round(CASE WHEN epsg IS NULL THEN -y1-0.5 ELSE f+(y1+0.5)*e END,6) AS geo_y1, round(CASE WHEN epsg IS NULL THEN x2+0.5 ELSE c+(x2+0.5)*a END,6) AS geo_x2, round(CASE WHEN epsg IS NULL THEN -y2-0.5 ELSE f+(y2+0.5)*e END,6) AS geo_y2, 5 AS n_ring, true AS is_closed FROM detections JOIN rasters USING (raster_id)", "detections rasters")
 def _(t):
-    df = t.detections.join(t.rasters, "raster_id")
-    ring = G.ring_to_crs(B.ring(B.cols()), G.transform_cols())
-    return df.select(F.row_number().over(Window.partitionBy("raster_id").orderBy("det_id")).cast("long").alias("id"), "raster_id", F.concat(F.lit("c"), F.col("class_id")).alias("kelas"), F.bround("score", 4).alias("confidence"), F.bround("x1", 1).alias("x1_px"), F.bround("y2", 1).alias("y2_px"), F.lit("not_corrected").alias("status"), r6(F.get(ring, F.lit(1))["x"], "geo_x2"), F.size(ring).alias("n_ring"))
+    model = F.concat(F.lit("model "), F.col("raster_id").cast("string"), F.lit(" of some length, cut"))
+    df = saved.raw_detections(t.detections, t.rasters, model, F.create_map(F.lit(0), F.lit("a class of a name of m")))
+    at = lambda i, k, alias: r6(F.get("ring", F.lit(i))[k], alias)
+    corners = [at(0, "x", "geo_x1"), at(0, "y", "geo_y1"), at(2, "x", "geo_x2"), at(2, "y", "geo_y2")]
+    return df.select(*df.columns[:-1], *corners, F.size("ring").alias("n_ring"), (F.get("ring", F.lit(0)) == F.get("ring", F.lit(4))).alias("is_closed"))
 
 
 @query("s15_box_from_ring", "SELECT det_id, round(x1,3) AS x1, round(y1,3) AS y1, round(x2,3) AS x2, round(y2,3) AS y2 FROM detections", "detections rasters")

@@ -54,6 +54,12 @@ def detection_features(detections: DataFrame, names: Column, lonlat: bool = Fals
     return detections.select(feature("Polygon", F.array(ring), id=F.col("det_id"), class_name=B.class_name(F.col("class_id"), names), score=F.round("score", 4)).alias("value"))
 
 
+def detection_records(detections: DataFrame, names: Column) -> DataFrame:
+    """Raw detections in pixels, to be written as JSON partitioned by raster_id."""
+    score = F.col("score")
+    return detections.select(F.col("det_id").alias("id"), "raster_id", B.class_name(F.col("class_id"), names).alias("class"), score, F.array(*B.cols()).alias("box"))
+
+
 def training_tiles(rasters: DataFrame, tile: int = 640, overlap: int = 64) -> DataFrame:
     """Full tiles with the names of their files; to be written partitioned by raster_id."""
     stride = tile - overlap

@@ -66,3 +66,12 @@ def extents(features: DataFrame, by: list[Column]) -> DataFrame:
     df = parts(features).select(*by, side(F.array_min, "x").alias("ax"), side(F.array_min, "y").alias("ay"), side(F.array_max, "x").alias("bx"), side(F.array_max, "y").alias("by"))
     agg = [F.count("*").alias("n"), F.min("ax").alias("min_x"), F.min("ay").alias("min_y"), F.max("bx").alias("max_x"), F.max("by").alias("max_y")]
     return df.groupBy(*df.columns[: len(by)]).agg(*agg)
+
+
+def layer_summary(features: DataFrame, by: list[Column], order: Column) -> DataFrame:
+    """Per layer: number of features, type of the first one by ``order``, all names of fields (sorted), parts and bounds."""
+    fields = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("properties")))))  # as many as a layer has fields
+    df = features.select(*by, "kind", "properties", order.alias("_order"))
+    key = df.columns[: len(by)]
+    top = df.groupBy(*key).agg(F.count("*").alias("n_features"), F.min_by("kind", "_order").alias("kind"), fields.alias("fields"))
+    return top.join(extents(features, by).withColumnRenamed("n", "n_parts"), key)
