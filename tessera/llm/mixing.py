@@ -26,7 +26,7 @@ SHARD = 4096
 LIMIT = 3
 WEIGHTS = (5, 2, 1)
 CHUNK_DOCS = 4096
-ROUNDS, WALK = 6, 8
+ROUNDS = 6
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -59,8 +59,8 @@ def _unit(*cols: Column) -> Column:
 def permuted(x: Column, n: Column, *key: Column) -> Column:
     """pi(x) for x in 0..n-1: a permutation of these numbers for each key.
 
-    The grid has a * b >= n cells, fewer than a too many, so a walk is rare and short; one that is not home after
-    ``WALK`` steps (in about one of a million small sources) ends on its cell modulo n.
+    The grid has a * b >= n cells, fewer than a too many. A number that lands on one of these walks on until it is home,
+    which takes as many steps as there are such cells at most.
     """
     a = F.ceil(F.sqrt(n)).cast("long")
     b = F.ceil(n / a).cast("long")
@@ -71,8 +71,8 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
         step = lambda s, i: F.when(i % 2 == 0, F.struct(turn(s["l"], s["r"], i, a).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), turn(s["r"], s["l"], i, b).alias("r")))
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), cell, step, lambda s: s["r"] * a + s["l"])
 
-    walk = lambda y: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), y, lambda z, _: F.when(z < n, z).otherwise(spin(z)))
-    return F.transform(F.array(spin(x)), lambda y: F.when(y < n, y).otherwise(walk(y)))[0] % n
+    walk = lambda y: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1).cast("long"), a * b - n)), y, lambda z, _: F.when(z < n, z).otherwise(spin(z)))
+    return F.transform(F.array(spin(x)), lambda y: F.when(y < n, y).otherwise(walk(y)))[0]
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], limit: int, texts: bool = False) -> tuple[DataFrame, DataFrame]:
