@@ -4,20 +4,22 @@ A text is one string with U+2581 for spaces and one in front. It falls into unit
 where no piece of the vocabulary has the two characters side by side: merges never cross these. The distinct new units
 of a batch lie in one flat symbol array. Each round looks up all pairs, takes the least rank of each part, merges its
 leftmost non-overlapping pairs of that rank at once and compacts, until no pair is left. If a merged piece can begin a
-merge that outranks its own, only the part's leftmost pair is merged that round, as a queue would. Characters
+merge that outranks its own, only the part's leftmost pair is merged that round, as a queue would; a part that is still
+``LONG`` by then goes on with a heap of pairs, whose merges cost their neighbourhood only. Characters
 outside the vocabulary fall back to bytes. Where no piece holds a letter beside another character, letters and others
 are units of their own. Units are remembered per worker in two generations of ``MEMO`` each.
 
-Defined cases: a null or empty text has no ids and decodes to an empty one; very long units without spaces take more
-rounds but no more memory than a few arrays of their length; null or repeated ids each keep a row; an empty table
+Defined cases: a null or empty text has no ids and decodes to an empty one; very long units without spaces take
+about linear time and a few arrays of their length; null or repeated ids each keep a row; an empty table
 gives no row; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,6 +31,8 @@ SPACE = "▁"
 #: Units remembered in each of two generations, and the longest ones that are.
 MEMO, LONGEST = 200_000, 64
 FLAT = 1 << 18
+#: Symbols from which on a part with such merges as have to follow each other leaves the rounds for a heap.
+LONG = 128
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: The same, with letters apart from other characters.
 _LETTER = r"[^\W\d_]"
@@ -176,6 +180,15 @@ class Vocabulary:
             if slow.any():
                 slow_group = np.zeros(len(first), bool)
                 slow_group[group[slow]] = True
+                parts = of[first[slow_group]]
+                begin, end = np.searchsorted(part, parts), np.searchsorted(part, parts, "right")
+                wide = np.flatnonzero(end - begin >= LONG)
+                if len(wide):
+                    for a, b in zip(begin[wide], end[wide]):
+                        kept, left = self._one_by_one(sym[a:b], made[a:b])
+                        live[place[a:b]], made[a:b] = False, -1
+                        live[place[a + kept]], final[place[a + kept]] = True, left
+                    continue
                 take = np.where(slow_group[group], start, take)
             pos, piece = pos[take], piece[take]
             sym[pos] = piece
@@ -202,6 +215,42 @@ class Vocabulary:
         flat = final.astype(np.int32).tobytes()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
+    def _one_by_one(self, sym: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, symbols) that are left of a long part whose merges have to follow each other: the best one first, of
+        equal ones the leftmost, taken from a heap, so that a merge costs its neighbourhood and not the part."""
+        s, made, get, n = sym.tolist(), made.tolist(), self.piece_of.get, len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(self.ranks[m] << 32) | i for i, m in enumerate(made) if m >= 0]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            piece = made[i]
+            if piece < 0 or self.ranks[piece] != top >> 32:
+                continue  # merged since, or another pair by now
+            j = after[i]
+            s[i], s[j], made[j] = piece, -1, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0:
+                    made[a] = m = get(s[a] << 32 | s[b], -1) if b < n else -1
+                    if m >= 0:
+                        heapq.heappush(heap, (self.ranks[m] << 32) | a)
+        left = np.array(s, np.int32)
+        kept = np.flatnonzero(left >= 0)
+        return kept, left[kept]
+
+    @cached_property
+    def piece_of(self) -> dict[int, int]:
+        """The pairs by key, for merges that follow each other."""
+        return {k: v for keys, values in zip(self.pairs.keys.tolist(), self.pairs.values.tolist()) for k, v in zip(keys, values) if k >= 0}
+
+    @cached_property
+    def ranks(self) -> list[int]:
+        return self.rank.tolist()
+
     def units(self, text: str) -> list[str]:
         line = SPACE + text.replace(" ", SPACE)
         found = self.split.findall(line)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -250,6 +251,20 @@ def test_pieces_columns(docs, rows):
     same(df.collect(), [(r.doc_id, r.ids_sha256, r.decoded_sha256) for r in pieces.op6(docs).collect()])
 
 
+@pytest.mark.parametrize("least", [2, 3, pieces.LONG])
+def test_pieces_of_long_units(monkeypatch, least):
+    """Unspaced text whose merges have to follow each other, by the heap from various lengths on, as the library encodes it."""
+    monkeypatch.setattr(pieces, "LONG", least)
+    rng = random.Random(least)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    v = pieces.vocabulary(pieces.default_model())
+    words = [p.strip("▁") for p in v.pieces[259:] if p.strip("▁").isalpha()]
+    texts = ["the" * 70_000, "the" * 5 + "日" + "then" * 50] + ["".join(rng.choices("theinasr", k=rng.choice((5, 50, 700)))) for _ in range(300)]
+    texts += ["".join(rng.choices(words, k=200)) for _ in range(60)] + ["".join(rng.choices(words, k=40)) + " and so on" for _ in range(200)]
+    for t, ids in zip(texts, pieces.encode_texts(texts, pieces.default_model())):
+        assert list(ids) == sp.encode(t), t[:60]
+
+
 def test_pieces_on_random_texts():
     import random
 
