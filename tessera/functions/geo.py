@@ -38,6 +38,15 @@ def to_pixel(gx: Column, gy: Column, t: tuple[Column, ...]) -> tuple[Column, Col
     return inv(e * dx - b * dy), inv(a * dy - d * dx)
 
 
+def to_pixel_or_null(gx: Column, gy: Column, t: tuple[Column, ...]) -> tuple[Column, Column]:
+    """Inverse affine as the screen takes it: null where the determinant is below 1e-10."""
+    a, b, c, d, e, f = t
+    det = a * e - b * d
+    dx, dy = gx - c, gy - f
+    inv = lambda v: F.when(F.abs(det) >= 1e-10, F.try_divide(v, det))
+    return inv(e * dx - b * dy), inv(a * dy - d * dx)
+
+
 def transform_cols(prefix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(f"{prefix}{c}") for c in "abcdef")
 

@@ -71,3 +71,9 @@ def largest_parts(parts: DataFrame, key: list[str], area: Column) -> DataFrame:
 def unknown_slots(given: DataFrame, expected: DataFrame, key: tuple[str, ...] = ("raster_id",)) -> DataFrame:
     """Slots of a mapping (key, slot) that are not expected: they are ignored, and reported by this."""
     return given.select(*key, "slot").distinct().join(expected.select(*key, "slot"), [*key, "slot"], "left_anti")
+
+
+def active(boxes: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Boxes that are neither eliminated nor of a class hidden in their raster (hidden: raster_id, class_id)."""
+    seen = boxes.where(F.coalesce(F.col("status"), F.lit("")) != "eliminated")
+    return seen.join(hidden.select("raster_id", "class_id").distinct(), ["raster_id", "class_id"], "left_anti")

@@ -131,3 +131,14 @@ def score_tiles(tiles: DataFrame, model: Callable[[np.ndarray], list[np.ndarray]
             yield pd.DataFrame(out, columns=["raster_id", "tile_id", "det_idx", "vec"])
 
     return tiles.select("raster_id", "tile_id", "payload").mapInPandas(run, "raster_id int, tile_id long, det_idx int, vec array<float>")
+
+
+def named_rows(results: DataFrame, names: Column, keys: list[str]) -> DataFrame:
+    """Result arrays (boxes, scores, classes) as a row per detection with its class name; arrays count as far as the shortest
+    goes, a null one is empty."""
+    arrays = [F.coalesce(c, F.array()) for c in map(F.col, ("boxes", "scores", "classes"))]
+    n = F.least(*map(F.size, arrays))
+    rows = F.arrays_zip(*[F.slice(c, 1, n).alias(k) for c, k in zip(arrays, ("box", "score", "class_id"))])
+    df = results.select(*keys, F.posexplode(rows).alias("pos", "r"))
+    sides = [F.get("r.box", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    return df.select(*keys, "pos", *sides, F.col("r.score").cast("double").alias("score"), B.class_name(F.col("r.class_id"), names).alias("class_name"))

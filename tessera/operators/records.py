@@ -60,3 +60,23 @@ def refreshed(records: DataFrame, edits: DataFrame, rasters: DataFrame) -> DataF
     nth = F.row_number().over(Window.partitionBy("raster_id", F.col("number").isNull()).orderBy("polygon_id"))
     df = df.withColumn("number", F.coalesce("number", F.coalesce("top", F.lit(0)) + nth))
     return records.join(edits.select(*key), key, "left_anti").unionByName(_shaped(df, rasters).select(*_record(F.col("number"))))
+
+
+def without_layers(tables: dict[str, DataFrame], layers: DataFrame) -> dict[str, DataFrame]:
+    """The tables without any row of the layers (raster_id) that were removed; all of a table goes where it has no other."""
+    gone = layers.select("raster_id").distinct()
+    return {name: df.join(gone, "raster_id", "left_anti") for name, df in tables.items()}
+
+
+def layer_contents(rasters: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Number of rows that each table holds of each raster; counted before they are joined."""
+    df = rasters.select("raster_id")
+    for name, t in tables.items():
+        df = df.join(t.groupBy("raster_id").agg(F.count("*").alias(name)), "raster_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return df
+
+
+def samples(df: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
+    """The first ``k`` rows of each group by ``order``; groups are cut to ``k`` before the shuffle too."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return df.withColumn("nth", nth).where(F.col("nth") <= k)

@@ -116,6 +116,11 @@ def without_models(models: DataFrame, names: DataFrame) -> DataFrame:
     return models.join(names.select("model_name"), "model_name", "left_anti")
 
 
+def deletions(models: DataFrame, names: DataFrame) -> DataFrame:
+    """Whether each name to be deleted was registered."""
+    return names.select("model_name").distinct().join(models.select("model_name", F.lit(True).alias("hit")).distinct(), "model_name", "left").select("model_name", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 def appended_runs(log: DataFrame, new: DataFrame) -> DataFrame:
     """Run log with new rows; their ids follow the largest. New runs (``created_at`` in order) come in small numbers."""
     top = log.agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("top"))

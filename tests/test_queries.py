@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import basics, exports, reads, records, shapes  # noqa: F401  (register their queries)
+from tessera.plans import basics, exports, layers, reads, records, shapes  # noqa: F401  (register their queries)
 from tessera.plans.queries import ORACLES, QUERIES
 
 
