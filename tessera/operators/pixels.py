@@ -292,14 +292,19 @@ def display_tiles(pixels: DataFrame, tile: int = 32, normalise: bool = True, sta
     return df.join(s, key).select("raster_id", "band", "row", "col", (stretched if normalise else F.when(reflectance, stretched).otherwise(raw)).alias("value"))
 
 
-def export_bytes(pixels: DataFrame, dtype: Column, tile: int = 32) -> DataFrame:
-    """Exported tile values: floats of a tile that stays within 1 are scaled by 255, other floats and wide integers are cut to a byte."""
-    key = ["raster_id", "ty", "tx"]
-    df = pixels.withColumns({"ty": _tile("row", tile), "tx": _tile("col", tile), "dtype": dtype})
-    df = df.join(df.groupBy(*key).agg(F.max("value").alias("top")), key)
+def as_bytes(df: DataFrame, tile: list[str]) -> DataFrame:
+    """Exported values of tiles (columns ``tile``, value, dtype): floats of a tile that stays within 1 are scaled by 255, other
+    floats and wide integers are cut to a byte."""
+    df = df.join(df.groupBy(*tile).agg(F.max("value").alias("top")), tile)
     as_byte = lambda v: F.pmod(v.cast("long"), F.lit(256))
     out = F.when(F.col("dtype").isin("uint8", "uint16"), F.col("value").cast("long")).when(F.col("dtype").startswith("float") & (F.col("top") <= 1), as_byte(F.col("value") * 255)).otherwise(as_byte(F.col("value")))
-    return df.select("raster_id", "band", "row", "col", out.alias("value"))
+    return df.withColumn("value", out).drop("top", "dtype")
+
+
+def export_bytes(pixels: DataFrame, dtype: Column, tile: int = 32) -> DataFrame:
+    """Values as tiles that lie side by side export them."""
+    df = pixels.withColumns({"ty": _tile("row", tile), "tx": _tile("col", tile), "dtype": dtype})
+    return as_bytes(df, ["raster_id", "ty", "tx"]).select("raster_id", "band", "row", "col", "value")
 
 
 def needs_stretch(pixels: DataFrame, rasters: DataFrame) -> DataFrame:

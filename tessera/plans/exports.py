@@ -110,6 +110,19 @@ def _(t):
     return exports.training_tiles(t.rasters)
 
 
+@query("k11_training_pixels", """WITH s AS (SELECT raster_id, max(row)+1 AS h, max(col)+1 AS w FROM pixels GROUP BY 1), u AS (SELECT raster_id, band, row, col, CASE WHEN col<40 THEN value/10000.0::DOUBLE ELSE value END AS value FROM pixels),
+    v AS (SELECT 'colour' AS kind, * FROM u UNION ALL SELECT 'gray', raster_id, 1, row, col, avg(value) FROM u WHERE band<=2 GROUP BY raster_id, row, col),
+    g AS (SELECT raster_id, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty FROM (SELECT *, unnest(range(greatest(1,(h-8)//32))) AS ty FROM s), range(3) x(tx) WHERE tx<greatest(1,(w-8)//32)),
+    m AS (SELECT v.*, tx, ty FROM v JOIN g ON v.raster_id=g.raster_id AND col BETWEEN tx*32 AND tx*32+39 AND row BETWEEN ty*32 AND ty*32+39)
+    SELECT kind, raster_id, printf('tile_%04d_%04d', ty, tx) AS tile_name, band, row-ty*32 AS row, col-tx*32 AS col, ((CAST(trunc(CASE WHEN top<=1 THEN value*255 ELSE value END) AS BIGINT)%256)+256)%256 AS value FROM (SELECT *, max(value) OVER (PARTITION BY kind, raster_id, tx, ty) AS top FROM m)""", "pixels")
+def _(t):
+    """The first 40 columns hold values within 1; gray tiles are those of two bands."""
+    df = t.pixels.withColumn("value", F.when(F.col("col") < 40, F.col("value") / 10000.0).otherwise(F.col("value")))
+    size = df.groupBy("raster_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width")).withColumn("dtype", F.lit("float32"))
+    colour = exports.training_pixels(df, size, 40, 8).withColumn("kind", F.lit("colour"))
+    return colour.unionByName(exports.training_pixels(df.where("band <= 2"), size.withColumn("bands", F.lit(2)), 40, 8, gray=True).withColumn("kind", F.lit("gray")))
+
+
 @query("k12_export_metadata", "SELECT raster_id, CAST(3 AS BIGINT) AS num_tiles_x, CAST(9 AS BIGINT) AS total_tiles, width AS image_width, bands AS image_channels FROM rasters", "rasters")
 def _(t):
     return exports.export_metadata(t.rasters).select("raster_id", "num_tiles_x", "total_tiles", "image_width", "image_channels")

@@ -139,6 +139,20 @@ def _(t):
     return df.select("vec_id", "i", "scale", "left", (F.round(F.col("value").cast("double"), 4) + 0.0).alias("value"))
 
 
+@query("t13_resized", """WITH p AS (SELECT vec_id, px, h, w, nh, nw, top, lft FROM (SELECT vec_id, [(v::DOUBLE*CASE WHEN vec_id%2=0 THEN 10 ELSE 1 END)::FLOAT::DOUBLE for v in embedding] AS px, vec_id%3 AS s FROM embeddings) e JOIN (VALUES (0,8,8,10,10,1,0),(1,4,16,2,10,5,0),(2,16,4,12,3,0,3)) t(s,h,w,nh,nw,top,lft) USING (s)),
+    c AS (SELECT *, CAST(i AS INT) AS i, greatest(0,least(h-1,(i//10-top+0.5::DOUBLE)*h/nh-0.5)) AS sy, greatest(0,least(w-1,(i%10-lft+0.5::DOUBLE)*w/nw-0.5)) AS sx, i//10>=top AND i//10<top+nh AND i%10>=lft AND i%10<lft+nw AS inside FROM p, range(120) r(i)),
+    k AS (SELECT *, CAST(floor(sy) AS INT) AS y0, least(CAST(floor(sy) AS INT)+1,h-1) AS y1, CAST(floor(sx) AS INT) AS x0, least(CAST(floor(sx) AS INT)+1,w-1) AS x1 FROM c),
+    b AS (SELECT *, CASE WHEN inside THEN (px[y0*w+x0+1]*(1-(sy-y0))+px[y1*w+x0+1]*(sy-y0))*(1-(sx-x0))+(px[y0*w+x1+1]*(1-(sy-y0))+px[y1*w+x1+1]*(sy-y0))*(sx-x0) END AS v FROM k)
+    SELECT vec_id, i, least(12.0::DOUBLE/h,10.0::DOUBLE/w) AS scale, CAST(lft AS INT) AS "left", CAST(top AS INT) AS "top", round(CASE WHEN inside THEN v::FLOAT WHEN max(v) OVER (PARTITION BY vec_id)>1.5 THEN 114::FLOAT ELSE (114/255.0::DOUBLE)::FLOAT END::DOUBLE,4)+0.0 AS value FROM b""")
+def _(t):
+    """Square tiles that grow, landscape and portrait ones that shrink, in one frame of 12 rows of 10."""
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("vec_id") % 3 + 1).cast("int"))
+    payload = F.transform("embedding", lambda v: v.cast("double") * F.when(F.col("vec_id") % 2 == 0, 10).otherwise(1)).cast("array<float>")
+    tiles = t.embeddings.select("vec_id", payload.alias("payload"), pick(8, 4, 16).alias("h"), pick(8, 16, 4).alias("w"))
+    df = pixels.letterboxed(tiles, 12, 10).select("vec_id", "scale", "left", "top", F.posexplode("payload").alias("i", "value"))
+    return df.select("vec_id", "i", "scale", "left", "top", (F.round(F.col("value").cast("double"), 4) + 0.0).alias("value"))
+
+
 @query("p14_scene_stretch", "SELECT raster_id, dtype LIKE 'float%' AS needs_stretch FROM scenes", "scenes")
 def _(t):
     top = t.scenes.select("raster_id", F.lit(1).alias("band"), F.lit(200.0).alias("value"))

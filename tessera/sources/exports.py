@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import box as B
 from tessera.functions import geo as G
 from tessera.operators import grid
+from tessera.operators import pixels as values
 
 
 def feature(kind: str, coordinates: Column, **properties: Column) -> Column:
@@ -68,6 +69,24 @@ def training_tiles(rasters: DataFrame, tile: int = 640, overlap: int = 64) -> Da
     return df.select("raster_id", "x_off", "y_off", *[F.format_string(f"{kind}_%04d_%04d", ty, tx).alias(f"{kind}_name") for kind in ("tile", "mask")])
 
 
+def training_pixels(pixels: DataFrame, rasters: DataFrame, tile: int = 640, overlap: int = 64, gray: bool = False) -> DataFrame:
+    """Exported pixels of the full tiles, by tile name and place in the tile; to be written partitioned by raster_id.
+
+    A pixel goes to each tile that covers it, four at most where the overlap is under half a tile; what lies beyond the last full
+    tile goes nowhere. ``gray`` leaves one band. Rasters carry width, height, bands and dtype.
+    """
+    stride = tile - overlap
+    df = values.grayscale(pixels, rasters).withColumn("band", F.lit(1)) if gray else pixels
+    df = df.join(rasters.select("raster_id", "width", "height", "dtype"), "raster_id")
+    for at, c, m in (("ty", "row", "height"), ("tx", "col", "width")):
+        first = F.greatest(F.lit(0), F.ceil((F.col(c) - tile + 1) / stride)).cast("int")
+        last = F.least(F.floor(F.col(c) / stride), F.greatest(F.lit(1), F.floor((F.col(m) - overlap) / stride)) - 1).cast("int")
+        df = df.withColumn(at, F.explode(F.when(first <= last, F.sequence(first, last))))
+    place = [(F.col(c) - F.col(at) * stride).alias(c) for at, c in (("ty", "row"), ("tx", "col"))]
+    name = F.format_string("tile_%04d_%04d", "ty", "tx").alias("tile_name")
+    return values.as_bytes(df, ["raster_id", "ty", "tx"]).select("raster_id", name, "band", *place, "value")
+
+
 def export_metadata(rasters: DataFrame, tile: int = 640, overlap: int = 64, masks: bool = False, grayscale: bool = False) -> DataFrame:
     """What a training export consists of, a row per raster."""
     stride = tile - overlap
