@@ -6,8 +6,8 @@ share among the languages. Probabilities are learned by expectation maximisation
 of a sample of labelled documents: about ``SAMPLE`` for each language at most, drawn by a hash of the id; counts and
 expectations are made by Spark tasks, the driver gets one number for each language and piece.
 
-Words are runs of letters (``str.isalpha``), lower-cased, with a word-start mark. Those of over ``LONGEST`` letters are
-summed one by one, with sums scaled up on the way, and are not learned from.
+Words are runs of letters (``str.isalpha``), lower-cased, with a word-start mark. Those of ``LONGEST`` letters or more are
+scored and learned from one by one, with sums scaled up on the way: the same sums, only in another order of work.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, and so is every text if nothing could be
 learned; ties go to the first language by code point; a null id is not held out and never learned from; unlabelled rows
@@ -104,20 +104,41 @@ def forward(arcs, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def long_score(word: str, prob: np.ndarray, model: str) -> np.ndarray:
-    """Log of the forward sum of one word of any length, for each language; only the last sums are held, scaled to about 1."""
+def growth(word: str, prob: np.ndarray, model: str) -> Iterator[np.ndarray]:
+    """By what the forward sums of one word of any length grow with each letter, for each language; only the last sums are held."""
     found = pieces(model)
     get, most = found.number.get, found.most
-    alpha, logs = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
+    alpha = [np.ones(prob.shape[1])]
     for e in range(1, len(word) + 1):
         here = [(a, get(word[e - len(alpha) + k : e])) for k, a in enumerate(alpha)]
         new = sum((a * prob[p] for a, p in here if p is not None), np.zeros(prob.shape[1]))
         if here[-1][1] is None:
             new = new + alpha[-1] * prob[0]
-        logs += np.log(new)
+        yield new
         alpha = [a / new for a in alpha[-(most - 1) :]] if most > 1 else []
         alpha.append(np.ones(prob.shape[1]))
-    return logs
+
+
+def long_score(word: str, prob: np.ndarray, model: str) -> np.ndarray:
+    """Log of the forward sum of one word, for each language."""
+    return sum(map(np.log, growth(word, prob, model)), np.zeros(prob.shape[1]))
+
+
+def long_expected(word: str, counts: np.ndarray, prob: np.ndarray, model: str, out: np.ndarray) -> None:
+    """Adds the expected piece counts of one word. A piece's chance is its own times that of a border at its end, divided by the growth."""
+    found = pieces(model)
+    get, most = found.number.get, found.most
+    grown = np.array(list(growth(word, prob, model)))
+    border = np.zeros((len(word) + 1, prob.shape[1]))
+    border[-1] = 1
+    for e in range(len(word), 0, -1):
+        chance = border[e]
+        for s in range(e - 1, max(0, e - most) - 1, -1):
+            chance = chance / grown[s]
+            p = get(word[s:e], 0 if s == e - 1 else None)
+            if p is not None:
+                border[s] += chance * prob[p]
+                out[p] += counts * chance * prob[p]
 
 
 def expected(words: list[str], counts: np.ndarray, prob: np.ndarray, model: str) -> np.ndarray:
@@ -171,7 +192,6 @@ def learn(docs: DataFrame, model: str | None = None, sample: int = SAMPLE) -> tu
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     number = F.create_map(*chain.from_iterable((F.lit(k), F.lit(i)) for i, k in enumerate(langs)))
     words = drawn.select(number[F.col("lang")].alias("l"), F.explode(words_of(F.col("text"))).alias("word"))
-    words = words.where(F.char_length("word") < LONGEST)
     counts = materialize(words.groupBy("word", "l").agg(F.count("*").alias("n")).repartition("word"), "word_counts")
     prob = _normal(np.ones((n_pieces, len(langs))))
     for _ in range(ROUNDS):
@@ -189,7 +209,11 @@ def _expectation(counts: DataFrame, prob: np.ndarray, path: str) -> np.ndarray:
                 part = batch[i : i + 8192]
                 n = np.zeros((len(part), total.shape[1]))
                 n[np.arange(len(n)), part["l"]] = part["n"]
-                total += expected([SPACE + w for w in part["word"]], n, shared.value, path)
+                words, long = [SPACE + w for w in part["word"]], (part["word"].str.len() >= LONGEST).to_numpy()
+                if not long.all():
+                    total += expected([words[k] for k in np.flatnonzero(~long)], n[~long], shared.value, path)
+                for k in np.flatnonzero(long):
+                    long_expected(words[k], n[k], shared.value, path, total)
         p, lang = np.nonzero(total)
         yield pd.DataFrame({"p": p, "l": lang, "n": total[p, lang]})
 
