@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keywords in the order in which they are tried, and their slots.
@@ -95,10 +95,11 @@ def band_mismatch(rasters: DataFrame, assignment: DataFrame, n_slots: int, multi
 def checked_mapping(mapping: DataFrame, rasters: DataFrame, slots: list[int]) -> DataFrame:
     """Manual mapping (raster_id, slot, input_band) over the expected slots of each raster: status ok, blank, out_of_range
     (an error), duplicate (a warning); unknown slots are left out."""
-    df = rasters.select("raster_id", "bands", F.explode(F.array(*map(F.lit, slots))).alias("slot")).join(mapping, ["raster_id", "slot"], "left")
-    twice = df.groupBy("raster_id", "input_band").agg((F.count("*") > 1).alias("twice"))
-    df = df.join(twice, ["raster_id", "input_band"], "left")
-    status = F.when(F.col("input_band").isNull(), "blank").when(~F.col("input_band").between(1, F.col("bands")), "out_of_range").when(F.col("twice"), "duplicate").otherwise("ok")
+    expected = rasters.select("raster_id", "bands", F.explode(F.array(*map(F.lit, slots))).alias("slot"))
+    # Sizes are guessed without the rows that explode adds, so a join by guess would send the mapping through the driver.
+    df = expected.join(mapping.hint("merge"), ["raster_id", "slot"], "left")
+    same = F.count("*").over(Window.partitionBy("raster_id", "input_band"))
+    status = F.when(F.col("input_band").isNull(), "blank").when(~F.col("input_band").between(1, F.col("bands")), "out_of_range").when(same > 1, "duplicate").otherwise("ok")
     return df.select("raster_id", "slot", "input_band", status.alias("status"))
 
 
