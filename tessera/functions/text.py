@@ -24,15 +24,22 @@ def redacted(text: Column) -> Column:
     return text
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """A number with so many digits, rounded half to even by its exact binary value as C and Python do; ``format_string`` rounds
+    its shortest decimals half up."""
+    return F.call_function("format_number", v, F.lit("0." + "0" * digits))
+
+
 def canopy_text(radius_m: Column, show: str = "diameter", prefix: str = "") -> Column:
     """Radius, diameter or both in metres with two digits; ``prefix`` is ``Avg `` for means."""
-    r, d = F.format_string("R: %.2fm", radius_m), F.format_string("D: %.2fm", radius_m * 2)
+    r, d = (F.concat(F.lit(f"{k}: "), fixed(v, 2), F.lit("m")) for k, v in (("R", radius_m), ("D", radius_m * 2)))
     return F.concat(F.lit(prefix), {"radius": r, "both": F.concat(r, F.lit(" | "), d)}.get(show, d))
 
 
 def place_text(x: Column, y: Column, lonlat: Column) -> Column:
     """Six digits of longitude and latitude, two of other coordinates."""
-    text = F.when(lonlat, F.format_string("Lon: %.6f | Lat: %.6f", x, y)).otherwise(F.format_string("X: %.2f | Y: %.2f", x, y))
+    pair = lambda a, b, n: F.concat(F.lit(f"{a}: "), fixed(x, n), F.lit(f" | {b}: "), fixed(y, n))
+    text = F.when(lonlat, pair("Lon", "Lat", 6)).otherwise(pair("X", "Y", 2))
     return F.when(x.isNull() | y.isNull(), "Lon: - | Lat: -").otherwise(text)
 
 
@@ -43,7 +50,7 @@ def eta_text(elapsed: Column, percent: Column) -> Column:
 
 def area_label(m2: Column) -> Column:
     """Over a hectare in hectares with whole square metres, else in square metres."""
-    large = F.concat(F.format_string("%.2f", m2 / 10_000), F.lit(" ha ("), F.format_number(m2, 0), F.lit(" m²)"))
+    large = F.concat(fixed(m2 / 10_000, 2), F.lit(" ha ("), F.format_number(m2, 0), F.lit(" m²)"))
     return F.concat(F.lit("Area\n"), F.when(m2 > 10_000, large).otherwise(F.concat(F.format_number(m2, 2), F.lit(" m²"))))
 
 

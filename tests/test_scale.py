@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import routing
 
 
@@ -19,3 +20,10 @@ def test_manual_mappings_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(df)
     got = {r["slot"]: (r["input_band"], r["status"]) for r in df.where("raster_id = 1").collect()}
     assert got == {0: (1, "duplicate"), 1: (0, "out_of_range"), 2: (1, "duplicate"), 3: (None, "blank"), 5: (None, "blank")}
+
+
+def test_labels_round_ties_as_printf_does(spark):
+    df = spark.sql("SELECT * FROM VALUES (26250.0D, 0.125D), (26350.0D, 0.375D), (123456789.0D, 1234.5D) t(m2, r)")
+    got = df.select(T.area_label(F.col("m2")).alias("a"), T.canopy_text(F.col("r"), "radius").alias("c")).collect()
+    assert [r.a.split("\n")[1].split(" (")[0] for r in got] == [f"{m / 10_000:.2f} ha" for m in (26250.0, 26350.0, 123456789.0)]
+    assert [r.c for r in got] == [f"R: {v:.2f}m" for v in (0.125, 0.375, 1234.5)]
