@@ -201,7 +201,7 @@ def _(t):
 def _(t):
     raw = t.embeddings.select(F.lit(0).alias("raster_id"), (F.col("vec_id") % 50).alias("tile_id"), F.col("vec_id").alias("feature"), F.col("embedding").alias("values"))
     df = decode.from_centres(decode.transposed(raw))
-    return df.select("tile_id", "det_idx", *[r6(F.get("vec", F.lit(i)), c) for i, c in enumerate(decode.SIDES)], r6(F.array_max(F.slice("vec", 5, 1000)), "top"))
+    return df.select("tile_id", "det_idx", *[r6(F.get("vec", F.lit(i)), c) for i, c in enumerate(decode.SIDES)], r6(F.array_max(F.slice("vec", F.lit(5), F.size("vec"))), "top"))
 
 
 @query("mo7_layouts", """SELECT p_partkey, CASE WHEN k=2 THEN 'lists' ELSE 'rows' END AS kind, k IN (0,1,2,5,6) OR (k=3 AND p_size%4=3) AS valid, k=1 AS transposed, CAST(CASE k WHEN 0 THEN 1000+p_size WHEN 1 THEN 1001+p_size WHEN 3 THEN 500 WHEN 5 THEN 8400 WHEN 6 THEN 8400 END AS INT) AS detections, CAST(CASE k WHEN 0 THEN 5+p_size WHEN 1 THEN 5+p_size WHEN 3 THEN 2+p_size%4 WHEN 5 THEN 85 WHEN 6 THEN 5+p_size END AS INT) AS features FROM (SELECT *, p_partkey%8 AS k FROM part)""")

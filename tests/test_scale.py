@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import routing
+from tessera.plans import basics  # noqa: F401  (registers its queries)
+from tessera.plans.queries import QUERIES
 
 
 def plan(df) -> str:
@@ -27,3 +29,8 @@ def test_labels_round_ties_as_printf_does(spark):
     got = df.select(T.area_label(F.col("m2")).alias("a"), T.canopy_text(F.col("r"), "radius").alias("c")).collect()
     assert [r.a.split("\n")[1].split(" (")[0] for r in got] == [f"{m / 10_000:.2f} ha" for m in (26250.0, 26350.0, 123456789.0)]
     assert [r.c for r in got] == [f"R: {v:.2f}m" for v in (0.125, 0.375, 1234.5)]
+
+
+def test_corner_rows_take_all_features(spark, tmp_path):
+    spark.range(1010).selectExpr("id * 50 AS vec_id", "array(CAST(id AS float)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r["top"] for r in QUERIES["mo3_corner_rows"](spark, str(tmp_path)).collect()] == [1009.0]
