@@ -70,7 +70,8 @@ def largest_parts(parts: DataFrame, key: list[str], area: Column) -> DataFrame:
 
 def unknown_slots(given: DataFrame, expected: DataFrame, key: tuple[str, ...] = ("raster_id",)) -> DataFrame:
     """Slots of a mapping (key, slot) that are not expected: they are ignored, and reported by this."""
-    return given.select(*key, "slot").distinct().join(expected.select(*key, "slot"), [*key, "slot"], "left_anti")
+    # Merged: sizes are guessed without the rows that explode adds, so a join by guess would broadcast the slots.
+    return given.select(*key, "slot").distinct().join(expected.select(*key, "slot").hint("merge"), [*key, "slot"], "left_anti")
 
 
 def active(boxes: DataFrame, hidden: DataFrame) -> DataFrame:

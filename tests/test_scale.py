@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import routing
+from tessera.operators import checks, routing
 from tessera.plans import basics  # noqa: F401  (registers its queries)
 from tessera.plans.queries import QUERIES
 
@@ -34,3 +34,10 @@ def test_labels_round_ties_as_printf_does(spark):
 def test_corner_rows_take_all_features(spark, tmp_path):
     spark.range(1010).selectExpr("id * 50 AS vec_id", "array(CAST(id AS float)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [r["top"] for r in QUERIES["mo3_corner_rows"](spark, str(tmp_path)).collect()] == [1009.0]
+
+
+def test_unknown_slots_are_not_broadcast(spark):
+    slots = lambda n: spark.range(3).select(F.col("id").cast("int").alias("raster_id"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot"))
+    df = checks.unknown_slots(slots(4), slots(3))
+    assert "BroadcastHashJoin" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == [(0, 4), (1, 4), (2, 4)]
