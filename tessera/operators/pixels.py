@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.selection import percentiles
 from tessera.operators.spatial import points_in_polygons, rectangle_meets, with_bounds, with_cells
+from tessera.operators.storage import maybe_broadcast
 
 LEVELS = (2, 4, 8, 16, 32, 64, 128)
 
@@ -62,13 +63,36 @@ def stretch(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, F.floor((F.greatest(lo, F.least(hi, v)) - lo) / (hi - lo) * 255)).otherwise(F.lit(0)).cast("int")
 
 
+def _halves(v: Column) -> tuple[Column, Column]:
+    big = v * 134217729.0
+    return big - (big - v), v - (big - (big - v))
+
+
+def _fused(x: Column, y: Column, z: Column) -> Column:
+    """x * y + z with the product kept exact until the sum is rounded (Dekker); the plain sum where that overflows."""
+    (xh, xl), (yh, yl), p, s = _halves(x), _halves(y), x * y, x * y + z
+    product_left = (xh * yh - p) + xh * yl + xl * yh + xl * yl
+    sum_left = (p - (s - (s - p))) + (z - (s - p))
+    return F.nanvl(s + (sum_left + product_left), s)
+
+
+def _between(values: Column, fraction: float) -> Column:
+    """Percentile of a sorted list, both neighbours weighed and summed up with one rounding less than Spark's ``percentile``, as
+    DuckDB does: pixels right on a step of a stretch depend on the last bit. Null for an empty list."""
+    at = (F.size(values) - 1) * F.lit(fraction)
+    low, high = (F.get(values, f(at).cast("int")) for f in (F.floor, F.ceil))
+    share = at - F.floor(at)
+    return F.when(low == high, low).otherwise(_fused(1 - share, low, high * share))
+
+
 def tile_percentiles(pixels: DataFrame, tile: int = 32, least: float = 0.05) -> DataFrame:
     """Per tile and band: 1 % and 99 % of the pixels above 0, null if these are under ``least`` of the tile."""
     v = F.when(F.col("value") > 0, F.col("value"))
     df = pixels.groupBy("raster_id", F.floor(F.col("row") / tile).cast("int").alias("ty"), F.floor(F.col("col") / tile).cast("int").alias("tx"), "band")
-    df = df.agg(F.percentile(v, F.lit(0.01)).alias("lo"), F.percentile(v, F.lit(0.99)).alias("hi"), (F.count(v) / F.count("*")).alias("share"))
+    df = df.agg(F.sort_array(F.collect_list(v)).alias("v"), (F.count(v) / F.count("*")).alias("share"))  # a tile's values
     ok = F.col("share") > least
-    return df.select("raster_id", "ty", "tx", "band", F.when(ok, F.col("lo")).alias("lo"), F.when(ok, F.col("hi")).alias("hi"), "share")
+    lo, hi = (F.when(ok, _between(F.col("v"), p)).alias(c) for c, p in (("lo", 0.01), ("hi", 0.99)))
+    return df.select("raster_id", "ty", "tx", "band", lo, hi, "share")
 
 
 def prepared(pixels: DataFrame, mapping: DataFrame, tile: int = 32) -> DataFrame:
@@ -76,7 +100,7 @@ def prepared(pixels: DataFrame, mapping: DataFrame, tile: int = 32) -> DataFrame
     the mapping's, else (0, 255). A blank slot is 0."""
     own = tile_percentiles(pixels, tile)
     df = pixels.withColumn("ty", F.floor(F.col("row") / tile).cast("int")).withColumn("tx", F.floor(F.col("col") / tile).cast("int"))
-    df = df.join(own, ["raster_id", "ty", "tx", "band"]).join(mapping.withColumnRenamed("input_band", "band"), "band")
+    df = df.join(maybe_broadcast(mapping.withColumnRenamed("input_band", "band")), "band").join(own, ["raster_id", "ty", "tx", "band"])
     lo, hi = F.coalesce("lo", "p_low", F.lit(0.0)), F.coalesce("hi", "p_high", F.lit(255.0))
     filled = df.select("raster_id", "slot", "row", "col", stretch(F.col("value"), lo, hi).alias("value"))
     blank = mapping.where("input_band IS NULL").select("slot").crossJoin(pixels.select("raster_id", "row", "col").distinct())
@@ -282,7 +306,8 @@ def display_tiles(pixels: DataFrame, tile: int = 32, normalise: bool = True, sta
     key = ["raster_id", "ty", "tx", "band"]
     df = pixels.withColumns({"ty": _tile("row", tile), "tx": _tile("col", tile)})
     v = F.col("value")
-    s = df.groupBy(*key).agg(F.percentile(v, F.lit(0.02)).alias("lo"), F.percentile(v, F.lit(0.98)).alias("hi"), F.min(v).alias("low"), F.max(v).alias("top"))
+    s = df.groupBy(*key).agg(F.sort_array(F.collect_list(v)).alias("v"), F.min(v).alias("low"), F.max(v).alias("top"))
+    s = s.select(*key, _between(F.col("v"), 0.02).alias("lo"), _between(F.col("v"), 0.98).alias("hi"), "low", "top")
     if stats is not None:
         s = s.join(stats.select("raster_id", "band", "p2", "p98"), ["raster_id", "band"], "left").withColumns({"lo": F.coalesce("p2", "lo"), "hi": F.coalesce("p98", "hi")}).drop("p2", "p98")
     reflectance = (F.col("top") <= 1) & (F.col("low") >= 0)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import checks, routing
+from tessera.operators import checks, pixels, routing
 from tessera.plans import basics  # noqa: F401  (registers its queries)
 from tessera.plans.queries import QUERIES
 
@@ -41,3 +43,15 @@ def test_unknown_slots_are_not_broadcast(spark):
     df = checks.unknown_slots(slots(4), slots(3))
     assert "BroadcastHashJoin" not in plan(df)
     assert sorted(map(tuple, df.collect())) == [(0, 4), (1, 4), (2, 4)]
+
+
+def test_tile_percentiles_are_those_of_sql(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, 1, 32 * k + i // 32, i % 32, float(np.round(rng.uniform(0, 1000), 2)) * 3) for k in range(60) for i in range(int(rng.integers(2, 1024)))]
+    rows += [(0, 2, i // 32, i % 32, v) for i, v in enumerate([0.5] * 9 + [1.56, 1.62] + [1000.0] * 920)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (raster_id INT, band INT, row INT, col INT, value DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", rows)
+    want = con.execute("SELECT band, CAST(floor(row/32) AS INT), quantile_cont(value, 0.01) FILTER (value>0), quantile_cont(value, 0.99) FILTER (value>0) FROM t GROUP BY 1, 2").fetchall()
+    got = pixels.tile_percentiles(spark.createDataFrame(rows, "raster_id int, band int, row int, col int, value double"), least=0.0).select("band", "ty", "lo", "hi").collect()
+    assert sorted(map(tuple, got)) == sorted(want)  # to the last bit
