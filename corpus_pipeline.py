@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact, language, mixing, pieces, shingles
+from tessera.llm import exact, language, mixing, pieces, shingles, simhash
 from tessera.llm._common import materialize, table
 
 
@@ -19,8 +19,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one stays."""
-    return shingles.representatives(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one stays: linked fingerprints propose pairs as
+    in op2, and bands of minima those that fingerprints do not reach; the sets decide."""
+    return shingles.representatives(docs, proposed=simhash.text_pairs(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,10 +222,23 @@ def similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, text_col:
     return edges.unionByName(across(keyed, sets, edges, least))
 
 
-def representatives(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """Documents without near copies: of each component the smallest ``doc_id`` stays; rows without an id stay too."""
+def compared(docs: DataFrame, proposed: DataFrame, words: int = WORDS, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """Those proposed pairs (a, b, n) of ``xxhash64`` of texts whose shingle sets have a similarity of ``least`` or more."""
+    pairs = materialize(proposed.select("a", "b", F.ceil(F.col("n") / LED).alias("copies")), "proposed")
+    known = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("_text")).join(known, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(texts.select("node", set_of(F.col("_text"), words).alias("s")), "proposed_sets")
+    return materialize(verified(pairs, sets, least), "compared")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, least: float = LEAST, proposed: DataFrame | None = None) -> DataFrame:
+    """Documents without near copies: of each component the smallest ``doc_id`` stays; rows without an id stay too. ``proposed``:
+    pairs (a, b, n) of the ``xxhash64`` of texts from elsewhere, to be compared as well."""
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"))
-    parts = materialize(connected_components(similar(docs, words, least), "a", "b"), "parts")
+    edges = similar(docs, words, least)
+    if proposed is not None:
+        edges = edges.unionByName(compared(docs, proposed, words, least))
+    parts = materialize(connected_components(edges, "a", "b"), "parts")
     whole = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
     linked = materialize(rows.join(whole, "node"), "linked")
     firsts = linked.groupBy("component").agg(F.min("id").alias("first"))

@@ -77,6 +77,17 @@ def link(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def text_pairs(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
+    """Pairs (a, b, n) of the ``xxhash64`` of texts whose fingerprints are linked: of a print's texts each with the smallest, and
+    the smallest of two prints with a direct link; ``n`` counts the texts that meet ``b``."""
+    rows = materialize(docs.select(F.xxhash64(text_col).alias("node"), fingerprint_of(F.col(text_col), words).alias("fp")).distinct(), "fingerprints")
+    prints = materialize(rows.groupBy("fp").agg(F.min("node").alias("b")), "distinct_fingerprints")
+    inside = rows.join(prints, "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    first, second = (prints.select(F.col("fp").alias(k), F.col("b").alias(v)) for k, v in (("a", "y"), ("b", "x")))
+    pairs = materialize(inside.unionByName(link(prints.select("fp")).join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct(), "print_pairs")
+    return pairs.join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """A row per document: id, ``fp`` (signed long), ``component_id`` and the text's ``text_hash``."""
     rows = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), fingerprint_of(F.col(text_col), words).alias("fp")), "fingerprints")
