@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.geo import let
+
 #: Keywords in the order in which they are tried, and their slots.
 KEYWORDS = [("coastal", 0), ("blue", 1), ("green", 2), ("yellow", 3), ("red", 4), ("edge", 5), ("nir", 6), ("near", 6), ("ir", 7)]
 #: Slot -> band (from 0) by band count; 8 and more bands fill slots 0 to 7 in order.
@@ -15,10 +17,14 @@ SLOTS = 8
 
 def keyword_slot(description: Column) -> Column:
     """Slot of the first keyword that the description holds; null if none."""
-    text, out = F.lower(description), F.lit(None).cast("int")
-    for word, slot in reversed(KEYWORDS):
-        out = F.when(text.contains(word), F.lit(slot)).otherwise(out)
-    return out
+
+    def first(text: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for word, slot in reversed(KEYWORDS):
+            out = F.when(text.contains(word), F.lit(slot)).otherwise(out)
+        return out
+
+    return let(F.lower(description), first)
 
 
 def profile(n: Column) -> Column:
@@ -33,9 +39,13 @@ def profile(n: Column) -> Column:
 def routed(descriptions: Column, n: Column) -> Column:
     """Map of slots to bands (from 0) by keywords; the last band of a slot wins. With fewer than min(n, 3) slots found, the profile."""
     found = F.transform(descriptions, lambda d, i: F.struct(keyword_slot(d).alias("slot"), i.alias("band")))
-    last = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.struct(s.alias("key"), F.array_max(F.transform(F.filter(found, lambda f: f["slot"] == s), lambda f: f["band"])).alias("value")))
-    by_word = F.coalesce(F.map_from_entries(F.filter(last, lambda e: e["value"].isNotNull())), F.create_map().cast("map<int,int>"))
-    return F.when(F.size(by_word) < F.least(n, F.lit(3)), profile(n)).otherwise(by_word)
+
+    def lasts(found: Column) -> Column:
+        at = lambda s: F.array_max(F.transform(F.filter(found, lambda f: f["slot"] == s), lambda f: f["band"]))
+        return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.struct(s.alias("key"), at(s).alias("value")))
+
+    by_word = F.coalesce(F.map_from_entries(F.filter(let(found, lasts), lambda e: e["value"].isNotNull())), F.create_map().cast("map<int,int>"))
+    return let(by_word, lambda m: F.when(F.size(m) < F.least(n, F.lit(3)), profile(n)).otherwise(m))
 
 
 def rgb_indices(mapping: Column, n: Column) -> Column:

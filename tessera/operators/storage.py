@@ -38,3 +38,10 @@ def discard(df: DataFrame) -> None:
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if ``df`` has at most ``rows`` rows; beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as shuffles have, before work that takes long a row: small files give few tasks. Their
+    number is given, so that adaptive plans do not put them together again by their bytes."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo as G
 from tessera.functions import text as T
 from tessera.operators import checks, corrections, pixels, reads, routing, saved, spatial
+from tessera.operators.storage import spread
 from tessera.plans.exports import TIE, names
 from tessera.plans.queries import BAND_WORDS, R1_SLOT, query, r6
 
@@ -25,7 +26,7 @@ def _routed(t):
     i = F.sequence(F.lit(0), F.col("bands") - 1)
     described = F.transform(i, lambda k: F.get(words, ((F.col("raster_id") + k * 5) % 12).cast("int")))
     none = F.array().cast("array<string>")
-    return t.scenes.withColumn("mapping", routing.routed(F.when(F.col("raster_id") % 3 != 0, described).otherwise(none), F.col("bands")))
+    return spread(t.scenes).withColumn("mapping", routing.routed(F.when(F.col("raster_id") % 3 != 0, described).otherwise(none), F.col("bands")))
 
 
 @query("r2_routed_slots", f"WITH {_ROUTED} SELECT * FROM routed", "scenes")

@@ -6,10 +6,13 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions import geo
 from tessera.functions import text as T
 from tessera.operators import checks, pixels, routing
 from tessera.plans import basics  # noqa: F401  (registers its queries)
+from tessera.plans import reads  # noqa: F401
 from tessera.plans.queries import QUERIES
+from tessera.sources import vector
 
 
 def plan(df) -> str:
@@ -55,3 +58,21 @@ def test_tile_percentiles_are_those_of_sql(spark):
     want = con.execute("SELECT band, CAST(floor(row/32) AS INT), quantile_cont(value, 0.01) FILTER (value>0), quantile_cont(value, 0.99) FILTER (value>0) FROM t GROUP BY 1, 2").fetchall()
     got = pixels.tile_percentiles(spark.createDataFrame(rows, "raster_id int, band int, row int, col int, value double"), least=0.0).select("band", "ty", "lo", "hi").collect()
     assert sorted(map(tuple, got)) == sorted(want)  # to the last bit
+
+
+def test_work_that_takes_long_a_row_is_spread(spark, sf):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("g7_ellipsoid_distances", "r2_routed_slots", "s9_either_coordinates"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= n, name
+
+
+def test_coordinates_there_and_back(spark):
+    df = spark.sql("SELECT * FROM VALUES (500123.0D, 1000.0D, 32648), (700000.0D, 9000000.0D, 32748), (105.5D, -7.0D, 4326), (1e6D, 2e6D, 3857), (1.0D, 2.0D, NULL) t(x, y, epsg)")
+    lon, lat = geo.to_lonlat(F.col("x"), F.col("y"), F.col("epsg"))
+    rows = df.withColumns({"lon": lon, "lat": lat}).withColumns(dict(zip(("u", "v"), geo.from_lonlat(F.col("lon"), F.col("lat"), F.col("epsg"))))).collect()
+    for r in rows[:-1]:
+        assert abs(r.u - r.x) < 1e-5 and abs(r.v - r.y) < 1e-5, r
+    assert rows[-1].lon is None and rows[-1].v is None
+    # A ring is computed once: the text of the plan does not grow with uses of a vertex.
+    ring = F.array(geo.point(F.col("x"), F.col("y")))
+    assert len(plan(df.select(vector.lonlat_to_pixel(ring, tuple(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)), F.col("epsg"))))) < 12_000
