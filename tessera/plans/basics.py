@@ -8,6 +8,7 @@ from tessera.functions import box as B
 from tessera.functions import geo as G
 from tessera.functions import text as T
 from tessera.operators import corrections, decode, pixels, routing
+from tessera.operators.storage import spread
 from tessera.plans.queries import LOCAL_HIT, query, r6
 from tessera.sources import stats, vector
 
@@ -57,7 +58,7 @@ def _(t):
     far = k % 10 == 0  # every tenth pair lies on opposite sides of the globe, or nearly so
     lon2 = F.when(far, lon1 + 180 - F.floor(k / 10) % 7 * F.lit(0.1)).otherwise((k * 91) % 360 - 180)
     lat2 = F.when(far, -lat1 + F.floor(k / 70) % 5 * F.lit(0.1)).otherwise((k * 29) % 170 - 85)
-    return t.customer.select("c_custkey", F.round(G.geodesic(lon1, lat1, lon2, lat2), 2).alias("metres"))
+    return spread(t.customer).select("c_custkey", F.round(G.geodesic(lon1, lat1, lon2, lat2), 2).alias("metres"))
 
 
 @query("g16_pixel_sizes", "SELECT raster_id, round(CASE WHEN epsg IS NULL OR epsg=4326 THEN abs(a)*111320*cos(radians(f)) ELSE abs(a) END,6) AS w, round(CASE WHEN epsg IS NULL OR epsg=4326 THEN abs(e)*111320 ELSE abs(e) END,6) AS h FROM scenes", "scenes")
