@@ -23,6 +23,11 @@ BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360, N**2 / 48 + N**3 / 1
 DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45, 7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45, 56 * N**3 / 15 - 136 * N**4 / 35, 4279 * N**4 / 630)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def to_crs(x: Column, y: Column, t: tuple[Column, ...]) -> tuple[Column, Column]:
     a, b, c, d, e, f = t
     return c + x * a + y * b, f + x * d + y * e
@@ -59,53 +64,82 @@ def ring_to_crs(ring: Column, t: tuple[Column, ...]) -> Column:
     return F.transform(ring, lambda p: point(*to_crs(p["x"], p["y"], t)))
 
 
+def both(value: Column, body) -> Column:
+    """Point of the pair ``body(x, y)`` of a point that is computed once a row, as lambdas share no subexpressions."""
+    return let(value, lambda p: point(*body(p["x"], p["y"])))
+
+
 def ring_to_pixel(ring: Column, t: tuple[Column, ...]) -> Column:
     return F.transform(ring, lambda p: point(*to_pixel(p["x"], p["y"], t)))
 
 
-def utm_inverse(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """(lon, lat) of UTM coordinates."""
-    xi = (y - F.when(south, 10_000_000.0).otherwise(0.0)) / (K0 * RECT)
-    eta = (x - 500_000.0) / (K0 * RECT)
-    xi1, eta1 = xi, eta
-    for j, b in enumerate(BETA, 1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi + sum((dj * F.sin(2 * j * chi) for j, dj in enumerate(DELTA, 1)), F.lit(0.0))
-    lon = zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
-    return lon, F.degrees(lat)
+def utm_inverse(x: Column, y: Column, zone: Column, south: Column) -> Column:
+    """Point (lon, lat) of UTM coordinates."""
+    at = point((x - 500_000.0) / (K0 * RECT), (y - F.when(south, 10_000_000.0).otherwise(0.0)) / (K0 * RECT))
 
+    def on_sphere(eta: Column, xi: Column) -> tuple[Column, Column]:
+        xi1, eta1 = xi, eta
+        for j, b in enumerate(BETA, 1):
+            xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return eta1, xi1
 
-def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """UTM coordinates (northern hemisphere's origin) of lon/lat."""
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    def degrees(eta1: Column, xi1: Column) -> tuple[Column, Column]:
+        latitude = lambda chi: F.degrees(chi + sum((dj * F.sin(2 * j * chi) for j, dj in enumerate(DELTA, 1)), F.lit(0.0)))
+        return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), let(F.asin(F.sin(xi1) / F.cosh(eta1)), latitude)
+
+    return both(both(at, on_sphere), degrees)
+
+
+def utm_forward(lon: Column, lat: Column, zone: Column) -> Column:
+    """Point of UTM coordinates (northern hemisphere's origin) of lon/lat."""
     k = 2 * math.sqrt(N) / (1 + N)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - k * F.atanh(k * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500_000.0 + K0 * RECT * x, K0 * RECT * y
+    at = point(F.radians(lon - (zone * 6 - 183)), let(F.sin(F.radians(lat)), lambda s: F.sinh(F.atanh(s) - k * F.atanh(k * s))))
+
+    def metres(eta: Column, xi: Column) -> tuple[Column, Column]:
+        x, y = eta, xi
+        for j, a in enumerate(ALPHA, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return 500_000.0 + K0 * RECT * x, K0 * RECT * y
+
+    return both(both(at, lambda lam, t: (F.atanh(F.sin(lam) / F.sqrt(1 + t * t)), F.atan2(t, F.cos(lam)))), metres)
+
+
+def lonlat_point(gx: Column, gy: Column, epsg: Column) -> Column:
+    """Identity for 4326, inverse Web Mercator for 3857, inverse UTM for 326xx and 327xx; else a point of nulls."""
+    utm = epsg.between(32601, 32660) | epsg.between(32701, 32760)
+
+    def at(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        lon = F.when(epsg == 4326, x).when(epsg == 3857, F.degrees(x / A))
+        lat = F.when(epsg == 4326, y).when(epsg == 3857, F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2))
+        return F.when(utm, utm_inverse(x, y, epsg % 100, epsg >= 32701)).otherwise(point(lon, lat))
+
+    return let(point(gx.cast("double"), gy.cast("double")), at)
 
 
 def to_lonlat(gx: Column, gy: Column, epsg: Column) -> tuple[Column, Column]:
-    """Identity for 4326, inverse Web Mercator for 3857, inverse UTM for 326xx and 327xx; else null."""
+    p = lonlat_point(gx, gy, epsg)
+    return p["x"], p["y"]
+
+
+def crs_point(lon: Column, lat: Column, epsg: Column) -> Column:
+    """The way back from ``lonlat_point``."""
     utm = epsg.between(32601, 32660) | epsg.between(32701, 32760)
-    u = utm_inverse(gx, gy, epsg % 100, epsg >= 32701)
-    lon = F.when(epsg == 4326, gx).when(epsg == 3857, F.degrees(gx / A)).when(utm, u[0])
-    lat = F.when(epsg == 4326, gy).when(epsg == 3857, F.degrees(2 * F.atan(F.exp(gy / A)) - math.pi / 2)).when(utm, u[1])
-    return lon, lat
+
+    def at(p: Column) -> Column:
+        x = F.when(epsg == 4326, p["x"]).when(epsg == 3857, A * F.radians(p["x"]))
+        y = F.when(epsg == 4326, p["y"]).when(epsg == 3857, A * F.log(F.tan(math.pi / 4 + F.radians(p["y"]) / 2)))
+        north = F.when(epsg >= 32701, 10_000_000.0).otherwise(0.0)
+        return F.when(utm, both(utm_forward(p["x"], p["y"], epsg % 100), lambda u, v: (u, v + north))).otherwise(point(x, y))
+
+    return let(point(lon.cast("double"), lat.cast("double")), at)
 
 
 def from_lonlat(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
-    utm = epsg.between(32601, 32660) | epsg.between(32701, 32760)
-    u = utm_forward(lon, lat, epsg % 100)
-    x = F.when(epsg == 4326, lon).when(epsg == 3857, A * F.radians(lon)).when(utm, u[0])
-    y = F.when(epsg == 4326, lat).when(epsg == 3857, A * F.log(F.tan(math.pi / 4 + F.radians(lat) / 2)))
-    return x, y.when(utm, u[1] + F.when(epsg >= 32701, 10_000_000.0).otherwise(0.0))
+    p = crs_point(lon, lat, epsg)
+    return p["x"], p["y"]
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -118,11 +152,6 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 OPPOSITE, TURNS, HALVINGS, NODES = 3.0, 14, 48, 16
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _excess(s: Column, sigma: Column, sin: Column, cos: Column, twice: Column) -> Column:
     """How much the sphere's longitude exceeds the ellipsoid's: Vincenty's series for a geodesic that leaves the equator with
     sine ``s``, ``twice`` being the cosine of twice the middle of the arc."""
@@ -359,7 +388,7 @@ def local_utm_area(ring: Column) -> Column:
     """Area in m2 of a ring in longitude and latitude, in the UTM zone of its vertices' mean."""
     lon, lat = label_position(ring)
     zone = F.greatest(F.lit(1), F.least(F.lit(60), F.floor((lon + 180) / 6) + 1))
-    return F.abs(signed_area(F.transform(ring, lambda p: point(*utm_forward(p["x"], p["y"], zone)))))
+    return F.abs(signed_area(F.transform(ring, lambda p: utm_forward(p["x"], p["y"], zone))))
 
 
 def area_m2(ring_crs: Column, epsg: Column) -> Column:

@@ -92,9 +92,9 @@ def _(t):
     pixel = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((10.0, 20.0), (210.0, 20.0), (110.0, 220.0))])
     tr, epsg = G.transform_cols(), F.col("epsg")
     crs = G.ring_to_crs(pixel, tr)
-    lonlat = F.transform(crs, lambda p: G.point(*G.to_lonlat(p["x"], p["y"], epsg)))
+    lonlat = F.transform(crs, lambda p: G.lonlat_point(p["x"], p["y"], epsg))
     given = F.when(epsg.isNotNull() & (F.col("raster_id") % 2 == 0), lonlat).otherwise(crs)  # both kinds come in
-    df = t.scenes.select("raster_id", F.posexplode(vector.either_to_pixel(given, tr, epsg)).alias("i", "p"))
+    df = spread(t.scenes).select("raster_id", F.posexplode(vector.either_to_pixel(given, tr, epsg)).alias("i", "p"))
     return df.select("raster_id", "i", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
 
 

@@ -49,14 +49,18 @@ def outer_rings(features: DataFrame, least: int = 3) -> DataFrame:
 
 
 def lonlat_to_pixel(ring: Column, t: tuple[Column, ...], epsg: Column) -> Column:
-    return F.transform(ring, lambda p: G.point(*G.to_pixel(*G.from_lonlat(p["x"], p["y"], epsg), t)))
+    return F.transform(ring, lambda p: G.both(G.crs_point(p["x"], p["y"], epsg), lambda x, y: G.to_pixel(x, y, t)))
 
 
 def either_to_pixel(ring: Column, t: tuple[Column, ...], epsg: Column) -> Column:
     """Longitude and latitude to pixels if all vertices can be such and the CRS is known, else coordinates of the CRS."""
-    plausible = F.forall(ring, lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90))
-    placed = F.when(plausible, lonlat_to_pixel(ring, t, epsg))
-    return F.when(F.exists(placed, lambda p: p["x"].isNotNull()), placed).otherwise(G.ring_to_pixel(ring, t))
+
+    def choose(ring: Column) -> Column:
+        plausible = F.forall(ring, lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90))
+        placed = F.when(plausible, lonlat_to_pixel(ring, t, epsg))
+        return G.let(placed, lambda q: F.when(F.exists(q, lambda p: p["x"].isNotNull()), q).otherwise(G.ring_to_pixel(ring, t)))
+
+    return G.let(ring, choose)
 
 
 def extents(features: DataFrame, by: list[Column]) -> DataFrame:
