@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo as G
 from tessera.operators import pixels
-from tessera.operators.storage import shared_dir
+from tessera.operators.storage import shared_dir, spread
 from tessera.plans.queries import query, r6
 from tessera.sources import exports, vector
 
@@ -44,9 +44,9 @@ def _(t):
 @query("k10_lonlat_features", f"SELECT det_id AS id, {NAME_SQL} AS class_name, round(CASE WHEN epsg IS NULL THEN x1 ELSE c+x1*a END,7) AS min_x, round(CASE WHEN epsg IS NULL THEN y2 ELSE f+y1*e END,7) AS max_y FROM detections JOIN rasters USING (raster_id) WHERE epsg IS NULL OR epsg=4326 UNION ALL SELECT det_id, {NAME_SQL}, round(x1,3), round(y1,3) FROM detections JOIN rasters USING (raster_id) WHERE epsg=32648", "detections rasters")
 def _(t):
     """Projected rings are brought back to pixels to be compared."""
-    rings = vector.outer_rings(written(exports.detection_features(t.detections.join(t.rasters, "raster_id"), names(), lonlat=True)))
+    rings = vector.outer_rings(written(exports.detection_features(spread(t.detections.join(t.rasters, "raster_id")), names(), lonlat=True)))
     df = rings.select(prop("id"), prop("class_name", "string"), "ring").join(t.detections.select(F.col("det_id").alias("id"), "raster_id"), "id").join(t.rasters, "raster_id")
-    df = df.withColumn("back", vector.lonlat_to_pixel(F.col("ring"), G.transform_cols(), F.col("epsg")))
+    df = spread(df).withColumn("back", vector.lonlat_to_pixel(F.col("ring"), G.transform_cols(), F.col("epsg")))
     projected = F.col("epsg") == 32648
     x = F.when(projected, F.round(F.array_min("back.x"), 3)).otherwise(F.round(F.array_min("ring.x"), 7))
     y = F.when(projected, F.round(F.array_min("back.y"), 3)).otherwise(F.round(F.array_max("ring.y"), 7))

@@ -30,7 +30,7 @@ def centroid_features(detections: DataFrame, names: Column) -> DataFrame:
 
 def polygon_features(polygons: DataFrame) -> DataFrame:
     """Drawn polygons (ring in pixels, a..f, epsg) in longitude and latitude, closed; those without a CRS go."""
-    ring = F.transform(G.closed(F.col("ring")), lambda p: G.point(*G.to_lonlat(*G.to_crs(p["x"], p["y"], G.transform_cols()), F.col("epsg"))))
+    ring = F.transform(G.closed(F.col("ring")), lambda p: G.lonlat_point(*G.to_crs(p["x"], p["y"], G.transform_cols()), F.col("epsg")))
     df = polygons.where("epsg IS NOT NULL")
     name = F.concat(F.lit("Polygon "), F.col("polygon_id"))
     return df.select(feature("Polygon", F.array(_pairs(ring)), id=F.col("polygon_id"), raster_id=F.col("raster_id"), name=name, valid=G.simple(F.col("ring"))).alias("value"))
@@ -47,9 +47,9 @@ def detection_features(detections: DataFrame, names: Column, lonlat: bool = Fals
     known = F.col("epsg").isNotNull()
 
     def place(p: Column) -> Column:
-        gx, gy = G.to_crs(p["x"], p["y"], G.transform_cols())
-        x, y = G.to_lonlat(gx, gy, F.col("epsg")) if lonlat else (gx, gy)
-        return F.array(F.when(known, x).otherwise(p["x"]), F.when(known, y).otherwise(p["y"]))
+        at = G.point(*G.to_crs(p["x"], p["y"], G.transform_cols()))
+        at = G.let(at, lambda q: G.lonlat_point(q["x"], q["y"], F.col("epsg"))) if lonlat else at
+        return G.let(F.when(known, at).otherwise(p), lambda q: F.array(q["x"], q["y"]))
 
     ring = F.transform(G.closed(B.ring(B.cols())), place)
     return detections.select(feature("Polygon", F.array(ring), id=F.col("det_id"), class_name=B.class_name(F.col("class_id"), names), score=F.round("score", 4)).alias("value"))
