@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.selection import percentiles
 from tessera.operators.spatial import points_in_polygons, rectangle_meets, with_bounds, with_cells
-from tessera.operators.storage import maybe_broadcast
+from tessera.operators.storage import maybe_broadcast, tasks
 
 LEVELS = (2, 4, 8, 16, 32, 64, 128)
 
@@ -282,9 +282,11 @@ def preview(pixels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFra
 
 def grayscale(pixels: DataFrame, rasters: DataFrame) -> DataFrame:
     """One value a pixel: the mean of two bands where a raster has two, else band 1."""
-    df = pixels.join(rasters.select("raster_id", "bands"), "raster_id")
+    df = pixels.where("band <= 2").join(maybe_broadcast(rasters.select("raster_id", "bands")), "raster_id")
     df = df.where((F.col("band") == 1) | ((F.col("bands") == 2) & (F.col("band") == 2)))
-    return df.groupBy("raster_id", "row", "col").agg(F.avg("value").alias("value"))
+    key = ["raster_id", "row", "col"]
+    df = df.repartition(tasks(df, pixels.where("band <= 2").count()), *key)
+    return df.groupBy(*key).agg(F.avg("value").alias("value"))
 
 
 def mean_in_polygons(pixels: DataFrame, polygons: DataFrame) -> DataFrame:

@@ -45,3 +45,12 @@ def spread(df: DataFrame) -> DataFrame:
     number is given, so that adaptive plans do not put them together again by their bytes."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n)
+
+
+#: Rows of a task that gathers groups.
+TASK_ROWS = 250_000
+
+
+def tasks(df: DataFrame, rows: int) -> int:
+    """Tasks for so many rows: their number grows with the rows, so that no task's groups do; at least those of shuffles."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1)

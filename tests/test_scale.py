@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions import text as T
-from tessera.operators import checks, pixels, routing
+from tessera.operators import checks, pixels, routing, storage
 from tessera.plans import basics  # noqa: F401  (registers its queries)
 from tessera.plans import reads  # noqa: F401
 from tessera.plans.queries import QUERIES
@@ -76,3 +76,11 @@ def test_coordinates_there_and_back(spark):
     # A ring is computed once: the text of the plan does not grow with uses of a vertex.
     ring = F.array(geo.point(F.col("x"), F.col("y")))
     assert len(plan(df.select(vector.lonlat_to_pixel(ring, tuple(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)), F.col("epsg"))))) < 12_000
+
+
+def test_gray_pixels_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    rows = spark.range(2000).selectExpr("0 AS raster_id", "CAST(1 + id % 2 AS INT) AS band", "CAST(id div 20 AS INT) AS row", "CAST(id % 20 div 2 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
+    df = pixels.grayscale(rows, spark.createDataFrame([(0, 2)], "raster_id int, bands int"))
+    assert df.rdd.getNumPartitions() == 21
+    assert df.where("row = 3 AND col = 4").first()["value"] == 68.5 and df.count() == 1000
