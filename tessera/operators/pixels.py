@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.selection import percentiles
 from tessera.operators.spatial import points_in_polygons, rectangle_meets, with_bounds, with_cells
-from tessera.operators.storage import maybe_broadcast, tasks
+from tessera.operators.storage import materialize, maybe_broadcast, tasks
 
 LEVELS = (2, 4, 8, 16, 32, 64, 128)
 
@@ -348,9 +348,12 @@ def standardised(pixels: DataFrame, stats: DataFrame) -> DataFrame:
 def bilinear(pixels: DataFrame, scale: float, nodata: float | None = None) -> DataFrame:
     """Each output cell from the pixels around its centre by a triangular kernel: one pixel wide on each side, and wider by the
     factor when it shrinks, so that every pixel counts. Weights are those of the pixels that exist and are not ``nodata``,
-    brought to a sum of 1; a cell without any is ``nodata``. A row per input pixel and cell it serves, summed before the shuffle."""
-    size = pixels.groupBy("raster_id", "band").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
-    df = pixels.join(size, ["raster_id", "band"])
+    brought to a sum of 1; a cell without any is ``nodata``. A row per input pixel and cell it serves, summed before they are
+    shuffled: pixels are dealt by blocks, and cells then, to tasks whose number grows with the pixels."""
+    size = materialize(pixels.groupBy("raster_id", "band").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"), F.count("*").alias("n")), "sizes")
+    count = tasks(pixels, size.agg(F.sum("n")).first()[0] or 0)
+    dealt = pixels.withColumns({"_by": _tile("row", 64), "_bx": _tile("col", 64)}).repartition(count, "raster_id", "band", "_by", "_bx")
+    df = dealt.join(maybe_broadcast(size.drop("n")), ["raster_id", "band"])
     for c, n in (("row", "height"), ("col", "width")):
         cells = F.greatest(F.lit(1), F.floor(F.col(n) * F.lit(float(scale)))).cast("int")
         df = df.withColumn("cells", cells).withColumn("step", F.col(n) / F.col("cells")).withColumn("reach", F.greatest(F.lit(1.0), "step"))
@@ -362,7 +365,10 @@ def bilinear(pixels: DataFrame, scale: float, nodata: float | None = None) -> Da
     w = F.col("wrow") * F.col("wcol")
     if nodata is not None:
         w = F.when(F.col("value") != nodata, w)
-    df = df.groupBy("raster_id", "band", F.col("orow").alias("row"), F.col("ocol").alias("col")).agg(F.sum(F.col("value") * w).alias("v"), F.sum(w).alias("w"))
+    key = ["raster_id", "band", F.col("orow").alias("row"), F.col("ocol").alias("col")]
+    df = df.groupBy("_by", "_bx", *key).agg(F.sum(F.col("value") * w).alias("v"), F.sum(w).alias("w"))  # in the block's task
+    cells = count * max(1, round(float(scale) ** 2))
+    df = df.repartition(cells, "raster_id", "band", "row", "col").groupBy("raster_id", "band", "row", "col").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
     value = F.col("v") / F.col("w")
     return df.select("raster_id", "band", "row", "col", (value if nodata is None else F.coalesce(value, F.lit(float(nodata)))).alias("value"))
 
