@@ -80,7 +80,7 @@ def test_coordinates_there_and_back(spark):
 
 def test_gray_pixels_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(storage, "TASK_ROWS", 100)
-    rows = spark.range(2000).selectExpr("0 AS raster_id", "CAST(1 + id % 2 AS INT) AS band", "CAST(id div 20 AS INT) AS row", "CAST(id % 20 div 2 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
+    rows = spark.range(2000).selectExpr("CAST(id div 5000 AS INT) AS raster_id", "CAST(1 + id % 2 AS INT) AS band", "CAST(id div 20 AS INT) AS row", "CAST(id % 20 div 2 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
     df = pixels.grayscale(rows, spark.createDataFrame([(0, 2)], "raster_id int, bands int"))
     assert df.rdd.getNumPartitions() == 21
     assert df.where("row = 3 AND col = 4").first()["value"] == 68.5 and df.count() == 1000
