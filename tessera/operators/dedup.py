@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import box as B
 from tessera.operators.components import components
-from tessera.operators.spatial import overlapping_pairs, with_cells
-from tessera.operators.storage import discard, materialize
+from tessera.operators.spatial import CELL, overlapping_pairs, with_cells
+from tessera.operators.storage import discard, materialize, maybe_broadcast, tasks
 
 KEY = ["raster_id", "class_id"]
 
@@ -148,10 +148,13 @@ def merge_preferring_inner(detections: DataFrame, threshold: float = 0.45, most:
 BORDER_ALPHA, TINY = 0.5, 1e-12
 
 
-#: Boxes up to which a group that fuses is folded by one task.
+#: Boxes up to which a raster's class, or a group of a larger one that fuses, is folded by one task.
 FOLD_BOXES = 20_000
+#: Boxes nearby up to which they are looked at one by one.
+NEAR = 64
 XY = ("x1", "y1", "x2", "y2")
 #: A box as it was from one place in the order (exclusive; null: from the start) to another (inclusive; null: to the end).
+LAST = "det_id long, x1 double, y1 double, x2 double, y2 double, score double, border_dist double, edge boolean, tile_id int, n int"
 VERSION = "_group long, det_id long, from_batch long, from_id long, to_batch long, to_id long, x1 double, y1 double, x2 double, y2 double, score double, border_dist double, edge boolean, tile_id int, n int"
 
 
@@ -162,8 +165,8 @@ def fuse_batches(detections: DataFrame, threshold: float = 0.45, most: int = FOL
     tile of the heavier one. ``border_dist``, ``edge`` and ``tile_id`` may be missing. ``n`` counts a box's parts; its id is
     its first part's.
 
-    The fold follows (batch, id), but boxes that never meet may be folded apart. Groups grow from single boxes: each is
-    folded alone, and every box keeps a version for each change, with the time for which it held. A box that meets a
+    The fold follows (batch, id) in each raster and class. Those of up to ``most`` boxes are folded as they are, many in a
+    task. In larger ones boxes that never meet may be folded apart. Groups grow from single boxes: each is folded alone, and every box keeps a version for each change, with the time for which it held. A box that meets a
     version of another group at its own time shows that the two are one; they are joined and folded again, until no box
     meets another group. Then, by induction over the order, the groups' folds together are the whole fold. Where a group
     gets over ``most`` boxes, the earlier half of the order is folded before the later one, and so on: earlier boxes do
@@ -173,7 +176,27 @@ def fuse_batches(detections: DataFrame, threshold: float = 0.45, most: int = FOL
     given = detections.columns
     full = detections.withColumns({c: v for c, v in fill.items() if c not in given})
     full = materialize(full.withColumns({"n": F.lit(1), "_new": F.lit(True)}), "boxes")
-    return _folded(None, full, threshold, most).select(*given, "n")
+    sizes = materialize(full.groupBy(*KEY).agg(F.count("*").alias("size")), "sizes")
+    large = sizes.where(F.col("size") > most).select(*KEY)
+    rows = sizes.agg(F.sum("size")).first()[0] or 0
+    if large.isEmpty():
+        return _folded_whole(full, threshold, rows).select(*given, "n")
+    large = maybe_broadcast(large)
+    small = _folded_whole(full.join(large, KEY, "left_anti"), threshold, rows)
+    wide = materialize(full.join(large, KEY, "left_semi"), "large")
+    return small.unionByName(_folded(None, wide, threshold, most)).select(*given, "n")
+
+
+def _folded_whole(boxes: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """The boxes (about ``rows``) after each raster's class was folded by itself."""
+    dealt = boxes.select(*KEY, *_typed_boxes()).repartition(tasks(boxes, rows), *KEY).sortWithinPartitions(*KEY, "batch_no", "det_id")
+    last = dealt.mapInPandas(lambda b: _fold_all(b, threshold, len(KEY), True), LAST)
+    return boxes.drop(*last.columns[1:]).join(last.hint("merge"), "det_id").select(*boxes.columns)
+
+
+def _typed_boxes() -> list[Column]:
+    doubles = [F.col(c).cast("double").alias(c) for c in (*XY, "score", "border_dist")]
+    return ["_new", F.col("batch_no").cast("long").alias("batch_no"), F.col("det_id").cast("long").alias("det_id"), *doubles, "edge", "tile_id", "n"]
 
 
 def _folded(done: DataFrame | None, coming: DataFrame, threshold: float, most: int) -> DataFrame:
@@ -211,7 +234,7 @@ def _folded(done: DataFrame | None, coming: DataFrame, threshold: float, most: i
             early = materialize(_folded(done, coming.where(cut), threshold, most).withColumn("_new", F.lit(False)), "wave")
             return _folded(early, coming.where(~cut), threshold, most)
         busy = at.join(joined.select(F.col("component").alias("_group")).distinct(), "_group", "left_semi")
-        busy = busy.select("_group", "_new", F.col("batch_no").cast("long").alias("batch_no"), "det_id", *[F.col(c).cast("double").alias(c) for c in (*XY, "score", "border_dist")], "edge", "tile_id", "n")
+        busy = busy.select("_group", *_typed_boxes())
         again = busy.repartition("_group").sortWithinPartitions("_group", "_new", "batch_no", "det_id").mapInPandas(lambda b: _fold_all(b, threshold), VERSION)
         rest = versions.join(joined, F.col("_group") == F.col("node"), "left_anti")
         old, stored = stored, materialize(rest.unionByName(again), "versions")
@@ -230,58 +253,95 @@ def _half(coming: DataFrame) -> Column:
     raise ValueError("ids must differ")
 
 
-def _fold_all(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Versions of the boxes of all groups, which come one after the other; done boxes first, then those to come, in order."""
+def _fold_all(batches: Iterator[pd.DataFrame], threshold: float, keys: int = 1, last: bool = False) -> Iterator[pd.DataFrame]:
+    """Versions of the boxes of all groups (by the first ``keys`` columns), which come one after the other; done boxes first,
+    then those to come, in order. ``last``: only the last version of each box, without group and time."""
     names = [c.split()[0] for c in VERSION.split(", ")]
     rows: list[tuple] = []
+    here: tuple | None = None
+
+    def folded() -> list[tuple]:
+        out = _fold(rows, threshold)
+        return [(r[0], *r[5:]) for r in out if r[4] is None] if last else [(here[0], *r) for r in out]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        whole = ("tile_id",) if last else ("from_batch", "from_id", "to_batch", "to_id", "tile_id")
+        return pd.DataFrame(out, columns=[names[1], *names[6:]] if last else names).astype({c: "Int64" for c in whole})
+
     for b in batches:
         out = []
         for r in b.itertuples(index=False, name=None):
-            if rows and rows[-1][0] != r[0]:
-                out += _fold(rows, threshold)
-                rows = []
-            rows.append(r)
-        yield _typed(out, names)
-    yield _typed(_fold(rows, threshold), names)
-
-
-def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    whole = ("from_batch", "from_id", "to_batch", "to_id", "tile_id")
-    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in whole})
+            if r[:keys] != here:
+                out += folded() if rows else []
+                rows, here = [], r[:keys]
+            rows.append(r[keys:])
+        yield frame(out)
+    yield frame(folded() if rows else [])
 
 
 def _fold(rows: list[tuple], threshold: float) -> list[tuple]:
-    """The versions of one group's boxes."""
+    """The versions of one group's boxes, without the group. A box is compared with those that share a grid cell with it."""
     box = np.empty((len(rows), 4))
     kept: list[list] = []  # what else is known of each box, in the order in which they began
+    cells: dict[tuple | None, set[int]] = {None: set()}  # the boxes in each cell; None: those over many cells
     out: list[tuple] = []
 
-    def ended(j: int, batch: int | None, i: int | None) -> tuple:
-        group, first, since, score, dist, edge, tile, n = kept[j]
-        return (group, first, *since, batch, i, *box[j].tolist(), score, dist, edge, tile, n)
-
-    for group, new, batch, i, *xy, score, dist, edge, tile, n in rows:
-        b, m = np.array(xy), len(kept)
-        tile = None if tile is None or tile != tile else int(tile)
-        hit = np.zeros(0, int)
-        if new:
-            w = np.clip(np.minimum(box[:m, 2:], b[2:]) - np.maximum(box[:m, :2], b[:2]), 0, None)
+    def around(x1: float, y1: float, x2: float, y2: float) -> list:
+        if not (-1e15 < x1 <= x2 < 1e15 and -1e15 < y1 <= y2 < 1e15):
+            return [None]
+        a, b, c, d = int(x1 // CELL), int(y1 // CELL), int(x2 // CELL), int(y2 // CELL)
+        return [None] if (c - a + 1) * (d - b + 1) > NEAR else [(x, y) for x in range(a, c + 1) for y in range(b, d + 1)]
+
+    def first(xy: list[float], at: list) -> int | None:
+        """The first box at IoU >= threshold."""
+        x1, y1, x2, y2 = xy
+        near = set().union(cells[None], *[cells.get(c, ()) for c in at])
+        if len(near) > NEAR or at[0] is None:
+            m = len(kept)
+            w = np.clip(np.minimum(box[:m, 2:], xy[2:]) - np.maximum(box[:m, :2], xy[:2]), 0, None)
             inter = w[:, 0] * w[:, 1]
-            both = (box[:m, 2] - box[:m, 0]) * (box[:m, 3] - box[:m, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+            both = (box[:m, 2] - box[:m, 0]) * (box[:m, 3] - box[:m, 1]) + (x2 - x1) * (y2 - y1) - inter
             with np.errstate(invalid="ignore", divide="ignore"):
                 hit = np.flatnonzero((both > 0) & (inter / both >= threshold))
+            return int(hit[0]) if len(hit) else None
+        for j in sorted(near):
+            a1, b1, a2, b2 = kept[j][8]
+            w, h = min(a2, x2) - max(a1, x1), min(b2, y2) - max(b1, y1)
+            if w > 0 and h > 0:
+                inter = w * h
+                both = (a2 - a1) * (b2 - b1) + (x2 - x1) * (y2 - y1) - inter
+                if both > 0 and inter / both >= threshold:
+                    return j
+        return None
+
+    def put(j: int, xy: list[float], at: list) -> None:
+        box[j] = xy
+        for c in at:
+            cells.setdefault(c, set()).add(j)
+
+    def ended(j: int, batch: int | None, i: int | None) -> tuple:
+        first_id, since, score, dist, edge, tile, n, _, xy = kept[j]
+        return (first_id, *since, batch, i, *xy, score, dist, edge, tile, n)
+
+    for new, batch, i, *xy, score, dist, edge, tile, n in rows:
+        tile = None if tile is None or tile != tile else int(tile)
+        at = around(*xy)
+        j = first(xy, at) if new else None
         since = (batch, i) if new else (None, None)
-        if not len(hit):
-            box[m] = b
-            kept.append([group, i, since, score, dist, edge, tile, n])
+        if j is None:
+            put(len(kept), xy, at)
+            kept.append([i, since, score, dist, edge, tile, n, at, xy])
             continue
-        j = int(hit[0])
         out.append(ended(j, batch, i))
         k = kept[j]
-        p, q = k[3] * (1 + BORDER_ALPHA * k[4]), score * (1 + BORDER_ALPHA * dist)
+        p, q = k[2] * (1 + BORDER_ALPHA * k[3]), score * (1 + BORDER_ALPHA * dist)
         p_part, q_part = p / (p + q + TINY), q / (p + q + TINY)
-        box[j] = box[j] * p_part + b * q_part
-        kept[j] = [group, k[1], since, max(k[3], score), k[4] * p_part + dist * q_part, k[5] and edge, k[6] if p >= q else tile, k[7] + n]
+        mean = [u * p_part + v * q_part for u, v in zip(k[8], xy)]
+        for c in k[7]:
+            cells[c].discard(j)
+        at = around(*mean)
+        put(j, mean, at)
+        kept[j] = [k[0], since, max(k[2], score), k[3] * p_part + dist * q_part, k[4] and edge, k[5] if p >= q else tile, k[6] + n, at, mean]
     return out + [ended(j, None, None) for j in range(len(kept))]
 
 

@@ -201,3 +201,21 @@ def test_idle_sessions_are_closed(spark, tmp_path):
         q.stop()
         spark.conf.set(streams.STORE[0], before)
     assert {(r.session_id, r.last_seq, r.cursor) for r in seen if r.closed} == {(1, 3, 2), (2, 4, 0)}
+
+
+def test_small_classes_are_folded_without_rounds(spark, monkeypatch):
+    """One pass for rasters' classes of few boxes, crowds and odd boxes among them; rounds for the larger ones only."""
+    nan, rnd = float("nan"), random.Random(8)
+    crowd = [r | {"det_id": 2000 + r["det_id"], "raster_id": 1, "class_id": 5} for r in boxes(150, 11)]
+    for r in crowd:
+        x, y = rnd.uniform(100, 160), rnd.uniform(100, 160)
+        r.update(x1=x, y1=y, x2=x + rnd.uniform(2, 40), y2=y + rnd.uniform(2, 40))
+    odd = [dict(zip(NAMES, (3000 + i, 0, 0, i % 5, *xy, 0.5, 0.1 * i, False, i))) for i, xy in enumerate([(-5000.0, -5000.0, 9000.0, 9000.0), (-4900.0, -5000.0, 9000.0, 9100.0), (50.0, 50.0, 40.0, 40.0), (7.0, 7.0, 7.0, 7.0), (-130.0, -1.0, 2.0, 140.0), (-128.0, 0.0, 4.0, 138.0)])]
+    rows = boxes() + crowd + odd
+    want = fold([dict(r) for r in rows], 0.3)
+    given = spark.createDataFrame([tuple(r.values()) for r in rows] + [(4000, 0, 0, 3, nan, 1.0, 9.0, 9.0, 0.5, 0.5, False, None)], BOX).repartition(3)
+    mixed = dedup.fuse_batches(given, 0.3, 151).where("det_id <> 4000")  # the crowd at once, the other classes in rounds
+    same(mixed, want)
+    monkeypatch.setattr(dedup, "components", None)
+    same(dedup.fuse_batches(given, 0.3).where("det_id <> 4000"), want)
+    assert dedup.fuse_batches(given.limit(0), 0.3).count() == 0
