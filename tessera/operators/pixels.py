@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.selection import percentiles
-from tessera.operators.spatial import points_in_polygons, rectangle_meets, with_bounds, with_cells
-from tessera.operators.storage import materialize, maybe_broadcast, tasks
+from tessera.operators.spatial import points_in_polygons, with_bounds
+from tessera.operators.storage import materialize, maybe_broadcast, spread, tasks
 
 LEVELS = (2, 4, 8, 16, 32, 64, 128)
 
@@ -204,18 +208,79 @@ def zonal_means(zones: DataFrame, pixels: DataFrame, nodata: float = -9999.0, ce
     return df.groupBy("raster_id", "zone_id", "band").agg(F.avg(F.when((F.col("value") != nodata) & ~F.isnan("value"), F.col("value"))).alias("mean"))
 
 
+#: What a pixel's inside leaves out on each side.
+MARGIN = 1e-6
+
+
 def mean_touched(pixels: DataFrame, polygons: DataFrame, nodata: float = -9999.0, cell: int = 32) -> DataFrame:
-    """Mean per polygon and band over all pixels whose inside a polygon touches; null if none of them is valid."""
-    zones = with_bounds(polygons.select("raster_id", "polygon_id", "ring"))
-    zones = with_cells(zones, (F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2")), cell)
+    """Mean per polygon and band over all pixels whose inside a polygon touches; null if none of them is valid.
+
+    Which pixels a polygon touches is found once for each of its cells, as a row of bits for each row of pixels; the pixels
+    of all bands then look up their bit.
+    """
+    zones = touched_cells(polygons, cell)
     p = pixels.withColumn("gx", F.floor(F.col("col") / cell).cast("int")).withColumn("gy", F.floor(F.col("row") / cell).cast("int"))
-    x1, y1, x2, y2 = F.col("col") + 1e-6, F.col("row") + 1e-6, F.col("col") + (1 - 1e-6), F.col("row") + (1 - 1e-6)
-    near = (F.col("bx1") < x2) & (F.col("bx2") > x1) & (F.col("by1") < y2) & (F.col("by2") > y1)
-    df = p.join(zones.hint("merge"), ["raster_id", "gx", "gy"]).where(near & rectangle_meets(F.col("ring"), x1, y1, x2, y2))
+    bits = F.get("_rows", (F.col("row") - F.col("gy") * cell).cast("int"))
+    df = p.join(zones.hint("merge"), ["raster_id", "gx", "gy"]).where(F.bit_get(bits, (F.col("col") - F.col("gx") * cell).cast("int")) == 1)
     valid = F.when((F.col("value") != nodata) & ~F.isnan("value"), F.col("value"))
     return df.groupBy("raster_id", "polygon_id", "band").agg(F.avg(valid).alias("mean"), F.count("*").alias("n"))
 
 
+def touched_cells(polygons: DataFrame, cell: int) -> DataFrame:
+    """(raster_id, polygon_id, gx, gy, _rows) of the cells in which a polygon touches the inside of a pixel: bit c of entry r
+    tells whether it touches the cell's pixel in row r and column c, as ``rectangle_meets`` does. ``cell``: up to 62."""
+    axis = lambda k: F.transform("ring", lambda p: p[k].cast("double"))
+    given = with_bounds(polygons.select("raster_id", "polygon_id", "ring")).where("bx1 IS NOT NULL AND by1 IS NOT NULL")
+    given = spread(given.select("raster_id", "polygon_id", axis("x").alias("xs"), axis("y").alias("ys"), "bx1", "by1", "bx2", "by2"))
+    kind = dict(given.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for raster, polygon, xs, ys, *bounds in b.itertuples(index=False, name=None):
+                x1, y1, x2, y2 = (int(v // cell) for v in bounds)
+                ax, ay = np.asarray(xs, float), np.asarray(ys, float)
+                shape = np.stack([ax, ay, np.roll(ax, -1), np.roll(ay, -1)])
+                for gx in range(x1, x2 + 1):
+                    for gy in range(y1, y2 + 1):
+                        mask = _touched(shape, gx * cell, gy * cell, cell, bounds)
+                        if mask.any():
+                            out.append((raster, polygon, gx, gy, mask @ (1 << np.arange(cell))))
+                        if len(out) == 1024:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["raster_id", "polygon_id", "gx", "gy", "_rows"]
+    return given.mapInPandas(run, f"raster_id {kind['raster_id']}, polygon_id {kind['polygon_id']}, gx int, gy int, _rows array<long>")
+
+
+def _touched(shape: np.ndarray, left: int, top: int, cell: int, bounds: list[float], most: int = 256) -> np.ndarray:
+    """Whether the edges (ax, ay, bx, by) of a ring touch each pixel of a cell, or hold its corner: [row, column]."""
+    n = np.arange(cell)
+    x1, y1, x2, y2 = left + n + MARGIN, top + n + MARGIN, left + n + (1 - MARGIN), top + n + (1 - MARGIN)
+    box = ((bounds[1] < y2) & (bounds[3] > y1))[:, None] & ((bounds[0] < x2) & (bounds[2] > x1))
+    odd, met = np.zeros((cell, cell), bool), np.zeros((cell, cell), bool)
+    low, high = np.minimum(shape[1], shape[3]), np.maximum(shape[1], shape[3])
+    across = shape[:, (low <= y2[-1]) & (high >= y1[0])]
+    for i in range(0, across.shape[1], most):
+        ax, ay, bx, by = across[:, i : i + most, None]
+        turns = (ay > y1) != (by > y1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (bx - ax) * (y1 - ay) / (by - ay) + ax
+        odd ^= (turns[:, :, None] & (x1 < at[:, :, None])).sum(0) % 2 == 1
+        beside = (np.minimum(ax, bx) <= x2) & (np.maximum(ax, bx) >= x1)
+        some = beside.any(1)
+        ax, ay, bx, by, beside = ax[some], ay[some], bx[some], by[some], beside[some]
+        vertex = ((ay >= y1) & (ay <= y2))[:, :, None] & ((ax >= x1) & (ax <= x2))[:, None, :]
+        near = ((np.minimum(ay, by) <= y2) & (np.maximum(ay, by) >= y1))[:, :, None] & beside[:, None, :]
+        (u1, u2), (v1, v2) = [((bx - ax) * (y - ay))[:, :, None] for y in (y1, y2)], [((by - ay) * (x - ax))[:, None, :] for x in (x1, x2)]
+        sides = [u1 - v1, u1 - v2, u2 - v2, u2 - v1]
+        low_side, top_side = np.minimum.reduce(sides), np.maximum.reduce(sides)
+        met |= (vertex | (near & (low_side <= 0) & (top_side >= 0))).any(0)
+    return box & (odd | met)
+
+
 def display_bands(n: Column, wanted: Column | None = None) -> Column:
     """Bands to show: those wanted that exist, else band 1; without a wish 1 to 3 as far as they go."""
     if wanted is None:

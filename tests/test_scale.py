@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions import text as T
-from tessera.operators import checks, pixels, routing, storage
+from tessera.operators import checks, pixels, routing, spatial, storage
 from tessera.plans import basics  # noqa: F401  (registers its queries)
 from tessera.plans import reads  # noqa: F401
 from tessera.plans.queries import QUERIES
@@ -84,3 +84,21 @@ def test_gray_pixels_are_dealt_by_their_number(spark, monkeypatch):
     df = pixels.grayscale(rows, spark.createDataFrame([(0, 2)], "raster_id int, bands int"))
     assert df.rdd.getNumPartitions() == 21
     assert df.where("row = 3 AND col = 4").first()["value"] == 68.5 and df.count() == 1000
+
+
+def test_touched_pixels_are_those_of_the_rectangles(spark):
+    """Bits of cells against each pixel's rectangle; no ring goes along with the pixels."""
+    rng = np.random.default_rng(3)
+    rings = [[(3.0, 3.0), (40.0, 3.0), (3.0, 40.0)], [(-5.5, 10.25), (70.5, 12.5), (31.0, 66.0)], [(10.0, 10.0), (10.0, 10.0), (10.0, 10.0)], [(5.0, 5.0), (60.0, 60.0), (60.0, 5.0), (5.0, 60.0)], [(0.2, 0.2), (0.4, 0.2), (0.3, 0.4)], [(32.0, 0.0), (64.0, 0.0), (64.0, 32.0), (32.0, 32.0)], [], None]
+    angle = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    rings += [list(zip((35 + r * np.cos(angle)).tolist(), (33 + r * np.sin(angle)).tolist())) for r in [rng.uniform(5, 34, 300), np.full(300, 20.0)]]
+    rings += [[tuple(map(float, v)) for v in rng.uniform(-10, 80, (5, 2))] for _ in range(6)] + [[tuple(map(float, v)) for v in rng.integers(0, 64, (4, 2))] for _ in range(6)]
+    polygons = spark.createDataFrame([(0, i, r) for i, r in enumerate(rings)], "raster_id int, polygon_id long, ring array<struct<x: double, y: double>>")
+    grid = spark.range(70 * 70).selectExpr("0 AS raster_id", "CAST(id div 70 AS INT) AS row", "CAST(id % 70 AS INT) AS col")
+    bands = grid.selectExpr("*", "explode(array(1, 2)) AS band", "CAST(row * 70 + col AS DOUBLE) AS value")
+    x1, y1, x2, y2 = F.col("col") + 1e-6, F.col("row") + 1e-6, F.col("col") + (1 - 1e-6), F.col("row") + (1 - 1e-6)
+    touched = bands.join(polygons, "raster_id").where(spatial.rectangle_meets(F.col("ring"), x1, y1, x2, y2))
+    want = touched.groupBy("raster_id", "polygon_id", "band").agg(F.avg(F.when(F.col("value") != 9.0, F.col("value"))).alias("mean"), F.count("*").alias("n"))
+    got = pixels.mean_touched(bands, polygons, nodata=9.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "exists(" not in plan(got)
