@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +49,15 @@ def above_threshold(events: DataFrame, thresholds: DataFrame) -> DataFrame:
     return events.join(thresholds, "event_type").where(F.col("value") >= F.col("threshold"))
 
 
+#: Places of a history that are kept together: each call on the state takes its time, whatever it carries.
+BLOCK = 256
+
+
 class History(StatefulProcessor):
-    """A session's undo history: the event at each place as map state, cursor, length and last event as value state.
+    """A session's undo history: the events at its places as map state, in blocks of ``BLOCK`` places (-1: none yet), cursor,
+    length and last event as value state.
 
-    A batch reads and writes the places that its events touch, and returns these, however long the history is. With
+    A batch reads and writes the blocks that its events touch, and returns their places, however long the history is. With
     ``idle_ms`` a timer is put off at each batch; when it expires, the session is closed and its state dropped.
     """
 
@@ -60,14 +66,14 @@ class History(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.places = handle.getMapState("places", "place long", "seq long")
+        self.blocks = handle.getMapState("blocks", "block long", "seqs array<long>")
         self.ends = handle.getValueState("ends", "cursor long, length long, last_seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        cursor, length, last = self.ends.get() if self.ends.exists() else (0, 0, -1)
-        written: dict[int, int] = {}
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for seq, action in zip(batch["seq"].tolist(), batch["action"]):
+        cursor, length, last = self.ends.get() or (0, 0, -1)
+        old, written = length, {}
+        events = [e for b in rows for e in zip(b["seq"].tolist(), b["action"].tolist())]
+        for seq, action in sorted(events, key=lambda e: e[0]):
             if action == "undo":
                 cursor = max(0, cursor - 1)
             elif action == "redo":
@@ -76,8 +82,16 @@ class History(StatefulProcessor):
                 written[cursor] = seq
                 cursor = length = cursor + 1
             last = max(last, seq)
+        blocks: dict[int, dict[int, int]] = {}
         for place, seq in written.items():
-            self.places.updateValue((place,), (seq,))
+            blocks.setdefault(place // BLOCK, {})[place % BLOCK] = seq
+        for block, news in blocks.items():
+            held = self.blocks.getValue((block,)) if block * BLOCK < old else None  # none of its places is in use yet
+            seqs = list(held[0]) if held else []
+            seqs += [-1] * (max(news) + 1 - len(seqs))
+            for k, seq in news.items():
+                seqs[k] = seq
+            self.blocks.updateValue((block,), (seqs,))
         self.ends.update((cursor, length, last))
         if self.idle_ms is not None:
             for t in self.handle.listTimers():
@@ -88,14 +102,15 @@ class History(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         cursor, _, last = self.ends.get()
         self.ends.clear()
-        self.places.clear()
+        self.blocks.clear()
         yield self._rows(key, last, cursor, {}, True)
 
     @staticmethod
     def _rows(key, last: int, cursor: int, written: dict[int, int], closed: bool) -> pd.DataFrame:
-        at = [*written, None]
-        out = pd.DataFrame({"place": pd.array(at, "Int64"), "seq": pd.array([*written.values(), None], "Int64")})
-        return out.assign(session_id=key[0], last_seq=last, cursor=cursor, closed=closed)[["session_id", "last_seq", "cursor", "closed", "place", "seq"]]
+        n, none = len(written) + 1, np.array([*[False] * len(written), True])
+        place, seq = (pd.arrays.IntegerArray(np.array([*v, 0], np.int64), none.copy()) for v in (written.keys(), written.values()))
+        fixed = {"session_id": [key[0]] * n, "last_seq": np.full(n, last), "cursor": np.full(n, cursor), "closed": np.full(n, closed)}
+        return pd.DataFrame(fixed | {"place": place, "seq": seq}, copy=False)
 
 
 CHANGES = "session_id long, last_seq long, cursor long, closed boolean, place long, seq long"

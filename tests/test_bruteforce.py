@@ -219,3 +219,46 @@ def test_small_classes_are_folded_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(dedup, "components", None)
     same(dedup.fuse_batches(given, 0.3).where("det_id <> 4000"), want)
     assert dedup.fuse_batches(given.limit(0), 0.3).count() == 0
+
+
+class Held:
+    """State of one session in memory, which counts the calls that write."""
+
+    def __init__(self):
+        self.values, self.writes = {}, 0
+
+    getMapState = getValueState = lambda self, *_: self
+
+    def get(self):
+        return self.values.get("ends")
+
+    def getValue(self, key):
+        return self.values.get(key)
+
+    def update(self, value):
+        self.updateValue("ends", value)
+
+    def updateValue(self, key, value):
+        self.values[key], self.writes = value, self.writes + 1
+
+
+def test_histories_are_written_in_blocks(monkeypatch):
+    import pandas as pd
+
+    rnd = random.Random(12)
+    for size in (3, 256):
+        monkeypatch.setattr(streams, "BLOCK", size)
+        state, history = Held(), streams.History()
+        history.init(state)
+        rows, changes = [], {}
+        for k in range(12):
+            new = [(7, 1000 * k + i, a) for i, a in enumerate(rnd.choices(["add", "undo", "redo"], rnd.choice([(6, 3, 1), (1, 5, 5), (2, 6, 3)]), k=300))]
+            rows, before = rows + new, state.writes
+            shuffled = pd.DataFrame(rnd.sample(new, len(new)), columns=["session_id", "seq", "action"])
+            (out,) = history.handleInputRows((7,), iter([shuffled[:100], shuffled[100:]]), None)
+            assert out["place"].isna().tolist() == [False] * (len(out) - 1) + [True] and set(out["last_seq"]) == {new[-1][1]}
+            changes |= dict(zip(out["place"].tolist()[:-1], out["seq"].tolist()[:-1]))
+            assert state.writes - before <= 2 + 300 // size
+            want, cursor = replayed(rows, 7), state.values["ends"][0]
+            assert [changes[p] for p in range(cursor)] == want and set(out["cursor"]) == {cursor}
+            assert [state.values[(p // size,)][0][p % size] for p in range(cursor)] == want
