@@ -353,7 +353,12 @@ def legacy_composition(detections: DataFrame, threshold: float = 0.45, tight: fl
     """
     batches = nms(detections, threshold, True, [*KEY, "batch_no"])
     fused = materialize(fuse_batches(batches, threshold), "fused")
-    out = nms(materialize(nms(fused, threshold, True), "wide_pass"), tight, True)
+    # Pairs are sought once for both thresholds; the tighter pass sees those of which the first left both boxes.
+    edges = materialize(conflicts(fused, min(threshold, tight), True), "overlaps")
+    first, _ = greedy(edges.where(F.col("iou") >= threshold))
+    left = edges.where(F.col("iou") >= tight).join(first, "loser", "left_anti").join(first.withColumnRenamed("loser", "winner"), "winner", "left_anti")
+    second, _ = greedy(left)
+    out = fused.join(first.unionByName(second).withColumnRenamed("loser", "det_id"), "det_id", "left_anti").select(*fused.columns)
     return out.where((F.col("score") >= least_score) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
 
 

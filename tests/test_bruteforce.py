@@ -262,3 +262,15 @@ def test_histories_are_written_in_blocks(monkeypatch):
             want, cursor = replayed(rows, 7), state.values["ends"][0]
             assert [changes[p] for p in range(cursor)] == want and set(out["cursor"]) == {cursor}
             assert [state.values[(p // size,)][0][p % size] for p in range(cursor)] == want
+
+
+def test_legacy_composition_seeks_pairs_twice(spark, monkeypatch):
+    """Before the fold, and once for both passes after it."""
+    rows = boxes(400, 13)
+    fused = fold(suppress(rows, 0.45, ("raster_id", "class_id", "batch_no")), 0.45)
+    want = [r for r in suppress(suppress(fused, 0.45, ("raster_id", "class_id")), 0.3, ("raster_id", "class_id")) if r["score"] >= 0.01]
+    seen, pairs = [], dedup.overlapping_pairs
+    monkeypatch.setattr(dedup, "overlapping_pairs", lambda *a, **k: seen.append(a) or pairs(*a, **k))
+    got = dedup.legacy_composition(spark.createDataFrame([tuple(r.values()) for r in rows], BOX))
+    assert sorted(r.det_id for r in got.collect()) == sorted(r["det_id"] for r in want)
+    assert len(seen) == 2
